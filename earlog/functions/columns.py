@@ -51,12 +51,8 @@ def hour_label(ts: Column | str) -> Column:
 
 
 def whole_days(later: Column, earlier: Column) -> Column:
-    """Completed 24-hour days between two timestamps, rounded towards minus infinity."""
-    secs = (later - earlier).cast("interval day to second")
-    return F.floor(F.extract(F.lit("DAY"), secs)
-                   + F.when(secs < F.expr("INTERVAL '0' DAY"),
-                            F.when(secs == F.make_dt_interval(F.extract(F.lit("DAY"), secs)), 0)
-                            .otherwise(-1)).otherwise(0))
+    """Completed 24-hour days from `earlier` to `later`."""
+    return F.extract(F.lit("DAY"), later - earlier)
 
 
 def decay(last_at: Column | str, as_of: Column, half_life_days: int = C.HALF_LIFE_DAYS) -> Column:
