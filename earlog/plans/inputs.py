@@ -118,7 +118,7 @@ def raw_features(spark, sf) -> DataFrame:
         F.when(label != 1, _unit(31)).alias("vocal_ratio"),
         F.when(label % 3 == 0, True).when(label % 3 == 1, False).alias("has_vocals"),
         F.col("embedding"),
-        F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(vec_id AS INT))")
+        F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, CAST(vec_id AS INT))")
         .alias("analyzed_at"))
 
 
@@ -147,7 +147,7 @@ def attempts(spark, sf) -> DataFrame:
         "event_id", item_of_event().alias("track_id"),
         F.when(F.col("event_type") == "signup", "lyrics").otherwise("audio").alias("stage"),
         F.when(failed, "dl-error").otherwise("ok").alias("status"),
-        F.when(failed, message).otherwise("").alias("error"), F.col("ts").alias("at"))
+        F.when(failed, message).otherwise("").alias("error"), F.col("ts").alias("tried_at"))
 
 
 def undecided_tracks(spark, sf) -> DataFrame:

@@ -1 +1,234 @@
-"""Placeholder."""
+"""Sessions, co-occurrence, transitions, context scores and external lists."""
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from earlog.operators import catalog, context, sessions as S
+from earlog.plans import inputs as I
+from earlog.plans.registry import query
+
+NOW = dt.datetime(2024, 1, 31)
+GAP, STEP, LIMIT = 720, 240, 40
+_NOW = "TIMESTAMP '2024-01-31'"
+
+
+def _sessions_sql(gap: int, source: str = "listens") -> str:
+    return f"""a AS (SELECT l.user_id, l.event_id, l.track_id, l.listened_at,
+        lag(l.listened_at) OVER w AS prev_at, lag(l.track_id) OVER w AS prev_track
+        FROM {source} l JOIN tracks t USING (track_id) WHERE t.is_music
+        WINDOW w AS (PARTITION BY user_id ORDER BY l.listened_at, l.event_id)),
+    b AS (SELECT *, prev_at IS NULL OR listened_at - prev_at > INTERVAL {gap} MINUTE AS opens FROM a),
+    c AS (SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY user_id ORDER BY listened_at, event_id
+        ROWS UNBOUNDED PRECEDING) AS no FROM b),
+    s AS (SELECT user_id, no, event_id, track_id, listened_at, CASE WHEN NOT opens THEN prev_at END AS prev_at,
+        CASE WHEN NOT opens THEN prev_track END AS prev_track,
+        first_value(listened_at) OVER v AS session_start, first_value(event_id) OVER v AS session_event,
+        max(listened_at) OVER (PARTITION BY user_id, no) AS last_at
+        FROM c WINDOW v AS (PARTITION BY user_id, no ORDER BY listened_at, event_id))"""
+
+
+_S = _sessions_sql(GAP)
+_PAIRS = f"""d AS (SELECT DISTINCT user_id, no, track_id, last_at FROM s),
+    k AS (SELECT user_id, no FROM d GROUP BY 1, 2 HAVING count(*) <= {LIMIT}),
+    e AS (SELECT d.* FROM d JOIN k USING (user_id, no)),
+    co AS (SELECT x.track_id AS track_a, y.track_id AS track_b, count(*) AS cnt, max(x.last_at) AS last_at
+        FROM e x JOIN e y ON x.user_id = y.user_id AND x.no = y.no AND x.track_id < y.track_id GROUP BY 1, 2)"""
+_NEXT = f"""nx AS (SELECT prev_track AS cur, track_id AS nxt, count(*) AS cnt, max(last_at) AS last_at FROM s
+    WHERE prev_track <> track_id AND listened_at - prev_at <= INTERVAL {STEP} MINUTE GROUP BY 1, 2)"""
+_DECAY = (f"COALESCE(pow(0.5, greatest(date_diff('second', last_at, {_NOW}) // 86400, 0) / 180.0), 0.5)")
+
+
+def _music(spark, sf):
+    return I.listens(spark, sf), I.tracks(spark, sf)
+
+
+@query("sessions", f"""WITH {_S} SELECT user_id, event_id, track_id, listened_at, session_start, session_event,
+    prev_track, prev_at FROM s""", "listens", "tracks")
+def sessions(spark, sf):
+    return S._music_sessions(*_music(spark, sf), GAP)
+
+
+@query("sessions_default_gap", f"""WITH {_sessions_sql(45)} SELECT session_start, user_id, session_event,
+    max(listened_at) AS last_at, count(*) AS listens, count(DISTINCT track_id) AS tracks FROM s GROUP BY 1, 2, 3""",
+       "listens", "tracks")
+def sessions_default_gap(spark, sf):
+    return S.with_last_at(S._music_sessions(*_music(spark, sf), 45))
+
+
+@query("session_guard", f"""WITH {_S} SELECT user_id, session_start, session_event,
+    array_to_string(list_sort(list(DISTINCT track_id)), ',') AS ids, max(last_at) AS last_at
+    FROM s GROUP BY 1, 2, 3 HAVING count(DISTINCT track_id) <= {LIMIT}""", "listens", "tracks")
+def session_guard(spark, sf):
+    out = S.guarded(S._music_sessions(*_music(spark, sf), GAP), LIMIT)
+    return out.withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
+
+
+@query("cooccur", f"WITH {_S}, {_PAIRS} SELECT * FROM co", "listens", "tracks")
+def cooccur(spark, sf):
+    return S.build_cooccur(*_music(spark, sf), gap_min=GAP, max_tracks=LIMIT)
+
+
+@query("next_track", f"WITH {_S}, {_NEXT} SELECT cur, nxt, cnt, last_at FROM nx", "listens", "tracks")
+def next_track(spark, sf):
+    return S.build_next(*_music(spark, sf), gap_min=GAP, markov_gap_min=STEP).withColumn("cnt", F.col("cnt").cast("bigint"))
+
+
+@query("co_listened", f"""WITH {_S}, {_PAIRS}, y AS (SELECT track_a AS seed, track_b AS other, cnt, last_at FROM co
+        UNION ALL SELECT track_b, track_a, cnt, last_at FROM co), z AS (SELECT *, cnt * {_DECAY} AS sc FROM y)
+    SELECT seed, CAST(row_number() OVER (PARTITION BY seed ORDER BY sc DESC, other) AS INTEGER) AS rank, other, cnt, last_at,
+        round(sc, 3) AS score, count(*) OVER (PARTITION BY seed) AS total FROM z QUALIFY rank <= 10""", "listens", "tracks")
+def co_listened(spark, sf):
+    return S.co_listened(S.build_cooccur(*_music(spark, sf), gap_min=GAP, max_tracks=LIMIT), NOW)
+
+
+@query("next_tracks", f"""WITH {_S}, {_NEXT}, z AS (SELECT cur AS seed, nxt AS other, cnt, last_at,
+        (cnt + 1) / (sum(cnt) OVER (PARTITION BY cur) + count(*) OVER (PARTITION BY cur)) AS p FROM nx),
+    y AS (SELECT *, p * {_DECAY} AS sc FROM z)
+    SELECT seed, CAST(row_number() OVER (PARTITION BY seed ORDER BY sc DESC, other) AS INTEGER) AS rank, other, cnt, last_at,
+        round(p, 3) AS p, round(sc, 3) AS score, count(*) OVER (PARTITION BY seed) AS total FROM y QUALIFY rank <= 10""",
+       "listens", "tracks")
+def next_tracks(spark, sf):
+    return S.next_tracks(S.build_next(*_music(spark, sf), gap_min=GAP, markov_gap_min=STEP), NOW)
+
+
+@query("session_stats", f"""WITH {_S}, {_PAIRS}, {_NEXT} SELECT (SELECT count(DISTINCT (user_id, no)) FROM s) AS sessions,
+    (SELECT count(*) FROM co) AS pairs, (SELECT count(*) FROM nx) AS transitions,
+    (SELECT count(*) FROM (SELECT user_id, no FROM d GROUP BY 1, 2 HAVING count(*) > {LIMIT})) AS oversized""",
+       "listens", "tracks")
+def session_stats(spark, sf):
+    return S.session_stats(*_music(spark, sf), GAP, STEP, LIMIT)
+
+
+@query("session_stats_plays", f"""WITH {_sessions_sql(60 * 24 * 30, 'uplays')}, d AS (SELECT DISTINCT user_id, no, track_id FROM s),
+    k AS (SELECT user_id, no, count(*) AS n FROM d GROUP BY 1, 2)
+    SELECT count(*) AS sessions, CAST(sum(n) AS BIGINT) AS items, max(n) AS largest FROM k""", "uplays", "tracks")
+def session_stats_plays(spark, sf):
+    """Month-gap sessions of every customer over the larger history."""
+    facts = S.with_last_at(S._music_sessions(I.plays_by_user(spark, sf), I.tracks(spark, sf), 60 * 24 * 30))
+    return facts.agg(F.count(F.lit(1)).alias("sessions"), F.sum("tracks").alias("items"), F.max("tracks").alias("largest"))
+
+
+@query("turn_transitions", """WITH t AS (SELECT role AS cur, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt
+        FROM conversations), n AS (SELECT cur, nxt, count(*) AS cnt FROM t WHERE cur <> nxt GROUP BY 1, 2)
+    SELECT cur, nxt, cnt, round((cnt + 1) / (sum(cnt) OVER (PARTITION BY cur) + count(*) OVER (PARTITION BY cur)), 3) AS p
+    FROM n""")
+def turn_transitions(spark, sf):
+    """Transitions on a second kind of sequence: roles of consecutive conversation turns."""
+    turns = I.table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("user_id"), F.col("turn").alias("event_id"), F.col("role").alias("track_id"),
+        F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(turn AS INT))").alias("listened_at"))
+    edges = S.build_next(turns, gap_min=100000, markov_gap_min=1)
+    return S.next_tracks(edges, NOW, 100).select(F.col("seed").alias("cur"), F.col("other").alias("nxt"),
+                                                 F.col("cnt").cast("bigint").alias("cnt"), "p")
+
+
+def _context_sql(hour: int, day: int) -> str:
+    return f"""SELECT track_id, count(*) FILTER (hour(listened_at) = {hour}) AS at_hour,
+        count(*) FILTER (isodow(listened_at) = {day + 1}) AS at_weekday, count(*) AS plays, max(listened_at) AS last_at
+        FROM listens JOIN tracks USING (track_id) WHERE is_music GROUP BY 1"""
+
+
+_SCORE = f"""(0.6 * (at_hour + 1) / (plays + 24) + 0.4 * (at_weekday + 1) / (plays + 7)) * sqrt(plays + 1) *
+    CASE WHEN {_NOW} - last_at < INTERVAL 24 HOUR THEN 0.25 WHEN {_NOW} - last_at < INTERVAL 72 HOUR THEN 0.6 ELSE 1 END"""
+
+
+@query("for_now", f"""WITH n AS ({_context_sql(18, 2)}), z AS (SELECT *, {_SCORE} AS sc FROM n)
+    SELECT track_id, title, channel, artist, plays, at_hour, at_weekday, round(sc, 3) AS score,
+        COALESCE(NULLIF(concat_ws(', ', CASE WHEN at_hour >= 2 AND at_hour / plays >= 0.25 THEN 'often at 18:00' END,
+            CASE WHEN at_weekday >= 2 AND at_weekday / plays >= 0.25 THEN 'on Wednesdays' END), ''),
+            'fits this time of day') AS reason, (SELECT count(*) FROM z) AS total
+    FROM z JOIN tracks USING (track_id) ORDER BY sc DESC, track_id LIMIT 12""", "listens", "tracks")
+def for_now(spark, sf):
+    return context.for_now(*_music(spark, sf), 18, 2, NOW)
+
+
+@query("context_scores", f"""WITH n AS ({_context_sql(7, 5)}) SELECT track_id, at_hour, at_weekday, plays, last_at,
+    round({_SCORE}, 6) AS score FROM n""", "listens", "tracks")
+def context_scores(spark, sf):
+    out = context.context_scores(*_music(spark, sf), 7, 5, NOW)
+    return out.withColumn("score", F.round("raw_score", 6)).drop("raw_score")
+
+
+def _radio(spark, sf):
+    """External lists: the lines of an order play the radio list of the item on its first line."""
+    line = I.table(spark, sf, "lineitem")
+    item = F.struct(
+        F.when(F.col("l_quantity") < 4, "").otherwise(F.col("l_partkey").cast("string")).alias("videoId"),
+        F.concat(F.lit("Title "), F.col("l_suppkey").cast("string")).alias("title"),
+        F.array(F.struct(F.col("l_returnflag").alias("name")), F.struct(F.col("l_linestatus").alias("name"))).alias("artists"),
+        F.struct(F.col("l_linestatus").alias("name")).alias("album"), F.year("l_shipdate").alias("year"),
+        F.concat(F.floor(F.col("l_quantity") / 10).cast("string"), F.lit(":"),
+                 F.lpad(F.col("l_quantity").cast("int").cast("string"), 2, "0")).alias("length"),
+        F.array(F.struct(F.lit("small").alias("url"), F.lit(4).alias("width")),
+                F.struct(F.lit("large").alias("url"), F.col("l_linenumber").alias("width"))).alias("thumbnail"))
+    line = line.withColumn("e", F.struct("l_linenumber", "l_partkey", "l_suppkey", item.alias("x")))
+    lists = line.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("e")).alias("xs"))
+    lists = lists.withColumn("seed_id", F.col("xs")[0]["l_partkey"])
+    per_seed = lists.groupBy("seed_id").agg(F.min_by("xs", "l_orderkey").alias("xs"))
+    return per_seed.select(
+        F.col("seed_id").cast("string").alias("seed_id"), F.transform("xs", lambda e: e["x"]).alias("items"),
+        F.concat(F.lit("TITLE "), F.array_max(F.transform("xs", lambda e: e["l_suppkey"])).cast("string")).alias("seed_title"))
+
+
+_RADIO = """o AS (SELECT l.*, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn
+        FROM lineitem l), f AS (SELECT l_partkey AS seed, min(l_orderkey) AS l_orderkey FROM o WHERE rn = 1 GROUP BY 1),
+    x AS (SELECT seed, rn, CASE WHEN l_quantity < 4 THEN '' ELSE CAST(l_partkey AS VARCHAR) END AS id, o.*
+        FROM o JOIN f USING (l_orderkey)),
+    st AS (SELECT seed, 'TITLE ' || max(l_suppkey) AS seed_title FROM x GROUP BY 1),
+    y AS (SELECT * FROM x WHERE id <> '' QUALIFY row_number() OVER (PARTITION BY seed, id ORDER BY rn) = 1),
+    z AS (SELECT *, CAST(row_number() OVER (PARTITION BY seed ORDER BY rn) - 1 AS INTEGER) AS pos,
+        'Title ' || l_suppkey AS title FROM y),
+    w AS (SELECT z.*, id = CAST(seed AS VARCHAR) AS by_id, lower(title) = lower(seed_title) AS by_title FROM z JOIN st USING (seed)),
+    v AS (SELECT *, (by_id OR by_title) AND row_number() OVER (PARTITION BY seed ORDER BY CASE WHEN by_id THEN 0
+        WHEN by_title THEN 1 ELSE 2 END, pos) = 1 AS is_seed FROM w)"""
+_RADIO_ROW = """l_returnflag || ', ' || l_linestatus AS artist, l_linestatus AS album,
+    strftime(l_shipdate, '%Y') AS year, CASE WHEN l_linenumber > 4 THEN 'large' ELSE 'small' END AS thumbnail"""
+
+
+@query("external_similar", f"""WITH {_RADIO}, r AS (SELECT track_id, strftime(min(listened_at), '%Y-%m-%d') AS first_listen,
+        strftime(max(listened_at), '%Y-%m-%d') AS last_listen FROM plays GROUP BY 1)
+    SELECT CAST(seed AS VARCHAR) AS seed_id, pos, id AS track_id, v.title, {_RADIO_ROW},
+        floor(l_quantity / 10) * 60 + l_quantity AS duration, t.track_id IS NOT NULL AS in_history, t.play_count,
+        CASE WHEN t.track_id IS NOT NULL THEN first_listen END AS first_listen,
+        CASE WHEN t.track_id IS NOT NULL THEN last_listen END AS last_listen
+    FROM v LEFT JOIN (SELECT * FROM ctracks WHERE is_music) t ON CAST(t.track_id AS VARCHAR) = id
+    LEFT JOIN r ON r.track_id = t.track_id WHERE NOT is_seed""", "plays", "tracks", "ctracks")
+def external_similar(spark, sf):
+    radio = _radio(spark, sf)
+    text_id = F.col("track_id").cast("string")
+    tracks = I.counted_tracks(spark, sf).filter("is_music").withColumn("track_id", text_id)
+    return context.enrich_external_similar(radio, radio.select("seed_id", "seed_title"), tracks,
+                                           I.plays(spark, sf).withColumn("track_id", text_id))
+
+
+@query("external_seed_meta", f"WITH {_RADIO} SELECT CAST(seed AS VARCHAR) AS seed_id, {_RADIO_ROW} FROM v WHERE is_seed")
+def external_seed_meta(spark, sf):
+    radio = _radio(spark, sf)
+    return context.seed_meta(context.split_seed(context.flatten_external(radio), radio.select("seed_id", "seed_title")))
+
+
+@query("external_artists", """WITH o AS (SELECT l_orderkey, p_brand, l_returnflag, l_quantity, l_linenumber, l_partkey, l_suppkey
+        FROM lineitem JOIN part ON p_partkey = l_partkey), u AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey
+        ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn FROM o WHERE l_returnflag <> 'R' AND l_quantity >= 3),
+    p AS (SELECT artist, CAST(sum(play_count) AS BIGINT) AS plays FROM ctracks WHERE is_music AND artist <> ''
+        AND artist <> 'Brand#9' GROUP BY 1)
+    SELECT CAST(l_orderkey AS VARCHAR) AS mbid, CAST(rn - 1 AS INTEGER) AS pos, p_brand || ' - Topic' AS name,
+        CAST(l_partkey AS VARCHAR) AS artist_mbid, CAST(l_quantity AS INTEGER) AS score, COALESCE(plays, 0) AS plays,
+        plays IS NOT NULL AS in_history
+    FROM u LEFT JOIN p ON artist = p_brand WHERE rn <= 2""", "tracks", "ctracks")
+def external_artists(spark, sf):
+    """Listed artists per order: usable entries, the kept and the shown ones, own plays."""
+    line, part = I.table(spark, sf, "lineitem"), I.table(spark, sf, "part").select("p_partkey", "p_brand")
+    key = F.col("l_orderkey").cast("string")
+    item = F.struct(F.when(F.col("l_returnflag") == "R", "other").otherwise(key).alias("reference_mbid"),
+                    F.col("l_partkey").cast("string").alias("artist_mbid"),
+                    F.when(F.col("l_quantity") < 3, "").otherwise(F.concat("p_brand", F.lit(" - Topic"))).alias("name"),
+                    F.lit(None).cast("string").alias("comment"), F.lit("Group").alias("type"),
+                    F.col("l_quantity").alias("score"))
+    lists = (line.join(part, line.l_partkey == part.p_partkey).groupBy(key.alias("mbid"))
+             .agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", item.alias("x")))).alias("xs"))
+             .select("mbid", F.transform("xs", lambda e: e["x"]).alias("items")))
+    totals = catalog.artist_play_totals(I.counted_tracks(spark, sf)).filter(F.col("artist") != "Brand#9")
+    return context.enrich_similar_artists(lists, totals, keep=3, n=2).drop("comment", "type")

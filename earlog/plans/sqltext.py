@@ -71,7 +71,7 @@ PARTS = {
              WHEN value < 20 THEN 'Sign in to confirm you''re not a bot'
              WHEN value < 40 THEN 'HTTP Error 429: Too Many Requests'
              WHEN value < 60 THEN 'connection timed out' ELSE 'codec not supported' END AS error,
-        ts AS at FROM events""",
+        ts AS tried_at FROM events""",
     "utracks": """SELECT p_partkey AS track_id,
         CASE p_type WHEN 'PROMO' THEN p_name || ' (Official Video)' WHEN 'ECONOMY' THEN p_name || ' gameplay review'
              WHEN 'SMALL' THEN p_brand || ' - ' || p_name WHEN 'LARGE' THEN p_name || ' [Audio] lyrics ft. someone'
