@@ -100,11 +100,12 @@ def _cache(spark, sf):
     o = I.table(spark, sf, "orders")
     name = F.concat(F.lit("Brand#"), (F.col("o_custkey") % 25 + 1).cast("string"))
     return o.select(name.alias("name"), F.when(F.col("o_orderstatus") == "F", "").otherwise(F.col("o_orderkey").cast("string"))
-                    .alias("mbid"), F.col("o_orderdate").alias("fetched_at"), "o_orderpriority", "o_orderkey")
+                    .alias("mbid"), F.col("o_orderdate").alias("fetched_at"), "o_orderpriority", "o_orderkey",
+                    F.col("o_totalprice").alias("price"))
 
 
 _CACHE = """c AS (SELECT 'Brand#' || (o_custkey % 25 + 1) AS name, CASE WHEN o_orderstatus = 'F' THEN ''
-    ELSE CAST(o_orderkey AS VARCHAR) END AS mbid, o_orderdate AS fetched_at, o_orderpriority, o_orderkey FROM orders)"""
+    ELSE CAST(o_orderkey AS VARCHAR) END AS mbid, o_orderdate AS fetched_at, o_orderpriority, o_orderkey, o_totalprice AS price FROM orders)"""
 
 
 @query("merge_latest", f"""WITH {_CACHE}, d AS (SELECT name, o_orderpriority, max(fetched_at) AS fetched_at, max_by(mbid,
@@ -115,16 +116,17 @@ def merge_latest(spark, sf):
     best = lambda d: d.groupBy("name", "o_orderpriority").agg(F.max_by(F.struct("fetched_at", "mbid", "o_orderkey"),
                                                                        F.struct("fetched_at", "o_orderkey")).alias("v")).select(
         "name", "o_orderpriority", "v.fetched_at", "v.mbid", F.col("v.o_orderkey").alias("no"))
-    old, new = best(rows.filter(F.col("o_orderkey") < 5000)), best(rows.filter(F.col("o_orderkey") >= 5000))
+    early = F.col("fetched_at") < "1998-06-01"
+    old, new = best(rows.filter(early)), best(rows.filter(~early))
     return N.merge_latest(old, new, ["name", "o_orderpriority"]).drop("no")
 
 
 @query("artist_queue", f"""WITH {_CACHE}, f AS (SELECT name FROM c WHERE fetched_at >= TIMESTAMP '2001-08-01' - CASE WHEN mbid <> ''
-        THEN INTERVAL 30 DAY ELSE INTERVAL 3 DAY END AND o_orderpriority = '1-URGENT' AND mbid <> '' AND o_orderkey > 14000)
+        THEN INTERVAL 30 DAY ELSE INTERVAL 3 DAY END AND price >= 480000 AND mbid <> '')
     SELECT artist, CAST(sum(play_count) AS BIGINT) AS plays FROM ctracks WHERE is_music AND artist <> ''
         AND artist NOT IN (SELECT name FROM f) GROUP BY 1 ORDER BY plays DESC, artist LIMIT 20""", "tracks", "ctracks")
 def artist_queue(spark, sf):
-    cache = _cache(spark, sf).filter((F.col("o_orderpriority") == "1-URGENT") & (F.col("mbid") != "") & (F.col("o_orderkey") > 14000))
+    cache = _cache(spark, sf).filter((F.col("price") >= 480000) & (F.col("mbid") != ""))
     return Q.artists(I.counted_tracks(spark, sf), cache, dt.datetime(2001, 8, 1), 20)
 
 
