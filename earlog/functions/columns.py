@@ -67,9 +67,23 @@ def repeat_penalty(last_at: Column | str, as_of: Column) -> Column:
             .when(age < F.expr("INTERVAL '72' HOUR"), 0.6).otherwise(1.0))
 
 
+def rounded(c: Column | str, digits: int) -> Column:
+    """Round half to even, the way Python's round does; built-in `round` takes halves away from zero."""
+    scale = 10.0 ** digits
+    return F.rint(col(c) * scale) / scale
+
+
+def let(value: Column, body) -> Column:
+    """Bind an expensive expression to a name: it is evaluated once however often `body` uses it.
+
+    Inside lambdas the optimizer does not share common subexpressions.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def ratio(part: Column, total: Column, digits: int = 3) -> Column:
     """Rounded share, zero when there is nothing to divide by."""
-    return F.round(F.when(total > 0, part / total).otherwise(0.0), digits)
+    return rounded(F.when(total > 0, part / total).otherwise(0.0), digits)
 
 
 def half_up(x: Column) -> Column:

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from earlog.functions.columns import col
+from earlog.functions.columns import col, let
 
 # --- fixed values: patterns -------------------------------------------------------------
 ARTIST_SUFFIXES = [r"[-–—]\s*topic", r"[-–—]?\s*vevo", r"[-–—]\s*official\s+artist\s+channel",
@@ -77,10 +77,10 @@ def words_collapsed(c: Column | str) -> Column:
 
 def count_substrings(text: Column, stems: list[str]) -> Column:
     """Non-overlapping occurrences of each stem, summed over the stems."""
-    def add(acc: Column, s: Column) -> Column:
-        gone = F.length(text) - F.length(F.replace(text, s, F.lit("")))
-        return acc + (gone / F.length(s)).cast("int")
-    return F.aggregate(F.array(*[F.lit(s) for s in stems]), F.lit(0), add)
+    def add(t: Column):
+        return lambda acc, s: acc + ((F.length(t) - F.length(F.replace(t, s, F.lit("")))) / F.length(s)).cast("int")
+    # the text is bound outside the loop over the stems
+    return let(text, lambda t: F.aggregate(F.array(*[F.lit(s) for s in stems]), F.lit(0), add(t)))
 
 
 def count_word_starts(text: Column, stems: list[str], letters: str = "a-zа-яё") -> Column:

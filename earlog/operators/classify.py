@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from earlog.functions.columns import col
+from earlog.functions.columns import col, let
 from earlog.functions.text import canonical_artist, strip
 
 # --- fixed values: patterns, reasons and limits -----------------------------------------
@@ -84,9 +84,10 @@ def rules(title: Column | str = "title", channel: Column | str = "channel") -> C
     def result(verdict, reason) -> Column:
         return F.struct(F.lit(verdict).cast("boolean").alias("verdict"), reason.alias("reason"))
 
+    kept = let(F.struct(hits.alias("title"), owner.alias("channel")), lambda s: F.when(
+        F.size(s["channel"]) > 0, F.concat(s["channel"], F.slice(s["title"], 1, 1))).otherwise(F.slice(s["title"], 1, 3)))
     return (F.when(low.rlike(_U + NEGATIVE), result(False, F.lit("anti-pattern")))
-            .when(F.size(owner) > 0, result(True, F.array_join(F.concat(owner, F.slice(hits, 1, 1)), "+")))
-            .when(F.size(hits) > 0, result(True, F.array_join(F.slice(hits, 1, 3), "+")))
+            .when(F.size(kept) > 0, result(True, F.array_join(kept, "+")))
             .when(is_artist_channel_dash(title, channel), result(True, F.lit("artist-channel-dash")))
             .when(is_artist_dash(title), result(None, F.lit("artist-dash")))
             .otherwise(result(None, F.lit(""))))

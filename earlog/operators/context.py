@@ -6,7 +6,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from earlog import config as C
-from earlog.functions.columns import artist, col, in_period, ntz, repeat_penalty
+from earlog.functions.columns import artist, col, in_period, ntz, repeat_penalty, rounded
 from earlog.operators import base
 
 # --- fixed values: wording and limits of the reason text --------------------------------
@@ -44,7 +44,7 @@ def for_now(listens, tracks, hour: int, weekday: int, as_of: dt.datetime, n: int
     best = base.top_k(scored, "raw_score", "track_id", n)
     return best.join(tracks.select("track_id", "title", "channel", artist().alias("artist")), "track_id").select(
         "track_id", "title", "channel", "artist", "plays", "at_hour", "at_weekday",
-        F.round("raw_score", 3).alias("score"),
+        rounded("raw_score", 3).alias("score"),
         reason(hour, weekday, F.col("at_hour"), F.col("at_weekday"), F.col("plays")).alias("reason"),
         total.alias("total"))
 
@@ -110,7 +110,7 @@ def enrich_external_similar(external, titles, tracks, listens, matches: DataFram
     own = known.join(ranges, "track_id", "left")
     out = rows.join(own, "track_id", "left").withColumn("in_history", F.coalesce("in_history", F.lit(False)))
     if matches is not None:
-        out = out.join(matches.select("seed_id", "track_id", F.round(F.col("similarity") * 100).cast("int").alias("match")),
+        out = out.join(matches.select("seed_id", "track_id", rounded(F.col("similarity") * 100).cast("int").alias("match")),
                        ["seed_id", "track_id"], "left")
     return out.drop("is_seed")
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from earlog import config as C
 from earlog.functions import keys as K
-from earlog.functions.columns import artist
+from earlog.functions.columns import artist, rounded
 from earlog.operators import base
 
 _FACTORS = (1.0, 2.0, 0.5)
@@ -80,8 +80,8 @@ def mixable(features: DataFrame, tracks: DataFrame, conf: float = C.MIX_KEY_CONF
         F.posexplode(F.slice(F.filter("xs", lambda x: x["track_id"] != rows.track_id), 1, n)).alias("i", "x"))
     return own.select(
         "seed", (F.col("i") + 1).alias("rank"), F.col("x.track_id").alias("track_id"), F.col("x.key").alias("key"),
-        K.code_text(F.col("x")).alias("wheel"), F.round("x.tempo", 1).alias("tempo"),
-        F.round("x.delta", 3).alias("tempo_delta"), names[F.col("x.rel")].alias("relation"), "total")
+        K.code_text(F.col("x")).alias("wheel"), rounded("x.tempo", 1).alias("tempo"),
+        rounded("x.delta", 3).alias("tempo_delta"), names[F.col("x.rel")].alias("relation"), "total")
 
 
 def describe(pairs: DataFrame, tracks: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from earlog import config as C
-from earlog.functions.columns import decay, ntz
+from earlog.functions.columns import decay, ntz, rounded
 from earlog.operators import base
 
 SESSION = ["user_id", "session_start", "session_event"]
@@ -161,6 +161,6 @@ def _ranked(rows: DataFrame, seed: str, other: str, n: int, tracks: DataFrame |
     best = base.first_k(rows, [seed], [F.col("score").desc(), F.col(other)], n, rank="rank").join(totals, seed)
     if tracks is not None:
         best = best.join(tracks.select(F.col("track_id").alias(other), "title", "channel"), other)
-    p = [F.round("p", 3).alias("p")] if "p" in best.columns else []
+    p = [rounded("p", 3).alias("p")] if "p" in best.columns else []
     extra = ["title", "channel"] if tracks is not None else []
-    return best.select(seed, "rank", other, *extra, "cnt", "last_at", *p, F.round("score", 3).alias("score"), "total")
+    return best.select(seed, "rank", other, *extra, "cnt", "last_at", *p, rounded("score", 3).alias("score"), "total")

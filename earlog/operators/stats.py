@@ -6,12 +6,12 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, functions as F
 
 from earlog import config as C
-from earlog.functions.columns import (artist, bucket, hour_label, in_period, percent_change, ratio)
+from earlog.functions.columns import artist, bucket, hour_label, in_period, percent_change, ratio, rounded
 from earlog.operators import base
 
 
 def _hours() -> Column:
-    return F.round(F.coalesce(F.sum(F.col("n") * base.seconds_or_default(F.col("duration"))) / 3600,
+    return rounded(F.coalesce(F.sum(F.col("n") * base.seconds_or_default(F.col("duration"))) / 3600,
                               F.lit(0.0)), 1)
 
 
@@ -66,7 +66,7 @@ def kpi(listens, tracks, d_from=None, d_to=None, as_of: dt.date | None = None) -
     def numbers(n: str) -> list[Column]:
         heard = F.col(n) > 0
         return [F.coalesce(F.sum(n), F.lit(0)).cast("double").alias("listens_" + n),
-                F.round(F.coalesce(F.sum(F.col(n) * secs) / 3600, F.lit(0.0)), 1).alias("hours_" + n),
+                rounded(F.coalesce(F.sum(F.col(n) * secs) / 3600, F.lit(0.0)), 1).alias("hours_" + n),
                 F.count_distinct(F.when(heard, F.col("artist"))).cast("double").alias("artists_" + n),
                 F.count_if(heard).cast("double").alias("tracks_" + n)]
 
@@ -148,7 +148,7 @@ def genre_distribution(listens, tracks, features, d_from=None, d_to=None, limit:
 
 def _weighted_mean(c: str, digits: int) -> Column:
     weight = F.sum(F.when(F.col(c).isNotNull(), F.col("n")))
-    return F.round(F.sum(F.col(c) * F.col("n")) / weight, digits)
+    return rounded(F.sum(F.col(c) * F.col("n")) / weight, digits)
 
 
 def avg_features(listens, tracks, features, d_from=None, d_to=None) -> DataFrame:
@@ -227,7 +227,7 @@ def new_tracks(listens, tracks, features, d_from=None, d_to=None, n: int = 5, as
     best = found.orderBy(F.col("n").desc(), "track_id").limit(max(1, min(n, 50)))
     return (best.join(features.select("track_id", "tempo", "energy"), "track_id", "left")
             .select("track_id", "title", "channel", "artist", F.col("n").alias("plays"), "duration",
-                    F.round("tempo", 1).alias("tempo"), F.round("energy", 2).alias("energy"),
+                    rounded("tempo", 1).alias("tempo"), rounded("energy", 2).alias("energy"),
                     found.agg(F.count(F.lit(1))).scalar().alias("total")))
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from earlog import config as C
-from earlog.functions.columns import col
+from earlog.functions.columns import col, let, rounded
 from earlog.functions.ship import by_value
 from earlog.functions.text import (artist_from_channel, clean_title, count_substrings, count_word_starts, plain,
                                    words_collapsed)
@@ -54,9 +54,13 @@ def topic_weights(text: Column | str, language: Column | str, stems: dict[str, d
         return out.otherwise(count_word_starts(low, stems[topic].get("", [])))
 
     counts = F.array(*[F.struct(F.lit(t).alias("topic"), count(t).alias("n")) for t in stems])
-    total = F.aggregate(counts, F.lit(0), lambda a, x: a + x["n"])
-    kept = F.filter(counts, lambda x: x["n"] > 0)
-    return F.map_from_entries(F.transform(kept, lambda x: F.struct(x["topic"], F.round(x["n"] / total, 4))))
+
+    def weights(found: Column) -> Column:
+        total = F.aggregate(found, F.lit(0), lambda a, x: a + x["n"])
+        kept = F.filter(found, lambda x: x["n"] > 0)
+        return F.map_from_entries(F.transform(kept, lambda x: F.struct(x["topic"], rounded(x["n"] / total, 4))))
+
+    return let(counts, weights)
 
 
 def topics(lyrics: DataFrame, stems: dict[str, dict[str, list[str]]]) -> DataFrame:
@@ -68,8 +72,9 @@ def sentiment(text: Column | str, language: Column | str, stems: dict = SENTIMEN
     low, lang = F.lower(F.coalesce(col(text), F.lit(""))), col(language)
 
     def score(lists) -> Column:
-        pos, neg = count_substrings(low, lists[0]), count_substrings(low, lists[1])
-        return F.when(pos + neg > 0, F.round((pos - neg) / (pos + neg), 2)).otherwise(0.0)
+        found = F.struct(count_substrings(low, lists[0]).alias("p"), count_substrings(low, lists[1]).alias("n"))
+        return let(found, lambda f: F.when(f["p"] + f["n"] > 0, rounded((f["p"] - f["n"]) / (f["p"] + f["n"]), 2))
+                   .otherwise(0.0))
 
     out = F.when(F.lit(False), 0.0)
     for g in sorted(k for k in stems if k):
@@ -81,8 +86,8 @@ def sentiment(text: Column | str, language: Column | str, stems: dict = SENTIMEN
 def _grams(df: DataFrame, text: str, n: int) -> DataFrame:
     """Adds `gram`, one row per distinct character n-gram of the letters, with its count `c`."""
     letters = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "), F.lit(" "))
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(letters) - (n - 1), F.lit(1))), lambda i: F.substr(letters, i, F.lit(n)))
-    return df.select("*", F.explode(cut).alias("gram"))
+    # an overlapping look-ahead yields all n-grams in one linear scan of the text
+    return df.select("*", F.explode(F.regexp_extract_all(letters, F.lit(f"(?=(.{{{n}}}))"), F.lit(1))).alias("gram"))
 
 
 def language_profiles(labelled: DataFrame, n: int = 3, per_language: int = 400) -> DataFrame:
@@ -107,7 +112,7 @@ def detect_language(texts: DataFrame, profiles: DataFrame, n: int = 3, floor: fl
     grams = grams.filter(F.trim("gram") != "").groupBy("track_id", "gram").agg(F.count(F.lit(1)).alias("c"))
     scores = grams.join(profiles, "gram").groupBy("track_id", "language").agg(
         F.sum(F.col("c") * (F.col("logp") - floor)).alias("s"))
-    best = scores.groupBy("track_id").agg(F.min_by("language", F.struct(-F.round("s", 6), F.col("language"))).alias("detected"))
+    best = scores.groupBy("track_id").agg(F.min_by("language", F.struct(-rounded("s", 6), F.col("language"))).alias("detected"))
     code = best.withColumn("detected", F.coalesce(*[F.when(F.col("detected") == k, v) for k, v in LANGUAGE_ALIASES.items()],
                                                   F.col("detected")))
     return texts.select("track_id").join(code, "track_id", "left").withColumn("detected", F.coalesce("detected", F.lit("")))

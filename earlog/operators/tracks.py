@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from earlog import config as C
-from earlog.functions.columns import artist, lookup
+from earlog.functions.columns import artist, lookup, rounded
 from earlog.operators import base
 
 SORTS = ["play_count", "first_listen", "last_listen", "duration", "tempo", "energy",
@@ -173,7 +173,7 @@ def display(df: DataFrame, clusters: DataFrame | None = None, errors: DataFrame
         F.date_format("last_listen", "yyyy-MM-dd").alias("last_listen"),
         "music_reason", F.coalesce("language", F.lit("")).alias("language"),
         *[c for c in ("sentiment",) if c in df.columns],
-        *[F.round(c, d).alias(c) for c, d in _FEATURE_DIGITS.items() if c in df.columns],
+        *[rounded(c, d).alias(c) for c, d in _FEATURE_DIGITS.items() if c in df.columns],
         "key", "features_source", "has_vocals",
         F.transform("genres", lambda g: g["name"]).alias("genres"),
         F.transform("instrument_list", lambda g: g["name"]).alias("instruments"),

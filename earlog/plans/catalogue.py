@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from earlog import config as C
+from earlog.functions.columns import rounded
 from earlog.functions.labels import GENRES_LOWER, GENRES_OTHER, LANGUAGES, REASONS, map_labels
 from earlog.operators import base, catalog, stats, tracks as T
 from earlog.plans import inputs as I
@@ -24,7 +25,7 @@ _MOODS = f"""m AS (SELECT {_MAXES} FROM features WHERE source = 'audio'),
     top AS (SELECT *, greatest({', '.join(C.MOOD_COLS)}) AS best FROM s)"""
 _ROW = """track_id, title, channel, artist, play_count, duration, strftime(first_listen, '%Y-%m-%d') AS first_listen,
     strftime(last_listen, '%Y-%m-%d') AS last_listen, music_reason, COALESCE(language, '') AS language,
-    round(tempo, 1) AS tempo, round(energy, 2) AS energy, key, has_vocals,
+    round_even(tempo, 1) AS tempo, round_even(energy, 2) AS energy, key, has_vocals,
     array_to_string(list_transform(genres, lambda g: g.name), '|') AS genres"""
 _COLS = ["track_id", "title", "channel", "artist", "play_count", "duration", "first_listen", "last_listen",
          "music_reason", "language", "tempo", "energy", "key", "has_vocals",
@@ -98,7 +99,7 @@ def tracks_with_errors(spark, sf):
 
 
 @query("track_profile", f"""WITH {_PROFILE} SELECT {_ROW}, COALESCE(text <> '', false) AS has_lyrics, features_source,
-    CAST(COALESCE(len(genres), 0) AS INTEGER) AS n_genres, round(COALESCE(list_sum(list_transform(instruments,
+    CAST(COALESCE(len(genres), 0) AS INTEGER) AS n_genres, round_even(COALESCE(list_sum(list_transform(instruments,
     lambda g: g.score)), 0), 3) AS instrument_total, COALESCE(errs, '') AS errs
     FROM prof LEFT JOIN (SELECT track_id, string_agg(stage || ':' || error, '|' ORDER BY tried_at DESC, stage DESC, error DESC)
         AS errs FROM attempts WHERE status <> 'ok' GROUP BY 1) USING (track_id)""", *_BASE, "attempts")
@@ -108,7 +109,7 @@ def track_profile(spark, sf):
     total = F.aggregate("instrument_scores", F.lit(0.0), lambda a, g: a + g["score"])
     return out.select(*_COLS, "has_lyrics", "features_source",
                       F.when(F.col("genre_scores").isNull(), 0).otherwise(F.size("genre_scores")).alias("n_genres"),
-                      F.round(F.coalesce(total, F.lit(0.0)), 3).alias("instrument_total"),
+                      rounded(F.coalesce(total, F.lit(0.0)), 3).alias("instrument_total"),
                       F.coalesce(F.array_join(F.transform("errors", lambda e: F.concat_ws(":", e["stage"], e["error"])),
                                               "|"), F.lit("")).alias("errs"))
 

@@ -5,6 +5,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from earlog.functions.columns import rounded
+
 from earlog.operators import queues as Q
 from earlog.plans import inputs as I
 from earlog.plans.registry import query
@@ -229,9 +231,9 @@ def backfill_artist(spark, sf):
 
 
 @query("backfill_duration", """SELECT track_id, COALESCE(NULLIF(duration, 0), m) AS duration FROM tracks
-    LEFT JOIN (SELECT vec_id AS track_id, round(u[46] * 300, 1) AS m FROM emb) USING (track_id)""", "tracks", "emb")
+    LEFT JOIN (SELECT vec_id AS track_id, round_even(u[46] * 300, 1) AS m FROM emb) USING (track_id)""", "tracks", "emb")
 def backfill_duration(spark, sf):
-    m = I.table(spark, sf, "embeddings").select(F.col("vec_id").alias("track_id"), F.round(I._unit(46) * 300, 1).alias("measured"))
+    m = I.table(spark, sf, "embeddings").select(F.col("vec_id").alias("track_id"), rounded(I._unit(46) * 300, 1).alias("measured"))
     return Q.backfill_duration(I.tracks(spark, sf), m).select("track_id", "duration")
 
 
@@ -240,14 +242,14 @@ def video_details(spark, sf):
     return N.video_details(I.video_details(spark, sf))
 
 
-@query("decode_features", """SELECT track_id, CAST(26 AS INTEGER) AS n_mfcc, round(list_sum(e[1:26]), 6) AS mfcc_sum,
-    round(e[27], 6) AS chroma_first, round(e[45], 6) AS contrast_last FROM features""", "features")
+@query("decode_features", """SELECT track_id, CAST(26 AS INTEGER) AS n_mfcc, round_even(list_sum(e[1:26]), 6) AS mfcc_sum,
+    round_even(e[27], 6) AS chroma_first, round_even(e[45], 6) AS contrast_last FROM features""", "features")
 def decode_features(spark, sf):
     f = SF.decode_vectors(I.raw_features(spark, sf))
     total = F.aggregate("mfcc", F.lit(0.0), lambda a, x: a + x)
-    return f.select("track_id", F.size("mfcc").alias("n_mfcc"), F.round(total, 6).alias("mfcc_sum"),
-                    F.round(F.get("chroma", F.lit(0)), 6).alias("chroma_first"),
-                    F.round(F.element_at("contrast", -1), 6).alias("contrast_last"))
+    return f.select("track_id", F.size("mfcc").alias("n_mfcc"), rounded(total, 6).alias("mfcc_sum"),
+                    rounded(F.get("chroma", F.lit(0)), 6).alias("chroma_first"),
+                    rounded(F.element_at("contrast", -1), 6).alias("contrast_last"))
 
 
 @query("parse_tags", """WITH x AS (SELECT track_id, 'genre' AS part, unnest(genre_vec) AS g FROM features

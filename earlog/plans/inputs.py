@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from earlog import config as C
+from earlog.functions.columns import rounded
 from earlog.operators import base
 from earlog.sources.features import decode_vectors, mood_columns, parse_tags
 
@@ -82,7 +83,7 @@ def _pick(values: list[str], index: Column) -> Column:
 
 def _scored(names, first: int, keep: float) -> Column:
     """Array of (name, score) for consecutive vector elements, weak ones dropped."""
-    entries = F.array(*[F.struct(n.alias("name"), F.round(_unit(first + j), 3).alias("score"))
+    entries = F.array(*[F.struct(n.alias("name"), rounded(_unit(first + j), 3).alias("score"))
                         for j, n in enumerate(names)])
     return F.filter(entries, lambda g: g["score"] >= keep)
 
@@ -100,14 +101,14 @@ def raw_features(spark, sf) -> DataFrame:
         F.map_from_entries(F.when(label == 2, none).otherwise(
             _scored([F.lit(c) for c in C.MOOD_COLS], 20, 0.0))).alias("moods"),
         F.map_from_entries(_scored([F.lit(t) for t in MOODTAGS], 52, 0.3)).alias("moodtags"),
-        F.round(_unit(31), 3).alias("vocal_ratio"))
+        rounded(_unit(31), 3).alias("vocal_ratio"))
     vec = F.transform("embedding", lambda x: x.cast("double"))
     text = lambda first, n: F.to_json(F.slice(vec, first, n))                      # noqa: E731
     return table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("track_id"), label.alias("label"),
         F.when(_e(49) > 0.25, "meta").otherwise("audio").alias("source"),
         F.when(_e(50) > 0.25, 1).when(_e(51) > 0.15, 5).otherwise(6).alias("feat_version"),
-        F.round(F.abs(_e(1)) * 400 + 60, 1).alias("tempo"),
+        rounded(F.abs(_e(1)) * 400 + 60, 1).alias("tempo"),
         F.least(F.lit(1.0), F.abs(_e(2)) * 4 + 0.5).alias("mode_conf"),
         _unit(3).alias("energy"), _unit(4).alias("danceability"), _unit(5).alias("acousticness"),
         _unit(6).alias("brightness"), _pick(KEYS, label).alias("key"),

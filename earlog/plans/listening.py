@@ -5,6 +5,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from earlog.functions.columns import rounded
+
 from earlog.operators import catalog, context, sessions as S
 from earlog.plans import inputs as I
 from earlog.plans.registry import query
@@ -78,7 +80,7 @@ def next_track(spark, sf):
 @query("co_listened", f"""WITH {_S}, {_PAIRS}, y AS (SELECT track_a AS seed, track_b AS other, cnt, last_at FROM co
         UNION ALL SELECT track_b, track_a, cnt, last_at FROM co), z AS (SELECT *, cnt * {_DECAY} AS sc FROM y)
     SELECT seed, CAST(row_number() OVER (PARTITION BY seed ORDER BY sc DESC, other) AS INTEGER) AS rank, other, cnt, last_at,
-        round(sc, 3) AS score, count(*) OVER (PARTITION BY seed) AS total FROM z QUALIFY rank <= 10""", "listens", "tracks")
+        round_even(sc, 3) AS score, count(*) OVER (PARTITION BY seed) AS total FROM z QUALIFY rank <= 10""", "listens", "tracks")
 def co_listened(spark, sf):
     return S.co_listened(S.build_cooccur(*_music(spark, sf), gap_min=GAP, max_tracks=LIMIT), NOW)
 
@@ -87,7 +89,7 @@ def co_listened(spark, sf):
         (cnt + 1) / (sum(cnt) OVER (PARTITION BY cur) + count(*) OVER (PARTITION BY cur)) AS p FROM nx),
     y AS (SELECT *, p * {_DECAY} AS sc FROM z)
     SELECT seed, CAST(row_number() OVER (PARTITION BY seed ORDER BY sc DESC, other) AS INTEGER) AS rank, other, cnt, last_at,
-        round(p, 3) AS p, round(sc, 3) AS score, count(*) OVER (PARTITION BY seed) AS total FROM y QUALIFY rank <= 10""",
+        round_even(p, 3) AS p, round_even(sc, 3) AS score, count(*) OVER (PARTITION BY seed) AS total FROM y QUALIFY rank <= 10""",
        "listens", "tracks")
 def next_tracks(spark, sf):
     return S.next_tracks(S.build_next(*_music(spark, sf), gap_min=GAP, markov_gap_min=STEP), NOW)
@@ -112,7 +114,7 @@ def session_stats_plays(spark, sf):
 
 @query("turn_transitions", """WITH t AS (SELECT role AS cur, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt
         FROM conversations), n AS (SELECT cur, nxt, count(*) AS cnt FROM t WHERE cur <> nxt GROUP BY 1, 2)
-    SELECT cur, nxt, cnt, round((cnt + 1) / (sum(cnt) OVER (PARTITION BY cur) + count(*) OVER (PARTITION BY cur)), 3) AS p
+    SELECT cur, nxt, cnt, round_even((cnt + 1) / (sum(cnt) OVER (PARTITION BY cur) + count(*) OVER (PARTITION BY cur)), 3) AS p
     FROM n""")
 def turn_transitions(spark, sf):
     """Transitions on a second kind of sequence: roles of consecutive conversation turns."""
@@ -135,7 +137,7 @@ _SCORE = f"""(0.6 * (at_hour + 1) / (plays + 24) + 0.4 * (at_weekday + 1) / (pla
 
 
 @query("for_now", f"""WITH n AS ({_context_sql(18, 2)}), z AS (SELECT *, {_SCORE} AS sc FROM n)
-    SELECT track_id, title, channel, artist, plays, at_hour, at_weekday, round(sc, 3) AS score,
+    SELECT track_id, title, channel, artist, plays, at_hour, at_weekday, round_even(sc, 3) AS score,
         COALESCE(NULLIF(concat_ws(', ', CASE WHEN at_hour >= 2 AND at_hour / plays >= 0.25 THEN 'often at 18:00' END,
             CASE WHEN at_weekday >= 2 AND at_weekday / plays >= 0.25 THEN 'on Wednesdays' END), ''),
             'fits this time of day') AS reason, (SELECT count(*) FROM z) AS total
@@ -145,10 +147,10 @@ def for_now(spark, sf):
 
 
 @query("context_scores", f"""WITH n AS ({_context_sql(7, 5)}) SELECT track_id, at_hour, at_weekday, plays, last_at,
-    round({_SCORE}, 6) AS score FROM n""", "listens", "tracks")
+    round_even({_SCORE}, 6) AS score FROM n""", "listens", "tracks")
 def context_scores(spark, sf):
     out = context.context_scores(*_music(spark, sf), 7, 5, NOW)
-    return out.withColumn("score", F.round("raw_score", 6)).drop("raw_score")
+    return out.withColumn("score", rounded("raw_score", 6)).drop("raw_score")
 
 
 def _radio(spark, sf):

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from earlog.functions.columns import rounded
+
 from earlog.functions import keys as K
 from earlog.operators import mixing
 from earlog.plans import inputs as I
@@ -30,7 +32,7 @@ def wheel_codes(spark, sf):
                        K.code_text(code).alias("wheel"), "tracks")
 
 
-@query("tempo_key_relations", f"""WITH {_WHEEL}, {_CAND} SELECT e.seed, e.other, round({_DELTA}, 6) AS delta,
+@query("tempo_key_relations", f"""WITH {_WHEEL}, {_CAND} SELECT e.seed, e.other, round_even({_DELTA}, 6) AS delta,
     ['same', 'energy-up', 'energy-down', 'relative'][{_REL} + 1] AS relation
     FROM (SELECT DISTINCT prev AS seed, vec_id AS other FROM (SELECT vec_id, lag(vec_id) OVER (PARTITION BY label
         ORDER BY vec_id) AS prev FROM embeddings)) e JOIN c a ON a.track_id = e.seed JOIN c b ON b.track_id = e.other""",
@@ -44,7 +46,7 @@ def tempo_key_relations(spark, sf):
                        F.col("track_id").alias("other"))
     a, b = cand.alias("a"), cand.alias("b")
     both = near.join(a, F.col("a.track_id") == F.col("seed")).join(b, F.col("b.track_id") == F.col("other"))
-    return both.select("seed", "other", F.round(K.tempo_delta(F.col("a.tempo"), F.col("b.tempo"), 0.06), 6).alias("delta"),
+    return both.select("seed", "other", rounded(K.tempo_delta(F.col("a.tempo"), F.col("b.tempo"), 0.06), 6).alias("delta"),
                        K.key_relation(F.struct("a.num", "a.letter"), F.struct("b.num", "b.letter")).alias("relation"))
 
 
@@ -52,7 +54,7 @@ def tempo_key_relations(spark, sf):
         b.tempo, {_DELTA} AS delta, {_REL} AS rel FROM c a JOIN c b ON a.track_id <> b.track_id),
     q AS (SELECT * FROM p WHERE delta IS NOT NULL AND rel IS NOT NULL)
     SELECT seed, CAST(row_number() OVER (PARTITION BY seed ORDER BY rel, abs(delta), track_id) AS INTEGER) AS rank, track_id, key,
-        wheel, round(tempo, 1) AS tempo, round(delta, 3) AS tempo_delta,
+        wheel, round_even(tempo, 1) AS tempo, round_even(delta, 3) AS tempo_delta,
         ['same', 'energy-up', 'energy-down', 'relative'][rel + 1] AS relation, count(*) OVER (PARTITION BY seed) AS total
     FROM q QUALIFY rank <= 12""", "features", "tracks")
 def mixable(spark, sf):

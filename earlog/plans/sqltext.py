@@ -10,7 +10,7 @@ def _list(values) -> str:
 
 
 def _pairs(names: list[str], first: int) -> str:
-    return "[" + ", ".join(f"{{'name': {n}, 'score': round(u[{first + j}], 3)}}"
+    return "[" + ", ".join(f"{{'name': {n}, 'score': round_even(u[{first + j}], 3)}}"
                            for j, n in enumerate(names)) + "]"
 
 
@@ -44,7 +44,7 @@ PARTS = {
     "feat0": f"""SELECT vec_id AS track_id, label, tags, tags_ok, e, u,
         CASE WHEN e[49] > 0.25 THEN 'meta' ELSE 'audio' END AS source,
         CASE WHEN e[50] > 0.25 THEN 1 WHEN e[51] > 0.15 THEN 5 ELSE 6 END AS feat_version,
-        round(abs(e[1]) * 400 + 60, 1) AS tempo, least(1.0::DOUBLE, abs(e[2]) * 4 + 0.5) AS mode_conf,
+        round_even(abs(e[1]) * 400 + 60, 1) AS tempo, least(1.0::DOUBLE, abs(e[2]) * 4 + 0.5) AS mode_conf,
         u[3] AS energy, u[4] AS danceability, u[5] AS acousticness, u[6] AS brightness,
         {_list(I.KEYS)}[label + 1] AS key,
         CASE WHEN label <> 3 THEN u[46] END AS percussive, CASE WHEN label <> 4 THEN e[47] END AS dynamics,
@@ -55,9 +55,9 @@ PARTS = {
         CASE WHEN tags_ok AND label <> 6 THEN {_keep(_pairs(_GENRE, 32), 0.02)} ELSE {_NONE} END AS styles,
         CASE WHEN tags_ok THEN {_keep(_pairs(_QUOTED(I.INSTRUMENTS), 37), 0.3)} ELSE {_NONE} END AS instruments,
         CASE WHEN tags_ok THEN {_keep(_pairs(_QUOTED(I.MOODTAGS), 52), 0.3)} ELSE {_NONE} END AS moodtags,
-        CASE WHEN tags_ok THEN round(u[31], 3) ELSE 0.0 END AS tag_vocal,
+        CASE WHEN tags_ok THEN round_even(u[31], 3) ELSE 0.0 END AS tag_vocal,
         TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(vec_id AS INTEGER)) AS analyzed_at,
-        {', '.join(f"CASE WHEN tags_ok AND label <> 2 THEN round(u[{20 + j}], 3) ELSE 0.125 END AS {c}"
+        {', '.join(f"CASE WHEN tags_ok AND label <> 2 THEN round_even(u[{20 + j}], 3) ELSE 0.125 END AS {c}"
                    for j, c in enumerate(C.MOOD_COLS))} FROM tagged""",
     "features": "SELECT *, CASE WHEN len(styles) > 0 THEN styles ELSE genres END AS genre_vec FROM feat0",
     "lyrics": """SELECT doc_id AS track_id, CASE WHEN n_chars < 60 THEN '' ELSE text END AS text,

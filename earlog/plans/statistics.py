@@ -16,7 +16,7 @@ _IN = "listened_at >= TIMESTAMP '1998-03-01' AND listened_at < TIMESTAMP '1998-0
 _PREV = "listened_at >= TIMESTAMP '1997-08-29' AND listened_at < TIMESTAMP '1998-03-01'"
 _MUSIC = "FROM plays l JOIN tracks t USING (track_id) WHERE t.is_music"
 _FEAT = "FROM plays l JOIN tracks t USING (track_id) JOIN features f USING (track_id) WHERE t.is_music"
-_HOURS = "round(COALESCE(sum(COALESCE(duration, 210)), 0) / 3600, 1)"
+_HOURS = "round_even(COALESCE(sum(COALESCE(duration, 210)), 0) / 3600, 1)"
 
 
 def _pt(spark, sf):
@@ -124,21 +124,21 @@ def timeline(spark, sf):
 @query("genre_distribution", f"""WITH total AS (SELECT count(*) AS n {_MUSIC}),
     c AS (SELECT genres {_FEAT} AND tags <> ''),
     g AS (SELECT unnest(genres).name AS name FROM c)
-    SELECT name, count(*) AS listens, round((SELECT count(*) FROM c) / (SELECT n FROM total), 3) AS coverage
+    SELECT name, count(*) AS listens, round_even((SELECT count(*) FROM c) / (SELECT n FROM total), 3) AS coverage
     FROM g GROUP BY name ORDER BY listens DESC, name LIMIT 10""", "plays", "tracks", "features")
 def genre_distribution(spark, sf):
     return stats.genre_distribution(*_pt(spark, sf), I.features(spark, sf))
 
 
-@query("avg_features", f"""SELECT round(avg(tempo), 1) AS tempo, round(avg(energy), 2) AS energy,
-    round(avg(danceability), 2) AS danceability, round(avg(acousticness), 2) AS acousticness,
-    round(avg(brightness), 2) AS brightness, round(count(*) / (SELECT count(*) {_MUSIC}), 3) AS coverage {_FEAT}""",
+@query("avg_features", f"""SELECT round_even(avg(tempo), 1) AS tempo, round_even(avg(energy), 2) AS energy,
+    round_even(avg(danceability), 2) AS danceability, round_even(avg(acousticness), 2) AS acousticness,
+    round_even(avg(brightness), 2) AS brightness, round_even(count(*) / (SELECT count(*) {_MUSIC}), 3) AS coverage {_FEAT}""",
        "plays", "tracks", "features")
 def avg_features(spark, sf):
     return stats.avg_features(*_pt(spark, sf), I.features(spark, sf))
 
 
-@query("mood_profile", "SELECT " + ", ".join(f"round(avg({c}), 3) AS {c[5:]}" for c in C.MOOD_COLS) + " " + _FEAT,
+@query("mood_profile", "SELECT " + ", ".join(f"round_even(avg({c}), 3) AS {c[5:]}" for c in C.MOOD_COLS) + " " + _FEAT,
        "plays", "tracks", "features")
 def mood_profile(spark, sf):
     return stats.mood_profile(*_pt(spark, sf), I.features(spark, sf))
@@ -152,7 +152,7 @@ def by_key(spark, sf):
 
 @query("vocal_split", f"""WITH x AS (SELECT COALESCE(has_vocals, vocal_ratio >= 0.5) AS v {_FEAT})
     SELECT count(*) FILTER (v) AS vocal, count(*) - count(*) FILTER (v) AS instrumental,
-        round(count(*) / (SELECT count(*) {_MUSIC}), 3) AS coverage FROM x""", "plays", "tracks", "features")
+        round_even(count(*) / (SELECT count(*) {_MUSIC}), 3) AS coverage FROM x""", "plays", "tracks", "features")
 def vocal_split(spark, sf):
     return stats.vocal_split(*_pt(spark, sf), I.features(spark, sf))
 
@@ -164,8 +164,8 @@ def language_distribution(spark, sf):
     return stats.language_distribution(*_pt(spark, sf), I.lyrics(spark, sf))
 
 
-@query("mood_trend", f"""SELECT strftime(listened_at, '%Y-%m') AS bucket, round(avg(mood_happy), 3) AS happy,
-    round(avg(mood_sad), 3) AS sad, round(avg(mood_relaxed), 3) AS relaxed, round(avg(mood_party), 3) AS party,
+@query("mood_trend", f"""SELECT strftime(listened_at, '%Y-%m') AS bucket, round_even(avg(mood_happy), 3) AS happy,
+    round_even(avg(mood_sad), 3) AS sad, round_even(avg(mood_relaxed), 3) AS relaxed, round_even(avg(mood_party), 3) AS party,
     count(*) AS listens {_FEAT} GROUP BY 1""", "plays", "tracks", "features")
 def mood_trend(spark, sf):
     return stats.mood_trend(*_pt(spark, sf), I.features(spark, sf))
@@ -188,7 +188,7 @@ def new_artists(spark, sf):
 
 @query("new_tracks", f"""WITH a AS (SELECT track_id, count(*) FILTER ({_INQ}) AS plays, min(listened_at) AS first_at
         {_MUSIC} GROUP BY 1), f AS (SELECT * FROM a WHERE {_FIRST})
-    SELECT track_id, title, channel, artist, plays, duration, round(tempo, 1) AS tempo, round(energy, 2) AS energy,
+    SELECT track_id, title, channel, artist, plays, duration, round_even(tempo, 1) AS tempo, round_even(energy, 2) AS energy,
         (SELECT count(*) FROM f) AS total
     FROM f JOIN tracks USING (track_id) LEFT JOIN (SELECT track_id, tempo, energy FROM features) USING (track_id)
     ORDER BY plays DESC, track_id LIMIT 8""", "plays", "tracks", "features")
@@ -197,7 +197,7 @@ def new_tracks(spark, sf):
 
 
 @query("coverage", f"""SELECT (SELECT count(*) {_FEAT}) AS covered, count(*) AS listens,
-    round((SELECT count(*) {_FEAT}) / count(*), 3) AS coverage {_MUSIC}""", "plays", "tracks", "features")
+    round_even((SELECT count(*) {_FEAT}) / count(*), 3) AS coverage {_MUSIC}""", "plays", "tracks", "features")
 def coverage(spark, sf):
     return stats.coverage(*_pt(spark, sf), I.features(spark, sf))
 

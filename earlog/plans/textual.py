@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from earlog import config as C
+from earlog.functions.columns import rounded
 from earlog.functions import text as X
 from earlog.operators import classify as K, scores as P, texts as E, tracks as T
 from earlog.plans import inputs as I
@@ -114,7 +115,7 @@ def _topic_sql() -> str:
     total = " + ".join(STEMS)
     rows = " UNION ALL ".join(f"SELECT track_id, '{t}' AS topic, {t} AS n, {total} AS total FROM k" for t in STEMS)
     return f"""w AS (SELECT track_id, language, regexp_extract_all(lower(text), '[a-zа-яё]+') AS w FROM lyrics),
-        k AS (SELECT track_id, {cols} FROM w), t AS (SELECT track_id, topic, round(n / total, 4) AS weight FROM ({rows}) WHERE n > 0)"""
+        k AS (SELECT track_id, {cols} FROM w), t AS (SELECT track_id, topic, round_even(n / total, 4) AS weight FROM ({rows}) WHERE n > 0)"""
 
 
 def _topics(spark, sf):
@@ -141,7 +142,7 @@ def _sentiment_sql() -> str:
     return f"""c AS (SELECT track_id, {pick(0)} AS p, {pick(1)} AS q FROM (SELECT *, lower(text) AS x FROM lyrics))"""
 
 
-@query("sentiment", f"WITH {_sentiment_sql()} SELECT track_id, CASE WHEN p + q > 0 THEN round((p - q) / (p + q), 2) ELSE 0 END "
+@query("sentiment", f"WITH {_sentiment_sql()} SELECT track_id, CASE WHEN p + q > 0 THEN round_even((p - q) / (p + q), 2) ELSE 0 END "
        "AS sentiment FROM c", "lyrics")
 def sentiment(spark, sf):
     return I.lyrics(spark, sf).select("track_id", E.sentiment("text", "language", FEELING).alias("sentiment"))
@@ -150,7 +151,7 @@ def sentiment(spark, sf):
 @query("sentiment_default", "WITH x AS (SELECT track_id, lower(text) AS t FROM lyrics), c AS (SELECT track_id, "
        + ", ".join("(" + " + ".join(f"(length(t) - length(replace(t, '{s}', ''))) // {len(s)}" for s in stems) + f") AS {n}"
                    for n, stems in (("p", E.EN_POSITIVE), ("q", E.EN_NEGATIVE)))
-       + " FROM x) SELECT track_id, CASE WHEN p + q > 0 THEN round((p - q) / (p + q), 2) ELSE 0 END AS sentiment FROM c", "lyrics")
+       + " FROM x) SELECT track_id, CASE WHEN p + q > 0 THEN round_even((p - q) / (p + q), 2) ELSE 0 END AS sentiment FROM c", "lyrics")
 def sentiment_default(spark, sf):
     return I.lyrics(spark, sf).select("track_id", E.sentiment("text", F.lit("en")).alias("sentiment"))
 
@@ -163,13 +164,13 @@ _LANG = r"""g AS (SELECT track_id, language, unnest(list_transform(range(1, grea
         QUALIFY row_number() OVER (PARTITION BY language ORDER BY c DESC, gram) <= 400)"""
 
 
-@query("language_profiles", f"WITH {_LANG} SELECT language, gram, round(logp, 6) AS logp FROM p", "lyrics")
+@query("language_profiles", f"WITH {_LANG} SELECT language, gram, round_even(logp, 6) AS logp FROM p", "lyrics")
 def language_profiles(spark, sf):
-    return E.language_profiles(I.lyrics(spark, sf)).withColumn("logp", F.round("logp", 6))
+    return E.language_profiles(I.lyrics(spark, sf)).withColumn("logp", rounded("logp", 6))
 
 
 @query("detect_language", f"""WITH {_LANG}, k AS (SELECT track_id, gram, count(*) AS c FROM g WHERE trim(gram) <> '' GROUP BY 1, 2),
-    s AS (SELECT track_id, p.language, round(sum(c * (logp + 14)), 6) AS s FROM k JOIN p USING (gram) GROUP BY 1, 2),
+    s AS (SELECT track_id, p.language, round_even(sum(c * (logp + 14)), 6) AS s FROM k JOIN p USING (gram) GROUP BY 1, 2),
     b AS (SELECT track_id, language FROM s QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY s DESC, language) = 1)
     SELECT track_id, COALESCE(b.language, '') AS detected FROM lyrics LEFT JOIN b USING (track_id)""", "lyrics")
 def detect_language(spark, sf):
@@ -178,7 +179,7 @@ def detect_language(spark, sf):
 
 
 @query("derive_texts", f"""WITH {_topic_sql()}, {_sentiment_sql()} SELECT track_id, language, CASE WHEN p + q > 0
-        THEN round((p - q) / (p + q), 2) ELSE 0 END AS sentiment, CAST(COALESCE(m, 0) AS INTEGER) AS n_topics
+        THEN round_even((p - q) / (p + q), 2) ELSE 0 END AS sentiment, CAST(COALESCE(m, 0) AS INTEGER) AS n_topics
     FROM lyrics JOIN c USING (track_id) LEFT JOIN (SELECT track_id, count(*) AS m FROM t GROUP BY 1) USING (track_id)""", "lyrics")
 def derive_texts(spark, sf):
     low = I.lyrics(spark, sf)
@@ -235,9 +236,9 @@ _VS = """greatest(COALESCE(vocal_ratio, 0), COALESCE(list_max(list_transform(lis
     lambda g: g.name = 'voice'), lambda g: g.score)), 0))"""
 
 
-@query("vocal_score", f"SELECT track_id, round({_VS}, 6) AS score FROM features", "features")
+@query("vocal_score", f"SELECT track_id, round_even({_VS}, 6) AS score FROM features", "features")
 def vocal_score(spark, sf):
-    return I.features(spark, sf).select("track_id", F.round(P.vocal_score(), 6).alias("score"))
+    return I.features(spark, sf).select("track_id", rounded(P.vocal_score(), 6).alias("score"))
 
 
 @query("vocal_verdict", r"""SELECT track_id, len(list_filter(regexp_split_to_array(text, '[\s\p{Z}]+'), lambda w: w <> '')) >= 8 AS has_vocals
@@ -256,20 +257,20 @@ def _calibration(spark, sf):
     return P.calibration_scores(I.features(spark, sf), I.tracks(spark, sf), english)
 
 
-@query("calibration_scores", f"WITH {_CAL} SELECT track_id, round(score, 6) AS score, positive FROM cal",
+@query("calibration_scores", f"WITH {_CAL} SELECT track_id, round_even(score, 6) AS score, positive FROM cal",
        "features", "tracks", "lyrics")
 def calibration_scores(spark, sf):
-    return _calibration(spark, sf).withColumn("score", F.round("score", 6))
+    return _calibration(spark, sf).withColumn("score", rounded("score", 6))
 
 
 @query("vocal_threshold_table", f"""WITH {_CAL}, t AS (SELECT i / 100 AS threshold FROM range(5, 100, 5) r(i)),
-    r AS (SELECT threshold, round(avg((score >= threshold)::DOUBLE) FILTER (positive), 6) AS recall,
-        round(avg((score >= threshold)::DOUBLE) FILTER (NOT positive), 6) AS negatives FROM cal, t GROUP BY 1)
+    r AS (SELECT threshold, round_even(avg((score >= threshold)::DOUBLE) FILTER (positive), 6) AS recall,
+        round_even(avg((score >= threshold)::DOUBLE) FILTER (NOT positive), 6) AS negatives FROM cal, t GROUP BY 1)
     SELECT *, threshold = (SELECT max(threshold) FROM r WHERE recall >= 0.95) AS suggested FROM r""",
        "features", "tracks", "lyrics")
 def vocal_threshold_table(spark, sf):
     return P.threshold_table(_calibration(spark, sf)).withColumns(
-        {"recall": F.round("recall", 6), "negatives": F.round("negatives", 6)})
+        {"recall": rounded("recall", 6), "negatives": rounded("negatives", 6)})
 
 
 _DOCS = """d AS (SELECT quality, len(list_distinct(string_split(text, ' '))) / len(string_split(text, ' ')) AS score
@@ -283,18 +284,18 @@ def _scored_docs(spark, sf):
 
 
 @query("score_histogram", f"""WITH {_DOCS}, n AS (SELECT quality AS cls, CAST(least(9, floor(score * 10)) AS INTEGER) AS bin,
-    count(*) AS n FROM d GROUP BY 1, 2) SELECT cls, bin, n, round(n / sum(n) OVER (PARTITION BY cls), 4) AS share FROM n""")
+    count(*) AS n FROM d GROUP BY 1, 2) SELECT cls, bin, n, round_even(n / sum(n) OVER (PARTITION BY cls), 4) AS share FROM n""")
 def score_histogram(spark, sf):
     return P.score_histogram(_scored_docs(spark, sf), "quality")
 
 
 @query("threshold_table", f"""WITH {_DOCS}, t AS (SELECT i / 100 AS threshold FROM range(5, 100, 5) r(i)),
-    r AS (SELECT threshold, round(avg((score >= threshold)::DOUBLE) FILTER (quality = 1), 6) AS recall,
-        round(avg((score >= threshold)::DOUBLE) FILTER (quality = 0), 6) AS negatives FROM d, t GROUP BY 1)
+    r AS (SELECT threshold, round_even(avg((score >= threshold)::DOUBLE) FILTER (quality = 1), 6) AS recall,
+        round_even(avg((score >= threshold)::DOUBLE) FILTER (quality = 0), 6) AS negatives FROM d, t GROUP BY 1)
     SELECT *, threshold = (SELECT max(threshold) FROM r WHERE recall >= 0.95) AS suggested FROM r""")
 def threshold_table(spark, sf):
     rows = _scored_docs(spark, sf).withColumn("positive", F.col("quality") == 1)
-    return P.threshold_table(rows).withColumns({"recall": F.round("recall", 6), "negatives": F.round("negatives", 6)})
+    return P.threshold_table(rows).withColumns({"recall": rounded("recall", 6), "negatives": rounded("negatives", 6)})
 
 
 # ---- model scores -------------------------------------------------------------------------------
@@ -322,26 +323,26 @@ _POOL = "pool AS (" + " UNION ALL ".join(
         FROM emb, range({len(cs)}) r(o)""" for h, cs in HEADS.items()) + ")"
 
 
-@query("pool_frames", f"WITH {_POOL} SELECT track_id, head, class, CAST(class_ord AS INTEGER) AS class_ord, round(score, 6) AS score FROM pool",
+@query("pool_frames", f"WITH {_POOL} SELECT track_id, head, class, CAST(class_ord AS INTEGER) AS class_ord, round_even(score, 6) AS score FROM pool",
        "emb")
 def pool_frames(spark, sf):
-    return P.pool_frames(_model_scores(spark, sf)).withColumn("score", F.round("score", 6))
+    return P.pool_frames(_model_scores(spark, sf)).withColumn("score", rounded("score", 6))
 
 
-@query("pool_embeddings", """SELECT label AS track_id, CAST(i - 1 AS INTEGER) AS dim, round(avg(e[i]), 6) AS value
+@query("pool_embeddings", """SELECT label AS track_id, CAST(i - 1 AS INTEGER) AS dim, round_even(avg(e[i]), 6) AS value
     FROM emb, range(1, 65) r(i) GROUP BY 1, 2""", "emb")
 def pool_embeddings(spark, sf):
     """Vectors of one label play the frames of one item."""
     frames = I.table(spark, sf, "embeddings").select(F.col("label").alias("track_id"), "embedding")
     return P.pool_embeddings(frames).select("track_id", F.posexplode("embedding").alias("dim", "value")).withColumn(
-        "value", F.round("value", 6))
+        "value", rounded("value", 6))
 
 
 def _rank_sql(head: str, name: str, top: int | None, minimum: float) -> str:
     rank = f"rank <= {top} AND " if top else ""
     return f"""WITH {_POOL}, k AS (SELECT track_id, CAST(row_number() OVER (PARTITION BY track_id ORDER BY score DESC, class_ord)
         AS INTEGER) AS rank, {name} AS name, score FROM pool WHERE head = '{head}')
-        SELECT track_id, rank, name, round(score, 3) AS score FROM k WHERE {rank} score >= {minimum}"""
+        SELECT track_id, rank, name, round_even(score, 3) AS score FROM k WHERE {rank} score >= {minimum}"""
 
 
 _PRETTY = "replace(class, '---', ' · ')"
@@ -370,20 +371,20 @@ def score_moodtags(spark, sf):
 
 
 @query("theme_moods", f"WITH {_POOL} SELECT track_id, " + ", ".join(
-    f"round(avg(score) FILTER (class IN ({', '.join(repr(t) for t in tags)})), 3) AS {m}" for m, tags in P.THEME_MOODS.items())
+    f"round_even(avg(score) FILTER (class IN ({', '.join(repr(t) for t in tags)})), 3) AS {m}" for m, tags in P.THEME_MOODS.items())
     + " FROM pool WHERE head = 'theme' GROUP BY 1", "emb")
 def theme_moods(spark, sf):
     return P.theme_moods(P.pool_frames(_model_scores(spark, sf)), "theme")
 
 
-@query("positive_class", f"""WITH {_POOL} SELECT track_id, head, class, round(score, 6) AS score FROM pool WHERE
+@query("positive_class", f"""WITH {_POOL} SELECT track_id, head, class, round_even(score, 6) AS score FROM pool WHERE
     (head = 'dance' AND class = 'danceable') OR (head = 'tone' AND class = 'dark')
     OR (head IN ('style', 'instrument', 'vocal') AND class_ord = 0) OR (head = 'theme' AND class_ord = 0)""", "emb")
 def positive_class(spark, sf):
-    return P.positive_class(P.pool_frames(_model_scores(spark, sf))).withColumn("score", F.round("score", 6))
+    return P.positive_class(P.pool_frames(_model_scores(spark, sf))).withColumn("score", rounded("score", 6))
 
 
-@query("vocal_ratio", f"WITH {_POOL} SELECT track_id, round(score, 3) AS vocal_ratio FROM pool WHERE head = 'vocal' AND class = 'voice'",
+@query("vocal_ratio", f"WITH {_POOL} SELECT track_id, round_even(score, 3) AS vocal_ratio FROM pool WHERE head = 'vocal' AND class = 'voice'",
        "emb")
 def vocal_ratio(spark, sf):
     return P.vocal_ratio(P.pool_frames(_model_scores(spark, sf)), "vocal")
@@ -399,16 +400,16 @@ def style_map_top(spark, sf):
 
 @query("tempo_vote", """WITH v AS (SELECT vec_id, CASE WHEN label = 1 THEN NULL ELSE 60 + 400 * abs(e[1]) END AS a,
         CASE WHEN label = 2 THEN 0 ELSE 60 + 400 * abs(e[2]) END AS b, u[3] AS ca, u[4] AS cb FROM emb)
-    SELECT vec_id AS track_id, round(CASE WHEN a > 0 AND b > 0 THEN CASE WHEN abs(a - b) / greatest(a, b) <= 0.2 OR ca >= cb
+    SELECT vec_id AS track_id, round_even(CASE WHEN a > 0 AND b > 0 THEN CASE WHEN abs(a - b) / greatest(a, b) <= 0.2 OR ca >= cb
         THEN a ELSE b END WHEN a > 0 THEN a WHEN b > 0 THEN b END, 4) AS tempo FROM v""", "emb")
 def tempo_vote(spark, sf):
     e = I.table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("track_id"), F.when(F.col("label") != 1, F.abs(I._e(1)) * 400 + 60).alias("a"),
         F.when(F.col("label") == 2, 0.0).otherwise(F.abs(I._e(2)) * 400 + 60).alias("b"), I._unit(3).alias("ca"), I._unit(4).alias("cb"))
-    return e.select("track_id", F.round(P.tempo_vote("a", "b", "ca", "cb"), 4).alias("tempo"))
+    return e.select("track_id", rounded(P.tempo_vote("a", "b", "ca", "cb"), 4).alias("tempo"))
 
 
-@query("energy", """SELECT track_id, round(greatest(0.0, least(1.0, (loudness + 45.0) / 45.0)), 3) AS energy FROM features
+@query("energy", """SELECT track_id, round_even(greatest(0.0, least(1.0, (loudness + 45.0) / 45.0)), 3) AS energy FROM features
     WHERE loudness IS NOT NULL""", "features")
 def energy(spark, sf):
     rows = I.raw_features(spark, sf).filter(F.col("loudness").isNotNull())

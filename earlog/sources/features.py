@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from earlog import config as C
-from earlog.functions.columns import col
+from earlog.functions.columns import col, rounded
 from earlog.functions.ship import by_value
 
 by_value(__name__)
@@ -84,7 +84,7 @@ def mood_columns(df: DataFrame) -> DataFrame:
     has = F.exists(F.map_values("moods"), lambda v: v.isNotNull()) & F.exists(
         F.map_keys("moods"), lambda k: k.isin(C.MOOD_COLS))
     return df.withColumns({
-        c: F.when(has, F.round(F.coalesce(F.try_element_at("moods", F.lit(c)), F.lit(0.0)), 3))
+        c: F.when(has, rounded(F.coalesce(F.try_element_at("moods", F.lit(c)), F.lit(0.0)), 3))
         .otherwise(C.MOOD_DEFAULT) for c in C.MOOD_COLS})
 
 
