@@ -266,7 +266,7 @@ def calibration_scores(spark, sf):
 @query("vocal_threshold_table", f"""WITH {_CAL}, t AS (SELECT i / 100 AS threshold FROM range(5, 100, 5) r(i)),
     r AS (SELECT threshold, round_even(avg((score >= threshold)::DOUBLE) FILTER (positive), 6) AS recall,
         round_even(avg((score >= threshold)::DOUBLE) FILTER (NOT positive), 6) AS negatives FROM cal, t GROUP BY 1)
-    SELECT *, threshold = (SELECT max(threshold) FROM r WHERE recall >= 0.95) AS suggested FROM r""",
+    SELECT *, COALESCE(threshold = (SELECT max(threshold) FROM r WHERE recall >= 0.95), false) AS suggested FROM r""",
        "features", "tracks", "lyrics")
 def vocal_threshold_table(spark, sf):
     return P.threshold_table(_calibration(spark, sf)).withColumns(
@@ -292,7 +292,7 @@ def score_histogram(spark, sf):
 @query("threshold_table", f"""WITH {_DOCS}, t AS (SELECT i / 100 AS threshold FROM range(5, 100, 5) r(i)),
     r AS (SELECT threshold, round_even(avg((score >= threshold)::DOUBLE) FILTER (quality = 1), 6) AS recall,
         round_even(avg((score >= threshold)::DOUBLE) FILTER (quality = 0), 6) AS negatives FROM d, t GROUP BY 1)
-    SELECT *, threshold = (SELECT max(threshold) FROM r WHERE recall >= 0.95) AS suggested FROM r""")
+    SELECT *, COALESCE(threshold = (SELECT max(threshold) FROM r WHERE recall >= 0.95), false) AS suggested FROM r""")
 def threshold_table(spark, sf):
     rows = _scored_docs(spark, sf).withColumn("positive", F.col("quality") == 1)
     return P.threshold_table(rows).withColumns({"recall": rounded("recall", 6), "negatives": rounded("negatives", 6)})
