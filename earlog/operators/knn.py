@@ -94,10 +94,13 @@ def nearest(items: DataFrame, measure: Measure, k: int, seeds: DataFrame | None
     if seeds is not None:
         mark = seeds.select("id").distinct().withColumn("_m", F.lit(True))
         rows = items.join(mark, "id", "left").withColumn("_seed", F.coalesce("_m", F.lit(False))).drop("_m")
-    n = items.count()
+    # several passes read the rows: write them once to the shared checkpoint folder
+    ensure_checkpoint_dir(spark)
+    rows = rows.checkpoint()
+    n = rows.count()
     n_pivots = 1 if n <= block_rows else min(MAX_PIVOTS, math.ceil(n / block_rows) * 2)
     # at most MAX_PIVOTS coordinate vectors come to the driver
-    pivots = np.array([r["x"] for r in items.select("id", "x").orderBy(F.xxhash64("id"), "id").limit(n_pivots).collect()],
+    pivots = np.array([r["x"] for r in rows.select("id", "x").orderBy(F.xxhash64("id"), "id").limit(n_pivots).collect()],
                       dtype=float)
     if n == 0:
         return spark.createDataFrame([], schema).withColumn("rank", F.lit(1))
@@ -122,7 +125,6 @@ def nearest(items: DataFrame, measure: Measure, k: int, seeds: DataFrame | None
 
     found = rows.groupBy("cell", "sub").applyInPandas(inside, schema)
     if sum(n_sub.values()) > 1:
-        ensure_checkpoint_dir(spark)
         found = found.checkpoint()          # read twice: as bounds and as results
         found = found.unionByName(_elsewhere(rows, found, measure, k, pivots, cells, n_sub, schema))
     return base.first_k(found, ["seed"], [F.col("distance"), F.col("other")], k, rank="rank")

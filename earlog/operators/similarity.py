@@ -249,8 +249,7 @@ def artist_space(features: DataFrame, tracks: DataFrame) -> DataFrame:
     """Mean of every feature group per canonical artist."""
     rows = track_space(features, tracks, None).join(
         tracks.select(F.col("track_id").alias("id"), artist().alias("artist")), "id").filter(F.col("artist") != "")
-    out = rows.groupBy("artist").agg(V.mean_vector("x").alias("x"), V.mean_vector("mood_v").alias("mood_v"),
-                                     F.count(F.lit(1)).alias("tracks_analyzed"))
+    out = rows.groupBy("artist").agg(V.mean_vector("x").alias("x"), V.mean_vector("mood_v").alias("mood_v"))
     emb = rows.filter(F.col("embedding").isNotNull()).groupBy("artist").agg(V.mean_vector("embedding").alias("embedding"))
     out = out.join(emb, "artist", "left")
     for c in ("genre_vec", "instrument_vec", "moodtags"):
@@ -265,7 +264,8 @@ def similar_artists(features, tracks, k: int = 5, block_rows: int = 1024) -> Dat
     facts = tracks.filter("is_music").groupBy(artist().alias("other")).agg(
         F.count(F.lit(1)).alias("tracks_total"), F.sum("play_count").alias("plays"),
         F.min_by("track_id", F.struct(-F.col("play_count"), F.col("track_id"))).alias("top_track_id"))
-    sizes = space.select(F.col("id").alias("other"), "tracks_analyzed")
+    sizes = V.raw_vectors(features).select("track_id").join(tracks.select("track_id", artist().alias("other")), "track_id").groupBy(
+        "other").agg(F.count(F.lit(1)).alias("tracks_analyzed"))
     return best.join(sizes, "other").join(facts, "other", "left").select(
         "seed", "rank", F.col("other").alias("artist"), rounded("distance", 3).alias("distance"), "tracks_analyzed",
         F.coalesce("tracks_total", F.lit(0)).alias("tracks_total"), F.coalesce("plays", F.lit(0)).alias("plays"), "top_track_id")

@@ -211,9 +211,12 @@ def similar_tracks(spark, sf):
     return M.similar_tracks(I.features(spark, sf), I.tracks(spark, sf), _topics(spark, sf), 6)
 
 
-@query("similar_closeness")
+@query("similar_closeness", """WITH p AS (SELECT a.vec_id AS seed, b.vec_id AS other, 1 - list_dot_product(a.e, b.e)
+        / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS d FROM emb a JOIN emb b ON a.vec_id <> b.vec_id),
+    q AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY seed ORDER BY d, other) <= 5)
+    SELECT seed, other, round_even(0.5 + 0.5 * (1 - d / max(d) OVER (PARTITION BY seed)), 3) AS closeness FROM q""", "emb")
 def similar_closeness(spark, sf):
-    """Display scores of the shown neighbours; same rows as similar_tracks."""
+    """Display scores of the shown neighbours."""
     return M.closeness(M.cosine_topk(I.half_embeddings(spark, sf), 5)).select("seed", "other", rounded("closeness", 3).alias("closeness"))
 
 
@@ -268,3 +271,34 @@ def _mean_list(column: str, n: int) -> str:
     FROM r LEFT JOIN f ON f.artist = other LEFT JOIN top ON top.artist = other QUALIFY rank <= 5""", "features", "tracks", "ctracks")
 def similar_artists(spark, sf):
     return M.similar_artists(I.features(spark, sf), I.counted_tracks(spark, sf), 5)
+
+
+def _clustered(spark, sf):
+    from earlog.operators import clustering
+    feats = I.features(spark, sf)
+    return clustering.cluster_tracks(clustering.cluster_space(feats), restarts=2), feats
+
+
+@query("clusters_kmeans")
+def clusters_kmeans(spark, sf):
+    """Named k-means groups. Labels differ between libraries, so there is no SQL form."""
+    from earlog.operators import clustering
+    labels, feats = _clustered(spark, sf)
+    return clustering.name_clusters(spark, clustering.cluster_profile(labels, feats))
+
+
+@query("cluster_labels")
+def cluster_labels(spark, sf):
+    from earlog.sources.ingest import assign_clusters
+    labels, _ = _clustered(spark, sf)
+    return assign_clusters(I.tracks(spark, sf), labels).select("track_id", "cluster_id")
+
+
+@query("cluster_profile", "SELECT label AS cluster_id, count(*) AS size, round_even(avg(tempo), 4) AS tempo, "
+       + ", ".join(f"round_even(avg({c}), 4) AS {c}" for c in C.MOOD_COLS) + " FROM features WHERE source = 'audio' GROUP BY 1", "features")
+def cluster_profile(spark, sf):
+    """Profiles of given groups: the label column stands in for the labels of a run."""
+    from earlog.operators import clustering
+    rows = clustering.eligible_rows(I.features(spark, sf))
+    out = clustering.cluster_profile(rows.select("track_id", F.col("label").alias("cluster_id")), rows)
+    return out.select("cluster_id", "size", *[rounded(c, 4).alias(c) for c in ("tempo", *C.MOOD_COLS)])
