@@ -120,3 +120,9 @@ def first_k_salted(df: DataFrame, by: list[str], order: list[Column], k: int, sa
 
 def seconds_or_default(duration: Column, default: float = C.UNKNOWN_DURATION_S) -> Column:
     return F.coalesce(duration, F.lit(default))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """More tasks for a scan with fewer splits than cores; a scan that has enough stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -69,8 +69,8 @@ def is_artist_channel_dash(title: Column | str, channel: Column | str) -> Column
     return F.coalesce((left != "") & (ch != "") & same, F.lit(False))
 
 
-def rules(title: Column | str = "title", channel: Column | str = "channel") -> Column:
-    """struct(verdict, reason): NULL verdict means undecided.
+def rule_reason(title: Column | str = "title", channel: Column | str = "channel") -> Column:
+    """Reason the title and channel give by themselves; '' when they give none.
 
     A negative title wins over everything; then channel evidence with one strong hit, then up to
     three strong hits, then the artist's own channel.
@@ -80,17 +80,22 @@ def rules(title: Column | str = "title", channel: Column | str = "channel") -> C
     hits = F.filter(F.array(*[F.when(low.rlike(_U + p), F.lit(name)) for p, name in STRONG]), lambda h: h.isNotNull())
     owner = F.filter(F.array(F.when(ch.endswith("- topic"), F.lit("topic-channel")),
                              F.when(F.contains(ch, F.lit("vevo")), F.lit("vevo"))), lambda h: h.isNotNull())
-
-    def result(verdict, reason) -> Column:
-        return F.struct(F.lit(verdict).cast("boolean").alias("verdict"), reason.alias("reason"))
-
     kept = let(F.struct(hits.alias("title"), owner.alias("channel")), lambda s: F.when(
         F.size(s["channel"]) > 0, F.concat(s["channel"], F.slice(s["title"], 1, 1))).otherwise(F.slice(s["title"], 1, 3)))
-    return (F.when(low.rlike(_U + NEGATIVE), result(False, F.lit("anti-pattern")))
-            .when(F.size(kept) > 0, result(True, F.array_join(kept, "+")))
-            .when(is_artist_channel_dash(title, channel), result(True, F.lit("artist-channel-dash")))
-            .when(is_artist_dash(title), result(None, F.lit("artist-dash")))
-            .otherwise(result(None, F.lit(""))))
+    positive = F.nullif(F.array_join(kept, "+"), F.lit(""))
+    dash = (F.when(is_artist_channel_dash(title, channel), "artist-channel-dash")
+            .when(is_artist_dash(title), "artist-dash").otherwise(""))
+    return F.when(low.rlike(_U + NEGATIVE), "anti-pattern").otherwise(F.coalesce(positive, dash))
+
+
+def reason_verdict(reason: Column) -> Column:
+    """What a rule reason decides; NULL leaves the item open."""
+    return F.when(reason == "anti-pattern", False).when(~reason.isin("", "artist-dash"), True)
+
+
+def rules(title: Column | str = "title", channel: Column | str = "channel") -> Column:
+    """struct(verdict, reason): NULL verdict means undecided."""
+    return let(rule_reason(title, channel), lambda r: F.struct(reason_verdict(r).alias("verdict"), r.alias("reason")))
 
 
 def channel_key(channel: Column | str = "channel") -> Column:
@@ -101,8 +106,9 @@ def channel_votes(tracks: DataFrame) -> DataFrame:
     """Confident verdicts per channel: all items count, weak reasons do not."""
     sure = (F.col("is_music").isNotNull() & (F.coalesce("channel", F.lit("")) != "")
             & (F.coalesce("music_reason", F.lit("")) != "") & ~F.col("music_reason").isin(WEAK_REASONS))
-    return tracks.filter(sure).groupBy(channel_key().alias("channel_key")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("is_music").alias("n_music"))
+    # conditional counts: a filter would be pushed down and repeat the rules behind these columns
+    return tracks.groupBy(channel_key().alias("channel_key")).agg(
+        F.count_if(sure).alias("n"), F.count_if(sure & F.col("is_music")).alias("n_music")).filter(F.col("n") > 0)
 
 
 def vote_verdict(n: Column, n_music: Column) -> Column:
@@ -127,12 +133,13 @@ def classify(tracks: DataFrame, details: DataFrame | None = None) -> DataFrame:
     one row there.
     """
     again = F.col("is_music").isNull() | F.coalesce("music_reason", F.lit("")).isin(REEVALUATED)
-    rows = tracks.withColumn("_again", again).withColumn("_r", F.when(F.col("_again"), rules()))
-    decided = F.col("_again") & F.col("_r.verdict").isNotNull()
+    rows = tracks.withColumn("_again", again).withColumn("_r", F.when(F.col("_again"), rule_reason()))
+    rows = rows.withColumn("_rv", reason_verdict(F.col("_r")))
+    decided = F.col("_rv").isNotNull()
     rows = rows.withColumns({
-        "_open": F.col("_again") & F.col("_r.verdict").isNull(),
-        "is_music": F.when(decided, F.col("_r.verdict")).otherwise(F.col("is_music")),
-        "music_reason": F.when(decided, F.col("_r.reason")).otherwise(F.col("music_reason"))})
+        "_open": F.col("_again") & ~decided,
+        "is_music": F.when(decided, F.col("_rv")).otherwise(F.col("is_music")),
+        "music_reason": F.when(decided, F.col("_r")).otherwise(F.col("music_reason"))})
     votes = channel_votes(rows)
     rows = rows.withColumn("channel_key", channel_key()).join(votes, "channel_key", "left")
     vote = F.when(F.col("_open"), vote_verdict(F.col("n"), F.col("n_music")))
@@ -141,7 +148,7 @@ def classify(tracks: DataFrame, details: DataFrame | None = None) -> DataFrame:
         "music_reason": F.when(F.col("_v").isNull(), F.col("music_reason"))
         .when(F.col("_v"), "channel-music").otherwise("channel-not-music"),
         "_open": F.col("_open") & F.col("_v").isNull()})
-    rows = rows.drop("_v", "_r", "_again", "channel_key", "n", "n_music")
+    rows = rows.drop("_v", "_r", "_rv", "_again", "channel_key", "n", "n_music")
     if details is None:
         return rows.withColumns({
             "is_music": F.when(F.col("_open"), False).otherwise(F.col("is_music")),

@@ -156,7 +156,10 @@ def _elsewhere(rows, found, measure, k, pivots, cells, n_sub, schema) -> DataFra
     wanted = src.select(*pair).distinct()
     tgt = rows.withColumnsRenamed({"cell": "t_cell", "sub": "t_sub"}).drop("r", "_seed").join(wanted, ["t_cell", "t_sub"])
 
+    # both sides come from the same rows: fresh column names keep them apart
+    tgt = tgt.toDF(*["o_" + c for c in tgt.columns])
+
     def across(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return best_rows(a, b, measure, k)
+        return best_rows(a, b.rename(columns=lambda c: c[2:]), measure, k)
 
-    return src.groupBy(*pair).cogroup(tgt.groupBy(*pair)).applyInPandas(across, schema)
+    return src.groupBy(*pair).cogroup(tgt.groupBy(*["o_" + c for c in pair])).applyInPandas(across, schema)

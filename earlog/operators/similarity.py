@@ -10,6 +10,7 @@ from earlog.functions.columns import artist, rounded
 from earlog.functions.ship import by_value
 from earlog.operators import base, vectors as V
 from earlog.operators.knn import Measure, euclid, nearest
+from earlog.session import ensure_checkpoint_dir
 
 by_value(__name__)
 
@@ -249,6 +250,9 @@ def artist_space(features: DataFrame, tracks: DataFrame) -> DataFrame:
     """Mean of every feature group per canonical artist."""
     rows = track_space(features, tracks, None).join(
         tracks.select(F.col("track_id").alias("id"), artist().alias("artist")), "id").filter(F.col("artist") != "")
+    # five aggregates read these rows: write them once
+    ensure_checkpoint_dir(features.sparkSession)
+    rows = rows.checkpoint()
     out = rows.groupBy("artist").agg(V.mean_vector("x").alias("x"), V.mean_vector("mood_v").alias("mood_v"))
     emb = rows.filter(F.col("embedding").isNotNull()).groupBy("artist").agg(V.mean_vector("embedding").alias("embedding"))
     out = out.join(emb, "artist", "left")

@@ -12,6 +12,7 @@ from earlog.functions.ship import by_value
 from earlog.functions.text import (artist_from_channel, clean_title, count_substrings, count_word_starts, plain,
                                    words_collapsed)
 from earlog.operators import base
+from earlog.session import ensure_checkpoint_dir
 
 by_value(__name__)
 
@@ -35,6 +36,7 @@ EN_NEGATIVE = (
 LANGUAGE_ALIASES = {"zh-cn": "zh", "zh-tw": "zh"}
 # --- end of fixed values ----------------------------------------------------------------
 
+BROADCAST_ROWS = 200_000
 SENTIMENT = {"ru": (RU_POSITIVE, RU_NEGATIVE), "": (EN_POSITIVE, EN_NEGATIVE)}
 
 
@@ -87,7 +89,9 @@ def _grams(df: DataFrame, text: str, n: int) -> DataFrame:
     """Adds `gram`, one row per distinct character n-gram of the letters, with its count `c`."""
     letters = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "), F.lit(" "))
     # an overlapping look-ahead yields all n-grams in one linear scan of the text
-    return df.select("*", F.explode(F.regexp_extract_all(letters, F.lit(f"(?=(.{{{n}}}))"), F.lit(1))).alias("gram"))
+    # (outer form: plain explode would repeat the scan in an inferred size filter)
+    grams = F.regexp_extract_all(letters, F.lit(f"(?=(.{{{n}}}))"), F.lit(1))
+    return df.select("*", F.explode_outer(grams).alias("gram")).filter(F.col("gram").isNotNull())
 
 
 def language_profiles(labelled: DataFrame, n: int = 3, per_language: int = 400) -> DataFrame:
@@ -105,13 +109,15 @@ def language_profiles(labelled: DataFrame, n: int = 3, per_language: int = 400)
 def detect_language(texts: DataFrame, profiles: DataFrame, n: int = 3, floor: float = -14.0) -> DataFrame:
     """track_id, detected: the language with the largest summed log share; '' without any letter.
 
-    Profiles become one small map per n-gram and are joined to the distinct n-grams of a text; a
-    language that lacks an n-gram gets `floor` for it. Partial sums are taken before the shuffle.
+    A language that lacks an n-gram gets `floor` for it. The profiles are a learned model: written
+    once, and broadcast while they are small, so n-grams are summed where their text is read.
     """
-    grams = _grams(texts.filter(F.col("text") != "").select("track_id", "text"), "text", n)
-    grams = grams.filter(F.trim("gram") != "").groupBy("track_id", "gram").agg(F.count(F.lit(1)).alias("c"))
-    scores = grams.join(profiles, "gram").groupBy("track_id", "language").agg(
-        F.sum(F.col("c") * (F.col("logp") - floor)).alias("s"))
+    ensure_checkpoint_dir(texts.sparkSession)
+    profiles = profiles.checkpoint()
+    if profiles.count() <= BROADCAST_ROWS:
+        profiles = F.broadcast(profiles)
+    grams = _grams(texts.filter(F.col("text") != "").select("track_id", "text"), "text", n).filter(F.trim("gram") != "")
+    scores = grams.join(profiles, "gram").groupBy("track_id", "language").agg(F.sum(F.col("logp") - floor).alias("s"))
     best = scores.groupBy("track_id").agg(F.min_by("language", F.struct(-rounded("s", 6), F.col("language"))).alias("detected"))
     code = best.withColumn("detected", F.coalesce(*[F.when(F.col("detected") == k, v) for k, v in LANGUAGE_ALIASES.items()],
                                                   F.col("detected")))

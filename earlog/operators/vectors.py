@@ -107,7 +107,8 @@ def tfidf(lyrics: DataFrame, vocabulary: int = C.VOCABULARY_SIZE) -> DataFrame:
         "track_id", F.coalesce(F.nullif("language", F.lit("")), F.lit("en")).alias("language"), "text")
     sizes = texts.groupBy("language").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 2)
     tokens = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    tf = (texts.select("track_id", "language", F.explode(tokens).alias("term"))
+    # the outer form: plain explode would repeat the tokenizer in an inferred size filter
+    tf = (texts.select("track_id", "language", F.explode_outer(tokens).alias("term")).filter(F.col("term").isNotNull())
           .groupBy("track_id", "language", "term").agg(F.count(F.lit(1)).alias("tf")))
     terms = tf.groupBy("language", "term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     kept = base.first_k_salted(terms, ["language"], [F.col("total").desc(), F.col("term")], vocabulary, "term")

@@ -130,7 +130,7 @@ def features(spark, sf) -> DataFrame:
 
 def lyrics(spark, sf) -> DataFrame:
     short = F.col("n_chars") < 60
-    return table(spark, sf, "documents").select(
+    return base.spread(table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")).select(
         F.col("doc_id").alias("track_id"), F.when(short, "").otherwise(F.col("text")).alias("text"),
         F.coalesce("lang", F.lit("")).alias("language"),
         F.when(short, "none").when(F.col("source") == "src0", "whisper").otherwise("lrclib").alias("source"))
@@ -153,7 +153,7 @@ def attempts(spark, sf) -> DataFrame:
 
 def undecided_tracks(spark, sf) -> DataFrame:
     """Catalogue before classification: titles carry the decorations the rules look for."""
-    p = table(spark, sf, "part")
+    p = base.spread(table(spark, sf, "part").select("p_partkey", "p_size", "p_type", "p_name", "p_brand"))
     size, kind, name, brand = F.col("p_size"), F.col("p_type"), F.col("p_name"), F.col("p_brand")
     title = (F.when(kind == "PROMO", F.concat(name, F.lit(" (Official Video)")))
              .when(kind == "ECONOMY", F.concat(name, F.lit(" gameplay review")))

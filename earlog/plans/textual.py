@@ -124,7 +124,8 @@ def _topics(spark, sf):
 
 @query("topics", f"WITH {_topic_sql()} SELECT * FROM t", "lyrics")
 def topics(spark, sf):
-    return _topics(spark, sf).select("track_id", F.explode("topics").alias("topic", "weight"))
+    rows = _topics(spark, sf).select("track_id", F.explode_outer("topics").alias("topic", "weight"))
+    return rows.filter(F.col("topic").isNotNull())
 
 
 @query("dominant_topic", f"""WITH {_topic_sql()}, b AS (SELECT track_id, topic FROM t QUALIFY row_number() OVER (PARTITION BY track_id
