@@ -58,7 +58,7 @@ def whole_days(later: Column, earlier: Column) -> Column:
 def decay(last_at: Column | str, as_of: Column, half_life_days: int = C.HALF_LIFE_DAYS) -> Column:
     """Weight that halves every `half_life_days` whole days; unknown time gives one half."""
     days = F.greatest(whole_days(as_of, col(last_at)), F.lit(0))
-    return F.coalesce(F.pow(F.lit(0.5), days / F.lit(float(half_life_days))), F.lit(0.5))
+    return F.when(col(last_at).isNull(), 0.5).otherwise(F.pow(F.lit(0.5), days / F.lit(float(half_life_days))))
 
 
 def repeat_penalty(last_at: Column | str, as_of: Column) -> Column:

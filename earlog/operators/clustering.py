@@ -59,7 +59,7 @@ def name_clusters(spark: SparkSession, profile: DataFrame) -> DataFrame:
     """cluster_id, name, size, mean moods. Names depend on each other, so the few rows are named in order."""
     used: set[str] = set()
     named = []
-    for row in profile.orderBy("cluster_id").limit(MAX_CLUSTERS).collect():
+    for row in profile.orderBy("cluster_id").collect():
         ranked = sorted(C.MOODS, key=lambda m: -row["mood_" + m])
         name = C.CLUSTER_NAMES[ranked[0]]
         if name in used:

@@ -80,7 +80,7 @@ def best_rows(seeds: pd.DataFrame, others: pd.DataFrame, measure: Measure, k: in
 
 
 def nearest(items: DataFrame, measure: Measure, k: int, seeds: DataFrame | None = None,
-            block_rows: int = 1024) -> DataFrame:
+            block_rows: int = 512) -> DataFrame:
     """seed, other, distance, label, rank: the k nearest rows of each seed, ties by id.
 
     `items`: id, x array<double>, and whatever `measure.pairwise` reads. `seeds`: ids to rank for

@@ -34,32 +34,32 @@ def dense_cosine(a: pd.Series, b: pd.Series) -> np.ndarray:
         return np.where(size > 0, 1.0 - (x @ y.T) / size, np.nan)
 
 
-def _triples(series: pd.Series, index: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows, cols, vals = [], [], []
-    for i, v in enumerate(series):
-        for key, value in (v.items() if isinstance(v, dict) else v or ()):
-            rows.append(i)
-            cols.append(index.setdefault(key, len(index)))
-            vals.append(value)
-    return np.array(rows, int), np.array(cols, int), np.array(vals, float)
+def _items(v) -> list[tuple[str, float]]:
+    return list(v.items()) if isinstance(v, dict) else list(v) if v is not None else []
+
+
+def _fill(rows: list[list[tuple[str, float]]], index: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    hits = [(i, index[key], w) for i, row in enumerate(rows) for key, w in row if key in index]
+    r, c, w = zip(*hits) if hits else ((), (), ())
+    return np.array(r, int), np.array(c, int), np.array(w, float)
 
 
 def sparse_dot(a: pd.Series, b: pd.Series, width: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Dot products of all pairs of two map columns and both lengths, a slice of keys at a time."""
-    index: dict = {}
-    ra, ca, va = _triples(a, index)
-    rb, cb, vb = _triples(b, index)
-    out = np.zeros((len(a), len(b)))
+    """Dot products of all pairs of two map columns and both lengths, a slice of shared keys at a time."""
+    la, lb = [_items(v) for v in a], [_items(v) for v in b]
+    shared = {key for row in la for key, _ in row} & {key for row in lb for key, _ in row}
+    index = {key: i for i, key in enumerate(sorted(shared))}
+    (ra, ca, va), (rb, cb, vb) = _fill(la, index), _fill(lb, index)
+    out = np.zeros((len(la), len(lb)))
     for lo in range(0, len(index), width):
-        x, y = np.zeros((len(a), width)), np.zeros((len(b), width))
-        ma, mb = (ca >= lo) & (ca < lo + width), (cb >= lo) & (cb < lo + width)
+        size = min(width, len(index) - lo)
+        x, y = np.zeros((len(la), size)), np.zeros((len(lb), size))
+        ma, mb = (ca >= lo) & (ca < lo + size), (cb >= lo) & (cb < lo + size)
         x[ra[ma], ca[ma] - lo] = va[ma]
         y[rb[mb], cb[mb] - lo] = vb[mb]
         out += x @ y.T
-    na, nb = np.zeros(len(a)), np.zeros(len(b))
-    np.add.at(na, ra, va * va)
-    np.add.at(nb, rb, vb * vb)
-    return out, np.sqrt(na), np.sqrt(nb)
+    na, nb = (np.array([np.sqrt(sum(w * w for _, w in row)) for row in rows]) for rows in (la, lb))
+    return out, na, nb
 
 
 def map_cosine(a: pd.Series, b: pd.Series) -> np.ndarray:
@@ -168,7 +168,7 @@ def track_space(features: DataFrame, tracks: DataFrame, lyrics: DataFrame | None
     return rows.withColumnRenamed("track_id", "id")
 
 
-def similar_tracks(features, tracks, lyrics, k: int = 6, seeds: DataFrame | None = None, block_rows: int = 1024) -> DataFrame:
+def similar_tracks(features, tracks, lyrics, k: int = 6, seeds: DataFrame | None = None, block_rows: int = 512) -> DataFrame:
     """k most similar items of each seed: distance, the group that is closest, tempo, total compared."""
     space = track_space(features, tracks, lyrics)
     best = nearest(space, weighted_measure(C.TRACK_WEIGHTS, C.KEY_BONUS), k, seeds, block_rows)
@@ -178,7 +178,7 @@ def similar_tracks(features, tracks, lyrics, k: int = 6, seeds: DataFrame | None
                                             _label(F.col("label")).alias("match"), "tempo", total.alias("total"))
 
 
-def cosine_topk(items: DataFrame, k: int, vec: str = "embedding", ident: str = "track_id", block_rows: int = 1024) -> DataFrame:
+def cosine_topk(items: DataFrame, k: int, vec: str = "embedding", ident: str = "track_id", block_rows: int = 512) -> DataFrame:
     """k nearest vectors by cosine for every vector; rows without length have no neighbours."""
     v = F.transform(vec, lambda x: x.cast("double"))
     rows = items.select(F.col(ident).alias("id"), v.alias("v")).filter(V.norm(F.col("v")) > 0)
@@ -207,7 +207,7 @@ def _has_tags(genres: str = "genre_list_vec", instruments: str = "instrument_vec
     return F.coalesce(named(genres), F.lit(False)) | F.coalesce(named(instruments), F.lit(False))
 
 
-def similar_by_tags(features: DataFrame, k: int = 6, block_rows: int = 1024) -> DataFrame:
+def similar_by_tags(features: DataFrame, k: int = 6, block_rows: int = 512) -> DataFrame:
     """k most similar audio rows by tags for every row that has genres or instruments."""
     space = tag_space(features)
     best = nearest(space, tag_measure(), k, space.filter(_has_tags()).select("id"), block_rows)
@@ -261,7 +261,7 @@ def artist_space(features: DataFrame, tracks: DataFrame) -> DataFrame:
     return out.withColumnRenamed("artist", "id")
 
 
-def similar_artists(features, tracks, k: int = 5, block_rows: int = 1024) -> DataFrame:
+def similar_artists(features, tracks, k: int = 5, block_rows: int = 512) -> DataFrame:
     """k nearest artists of each artist with counts, plays and most played item."""
     space = artist_space(features, tracks)
     best = nearest(space, weighted_measure(C.ARTIST_WEIGHTS, 0.0), k, None, block_rows)

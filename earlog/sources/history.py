@@ -25,9 +25,9 @@ def read_history(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     """
     reader = spark.read.schema(HISTORY_SCHEMA)
     if not lines:
-        text = spark.read.text(path).filter(F.trim("value") != "")
-        heads = text.groupBy(F.input_file_name().alias("file")).agg(
-            F.min_by(F.substring(F.ltrim("value"), 1, 1), F.monotonically_increasing_id()).alias("head"))
+        text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("no"),
+                                            F.substring(F.ltrim("value"), 1, 1).alias("head"))
+        heads = text.filter(F.col("head") != "").groupBy("file").agg(F.min_by("head", "no").alias("head"))
         if heads.filter(F.col("head") != "[").limit(1).count():
             raise ValueError("expected a JSON list of history entries")
         reader = reader.option("multiLine", True)
