@@ -27,9 +27,11 @@ _ROW = """track_id, title, channel, artist, play_count, duration, strftime(first
     strftime(last_listen, '%Y-%m-%d') AS last_listen, music_reason, COALESCE(language, '') AS language,
     round_even(tempo, 1) AS tempo, round_even(energy, 2) AS energy, key, has_vocals,
     array_to_string(list_transform(genres, lambda g: g.name), '|') AS genres"""
-_COLS = ["track_id", "title", "channel", "artist", "play_count", "duration", "first_listen", "last_listen",
-         "music_reason", "language", "tempo", "energy", "key", "has_vocals",
-         F.array_join("genres", "|").alias("genres")]
+
+
+def _cols():
+    return ["track_id", "title", "channel", "artist", "play_count", "duration", "first_listen", "last_listen",
+            "music_reason", "language", "tempo", "energy", "key", "has_vocals", F.array_join("genres", "|").alias("genres")]
 
 
 def _all(spark, sf):
@@ -44,7 +46,7 @@ def _all(spark, sf):
 def tracks_query(spark, sf):
     """Second page of the default view."""
     errors = I.attempts(spark, sf).filter(F.col("status") != "ok")
-    return T.tracks_query(*_all(spark, sf), errors=errors, page_no=2).select(*_COLS, "total", "position", "has_error")
+    return T.tracks_query(*_all(spark, sf), errors=errors, page_no=2).select(*_cols(), "total", "position", "has_error")
 
 
 @query("tracks_by_tempo", f"""WITH {_PROFILE}, r AS (SELECT *, count(*) OVER () AS total, row_number() OVER
@@ -53,49 +55,49 @@ def tracks_query(spark, sf):
 def tracks_by_tempo(spark, sf):
     """NULL placement, artist filter and ascending sort."""
     return T.tracks_query(*_all(spark, sf), sort="tempo", order="asc", per_page=500,
-                          artist_name="Brand#7").select(*_COLS, "total", "position")
+                          artist_name="Brand#7").select(*_cols(), "total", "position")
 
 
 @query("tracks_search", f"""WITH {_PROFILE} SELECT {_ROW} FROM prof WHERE is_music AND (contains(lower(title), 'wid')
     OR contains(lower(channel), 'wid') OR contains(lower(artist_canonical), 'wid'))""", *_BASE)
 def tracks_search(spark, sf):
-    return T.display(T.select_tracks(*_all(spark, sf), q=" WiD ")).select(*_COLS)
+    return T.display(T.select_tracks(*_all(spark, sf), q=" WiD ")).select(*_cols())
 
 
 @query("tracks_hidden", f"WITH {_PROFILE} SELECT {_ROW} FROM prof WHERE NOT is_music", *_BASE)
 def tracks_hidden(spark, sf):
-    return T.display(T.select_tracks(*_all(spark, sf), hidden=True)).select(*_COLS)
+    return T.display(T.select_tracks(*_all(spark, sf), hidden=True)).select(*_cols())
 
 
 @query("tracks_genre_key", f"""WITH {_PROFILE} SELECT {_ROW} FROM prof WHERE is_music AND key = 'G major'
     AND list_contains(list_transform(genres, lambda g: g.name), 'Jazz')""", *_BASE)
 def tracks_genre_key(spark, sf):
-    return T.display(T.select_tracks(*_all(spark, sf), genre="Jazz", key="G major")).select(*_COLS)
+    return T.display(T.select_tracks(*_all(spark, sf), genre="Jazz", key="G major")).select(*_cols())
 
 
 @query("tracks_mood", f"""WITH {_PROFILE}, {_MOODS} SELECT {_ROW} FROM prof
     WHERE is_music AND track_id IN (SELECT track_id FROM top WHERE mood_relaxed >= best)""", *_BASE)
 def tracks_mood(spark, sf):
-    return T.display(T.select_tracks(*_all(spark, sf), mood="Relaxed")).select(*_COLS)
+    return T.display(T.select_tracks(*_all(spark, sf), mood="Relaxed")).select(*_cols())
 
 
 @query("tracks_instrumental", f"""WITH {_PROFILE} SELECT {_ROW} FROM prof WHERE is_music AND (text_source = 'whisper'
     OR (text_source IS NULL AND (has_vocals = false OR (has_vocals IS NULL AND vocal_ratio < 0.3))))""", *_BASE)
 def tracks_instrumental(spark, sf):
-    return T.display(T.select_tracks(*_all(spark, sf), instrumental=True)).select(*_COLS)
+    return T.display(T.select_tracks(*_all(spark, sf), instrumental=True)).select(*_cols())
 
 
 @query("tracks_language", f"""WITH {_PROFILE} SELECT {_ROW} FROM prof WHERE is_music AND language = 'fr'
     AND text_source <> 'whisper'""", *_BASE)
 def tracks_language(spark, sf):
-    return T.display(T.select_tracks(*_all(spark, sf), language="fr")).select(*_COLS)
+    return T.display(T.select_tracks(*_all(spark, sf), language="fr")).select(*_cols())
 
 
 @query("tracks_with_errors", f"""WITH {_PROFILE} SELECT {_ROW} FROM prof WHERE is_music
     AND track_id IN (SELECT track_id FROM attempts WHERE status <> 'ok')""", *_BASE, "attempts")
 def tracks_with_errors(spark, sf):
     errors = I.attempts(spark, sf).filter(F.col("status") != "ok")
-    return T.display(T.select_tracks(*_all(spark, sf), errors=errors, only_errors=True)).select(*_COLS)
+    return T.display(T.select_tracks(*_all(spark, sf), errors=errors, only_errors=True)).select(*_cols())
 
 
 @query("track_profile", f"""WITH {_PROFILE} SELECT {_ROW}, COALESCE(text <> '', false) AS has_lyrics, features_source,
@@ -107,7 +109,7 @@ def track_profile(spark, sf):
     errors = I.attempts(spark, sf).filter(F.col("status") != "ok")
     out = T.track_profile(*_all(spark, sf), errors=errors)
     total = F.aggregate("instrument_scores", F.lit(0.0), lambda a, g: a + g["score"])
-    return out.select(*_COLS, "has_lyrics", "features_source",
+    return out.select(*_cols(), "has_lyrics", "features_source",
                       F.when(F.col("genre_scores").isNull(), 0).otherwise(F.size("genre_scores")).alias("n_genres"),
                       rounded(F.coalesce(total, F.lit(0.0)), 3).alias("instrument_total"),
                       F.coalesce(F.array_join(F.transform("errors", lambda e: F.concat_ws(":", e["stage"], e["error"])),
