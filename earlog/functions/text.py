@@ -20,12 +20,14 @@ FANDOM = r"[【〖｢\[][^】〗｣\]]{0,50}[】〗｣\]]|\s+[×x]\s+.*$"
 FEATURING = r"\s*[(\[]?\s*(feat\.?|ft\.?|featuring|при уч\.)\s.*$"
 # --- end of fixed values ----------------------------------------------------------------
 
-_WS = r"(?U)\s"          # white space of any script, as the patterns mean it
+# every character that counts as white space at the ends of a text
+_SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
+                            0x205F, 0x3000]))
 
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def canonical_artist(channel: Column | str) -> Column:

@@ -32,8 +32,8 @@ def keys(features: DataFrame, tracks: DataFrame) -> DataFrame:
 
 def mood_counts(features: DataFrame) -> DataFrame:
     """Items per dominant mood, ties counted for each: eleven conditional counts in one pass."""
-    scaled = normalised_moods(features)
-    sums = scaled.agg(*[F.count_if(F.col("mood_" + m) == F.col("_top")).alias(m) for m in C.MOODS])
+    rows = normalised_moods(features).withColumn("top", F.array_max("scaled"))
+    sums = rows.agg(*[F.count_if(F.get("scaled", F.lit(i)) == F.col("top")).alias(m) for i, m in enumerate(C.MOODS)])
     return sums.unpivot([], C.MOODS, "name", "count")
 
 

@@ -60,17 +60,17 @@ def filter_language(code: str) -> Column:
 
 
 def normalised_moods(features: DataFrame) -> DataFrame:
-    """Audio rows with each mood divided by that mood's maximum, and the largest of them as `_top`.
+    """Audio rows with `scaled`: each mood divided by that mood's maximum, in the order of MOODS.
 
-    The eleven maxima are one aggregate, read back as a scalar subquery: no join, no shuffle of rows.
+    The eleven maxima are one aggregate, read back as a scalar subquery: no join, no shuffle of
+    rows. One array instead of eleven columns keeps the expression small where it is repeated.
     """
     audio = features.filter(F.col("source") == "audio")
-    value = lambda c: F.coalesce(c, F.lit(0.0))                                   # noqa: E731
-    peak = audio.agg(F.struct(*[F.coalesce(F.nullif(F.max(value(c)), F.lit(0.0)), F.lit(1.0)).alias(c)
-                                for c in C.MOOD_COLS]).alias("peak")).scalar()
-    scaled = audio.withColumn("_peak", peak).select(
-        "track_id", *[(value(c) / F.col("_peak." + c)).alias(c) for c in C.MOOD_COLS])
-    return scaled.withColumn("_top", F.greatest(*C.MOOD_COLS))
+    values = F.array(*[F.coalesce(c, F.lit(0.0)) for c in C.MOOD_COLS])
+    peaks = F.array(*[F.max(F.coalesce(c, F.lit(0.0))) for c in C.MOOD_COLS])
+    peak = audio.agg(F.transform(peaks, lambda m: F.when(m == 0, 1.0).otherwise(m)).alias("peak")).scalar()
+    return audio.select("track_id", values.alias("_v")).withColumn("_p", peak).select(
+        "track_id", F.zip_with("_v", "_p", lambda v, p: v / p).alias("scaled"))
 
 
 def mood_tracks(features: DataFrame, mood: str) -> DataFrame:
@@ -78,7 +78,8 @@ def mood_tracks(features: DataFrame, mood: str) -> DataFrame:
     mood = mood.strip().lower()
     if mood not in C.MOODS:
         raise ValueError(f"unknown mood: {mood}")
-    return normalised_moods(features).filter(F.col("mood_" + mood) >= F.col("_top")).select("track_id")
+    own = F.get("scaled", F.lit(C.MOODS.index(mood)))
+    return normalised_moods(features).filter(own >= F.array_max("scaled")).select("track_id")
 
 
 # ---- joined relations ---------------------------------------------------------------------

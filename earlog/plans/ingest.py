@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from earlog.functions.columns import rounded
 
-from earlog.operators import queues as Q
+from earlog.operators import base, queues as Q
 from earlog.plans import inputs as I
 from earlog.plans.registry import query
 from earlog.sources import features as SF, ingest as N
@@ -18,7 +18,7 @@ NOW = dt.datetime(2024, 1, 31)
 
 def _history(spark, sf):
     """Export records written from the event log, with all the defects an export has."""
-    e = I.table(spark, sf, "events")
+    e = base.spread(I.table(spark, sf, "events").select("event_id", "ts", "event_type", "value", "props"))
     k, v, kind = I.item_of_event(), F.col("value"), F.col("event_type")
     return e.select(
         F.when(kind == "view", "YouTube Музыка").when(kind == "purchase", "").otherwise("YouTube").alias("header"),

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from earlog import config as C
-from earlog.functions.columns import col, rounded
+from earlog.functions.columns import col, let, rounded
 from earlog.functions.ship import by_value
 
 by_value(__name__)
@@ -81,11 +81,16 @@ def parse_tags(df: DataFrame, tags: str = "tags") -> DataFrame:
 
 def mood_columns(df: DataFrame) -> DataFrame:
     """The mood columns from the parsed tags: absent mood 0, no moods at all the uniform default."""
-    has = F.exists(F.map_values("moods"), lambda v: v.isNotNull()) & F.exists(
-        F.map_keys("moods"), lambda k: k.isin(C.MOOD_COLS))
-    return df.withColumns({
-        c: F.when(has, rounded(F.coalesce(F.try_element_at("moods", F.lit(c)), F.lit(0.0)), 3))
-        .otherwise(C.MOOD_DEFAULT) for c in C.MOOD_COLS})
+    names = F.array(*[F.lit(c) for c in C.MOOD_COLS])
+    values = F.transform(names, lambda m: F.try_element_at("moods", m))
+
+    def filled(found):
+        some = F.exists(found, lambda v: v.isNotNull())
+        return F.when(some, F.transform(found, lambda v: rounded(F.coalesce(v, F.lit(0.0)), 3)))
+
+    out = df.withColumn("_m", let(values, filled))
+    return out.withColumns({c: F.coalesce(F.get("_m", F.lit(i)), F.lit(C.MOOD_DEFAULT))
+                            for i, c in enumerate(C.MOOD_COLS)}).drop("_m")
 
 
 # --- fixed values: defaults of columns added to older feature tables --------------------
