@@ -7,7 +7,7 @@ from earlog import config as C
 from earlog.functions.columns import artist
 from earlog.functions.labels import genre_label
 from earlog.operators import base
-from earlog.operators.tracks import normalised_moods
+from earlog.operators.tracks import dominant_moods
 
 
 def genres(features: DataFrame, top: int = 40, minimum: int = 3) -> DataFrame:
@@ -32,8 +32,7 @@ def keys(features: DataFrame, tracks: DataFrame) -> DataFrame:
 
 def mood_counts(features: DataFrame) -> DataFrame:
     """Items per dominant mood, ties counted for each: eleven conditional counts in one pass."""
-    rows = normalised_moods(features).withColumn("top", F.array_max("scaled"))
-    sums = rows.agg(*[F.count_if(F.get("scaled", F.lit(i)) == F.col("top")).alias(m) for i, m in enumerate(C.MOODS)])
+    sums = dominant_moods(features).agg(*[F.count_if(F.col("mood") == m).alias(m) for m in C.MOODS])
     return sums.unpivot([], C.MOODS, "name", "count")
 
 

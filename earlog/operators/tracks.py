@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from earlog import config as C
-from earlog.functions.columns import artist, lookup, rounded
+from earlog.functions.columns import artist, let, lookup, rounded
 from earlog.operators import base
 
 SORTS = ["play_count", "first_listen", "last_listen", "duration", "tempo", "energy",
@@ -59,18 +59,25 @@ def filter_language(code: str) -> Column:
     return (F.col("language") == code) & (F.col("text_source") != "whisper")
 
 
-def normalised_moods(features: DataFrame) -> DataFrame:
-    """Audio rows with `scaled`: each mood divided by that mood's maximum, in the order of MOODS.
+def dominant_moods(features: DataFrame) -> DataFrame:
+    """track_id, mood: the moods that are largest after dividing each by its maximum; ties give rows.
 
     The eleven maxima are one aggregate, read back as a scalar subquery: no join, no shuffle of
-    rows. One array instead of eleven columns keeps the expression small where it is repeated.
+    rows. The generator also keeps filters on `mood` from repeating the arithmetic below it.
     """
     audio = features.filter(F.col("source") == "audio")
     values = F.array(*[F.coalesce(c, F.lit(0.0)) for c in C.MOOD_COLS])
     peaks = F.array(*[F.max(F.coalesce(c, F.lit(0.0))) for c in C.MOOD_COLS])
     peak = audio.agg(F.transform(peaks, lambda m: F.when(m == 0, 1.0).otherwise(m)).alias("peak")).scalar()
-    return audio.select("track_id", values.alias("_v")).withColumn("_p", peak).select(
-        "track_id", F.zip_with("_v", "_p", lambda v, p: v / p).alias("scaled"))
+    names = F.array(*[F.lit(m) for m in C.MOODS])
+
+    def largest(scaled: Column) -> Column:
+        hits = F.transform(scaled, lambda v, i: F.when(v >= F.array_max(scaled), F.get(names, i)))
+        return F.filter(hits, lambda m: m.isNotNull())
+
+    scaled = F.zip_with("_v", "_p", lambda v, p: v / p)
+    rows = audio.select("track_id", values.alias("_v")).withColumn("_p", peak)
+    return rows.select("track_id", F.explode_outer(let(scaled, largest)).alias("mood"))
 
 
 def mood_tracks(features: DataFrame, mood: str) -> DataFrame:
@@ -78,8 +85,7 @@ def mood_tracks(features: DataFrame, mood: str) -> DataFrame:
     mood = mood.strip().lower()
     if mood not in C.MOODS:
         raise ValueError(f"unknown mood: {mood}")
-    own = F.get("scaled", F.lit(C.MOODS.index(mood)))
-    return normalised_moods(features).filter(own >= F.array_max("scaled")).select("track_id")
+    return dominant_moods(features).filter(F.col("mood") == mood).select("track_id")
 
 
 # ---- joined relations ---------------------------------------------------------------------
