@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from earlog import config as C
-from earlog.functions.columns import rounded
 from earlog.operators import base
 from earlog.sources.features import decode_vectors, mood_columns, parse_tags
 
@@ -69,58 +68,60 @@ def counted_tracks(spark, sf) -> DataFrame:
         "play_count", F.coalesce("play_count", F.lit(0)).cast("bigint"))
 
 
+# Vector elements as SQL text: one call per column instead of one per operator keeps planning short.
+def _element(i: int) -> str:
+    return f"CAST(element_at(embedding, {i}) AS DOUBLE)"
+
+
+def _scaled(i: int) -> str:
+    return f"least(1.0D, abs({_element(i)}) * 4)"
+
+
 def _e(i: int) -> Column:
-    return F.element_at("embedding", i).cast("double")
+    return F.expr(_element(i))
 
 
 def _unit(i: int) -> Column:
-    return F.least(F.lit(1.0), F.abs(_e(i)) * 4)
+    return F.expr(_scaled(i))
 
 
-def _pick(values: list[str], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), index + 1)
+def _list(values: list[str]) -> str:
+    return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
-def _scored(names, first: int, keep: float) -> Column:
-    """Array of (name, score) for consecutive vector elements, weak ones dropped."""
-    entries = F.array(*[F.struct(n.alias("name"), rounded(_unit(first + j), 3).alias("score"))
-                        for j, n in enumerate(names)])
-    return F.filter(entries, lambda g: g["score"] >= keep)
+def _scored(names: list[str], first: int, keep: float) -> str:
+    """Array of (name, score) for consecutive vector elements, weak ones dropped; `names` are SQL."""
+    entries = ", ".join(f"named_struct('name', {n}, 'score', rint({_scaled(first + j)} * 1000) / 1000)" for j, n in enumerate(names))
+    return f"filter(array({entries}), g -> g.score >= {keep}D)"
 
 
 def raw_features(spark, sf) -> DataFrame:
     """Feature rows as an analyser stores them: vectors and tags are JSON text."""
-    label = F.col("label")
-    genre = lambda k: _pick(GENRES, label + k)                                    # noqa: E731
-    none = F.array().cast("array<struct<name:string,score:double>>")
-    tags = F.struct(
-        F.when(label == 7, none).otherwise(_scored([genre(k) for k in range(3)], 32, 0.05)).alias("genres"),
-        F.map_from_entries(F.when(label == 6, none).otherwise(
-            _scored([genre(k) for k in range(5)], 32, 0.02))).alias("styles"),
-        _scored([F.lit(n) for n in INSTRUMENTS], 37, 0.3).alias("instruments"),
-        F.map_from_entries(F.when(label == 2, none).otherwise(
-            _scored([F.lit(c) for c in C.MOOD_COLS], 20, 0.0))).alias("moods"),
-        F.map_from_entries(_scored([F.lit(t) for t in MOODTAGS], 52, 0.3)).alias("moodtags"),
-        rounded(_unit(31), 3).alias("vocal_ratio"))
-    vec = F.transform("embedding", lambda x: x.cast("double"))
-    text = lambda first, n: F.to_json(F.slice(vec, first, n))                      # noqa: E731
-    return table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("track_id"), label.alias("label"),
-        F.when(_e(49) > 0.25, "meta").otherwise("audio").alias("source"),
-        F.when(_e(50) > 0.25, 1).when(_e(51) > 0.15, 5).otherwise(6).alias("feat_version"),
-        rounded(F.abs(_e(1)) * 400 + 60, 1).alias("tempo"),
-        F.least(F.lit(1.0), F.abs(_e(2)) * 4 + 0.5).alias("mode_conf"),
-        _unit(3).alias("energy"), _unit(4).alias("danceability"), _unit(5).alias("acousticness"),
-        _unit(6).alias("brightness"), _pick(KEYS, label).alias("key"),
-        text(1, 26).alias("mfcc"), text(27, 12).alias("chroma"), text(39, 7).alias("contrast"),
-        F.when(label != 3, _unit(46)).alias("percussive"), F.when(label != 4, _e(47)).alias("dynamics"),
-        F.when(label != 5, -60 * _unit(48)).alias("loudness"),
-        F.when(_e(60) > 0.2, "").when(_e(60) < -0.2, "{broken").otherwise(F.to_json(tags)).alias("tags"),
-        F.when(label != 1, _unit(31)).alias("vocal_ratio"),
-        F.when(label % 3 == 0, True).when(label % 3 == 1, False).alias("has_vocals"),
-        F.col("embedding"),
-        F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, CAST(vec_id AS INT))")
-        .alias("analyzed_at"))
+    genre = [f"element_at({_list(GENRES)}, label + {k + 1})" for k in range(5)]
+    quoted = lambda names: [f"'{n}'" for n in names]                               # noqa: E731
+    none = "CAST(array() AS ARRAY<STRUCT<name: STRING, score: DOUBLE>>)"
+    tags = f"""to_json(named_struct(
+        'genres', CASE WHEN label = 7 THEN {none} ELSE {_scored(genre[:3], 32, 0.05)} END,
+        'styles', map_from_entries(CASE WHEN label = 6 THEN {none} ELSE {_scored(genre, 32, 0.02)} END),
+        'instruments', {_scored(quoted(INSTRUMENTS), 37, 0.3)},
+        'moods', map_from_entries(CASE WHEN label = 2 THEN {none} ELSE {_scored(quoted(C.MOOD_COLS), 20, 0.0)} END),
+        'moodtags', map_from_entries({_scored(quoted(MOODTAGS), 52, 0.3)}),
+        'vocal_ratio', rint({_scaled(31)} * 1000) / 1000))"""
+    text = lambda first, n: f"to_json(slice(transform(embedding, x -> CAST(x AS DOUBLE)), {first}, {n}))"
+    return table(spark, sf, "embeddings").selectExpr(
+        "vec_id AS track_id", "label", f"CASE WHEN {_element(49)} > 0.25 THEN 'meta' ELSE 'audio' END AS source",
+        f"CASE WHEN {_element(50)} > 0.25 THEN 1 WHEN {_element(51)} > 0.15 THEN 5 ELSE 6 END AS feat_version",
+        f"rint((abs({_element(1)}) * 400 + 60) * 10) / 10 AS tempo",
+        f"least(1.0D, abs({_element(2)}) * 4 + 0.5D) AS mode_conf",
+        f"{_scaled(3)} AS energy", f"{_scaled(4)} AS danceability", f"{_scaled(5)} AS acousticness", f"{_scaled(6)} AS brightness",
+        f"element_at({_list(KEYS)}, label + 1) AS key",
+        f"{text(1, 26)} AS mfcc", f"{text(27, 12)} AS chroma", f"{text(39, 7)} AS contrast",
+        f"CASE WHEN label <> 3 THEN {_scaled(46)} END AS percussive", f"CASE WHEN label <> 4 THEN {_element(47)} END AS dynamics",
+        f"CASE WHEN label <> 5 THEN -60 * {_scaled(48)} END AS loudness",
+        f"CASE WHEN {_element(60)} > 0.2 THEN '' WHEN {_element(60)} < -0.2 THEN '{{broken' ELSE {tags} END AS tags",
+        f"CASE WHEN label <> 1 THEN {_scaled(31)} END AS vocal_ratio",
+        "CASE label % 3 WHEN 0 THEN true WHEN 1 THEN false END AS has_vocals", "embedding",
+        "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, CAST(vec_id AS INT)) AS analyzed_at")
 
 
 def features(spark, sf) -> DataFrame:
