@@ -147,11 +147,14 @@ def read_back(tree: DataFrame) -> DataFrame:
         piece, held = None, []          # held: (lo, hi, tokens, loss) of the current path
         for c in batches:
             out = {n: [] for n in ("conv_id", "formatted", "loss_text", "roles", "texts")}
-            for p, start, toks, loss, vis, i in zip(*(c[n].to_pylist() for n in ("piece", "start", "tokens", "loss", "visible", "conv_id"))):
+            edge = c["tokens"].offsets.to_numpy() - c["tokens"].offsets[0].as_py()
+            flat, mask = (c[n].flatten().to_numpy() for n in ("tokens", "loss"))
+            for k, (p, start, vis, i) in enumerate(zip(*(c[n].to_pylist() for n in ("piece", "start", "visible", "conv_id")))):
                 if p != piece:
                     piece, held = p, []
-                if toks:
-                    held.append((start, start + len(toks), np.array(toks, "<i4"), np.array(loss, np.int8)))
+                if edge[k] < edge[k + 1]:
+                    # Copies: the path is held for longer than the batch.
+                    held.append((start, start + int(edge[k + 1] - edge[k]), flat[edge[k]:edge[k + 1]].copy(), mask[edge[k]:edge[k + 1]].copy()))
                 parts, masks, keep = [], [], []
                 for v in vis:
                     for lo, hi, x, m in held:

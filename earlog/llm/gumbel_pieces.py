@@ -117,7 +117,7 @@ class Words:
     def __init__(self, words: list[str], lat: Lattice):
         cp = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
         self.cp = cp = np.where(cp == BLANK, BLANK | FLAG, np.where(cp == 32, BLANK, cp))
-        self.length = np.array([len(w) for w in words])
+        self.length = np.array([len(w) for w in words], np.int64)
         self.at = np.concatenate([[0], np.cumsum(self.length)[:-1]]).astype(np.int64)
         left = np.repeat(self.at + self.length, self.length) - np.arange(len(cp))           # characters to the end of the word
         self.left = left
