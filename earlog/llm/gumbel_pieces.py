@@ -149,10 +149,10 @@ class Words:
             nxt = np.where(step[None] < back, beta[pos[:, None] + step[None]], np.where(step[None] == back, 0.0, -np.inf))
             w = weight[pos] + nxt
             top = w.max(1)
-            w = np.exp(w - top[:, None])
-            s = w.sum(1)
+            w = np.cumsum(np.exp(w - top[:, None]), 1)           # in order, so that a batch's longest piece changes nothing
+            s = w[:, -1]
             beta[pos] = top + np.log(s)
-            weight[pos] = np.cumsum(w / s[:, None], 1)
+            weight[pos] = w / s[:, None]
         self.cdf = weight
         self.cdf[:, -1] = 1.0
         self.total = beta[self.at] if len(words) else np.empty(0)

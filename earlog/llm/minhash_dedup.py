@@ -69,7 +69,7 @@ class Shingler:
         if len(self.known) > self.MOST:
             self.known.clear()
         known = self.known
-        for w in set(ws) - known.keys():
+        for w in (w for w in set(ws) if w not in known):
             known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
         h = np.array([known[w] for w in ws], U)
         n = min(self.words, len(h))

@@ -62,9 +62,9 @@ class WordEncoder:
                     join.append((w, core, w[len(core):]))
             else:
                 rest.append(w)
-        marks = {m for *_, m in join} - self.known.keys()
+        marks = {m for *_, m in join if m not in self.known}
         self._one_by_one(rest + sorted(marks - set(rest)))
-        self._letters(sorted(plain - self.known.keys()))
+        self._letters(sorted(w for w in plain if w not in self.known))
         for w, core, mark in join:
             self.known[w] = self.known[core] + self.known[mark]
 
@@ -73,8 +73,7 @@ class WordEncoder:
         split = [t.encode().split() for t in texts]
         if len(self.known) > self.MOST:
             self.known.clear()
-        new = set().union(*split) - self.known.keys()
-        self.learn(new)
+        self.learn({w for w in set().union(*split) if w not in self.known})
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
