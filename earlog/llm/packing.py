@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earlog.llm.common import arrow_map
+from earlog.llm.common import arrow_map, stash
 
 LENGTH, END_ID = 2048, 1
 #: Expected pieces of a group: one task packs a group at a time and holds only lengths and short keys of it.
@@ -41,7 +41,7 @@ class WordEncoder:
     def _letters(self, words: list[bytes]) -> None:
         for k in range(0, len(words), 512):
             part = words[k:k + 512]
-            ids = np.array(self.tok.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tok.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part) or cuts[-1] != len(ids):
                 self._one_by_one(part)
@@ -55,22 +55,22 @@ class WordEncoder:
         plain, rest, join = set(), [], []
         for w in words:
             core = w.rstrip(self.PUNCTUATION)
-            t = core.decode()
-            if t.isalpha() and max(t) < "ɐ" and "İ" not in t and b"<|" not in w:
+            if b"<|" not in w and (core.isalpha() or (t := core.decode()).isalpha() and max(t) < "ɐ" and "İ" not in t):
                 plain.add(core)
                 if len(core) < len(w):
                     join.append((w, core, w[len(core):]))
             else:
                 rest.append(w)
         marks = {m for *_, m in join if m not in self.known}
-        self._one_by_one(rest + sorted(marks - set(rest)))
-        self._letters(sorted(w for w in plain if w not in self.known))
+        self._one_by_one([*marks.union(rest)])
+        self._letters([w for w in plain if w not in self.known])
         for w, core, mark in join:
             self.known[w] = self.known[core] + self.known[mark]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [t.encode().split() for t in texts]
+        # The tokenizer lowers all letters, but special tokens are found before that.
+        split = [(raw if b"<|" in raw else raw.lower()).split() for raw in map(str.encode, texts)]
         if len(self.known) > self.MOST:
             self.known.clear()
         self.learn({w for w in set().union(*split) if w not in self.known})
@@ -132,6 +132,7 @@ def pack(pieces: DataFrame, capacity: int = LENGTH, group_pieces: int = GROUP_PI
     depends on the data; ties in length fall in hash order. Pieces of length 0 or null, and longer ones than the capacity,
     are an error of the caller. Null ids and repeated rows are packed like others; an empty table stays empty.
     """
+    pieces = stash(pieces)                  # counted and dealt from one written copy: texts are encoded once
     groups = max(1, -(-pieces.count() // group_pieces))
     parts = min(groups, 4 * int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     h = F.xxhash64("doc_id", "start", *(["salt"] if "salt" in pieces.columns else []), F.lit(seed))
