@@ -3,8 +3,8 @@
 Work is kept linear in groups of copies. Texts with the same set of shingles form a class and only one of a class is banded.
 First every member of a band bucket meets only the next one in the bucket's order (four orders over the bands); the links
 confirmed so far give components. Then only buckets that still hold several components are searched in full, in blocks, for
-pairs of different components. Every pair that shares a bucket is thus confirmed, pruned by its posterior, or needless
-because both are already connected.
+pairs of different components; full sets travel with these rows, so a task confirms survivors itself and returns links alone.
+Every pair that shares a bucket is thus confirmed, pruned by its posterior, or needless because both are already connected.
 """
 from __future__ import annotations
 
@@ -19,7 +19,7 @@ from earlog.llm.common import arrow_map, components, stash
 
 #: Chance that no band of a pair at the threshold agrees; posterior below which a candidate is pruned.
 MISS, PRUNE = 1e-6, 1e-6
-MOST_HASHES, BATCH, BLOCK = 192, 16, 1024
+MOST_HASHES, BATCH, BLOCK = 192, 16, 512
 #: Shingles that are hashed at once.
 STEP = 4096
 U = np.uint64
@@ -105,6 +105,34 @@ def survives(x: np.ndarray, y: np.ndarray, least: np.ndarray) -> np.ndarray:
     return alive
 
 
+def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
+    """Bucket of each signature in each band."""
+    x = sig.reshape(len(sig), bands, -1)
+    h = np.zeros(x.shape[:2], U) + np.arange(1, bands + 1, dtype=U)[None]
+    for j in range(x.shape[2]):
+        h = mix(h * U(0x9E3779B97F4A7C15) + x[:, :, j])
+    return h.view(np.int64)
+
+
+def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
+def full_sets(wanted: DataFrame, docs: DataFrame, sigs: DataFrame, words: int) -> DataFrame:
+    """Written table (rep, sig, s): signature and full shingle set of the wanted documents, from their whole texts."""
+    def sets(batches):
+        s = Shingler(words)
+        for c in batches:
+            found = [s.shingles(t).tobytes() for t in c["text"].to_pylist()]
+            # A repeated id may carry several texts: the one of the class counts.
+            keep = [k for k, (x, key) in enumerate(zip(found, c["key"].to_pylist())) if set_key(x) == key]
+            yield {n: c[n].take(keep) for n in ("rep", "key", "sig")} | {"s": [found[k] for k in keep]}
+    own = wanted.join(sigs, "rep")
+    return stash(arrow_map(docs.join(own, docs["doc_id"] == own["rep"]).select("rep", "key", "sig", "text"), sets,
+                           "rep bigint, key string, sig binary, s binary").dropDuplicates(["rep", "key"]).select("rep", "sig", "s"))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, sigs: DataFrame, words: int, threshold: float, least: np.ndarray) -> DataFrame:
     """Pairs (a, b) whose signatures survive and whose full shingle sets reach the threshold."""
     percent = round(threshold * 100)
@@ -117,29 +145,15 @@ def verified(pairs: DataFrame, docs: DataFrame, sigs: DataFrame, words: int, thr
             keep = survives(x, y, least)
             yield {n: c[n].take(keep) for n in ("a", "b")}
     left = stash(arrow_map(pairs.join(one, "a").join(two, "b"), prune, "a bigint, b bigint"))
-    wanted = left.select("a").union(left.select("b")).distinct().withColumnRenamed("a", "doc_id")
-
-    def sets(batches):
-        s = Shingler(words)
-        for c in batches:
-            found = [s.shingles(t).tobytes() for t in c["text"].to_pylist()]
-            # A repeated id may carry several texts: the one of the class counts.
-            keep = [k for k, (x, key) in enumerate(zip(found, c["key"].to_pylist())) if set_key(x) == key]
-            yield {"doc_id": c["doc_id"].take(keep), "key": c["key"].take(keep), "s": [found[k] for k in keep]}
-    full = stash(arrow_map(docs.join(wanted.join(sigs.select(F.col("rep").alias("doc_id"), "key"), "doc_id"), "doc_id"), sets,
-                           "doc_id bigint, key string, s binary").dropDuplicates(["doc_id", "key"]).select("doc_id", "s"))
+    full = full_sets(left.select(F.col("a").alias("rep")).union(left.select("b")).distinct(), docs, sigs, words).drop("sig")
 
     def confirm(batches):
         for c in batches:
-            ok = []
-            for p, q in zip(c["s"].to_pylist(), c["r"].to_pylist()):
-                p, q = np.frombuffer(p, U), np.frombuffer(q, U)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(100 * both >= percent * (len(p) + len(q) - both))
-            keep = np.flatnonzero(ok)
+            keep = [k for k, (p, q) in enumerate(zip(c["s"].to_pylist(), c["r"].to_pylist()))
+                    if similar(np.frombuffer(p, U), np.frombuffer(q, U), percent)]
             yield {n: c[n].take(keep) for n in ("a", "b")}
-    return arrow_map(left.join(full.withColumnRenamed("doc_id", "a"), "a")
-                     .join(full.select(F.col("doc_id").alias("b"), F.col("s").alias("r")), "b"), confirm, "a bigint, b bigint")
+    return arrow_map(left.join(full.withColumnRenamed("rep", "a"), "a")
+                     .join(full.select(F.col("rep").alias("b"), F.col("s").alias("r")), "b"), confirm, "a bigint, b bigint")
 
 
 def minhash_components(docs: DataFrame, words: int = 5, threshold: float = 0.8, miss: float = MISS, prune: float = PRUNE,
@@ -173,13 +187,10 @@ def minhash_components(docs: DataFrame, words: int = 5, threshold: float = 0.8,
 
     def band(batches):
         for c in batches:
-            x = np.frombuffer(b"".join(c["sig"].to_pylist()), np.uint32).reshape(-1, bands, rows_)
-            h = np.zeros(x.shape[:2], U) + np.arange(1, bands + 1, dtype=U)[None]
-            for j in range(rows_):
-                h = mix(h * U(0x9E3779B97F4A7C15) + x[:, :, j])
+            x = np.frombuffer(b"".join(c["sig"].to_pylist()), np.uint32).reshape(-1, hashes)
             rep = np.repeat(c["rep"].to_numpy(), bands)
             order = mix(rep.astype(U) * U(4) + np.tile(np.arange(bands, dtype=U) % U(4), len(x)))
-            yield {"bucket": h.ravel().view(np.int64), "rep": rep, "o": order.view(np.int64)}
+            yield {"bucket": band_keys(x, bands).ravel(), "rep": rep, "o": order.view(np.int64)}
     places = stash(arrow_map(sigs.select("rep", "sig"), band, "bucket bigint, rep bigint, o bigint")
                    .repartitionByRange("bucket", "o").sortWithinPartitions("bucket", "o"))
 
@@ -202,27 +213,36 @@ def minhash_components(docs: DataFrame, words: int = 5, threshold: float = 0.8,
     member = stash(member)
     open_ = stash(member.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
                   .where("lo <> hi").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    member = stash(member.join(open_, "bucket"))
+    full = full_sets(member.select("rep").distinct(), docs, sigs, words)
     own = F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks")).cast("int")
-    spread = (member.join(open_, "bucket").withColumn("own", own)
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .join(sigs.select("rep", "sig"), "rep")
-              .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "sig"))
+    spread = (member.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .join(full, "rep")
+              .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "sig", "s"))
     key = ["bucket", "i", "j"]
     dealt = spread.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key)
+    percent = round(threshold * 100)
 
     def across(batches):
-        names, held, group = (*key, "own", "rep", "comp", "sig"), [], None
+        names, held, group = (*key, "own", "rep", "comp", "sig", "s"), [], None
 
         def emit():
             if len({r[5] for r in held}) < 2:
                 return
             sig = np.stack([np.frombuffer(r[6], np.uint32) for r in held])
-            side, rep, cmp = (np.array([r[k] for r in held]) for k in (3, 4, 5))
+            side, rep, comp_ = (np.array([r[k] for r in held]) for k in (3, 4, 5))
+            keys, found = band_keys(sig, bands), []
             for k in range(len(held) - 1):
-                to = k + 1 + np.flatnonzero((cmp[k + 1:] != cmp[k]) & ((side[k + 1:] != side[k]) | (group[1] == group[2])))
-                to = to[survives(np.broadcast_to(sig[k], (len(to), sig.shape[1])), sig[to], least)]
-                if len(to):
-                    yield {"a": np.minimum(rep[to], rep[k]), "b": np.maximum(rep[to], rep[k])}
+                to = k + 1 + np.flatnonzero((comp_[k + 1:] != comp_[k]) & ((side[k + 1:] != side[k]) | (group[1] == group[2])))
+                to = to[survives(np.broadcast_to(sig[k], (len(to), hashes)), sig[to], least)]
+                # A pair is confirmed in the first of its buckets only.
+                to = to[keys[k, (keys[to] == keys[k]).argmax(1)] == group[0]] if len(to) else to
+                for q in to[np.argsort(-(sig[to] == sig[k]).sum(1), kind="stable")]:
+                    if comp_[q] != comp_[k] and similar(np.frombuffer(held[k][7], U), np.frombuffer(held[q][7], U), percent):
+                        found.append(sorted((int(rep[k]), int(rep[q]))))
+                        comp_[comp_ == comp_[q]] = comp_[k]
+            if found:
+                yield {"a": [x for x, _ in found], "b": [y for _, y in found]}
         for c in batches:
             for r in zip(*(c[n].to_pylist() for n in names)):
                 if r[:3] != group:
@@ -230,8 +250,7 @@ def minhash_components(docs: DataFrame, words: int = 5, threshold: float = 0.8,
                     held, group = [], r[:3]
                 held.append(r)
         yield from emit()
-    more = arrow_map(dealt, across, "a bigint, b bigint").distinct()
-    comp = components(links.union(verified(more, docs, sigs, words, threshold, least)))
+    comp = components(links.union(arrow_map(dealt, across, "a bigint, b bigint")))
     classes = stash(sigs.select("key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
                     .select("key", F.coalesce("component", "rep").alias("component_id")))
     # A row without an id is no node, so it takes no class.
