@@ -12,6 +12,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +20,11 @@ from earlog.llm.common import arrow_map, stash
 
 #: States, share of a frequent word as a power of two, buckets of other words, words whose meetings give the first states.
 STATES, FREQUENT, BUCKETS, ANCHORS = 8, 14, 1024, 256
+#: Words with at least a 2**-LOOKED_UP share of the tokens (so at most 2**17) go to the tasks in a table; only rarer ones are joined.
+LOOKED_UP = 17
 END = b" "              # no word contains a blank
 #: Texts that run through the recursion side by side.
-SIDE = 512
+SIDE, TOKENS = 1024, 400_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -37,12 +40,6 @@ class Model:
     start: np.ndarray       # K
     step: np.ndarray        # K x K
     emit: np.ndarray        # symbol x K
-    symbols: dict           # frequent word -> symbol; buckets follow
-    buckets: int
-
-    def sequence(self, words: list[bytes]) -> np.ndarray:
-        get, n, b = self.symbols.get, len(self.symbols), self.buckets
-        return np.array([s if (s := get(w)) is not None else n + bucket_of(w, b) for w in words] + [self.symbols[END]], np.uint16)
 
 
 def _columns(seqs: list[np.ndarray]):
@@ -105,7 +102,7 @@ def side_by_side(seqs: list[np.ndarray]):
     order = sorted(range(len(seqs)), key=lambda k: len(seqs[k]))
     group, size = [], 0
     for k in order:
-        if group and (len(group) >= SIDE or size + len(seqs[k]) > 200_000):
+        if group and (len(group) >= SIDE or size + len(seqs[k]) > TOKENS):
             yield group
             group, size = [], 0
         group.append(k)
@@ -176,62 +173,75 @@ def train(sequences: DataFrame, m: Model, passes: int, floor: float = 0.01) -> M
         prior = s["emit"].sum(1, keepdims=True) + 0.5
         emit = s["emit"] + floor * s["emit"].sum(0) * prior / prior.sum() + 1e-9
         step, start = s["step"] + 0.5, s["start"] + 0.5
-        m = Model(start / start.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(0), m.symbols, m.buckets)
+        m = Model(start / start.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(0))
     return m
 
 
 def language_model_scores(docs: DataFrame, states: int = STATES, passes: int = 3, frequent: int = FREQUENT,
-                          buckets: int = BUCKETS) -> DataFrame:
+                          buckets: int = BUCKETS, looked_up: int = LOOKED_UP) -> DataFrame:
     """Per row of documents (doc_id, text, train): doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from all rows where `train` is true (null: false) and scores all rows. base_score is the smoothed unigram log10
-    probability, score the model's. Null and blank texts are the end token alone. Rows are told apart by id and text hash;
-    rows that agree in both have the same result and all are returned. Without any training row every word is unseen.
+    probability, score the model's. Null and blank texts are the end token alone. Repeated rows and rows without an id are
+    scored one by one. Without any training row every word is unseen. Further columns are ignored.
     """
     docs = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("train", F.lit(False)).alias("train")))
     counts = stash(word_counts(docs.where("train").select("text")))
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = int(total["n"] or 0), int(total["v"])
-    is_end, often = F.col("word") == F.lit(END), F.col("n") >= n / 2**frequent
-    # Bounded by the share: at most 2**frequent words.
-    top = counts.where(often & ~is_end).orderBy(F.desc("n"), "word").limit(2**frequent).collect()
-    symbols = {END: 0} | {bytes(r["word"]): k + 1 for k, r in enumerate(top)}
-    known = {END: sum(r["n"] for r in counts.where(is_end).collect())} | {bytes(r["word"]): int(r["n"]) for r in top}
-    ns = len(symbols) + buckets
-    log_denominator = np.log10(n + 0.5 * (v + 1))
-    base_of = {w: float(np.log10(c + 0.5)) for w, c in known.items()}
-
-    # Symbol sequences, the part of the scores that frequent words decide, and how often rare words occur.
-    empty = Model(np.empty(0), np.empty(0), np.empty(0), symbols, buckets)
-
+    is_end, often = F.col("word") == F.lit(END), F.col("n") >= n / 2**looked_up
+    # Bounded by the share: at most 2**looked_up words.
+    top = counts.where(often & ~is_end).orderBy(F.desc("n"), "word").limit(2**looked_up).collect()
+    ends = sum(r["n"] for r in counts.where(is_end).collect())
+    table = {END: 0} | {bytes(r["word"]): k + 1 for k, r in enumerate(top)}
+    count_of = np.array([ends] + [r["n"] for r in top])
+    n_own = 1 + int((count_of[1:] >= n / 2**frequent).sum())            # the end and the most frequent words, in this order
+    ns = n_own + buckets
+    in_bucket = [bucket_of(w, buckets) for w in list(table)[n_own:]]
+    symbol_of = np.array([*range(n_own), *(n_own + b for b in in_bucket)], np.uint16)
+    log_count = np.log10(count_of + 0.5)
+    log_denominator = float(np.log10(n + 0.5 * (v + 1)))
+
+    # Symbol sequences, what the looked-up words add to the scores, and how often rarer words occur.
     def encode(batches):
         for c in batches:
-            out = {k: [] for k in ("doc_id", "h", "train", "seq", "n_tokens", "known", "base", "rare")}
-            for i, h, t, tr in zip(c["doc_id"].to_pylist(), c["h"].to_pylist(), c["text"].to_pylist(), c["train"].to_pylist()):
+            out = {k: [] for k in ("seq", "n_tokens", "known", "base", "inside")}
+            rare_words, rare_times, edge, get = [], [], [0], table.get
+            for t in c["text"].to_pylist():
                 ws = words_of(t)
-                seq = empty.sequence(ws)
-                rare = Counter(w for w in ws if w not in symbols)
-                base = [base_of[w] for w in ws if w in symbols] + [base_of[END]]
-                k = sum(known[w] > 0 for w in ws if w in symbols) + (known[END] > 0)
-                for name, x in zip(out, (i, h, tr, seq.tobytes(), len(seq), k, float(sum(base)), list(rare.items()))):
+                at = np.array([get(w, -1) for w in ws] + [0])
+                seq = symbol_of[at]
+                new = np.flatnonzero(at < 0)
+                rare = Counter()
+                if len(new):
+                    odd = [ws[k] for k in new.tolist()]
+                    seq[new] = [n_own + bucket_of(w, buckets) for w in odd]
+                    rare.update(odd)
+                hit = at[at >= 0]
+                rare_words += rare.keys()
+                rare_times += rare.values()
+                edge.append(len(rare_words))
+                for name, x in zip(out, (seq.tobytes(), len(seq), int((count_of[hit] > 0).sum()), float(log_count[hit].sum()),
+                                         float(log_count[hit[hit >= n_own]].sum()))):
                     out[name].append(x)
-            out["rare"] = [[{"word": w, "n": x} for w, x in r] for r in out["rare"]]
-            yield out
-    hashed = docs.withColumn("h", F.xxhash64("text"))
-    coded = stash(arrow_map(hashed, encode, "doc_id bigint, h bigint, train boolean, seq binary, n_tokens bigint, known bigint, "
-                            "base double, rare array<struct<word:binary,n:int>>"))
-    sequences = coded.select("doc_id", "h", "train", "seq", "n_tokens", "known", "base")
+            flat = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_times, pa.int32())], ["word", "n"])
+            yield out | {"doc_id": c["doc_id"], "train": c["train"], "rare": pa.ListArray.from_arrays(pa.array(edge, pa.int32()), flat)}
+    # Row numbers are fixed once the table is written.
+    coded = stash(arrow_map(docs, encode, "doc_id bigint, train boolean, seq binary, n_tokens bigint, known bigint, base double, "
+                            "inside double, rare array<struct<word:binary,n:int>>").withColumn("row", F.monotonically_increasing_id()))
+    sequences = coded.drop("rare")
 
     # First states: groups of frequent words that keep the same company in the training texts.
-    anchors = min(ANCHORS, len(symbols) - 1)
+    anchors = min(ANCHORS, n_own - 1)
 
     def meetings(batches):
         meet, freq = np.zeros((anchors, anchors)), np.zeros(ns)
         for c in batches:
-            have = np.zeros((len(c["seq"]), anchors))
-            for k, s in enumerate(np.frombuffer(b, np.uint16) for b in c["seq"].to_pylist()):
-                freq += np.bincount(s, minlength=ns)
-                have[k, s[(s > 0) & (s <= anchors)] - 1] = 1
+            seqs = [np.frombuffer(b, np.uint16) for b in c["seq"].to_pylist()]
+            flat, text = np.concatenate(seqs), np.repeat(np.arange(len(seqs)), [len(s) for s in seqs])
+            freq += np.bincount(flat, minlength=ns)
+            have, use = np.zeros((len(seqs), anchors)), (flat > 0) & (flat <= anchors)
+            have[text[use], flat[use] - 1] = 1
             meet += have.T @ have
         return {"meet": meet, "freq": freq}
     first = _task_sums(sequences.where("train").select("seq"), meetings, {"meet": (anchors, anchors), "freq": (ns,)})
@@ -242,44 +252,37 @@ def language_model_scores(docs: DataFrame, states: int = STATES, passes: int = 3
     emit /= emit.sum(0)
     stay = np.full((states, states), 0.1 / max(1, states - 1)) if states > 1 else np.ones((1, 1))
     np.fill_diagonal(stay, 0.9 if states > 1 else 1.0)
-    model = train(sequences, Model(np.full(states, 1 / states), stay, emit, symbols, buckets), passes)
+    model = train(sequences, Model(np.full(states, 1 / states), stay, emit), passes)
 
-    # Rare words: their counts meet the texts that hold them; none has more than a 2**-frequent share of the training tokens.
+    # Rarer words: their counts meet the texts that hold them; none has more than a 2**-looked_up share of the training tokens.
     inside = counts.where(~often & ~is_end)
 
     def bucketed(batches):
         for c in batches:
-            yield c | {"b": [bucket_of(w, buckets) for w in c["word"].to_pylist()]}
-    inside = stash(arrow_map(inside, bucketed, "word binary, n bigint, b int"))
+            yield {"b": [bucket_of(w, buckets) for w in c["word"].to_pylist()], "n": c["n"]}
     sums = np.zeros((buckets, 2))
-    for r in inside.groupBy("b").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
-        sums[r["b"]] = r["n"], r["v"]
-    room = [float(x) for x in np.log10(sums[:, 0] + 0.5 * (sums[:, 1] + 1))]
-    pieces = coded.select("doc_id", "h", F.explode("rare").alias("r")).select("doc_id", "h", "r.word", F.col("r.n").alias("times"))
-    found = (pieces.join(inside.select("word", "n"), "word", "left")
-             .groupBy("doc_id", "h").agg(F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("k"),
-                                         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("logs"))
-             .withColumnsRenamed({"doc_id": "i2", "h": "h2"}))
+    np.add.at(sums, in_bucket, np.stack([count_of[n_own:], np.ones(len(in_bucket))], 1))
+    for r in (arrow_map(inside, bucketed, "b int, n bigint").groupBy("b")
+              .agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()):                  # one row for each bucket
+        sums[r["b"]] += r["n"], r["v"]
+    room = np.log10(sums[:, 0] + 0.5 * (sums[:, 1] + 1))
+    pieces = coded.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
+    found = (pieces.join(inside.hint("shuffle_hash"), "word", "left")
+             .groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("k"),
+                                 F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("logs")))
 
     def likelihood(batches):
-        room_ = np.array(room)
         for c in batches:
             seqs = [np.frombuffer(b, np.uint16) for b in c["seq"].to_pylist()]
             s = np.empty(len(seqs))
             for g in side_by_side(seqs):
                 s[g] = forward([seqs[k] for k in g], model) / np.log(10)
             for k, q in enumerate(seqs):
-                r = q[q >= len(symbols)].astype(np.int64) - len(symbols)
-                s[k] -= room_[r].sum()
-            yield {k: c[k] for k in ("doc_id", "h", "n_tokens", "known", "base")} | {"s": s}
-    scored = arrow_map(sequences, likelihood, "doc_id bigint, h bigint, n_tokens bigint, known bigint, base double, s double")
-    # Rows that repeat id and text contributed their rare words once each: divide by the copies.
-    copies = coded.groupBy("doc_id", "h").count().where("count > 1").withColumnsRenamed({"doc_id": "i3", "h": "h3"})
-    joined = (scored.join(found, F.col("doc_id").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2")), "left")
-              .join(copies, F.col("doc_id").eqNullSafe(F.col("i3")) & (F.col("h") == F.col("h3")), "left"))
-    each = F.coalesce("count", F.lit(1))
-    logs, k = F.coalesce(F.col("logs") / each, F.lit(0.0)), F.coalesce(F.col("k") / each, F.lit(0)).cast("long")
-    return joined.select(
-        "doc_id", "n_tokens", (F.col("known") + k).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + logs - F.col("n_tokens") * F.lit(float(log_denominator))).alias("base_score"),
-        (F.col("s") + logs).alias("score"))
+                s[k] -= room[q[q >= n_own].astype(np.int64) - n_own].sum()
+            yield {k: c[k] for k in ("doc_id", "row", "n_tokens", "known", "base", "inside")} | {"s": s}
+    scored = arrow_map(sequences, likelihood, "doc_id bigint, row bigint, n_tokens bigint, known bigint, base double, inside double, s double")
+    logs = F.coalesce("logs", F.lit(0.0))
+    return scored.join(found, "row", "left").select(
+        "doc_id", "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("base") + logs - F.col("n_tokens") * F.lit(log_denominator)).alias("base_score"),
+        (F.col("s") + F.col("inside") + logs).alias("score"))

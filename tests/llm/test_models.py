@@ -53,7 +53,7 @@ def test_quality_odd(spark, odd_docs):
 def test_forward_and_counts_against_all_paths():
     rng = np.random.default_rng(3)
     k, s = 3, 4
-    m = h.Model(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(s), k).T, {h.END: 0}, s)
+    m = h.Model(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(s), k).T)
     seqs = [np.array(x, np.uint16) for x in ([1], [0, 2, 3], [3, 3], [1, 0, 2, 2])]
     counts = {"start": np.zeros(k), "step": np.zeros((k, k)), "emit": np.zeros((s, k))}
     logs, want = h.forward(seqs, m), {n: np.zeros_like(v) for n, v in counts.items()}
@@ -104,7 +104,7 @@ def test_probabilities_sum_to_one(spark):
     ask = [""] + known + list(fresh.values())
     rows = [(k, t, True) for k, t in enumerate(texts)] + [(100 + k, t, False) for k, t in enumerate(ask)]
     for share in (14, 1):                                    # all words have symbols of their own; most share a bucket
-        got = h.language_model_scores(spark.createDataFrame(rows, "doc_id long, text string, train boolean"), states=2, passes=2, frequent=share, buckets=buckets)
+        got = h.language_model_scores(spark.createDataFrame(rows, "doc_id long, text string, train boolean"), states=2, passes=2, frequent=share, buckets=buckets, looked_up=share + 1)
         p = {r["doc_id"]: 10 ** r["score"] for r in got.collect()}
         assert len(fresh) == buckets and used and all(0 < x < 1 for x in p.values())
         assert sum(x for k, x in p.items() if k >= 100) < 1 + 1e-9
