@@ -78,12 +78,13 @@ def kpi(listens, tracks, d_from=None, d_to=None, as_of: dt.date | None = None) -
     return wide.select(F.inline(rows)).withColumn("delta", percent_change(F.col("value"), F.col("prev")))
 
 
-def artists(listens, tracks, limit: int = 20000) -> DataFrame:
-    """Plays, distinct items, last play and most played item of each canonical artist."""
-    return (base.music_counts(listens, tracks).filter(F.col("artist") != "").groupBy("artist")
+def artists(listens, tracks, limit: int | None = None) -> DataFrame:
+    """Plays, distinct items, last play and most played item of each canonical artist; all, or the `limit` most played."""
+    out = (base.music_counts(listens, tracks).filter(F.col("artist") != "").groupBy("artist")
             .agg(F.sum("n").alias("plays"), F.count(F.lit(1)).alias("tracks"),
                  F.max("last_at").alias("last_listen"), top_item().alias("top_track_id"))
-            .orderBy(F.col("plays").desc(), "artist").limit(limit))
+            .orderBy(F.col("plays").desc(), "artist"))
+    return out if limit is None else out.limit(limit)
 
 
 def top_item(value: Column | None = None, *ties: str) -> Column:
@@ -147,8 +148,10 @@ def genre_distribution(listens, tracks, features, d_from=None, d_to=None, limit:
 
 
 def _weighted_mean(c: str, digits: int) -> Column:
+    """Decimal sums are exact, so the last digit does not depend on the order of partial sums."""
     weight = F.sum(F.when(F.col(c).isNotNull(), F.col("n")))
-    return rounded(F.sum(F.col(c) * F.col("n")) / weight, digits)
+    total = F.sum(F.col(c).cast("decimal(18,9)") * F.col("n").cast("decimal(12,0)"))
+    return rounded(total.cast("double") / weight, digits)
 
 
 def avg_features(listens, tracks, features, d_from=None, d_to=None) -> DataFrame:
@@ -214,9 +217,9 @@ def new_artists(listens, tracks, d_from=None, d_to=None, n: int = 5, as_of: dt.d
     """Artists first heard in the period, with their most played item and the full count."""
     d_from, d_to = base.period_bounds(d_from, d_to, as_of)
     found = first_in_period(listens, tracks, ["artist"], d_from, d_to).filter(F.col("artist") != "")
-    best = found.orderBy(F.col("n").desc(), "artist").limit(max(1, min(n, 50)))
-    return (best.join(F.broadcast(artist_top_item(listens, tracks).join(best.select("artist"), "artist",
-                                                                        "left_semi")), "artist", "left")
+    best = found.orderBy(F.col("n").desc(), "artist").limit(max(1, n))
+    tops = artist_top_item(listens, tracks).join(best.select("artist"), "artist", "left_semi")
+    return (best.join(tops, "artist", "left")
             .select(F.col("artist").alias("name"), F.col("n").alias("plays"), "top_track_id",
                     found.agg(F.count(F.lit(1))).scalar().alias("total")))
 
@@ -224,7 +227,7 @@ def new_artists(listens, tracks, d_from=None, d_to=None, n: int = 5, as_of: dt.d
 def new_tracks(listens, tracks, features, d_from=None, d_to=None, n: int = 5, as_of=None) -> DataFrame:
     d_from, d_to = base.period_bounds(d_from, d_to, as_of)
     found = first_in_period(listens, tracks, ["track_id"], d_from, d_to)
-    best = found.orderBy(F.col("n").desc(), "track_id").limit(max(1, min(n, 50)))
+    best = found.orderBy(F.col("n").desc(), "track_id").limit(max(1, n))
     return (best.join(features.select("track_id", "tempo", "energy"), "track_id", "left")
             .select("track_id", "title", "channel", "artist", F.col("n").alias("plays"), "duration",
                     rounded("tempo", 1).alias("tempo"), rounded("energy", 2).alias("energy"),

@@ -152,11 +152,11 @@ def order_cols(sort: str = "play_count", order: str = "desc") -> list[Column]:
 
 def page(df: DataFrame, sort="play_count", order="desc", page_no: int = 1, per_page: int = 200) -> DataFrame:
     """One page with the total; only the page is sorted out of the data (take-ordered)."""
-    size = max(1, min(per_page, 500))
+    size = max(1, per_page)
     first = (max(1, page_no) - 1) * size
     total = df.agg(F.count(F.lit(1))).scalar()
     rows = df.orderBy(*order_cols(sort, order)).offset(first).limit(size)
-    # at most 500 rows are left here, so numbering them in one task is bounded
+    # one page of rows is left here, so numbering them in one task is bounded
     return rows.withColumns({"total": total,
                              "position": F.row_number().over(Window.orderBy(*order_cols(sort, order))) + first})
 

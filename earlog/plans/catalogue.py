@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from earlog import config as C
 from earlog.functions.columns import rounded
-from earlog.functions.labels import GENRES_LOWER, GENRES_OTHER, LANGUAGES, REASONS, map_labels
+from earlog.functions.labels import GENRES, LANGUAGES, REASONS, map_labels
 from earlog.operators import base, catalog, stats, tracks as T
 from earlog.plans import inputs as I
 from earlog.plans.registry import query
@@ -42,11 +42,11 @@ def _all(spark, sf):
     r AS (SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY play_count DESC NULLS LAST, title, track_id)
         AS position FROM prof WHERE is_music)
     SELECT {_ROW}, total, CAST(position AS INTEGER) AS position, err.track_id IS NOT NULL AS has_error
-    FROM r LEFT JOIN err USING (track_id) WHERE position BETWEEN 201 AND 400""", *_BASE, "attempts")
+    FROM r LEFT JOIN err USING (track_id) WHERE position BETWEEN 51 AND 100""", *_BASE, "attempts")
 def tracks_query(spark, sf):
     """Second page of the default view."""
     errors = I.attempts(spark, sf).filter(F.col("status") != "ok")
-    return T.tracks_query(*_all(spark, sf), errors=errors, page_no=2).select(*_cols(), "total", "position", "has_error")
+    return T.tracks_query(*_all(spark, sf), errors=errors, page_no=2, per_page=50).select(*_cols(), "total", "position", "has_error")
 
 
 @query("tracks_by_tempo", f"""WITH {_PROFILE}, r AS (SELECT *, count(*) OVER () AS total, row_number() OVER
@@ -123,7 +123,7 @@ def _case(col: str, pairs: dict) -> str:
 
 @query("genres", f"""WITH g AS (SELECT unnest(genres).name AS name FROM features WHERE tags <> ''),
     n AS (SELECT name, count(*) AS count FROM g GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 40)
-    SELECT name, count, {_case('name', {**GENRES_OTHER, **{g: g.lower() for g in GENRES_LOWER}})} AS label
+    SELECT name, count, {_case('name', GENRES)} AS label
     FROM n WHERE count >= 3""", "features")
 def genres(spark, sf):
     return catalog.genres(I.features(spark, sf))

@@ -192,9 +192,9 @@ def _streak_sql(cond: str, limit: int) -> str:
         SELECT max(n) AS longest, count(*) FILTER (n > 0) AS runs, max(n) >= {limit} AS reached FROM k"""
 
 
-@query("failure_streaks_bot", _streak_sql("error LIKE 'Sign in%'", 4), "attempts")
+@query("failure_streaks_bot", _streak_sql("error LIKE 'Sign in%'", 12), "attempts")
 def failure_streaks_bot(spark, sf):
-    return Q.failure_streaks(I.attempts(spark, sf), "bot", 4)
+    return Q.failure_streaks(I.attempts(spark, sf), "bot")
 
 
 @query("failure_streaks_network", _streak_sql(_NET, 10), "attempts")

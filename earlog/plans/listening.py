@@ -12,7 +12,7 @@ from earlog.plans import inputs as I
 from earlog.plans.registry import query
 
 NOW = dt.datetime(2024, 1, 31)
-GAP, STEP, LIMIT = 720, 240, 40
+GAP, STEP, LIMIT = 720, 240, 200
 _NOW = "TIMESTAMP '2024-01-31'"
 
 

@@ -132,9 +132,9 @@ def _tfidf_sql(texts: str, cap: int) -> str:
 _TEXTS = "SELECT track_id, CASE WHEN language = '' THEN 'en' ELSE language END AS language, text FROM lyrics WHERE text <> '' AND source <> 'whisper'"
 
 
-@query("tfidf", f"WITH {_tfidf_sql(_TEXTS, 5000)} SELECT track_id, language, term, round_even(weight, 6) AS weight FROM ti", "lyrics")
+@query("tfidf", f"WITH {_tfidf_sql(_TEXTS, 20000)} SELECT track_id, language, term, round_even(weight, 6) AS weight FROM ti", "lyrics")
 def tfidf(spark, sf):
-    return V.tfidf(I.lyrics(spark, sf), 5000).withColumn("weight", rounded("weight", 6))
+    return V.tfidf(I.lyrics(spark, sf)).withColumn("weight", rounded("weight", 6))
 
 
 @query("text_dist", f"""WITH {_NEAR}, {_tfidf_sql(_TEXTS, 20000)}, l AS (SELECT DISTINCT track_id, language FROM ti)
@@ -276,7 +276,7 @@ def similar_artists(spark, sf):
 def _clustered(spark, sf):
     from earlog.operators import clustering
     feats = I.features(spark, sf)
-    return clustering.cluster_tracks(clustering.cluster_space(feats), restarts=2), feats
+    return clustering.cluster_tracks(clustering.cluster_space(feats)), feats
 
 
 @query("clusters_kmeans")

@@ -130,15 +130,19 @@ def genre_distribution(spark, sf):
     return stats.genre_distribution(*_pt(spark, sf), I.features(spark, sf))
 
 
-@query("avg_features", f"""SELECT round_even(avg(tempo), 1) AS tempo, round_even(avg(energy), 2) AS energy,
-    round_even(avg(danceability), 2) AS danceability, round_even(avg(acousticness), 2) AS acousticness,
-    round_even(avg(brightness), 2) AS brightness, round_even(count(*) / (SELECT count(*) {_MUSIC}), 3) AS coverage {_FEAT}""",
+# an exact mean: decimal sums do not depend on their order
+_MEAN = "CAST(sum(CAST({0} AS DECIMAL(18,9))) AS DOUBLE) / count({0})".format
+
+
+@query("avg_features", f"""SELECT round_even({_MEAN("tempo")}, 1) AS tempo, round_even({_MEAN("energy")}, 2) AS energy,
+    round_even({_MEAN("danceability")}, 2) AS danceability, round_even({_MEAN("acousticness")}, 2) AS acousticness,
+    round_even({_MEAN("brightness")}, 2) AS brightness, round_even(count(*) / (SELECT count(*) {_MUSIC}), 3) AS coverage {_FEAT}""",
        "plays", "tracks", "features")
 def avg_features(spark, sf):
     return stats.avg_features(*_pt(spark, sf), I.features(spark, sf))
 
 
-@query("mood_profile", "SELECT " + ", ".join(f"round_even(avg({c}), 3) AS {c[5:]}" for c in C.MOOD_COLS) + " " + _FEAT,
+@query("mood_profile", "SELECT " + ", ".join(f"round_even({_MEAN(c)}, 3) AS {c[5:]}" for c in C.MOOD_COLS) + " " + _FEAT,
        "plays", "tracks", "features")
 def mood_profile(spark, sf):
     return stats.mood_profile(*_pt(spark, sf), I.features(spark, sf))
@@ -164,8 +168,8 @@ def language_distribution(spark, sf):
     return stats.language_distribution(*_pt(spark, sf), I.lyrics(spark, sf))
 
 
-@query("mood_trend", f"""SELECT strftime(listened_at, '%Y-%m') AS bucket, round_even(avg(mood_happy), 3) AS happy,
-    round_even(avg(mood_sad), 3) AS sad, round_even(avg(mood_relaxed), 3) AS relaxed, round_even(avg(mood_party), 3) AS party,
+@query("mood_trend", f"""SELECT strftime(listened_at, '%Y-%m') AS bucket, round_even({_MEAN("mood_happy")}, 3) AS happy,
+    round_even({_MEAN("mood_sad")}, 3) AS sad, round_even({_MEAN("mood_relaxed")}, 3) AS relaxed, round_even({_MEAN("mood_party")}, 3) AS party,
     count(*) AS listens {_FEAT} GROUP BY 1""", "plays", "tracks", "features")
 def mood_trend(spark, sf):
     return stats.mood_trend(*_pt(spark, sf), I.features(spark, sf))

@@ -249,13 +249,12 @@ def vocal_verdict(spark, sf):
 
 
 _CAL = f"""cal AS (SELECT f.track_id, {_VS} AS score, ly.track_id IS NOT NULL AS positive FROM features f JOIN tracks t
-    USING (track_id) LEFT JOIN (SELECT track_id FROM lyrics WHERE text <> '' AND language = 'en') ly USING (track_id)
+    USING (track_id) LEFT JOIN (SELECT track_id FROM lyrics WHERE text <> '') ly USING (track_id)
     WHERE f.source = 'audio' AND t.is_music)"""
 
 
 def _calibration(spark, sf):
-    english = I.lyrics(spark, sf).filter(F.col("language") == "en")
-    return P.calibration_scores(I.features(spark, sf), I.tracks(spark, sf), english)
+    return P.calibration_scores(I.features(spark, sf), I.tracks(spark, sf), I.lyrics(spark, sf))
 
 
 @query("calibration_scores", f"WITH {_CAL} SELECT track_id, round_even(score, 6) AS score, positive FROM cal",
