@@ -133,27 +133,27 @@ def full_sets(wanted: DataFrame, docs: DataFrame, sigs: DataFrame, words: int) -
                            "rep bigint, key string, sig binary, s binary").dropDuplicates(["rep", "key"]).select("rep", "sig", "s"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sigs: DataFrame, words: int, threshold: float, least: np.ndarray) -> DataFrame:
+def verified(pairs: DataFrame, full: DataFrame, threshold: float, least: np.ndarray) -> DataFrame:
     """Pairs (a, b) whose signatures survive and whose full shingle sets reach the threshold."""
     percent = round(threshold * 100)
-    one = sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
-    two = sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
+
+    def both(rows: DataFrame, c: str) -> DataFrame:
+        return (rows.join(full.select(F.col("rep").alias("a"), F.col(c).alias("x")), "a")
+                .join(full.select(F.col("rep").alias("b"), F.col(c).alias("y")), "b"))
 
     def prune(batches):
         for c in batches:
-            x, y = (np.frombuffer(b"".join(c[n].to_pylist()), np.uint32).reshape(len(c["a"]), -1) for n in ("sig_a", "sig_b"))
+            x, y = (np.frombuffer(b"".join(c[n].to_pylist()), np.uint32).reshape(len(c["a"]), -1) for n in "xy")
             keep = survives(x, y, least)
-            yield {n: c[n].take(keep) for n in ("a", "b")}
-    left = stash(arrow_map(pairs.join(one, "a").join(two, "b"), prune, "a bigint, b bigint"))
-    full = full_sets(left.select(F.col("a").alias("rep")).union(left.select("b")).distinct(), docs, sigs, words).drop("sig")
+            yield {n: c[n].take(keep) for n in "ab"}
 
     def confirm(batches):
         for c in batches:
-            keep = [k for k, (p, q) in enumerate(zip(c["s"].to_pylist(), c["r"].to_pylist()))
+            keep = [k for k, (p, q) in enumerate(zip(c["x"].to_pylist(), c["y"].to_pylist()))
                     if similar(np.frombuffer(p, U), np.frombuffer(q, U), percent)]
-            yield {n: c[n].take(keep) for n in ("a", "b")}
-    return arrow_map(left.join(full.withColumnRenamed("rep", "a"), "a")
-                     .join(full.select(F.col("rep").alias("b"), F.col("s").alias("r")), "b"), confirm, "a bigint, b bigint")
+            yield {n: c[n].take(keep) for n in "ab"}
+    left = stash(arrow_map(both(pairs, "sig"), prune, "a bigint, b bigint"))
+    return arrow_map(both(left, "s"), confirm, "a bigint, b bigint")
 
 
 def minhash_components(docs: DataFrame, words: int = 5, threshold: float = 0.8, miss: float = MISS, prune: float = PRUNE,
@@ -191,8 +191,11 @@ def minhash_components(docs: DataFrame, words: int = 5, threshold: float = 0.8,
             rep = np.repeat(c["rep"].to_numpy(), bands)
             order = mix(rep.astype(U) * U(4) + np.tile(np.arange(bands, dtype=U) % U(4), len(x)))
             yield {"bucket": band_keys(x, bands).ravel(), "rep": rep, "o": order.view(np.int64)}
-    places = stash(arrow_map(sigs.select("rep", "sig"), band, "bucket bigint, rep bigint, o bigint")
-                   .repartitionByRange("bucket", "o").sortWithinPartitions("bucket", "o"))
+    placed = stash(arrow_map(sigs.select("rep", "sig"), band, "bucket bigint, rep bigint, o bigint"))
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    places = stash(placed.join(shared, "bucket").repartitionByRange("bucket", "o").sortWithinPartitions("bucket", "o"))
+    # Sets of all texts that share a bucket: whole texts are shuffled once, both rounds read the written sets.
+    full = full_sets(places.select("rep").distinct(), docs, sigs, words)
 
     def adjacent(batches):
         last_b = last_r = None
@@ -204,7 +207,7 @@ def minhash_components(docs: DataFrame, words: int = 5, threshold: float = 0.8,
             yield {"a": np.minimum(rep[at], rep[at + 1]), "b": np.maximum(rep[at], rep[at + 1])}
             last_b, last_r = bucket[-1], rep[-1]
     pairs = arrow_map(places.select("bucket", "rep"), adjacent, "a bigint, b bigint").distinct()
-    links = stash(verified(pairs, docs, sigs, words, threshold, least))
+    links = stash(verified(pairs, full, threshold, least))
     comp = components(links)
 
     # Buckets whose members are not yet connected: their members with components, cut into blocks that meet pairwise.
@@ -214,7 +217,6 @@ def minhash_components(docs: DataFrame, words: int = 5, threshold: float = 0.8,
     open_ = stash(member.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
                   .where("lo <> hi").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     member = stash(member.join(open_, "bucket"))
-    full = full_sets(member.select("rep").distinct(), docs, sigs, words)
     own = F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks")).cast("int")
     spread = (member.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .join(full, "rep")
