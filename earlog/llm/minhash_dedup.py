@@ -12,6 +12,7 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,7 +128,7 @@ def full_sets(wanted: DataFrame, docs: DataFrame, sigs: DataFrame, words: int) -
             found = [s.shingles(t).tobytes() for t in c["text"].to_pylist()]
             # A repeated id may carry several texts: the one of the class counts.
             keep = [k for k, (x, key) in enumerate(zip(found, c["key"].to_pylist())) if set_key(x) == key]
-            yield {n: c[n].take(keep) for n in ("rep", "key", "sig")} | {"s": [found[k] for k in keep]}
+            yield {n: c[n].take(pa.array(keep, pa.int64())) for n in ("rep", "key", "sig")} | {"s": [found[k] for k in keep]}
     own = wanted.join(sigs, "rep")
     return stash(arrow_map(docs.join(own, docs["doc_id"] == own["rep"]).select("rep", "key", "sig", "text"), sets,
                            "rep bigint, key string, sig binary, s binary").dropDuplicates(["rep", "key"]).select("rep", "sig", "s"))
@@ -151,7 +152,7 @@ def verified(pairs: DataFrame, full: DataFrame, threshold: float, least: np.ndar
         for c in batches:
             keep = [k for k, (p, q) in enumerate(zip(c["x"].to_pylist(), c["y"].to_pylist()))
                     if similar(np.frombuffer(p, U), np.frombuffer(q, U), percent)]
-            yield {n: c[n].take(keep) for n in "ab"}
+            yield {n: c[n].take(pa.array(keep, pa.int64())) for n in "ab"}
     left = stash(arrow_map(both(pairs, "sig"), prune, "a bigint, b bigint"))
     return arrow_map(both(left, "s"), confirm, "a bigint, b bigint")
 
