@@ -24,7 +24,9 @@ STATES, FREQUENT, BUCKETS, ANCHORS = 8, 14, 1024, 256
 LOOKED_UP = 17
 END = b" "              # no word contains a blank
 #: Texts that run through the recursion side by side.
-SIDE, TOKENS = 1024, 400_000
+SIDE, TOKENS = 4096, 1_000_000
+#: Bytes of symbol sequences (two each) that a task gathers before it sorts them by length.
+GATHERED = 8_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -42,59 +44,64 @@ class Model:
     emit: np.ndarray        # symbol x K
 
 
-def _columns(seqs: list[np.ndarray]):
-    """Sequences by falling length as one padded table, and how many are still alive at each place."""
-    order = np.argsort([-len(s) for s in seqs], kind="stable")
-    lengths = np.array([len(seqs[k]) for k in order])
-    alive = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
-    flat = np.concatenate([seqs[k] for k in order]).astype(np.int64)
-    return order, lengths, alive, flat, np.concatenate([[0], np.cumsum(lengths)[:-1]])
+class Steps:
+    """Sequences by falling length, laid out step by step: a step holds the same place of all sequences that reach it."""
+
+    def __init__(self, seqs: list[np.ndarray]):
+        self.order = np.argsort([-len(s) for s in seqs], kind="stable")
+        lengths = np.array([len(seqs[k]) for k in self.order])
+        self.alive = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
+        self.edge = np.concatenate([[0], np.cumsum(self.alive)])
+        self.bounds = list(zip(self.edge[:-1].tolist(), self.edge[1:].tolist()))
+        which = np.arange(self.edge[-1]) - np.repeat(self.edge[:-1], self.alive)             # sequence of each column
+        at = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        flat = np.concatenate([seqs[k] for k in self.order])
+        self.which, self.symbol = which, flat[at[which] + np.repeat(np.arange(len(self.alive)), self.alive)]
+
+
+def _alphas(x: Steps, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Emissions and scaled forward values (state x column), and the scale of every column."""
+    e = np.ascontiguousarray(m.emit.T).take(x.symbol, 1)
+    a, c, move = np.empty_like(e), np.empty(e.shape[1]), np.ascontiguousarray(m.step.T)
+    for t, (lo, hi) in enumerate(x.bounds):
+        now, scale = a[:, lo:hi], c[lo:hi]
+        if t:
+            np.matmul(move, a[:, before:before + hi - lo], out=now)
+            now *= e[:, lo:hi]
+        else:
+            np.multiply(m.start[:, None], e[:, lo:hi], out=now)
+        now.sum(0, out=scale)
+        now /= scale
+        before = lo
+    return e, a, c
 
 
 def forward(seqs: list[np.ndarray], m: Model) -> np.ndarray:
     """Natural log likelihood of every sequence by the scaled forward recursion."""
-    order, lengths, alive, flat, at = _columns(seqs)
-    total = np.zeros(len(seqs))
-    a = None
-    for t, n in enumerate(alive):
-        e = m.emit[flat[at[:n] + t]]
-        a = (np.broadcast_to(m.start, (n, len(m.start))) if t == 0 else a[:n] @ m.step) * e
-        c = a.sum(1)
-        a = a / c[:, None]
-        total[:n] += np.log(c)
+    x = Steps(seqs)
     out = np.empty(len(seqs))
-    out[order] = total
+    out[x.order] = np.bincount(x.which, np.log(_alphas(x, m)[2]), minlength=len(seqs))
     return out
 
 
 def expected(seqs: list[np.ndarray], m: Model, counts: dict[str, np.ndarray]) -> float:
     """Adds the expected starts, moves and emissions of the sequences to counts; their log likelihood."""
-    order, lengths, alive, flat, at = _columns(seqs)
-    k = len(m.start)
-    alphas, scales, emits, total = [], [], [], 0.0
-    a = None
-    for t, n in enumerate(alive):
-        e = m.emit[flat[at[:n] + t]]
-        a = (np.broadcast_to(m.start, (n, k)) if t == 0 else a[:n] @ m.step) * e
-        c = a.sum(1)
-        a = a / c[:, None]
-        total += float(np.log(c).sum())
-        alphas.append(a)
-        scales.append(c)
-        emits.append(e)
-    gamma = np.empty((len(flat), k))
-    beta = np.ones((len(seqs), k))
-    for t in range(len(alive) - 1, -1, -1):
-        n = alive[t]
-        gamma[at[:n] + t] = alphas[t] * beta[:n]
-        if t:
-            back = emits[t] * beta[:n] / scales[t][:, None]
-            counts["step"] += alphas[t - 1][:n].T @ back * m.step
-            beta[:n] = back @ m.step.T
-    counts["start"] += gamma[at].sum(0)
-    for j in range(k):
-        counts["emit"][:, j] += np.bincount(flat, gamma[:, j], minlength=len(counts["emit"]))
-    return total
+    x = Steps(seqs)
+    e, a, c = _alphas(x, m)
+    first = x.bounds[0][1]
+    beta = np.ones_like(a)
+    e /= c                                                               # from here on: what a column gives to the one before it
+    for (before, _), (lo, hi) in zip(x.bounds[-2::-1], x.bounds[:0:-1]):
+        back = e[:, lo:hi]
+        back *= beta[:, lo:hi]
+        np.matmul(m.step, back, out=beta[:, before:before + hi - lo])
+    rest = np.arange(first, a.shape[1])
+    counts["step"] += a.take(rest - np.repeat(x.alive[:-1], x.alive[1:]), 1) @ e[:, first:].T * m.step
+    a *= beta
+    counts["start"] += a[:, :first].sum(1)
+    for j, gamma in enumerate(a):
+        counts["emit"][:, j] += np.bincount(x.symbol, gamma, minlength=len(counts["emit"]))
+    return float(np.log(c).sum())
 
 
 def side_by_side(seqs: list[np.ndarray]):
@@ -111,6 +118,19 @@ def side_by_side(seqs: list[np.ndarray]):
         yield group
 
 
+def gathered(batches):
+    """Batches joined up to GATHERED bytes of sequences: more texts of like length run side by side."""
+    held, size = [], 0
+    for c in batches:
+        held.append(c)
+        size += c["seq"].nbytes
+        if size >= GATHERED:
+            yield {k: pa.concat_arrays([h[k] for h in held]) for k in c}
+            held, size = [], 0
+    if held:
+        yield {k: pa.concat_arrays([h[k] for h in held]) for k in held[0]}
+
+
 def clusters(meet: np.ndarray, k: int) -> np.ndarray:
     """Groups of anchor words by the company they keep: k-means on the rows of the association matrix, farthest first."""
     have = meet.diagonal() > 0
@@ -164,7 +184,7 @@ def train(sequences: DataFrame, m: Model, passes: int, floor: float = 0.01) -> M
     for _ in range(passes):
         def count(batches, m=m):
             sums = {n: np.zeros(s) for n, s in shapes.items()}
-            for c in batches:
+            for c in gathered(batches):
                 seqs = [np.frombuffer(b, np.uint16) for b in c["seq"].to_pylist()]
                 for g in side_by_side(seqs):
                     expected([seqs[k] for k in g], m, sums)
@@ -272,7 +292,7 @@ def language_model_scores(docs: DataFrame, states: int = STATES, passes: int = 3
                                  F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("logs")))
 
     def likelihood(batches):
-        for c in batches:
+        for c in gathered(batches):
             seqs = [np.frombuffer(b, np.uint16) for b in c["seq"].to_pylist()]
             s = np.empty(len(seqs))
             for g in side_by_side(seqs):
