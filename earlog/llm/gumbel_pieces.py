@@ -21,8 +21,8 @@ from earlog.llm.common import arrow_map
 
 K, ALPHA = 2, 0.5
 BLANK, FLAG = 0x2581, 1 << 21
-#: Texts and code points whose lattices are held at once.
-DOCS, CHARS = 1000, 3_000_000
+#: Texts and code points of a batch; code points of words whose lattices are kept from batch to batch; code points laid out at once.
+DOCS, CHARS, HELD, LAID = 300, 3_000_000, 3_000_000, 300_000
 _RUN = re.compile(" +[^ ]*")
 U = np.uint64
 
@@ -33,12 +33,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ h >> U(31)
 
 
-def uniform(*parts) -> np.ndarray:
-    """Numbers in (0, 1), one for each combination of the (broadcast) integer parts."""
-    h = np.zeros(1, U)
+def chained(*parts, h: np.ndarray = np.zeros(1, U)) -> np.ndarray:
+    """Hashes, one for each combination of the (broadcast) integer parts, going on from h."""
     for p in parts:
         h = mix((h + U(0x9E3779B97F4A7C15)) ^ np.asarray(p).astype(U))
-    return ((h >> U(11)).astype(float) + 0.5) * 2.0**-53
+    return h
+
+
+def uniform(*parts, h: np.ndarray = np.zeros(1, U)) -> np.ndarray:
+    """Numbers in (0, 1), one for each combination of the (broadcast) integer parts, going on from h."""
+    return ((chained(*parts, h=h) >> U(11)).astype(float) + 0.5) * 2.0**-53
 
 
 class Lattice:
@@ -111,16 +115,52 @@ class Lattice:
         return out
 
 
-class Words:
-    """Lattices of different words: for every character the arcs by length, their weights and cumulative probabilities."""
+def appended(buffer: np.ndarray, n: int, new: np.ndarray) -> np.ndarray:
+    """The buffer with new values behind its first n; its room doubles when it is full."""
+    if n + len(new) > len(buffer):
+        old, buffer = buffer, np.empty(max(2 * len(buffer), n + len(new)), buffer.dtype)
+        buffer[:n] = old[:n]
+    buffer[n:n + len(new)] = new
+    return buffer
+
+
+class Words(dict):
+    """Numbers of different words and their lattices: per character its arcs with length, weight and cumulative probability.
 
-    def __init__(self, words: list[str], lat: Lattice):
+    Words stay from batch to batch, so common ones are laid out once; a full store is given up between batches.
+    """
+
+    def __init__(self, lat: Lattice):
+        super().__init__()
+        self.lat, self.new, self.chars, self.arcs_ = lat, [], 0, 0
+        self.at, self.length, self.total = np.empty(1, np.int64), np.empty(1, np.int64), np.empty(1)
+        self.first = np.empty(1, np.int64)                            # arc number of each character's first arc
+        self.arc, self.size, self.weight, self.cdf = np.empty(1, np.int32), np.empty(1, np.int16), np.empty(1), np.empty(1)
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+    def lay_out(self):
+        """Lattices of the words met since the last call, some at a time."""
+        a = 0
+        while a < len(self.new):
+            b, size = a, 0
+            while b < len(self.new) and (b == a or size + len(self.new[b]) <= LAID):
+                size += len(self.new[b])
+                b += 1
+            self._add(self.new[a:b], len(self) - len(self.new) + a)
+            a = b
+        self.new = []
+
+    def _add(self, words: list[str], known: int):
+        lat = self.lat
         cp = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
-        self.cp = cp = np.where(cp == BLANK, BLANK | FLAG, np.where(cp == 32, BLANK, cp))
-        self.length = np.array([len(w) for w in words], np.int64)
-        self.at = np.concatenate([[0], np.cumsum(self.length)[:-1]]).astype(np.int64)
-        left = np.repeat(self.at + self.length, self.length) - np.arange(len(cp))           # characters to the end of the word
-        self.left = left
+        cp = np.where(cp == BLANK, BLANK | FLAG, np.where(cp == 32, BLANK, cp))
+        size = np.array([len(w) for w in words], np.int64)
+        at = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
+        left = np.repeat(at + size, size) - np.arange(len(cp))           # characters to the end of the word
         found, alive, node = [], np.arange(len(cp)), np.zeros(len(cp), np.int64)
         while len(alive):
             ok = left[alive] > len(found)
@@ -129,52 +169,73 @@ class Words:
             ok = node >= 0
             alive, node = alive[ok], node[ok]
             found.append((alive, node))
-        m = max(1, len(found) - 1)
-        self.arc = np.full((len(cp), m), -1, np.int32)
-        weight = np.full((len(cp), m), -np.inf)
-        for length, (alive, node) in enumerate(found[:m]):
-            self.arc[alive, length], weight[alive, length] = lat.piece[node], lat.node_weight[node]
+        # Characters without a piece of their own have one arc more, their bytes.
+        lone = np.ones(len(cp), bool)
+        found = [(at_[ok], node[ok]) for at_, node in found for ok in [lat.piece[node] >= 0]]
+        if found:
+            lone[found[0][0]] = False
+        n = lone.astype(np.int64)
+        for at_, _ in found:
+            n[at_] += 1
+        first = np.cumsum(n) - n
+        place, arcs = first.copy(), int(n.sum())
+        arc, reach, weight = np.empty(arcs, np.int32), np.empty(arcs, np.int16), np.empty(arcs)
+        odd = np.flatnonzero(lone)
+        real = cp[odd] & (FLAG - 1)
+        arc[place[odd]], reach[place[odd]] = -3 - real, 1
+        weight[place[odd]] = lat.weight[lat.byte[0]] * (1 + (real > 0x7F) + (real > 0x7FF) + (real > 0xFFFF))
+        place[odd] += 1
+        for length, (at_, node) in enumerate(found, 1):
+            to = place[at_]
+            arc[to], reach[to], weight[to] = lat.piece[node], length, lat.node_weight[node]
+            place[at_] = to + 1
         del found
-        lone = np.flatnonzero(self.arc[:, 0] < 0)
-        self.arc[lone, 0] = -2                                                                # bytes
-        real = cp[lone] & (FLAG - 1)
-        weight[lone, 0] = lat.weight[lat.byte[0]] * (1 + (real > 0x7F) + (real > 0x7FF) + (real > 0xFFFF))
-        beta = np.full(len(cp) + m + 1, -np.inf)
-        self.beta = np.zeros(len(words))
-        order = np.argsort(-self.length, kind="stable")
-        ends, falling = (self.at + self.length)[order], -self.length[order]
-        step = np.arange(1, m + 1)
-        for back in range(1, int(self.length.max(initial=0)) + 1):
-            pos = ends[:np.searchsorted(falling, -back, side="right")] - back
-            nxt = np.where(step[None] < back, beta[pos[:, None] + step[None]], np.where(step[None] == back, 0.0, -np.inf))
-            w = weight[pos] + nxt
-            top = w.max(1)
-            w = np.cumsum(np.exp(w - top[:, None]), 1)           # in order, so that a batch's longest piece changes nothing
-            s = w[:, -1]
-            beta[pos] = top + np.log(s)
-            weight[pos] = w / s[:, None]
-        self.cdf = weight
-        self.cdf[:, -1] = 1.0
-        self.total = beta[self.at] if len(words) else np.empty(0)
-
-    def draw(self, word: np.ndarray, keys: tuple, lat: Lattice):
-        """A random segmentation of each word occurrence: piece ids, their number and the log probability of each."""
+        # Backwards from the ends of all words at once; beta has one place more per word, its end.
+        beta, sums, cdf = np.zeros(len(cp) + len(words)), np.empty(len(cp)), np.empty(arcs)
+        order = np.argsort(-size, kind="stable")
+        ends, falling = (at + size)[order], -size[order]
+        for back in range(1, int(size.max(initial=0)) + 1):
+            many = np.searchsorted(falling, -back, side="right")
+            pos, no = ends[:many] - back, order[:many]
+            top, s, live, steps = np.full(many, -np.inf), np.zeros(many), np.arange(many), []
+            while len(live):
+                k = first[pos[live]] + len(steps)
+                cdf[k] = v = weight[k] + beta[pos[live] + no[live] + reach[k]]
+                top[live] = np.maximum(top[live], v)
+                steps.append((live, k))
+                live = live[n[pos[live]] > len(steps)]
+            for live, k in steps:
+                s[live] += np.exp(cdf[k] - top[live])
+                cdf[k] = s[live]
+            beta[pos + no], sums[pos] = top + np.log(s), s
+        cdf /= np.repeat(sums, n)
+        cdf[first + n - 1] = 1.0
+        self.at, self.length = appended(self.at, known, self.chars + at), appended(self.length, known, size)
+        self.total = appended(self.total, known, beta[at + np.arange(len(words))])
+        self.first = appended(self.first, self.chars, self.arcs_ + first)
+        self.arc, self.cdf = appended(self.arc, self.arcs_, arc), appended(self.cdf, self.arcs_, cdf)
+        self.weight = appended(self.weight, self.arcs_, weight)
+        self.size = appended(self.size, self.arcs_, reach)
+        self.chars, self.arcs_ = self.chars + len(cp), self.arcs_ + arcs
+
+    def draw(self, word: np.ndarray, h: np.ndarray):
+        """A random segmentation of each word occurrence (hashes h): piece ids, their number and the log probability of each."""
         n = len(word)
-        pos, active = self.at[word].copy(), np.arange(n)
+        pos, active = self.at[word], np.arange(n)
+        end = pos + self.length[word]
         logp, count, steps, t = -self.total[word], np.zeros(n, np.int64), [], 0
         while len(active):
-            p = pos[active]
-            u = uniform(*(k[active] if isinstance(k, np.ndarray) else k for k in keys), t)
-            pick = (u[:, None] > self.cdf[p]).sum(1)
-            ids = self.arc[p, pick].astype(np.int64)
-            logp[active] += np.where(ids >= 0, lat.weight[ids], 0.0)
-            for k in np.flatnonzero(ids == -2):
-                logp[active[k]] += lat.weight[lat.byte[0]] * len(chr(self.cp[p[k]] & (FLAG - 1)).encode())
-                ids[k] = -3 - (self.cp[p[k]] & (FLAG - 1))
-            steps.append((active, ids))
+            u = uniform(t, h=h[active])
+            pick = self.first[pos[active]]
+            more = np.flatnonzero(u > self.cdf[pick])
+            while len(more):
+                pick[more] += 1
+                more = more[u[more] > self.cdf[pick[more]]]
+            logp[active] += self.weight[pick]
+            steps.append((active, self.arc[pick]))
             count[active] += 1
-            pos[active] += pick + 1
-            active = active[pick + 1 < self.left[p]]
+            pos[active] += self.size[pick]
+            active = active[pos[active] < end[active]]
             t += 1
         offset = np.concatenate([[0], np.cumsum(count)])
         out = np.empty(offset[-1], np.int64)
@@ -183,12 +244,15 @@ class Words:
         return out, offset, np.minimum(logp, 0.0)
 
     def arcs(self, pos: int) -> tuple[list[int], list[int], list[float]]:
-        """Lengths less one and pieces that start at a position (characters without one as -3 - code point), and their probabilities."""
-        at = np.flatnonzero(self.arc[pos] != -1)
-        ids = [int(a) if a != -2 else -3 - int(self.cp[pos] & (FLAG - 1)) for a in self.arc[pos, at]]
-        return at.tolist(), ids, np.diff(self.cdf[pos, at], prepend=0.0).tolist()
-
-    def draw_other(self, word: int, taken: dict[tuple, float], key: tuple, lat: Lattice) -> tuple[tuple, float]:
+        """Lengths and pieces that start at a position (characters without one as -3 - code point), and their probabilities."""
+        a = b = int(self.first[pos])
+        while self.cdf[b] < 1.0:
+            b += 1
+        # Arcs behind a cumulative probability of 1 are below its rounding; a position's last arc always has 1.
+        own = slice(a, b + 1)
+        return self.size[own].tolist(), self.arc[own].tolist(), np.diff(self.cdf[own], prepend=0.0).tolist()
+
+    def draw_other(self, word: int, taken: dict[tuple, float], key: tuple) -> tuple[tuple, float]:
         """A random segmentation that is none of those taken (with log probabilities), and its log probability among all."""
         pos, end, ids, logp = int(self.at[word]), int(self.at[word] + self.length[word]), [], 0.0
         rest = {s: math.exp(lp) for s, lp in taken.items()}                     # probability given the path so far
@@ -210,7 +274,7 @@ class Words:
             rest = {s: q / p[k] for s, q in rest.items() if s[len(ids)] == arcs[k]}
             logp += math.log(p[k])
             ids.append(arcs[k])
-            pos += at[k] + 1
+            pos += at[k]
         return tuple(ids), min(logp, 0.0)
 
 
@@ -243,14 +307,14 @@ def final_ids(ids: np.ndarray, lat: Lattice) -> np.ndarray:
 def decode(ids: np.ndarray, lat: Lattice) -> str:
     """The text that pieces spell; the blank in front of it belongs to the encoding."""
     raw = lat.raw
-    return b"".join([raw[i] for i in ids]).decode()[1:]
+    return b"".join(map(raw.__getitem__, ids.tolist())).decode()[1:]
 
 
-def sample_batch(texts: list[str], seeds: np.ndarray, k: int, lat: Lattice):
+def sample_batch(texts: list[str], seeds: np.ndarray, k: int, lat: Lattice, words: Words | None = None):
     """For every text up to k tuples (rank, perturbed score, log probability, inclusion score, ids), best first."""
-    index: dict[str, int] = {}
-    docs = [[index.setdefault(w, len(index)) for w in _RUN.findall(" " + t)] if t else [] for t in texts]
-    words = Words(list(index), lat)
+    words = Words(lat) if words is None else words
+    docs = [list(map(words.__getitem__, _RUN.findall(" " + t))) if t else [] for t in texts]
+    words.lay_out()
     sizes = np.array([len(d) for d in docs])
     word = np.concatenate([np.array(d, np.int64) for d in docs]) if len(docs) else np.empty(0, np.int64)
     base = np.concatenate([[0], np.cumsum(sizes)])
@@ -264,25 +328,29 @@ def sample_batch(texts: list[str], seeds: np.ndarray, k: int, lat: Lattice):
         """Completes the paths of texts `which` from word place `first`, adds them and the sets that they leave."""
         occ = np.concatenate([np.arange(base[d] + f, base[d + 1]) for d, f in zip(which, first)]) if which else np.empty(0, np.int64)
         n = np.array([base[d + 1] - base[d] - f for d, f in zip(which, first)], np.int64)
-        ids, offset, lp = words.draw(word[occ], (np.repeat(seeds[which], n), r, place[occ]), lat)
+        h = chained(np.repeat(seeds[which], n), r, place[occ])
+        ids, offset, lp = words.draw(word[occ], h)
         edge = np.concatenate([[0], np.cumsum(n)])
-        u = uniform(np.repeat(seeds[which], n), r, place[occ], 500) if len(occ) else np.empty(0)
+        prefix = np.empty(len(occ))
         for q, d in enumerate(which):
             a, b = edge[q], edge[q + 1]
             run = logp0[q] + np.cumsum(lp[a:b])
-            prefix = np.concatenate([[logp0[q]], run[:-1]]) if b > a else np.empty(0)
+            prefix[a:a + 1], prefix[a + 1:b] = logp0[q], run[:-1]
             own = ids[offset[a]:offset[b]]
             path = (lead[q] + [own], offset[a:b + 1] - offset[a], first[q], lp[a:b])
             paths[d].append(path)
             full = np.concatenate(path[0]) if path[0] else np.empty(0, np.int64)
             results[d].append((float(top[q]), float(run[-1] if b > a else logp0[q]), full))
-            g = truncated(prefix + rest_of(lp[a:b]), top[q], u[a:b])
+        left = truncated(prefix + rest_of(lp), np.repeat(top, n), uniform(500, h=h))
+        for q, d in enumerate(which):
+            a, g = edge[q], left[edge[q]:edge[q + 1]]
+            own, cuts = paths[d][-1][0][-1], paths[d][-1][1]
             keep = np.flatnonzero(np.isfinite(g))
             if len(keep) > k:
                 keep = keep[np.argpartition(-g[keep], k)[:k]]
             for j in keep:
-                seg = tuple(own[path[1][j]:path[1][j + 1]].tolist())
-                heapq.heappush(heaps[d], (-float(g[j]), len(paths[d]), first[q] + int(j), len(paths[d]) - 1, float(prefix[j]), {seg: float(lp[a + j])}))
+                seg = tuple(own[cuts[j]:cuts[j + 1]].tolist())
+                heapq.heappush(heaps[d], (-float(g[j]), len(paths[d]), first[q] + int(j), len(paths[d]) - 1, float(prefix[a + j]), {seg: float(lp[a + j])}))
 
     everyone = list(range(len(texts)))
     settle(0, everyone, [0] * len(texts), [[] for _ in texts], -np.log(-np.log(uniform(seeds, 0, 999))), np.zeros(len(texts)))
@@ -293,7 +361,7 @@ def sample_batch(texts: list[str], seeds: np.ndarray, k: int, lat: Lattice):
                 continue
             score, _, j, parent, before, out = heapq.heappop(heaps[d])
             w, key = int(word[base[d] + j]), (seeds[d:d + 1], r, j)
-            seg, lp = words.draw_other(w, out, key, lat)
+            seg, lp = words.draw_other(w, out, key)
             blocks, cuts, start, _ = paths[d][parent]
             kept = blocks[:-1] + [blocks[-1][:cuts[j - start]]] + [np.array(seg, np.int64)]
             out = out | {seg: lp}
@@ -334,6 +402,7 @@ def sample_segmentations(docs: DataFrame, model_file: str, k: int = K, alpha: fl
 
     def sample(batches):
         lat = Lattice(model_file, alpha)
+        words = Words(lat)
         for c in batches:
             ids, texts = c["doc_id"].to_pylist(), [t or "" for t in c["text"].to_pylist()]
             a = 0
@@ -344,7 +413,7 @@ def sample_segmentations(docs: DataFrame, model_file: str, k: int = K, alpha: fl
                     b += 1
                 seeds = np.array([row_seed(i, t, seed) for i, t in zip(ids[a:b], texts[a:b])], U)
                 out = {n: [] for n in names}
-                for i, rows in zip(ids[a:b], sample_batch(texts[a:b], seeds, k, lat)):
+                for i, rows in zip(ids[a:b], sample_batch(texts[a:b], seeds, k, lat, words)):
                     for row in rows:
                         for n, v in zip(names, (i, *row)):
                             out[n].append(v)
@@ -352,5 +421,7 @@ def sample_segmentations(docs: DataFrame, model_file: str, k: int = K, alpha: fl
                             out["decoded"].append(decode(row[-1], lat))
                 yield out
                 a = b
+                if words.chars > HELD:
+                    words = Words(lat)
     return arrow_map(docs.select("doc_id", "text"), sample, "doc_id bigint, rank int, perturbed double, log_prob double, "
                      "inclusion double, ids array<int>" + ", decoded string" * with_text)

@@ -70,17 +70,17 @@ def op6_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two different sampled segmentations of every text, with the text that the pieces spell as a digest."""
     out = gumbel_pieces.sample_segmentations(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("piece_bpe_32k.model"), with_text=True)
 
+    own = ("doc_id", "rank", "perturbed", "log_prob", "inclusion", "n_pieces", "decoded_chars", "decoded_sha256")
+    out = (out.withColumn("n_pieces", F.size("ids").cast("long")).withColumn("decoded_chars", F.length("decoded").cast("long"))
+           .withColumn("decoded_sha256", F.sha2(F.col("decoded").cast("binary"), 256)).select(*own, "ids"))
+
     def sums(batches):
         for c in batches:
-            ids = c["ids"]
-            edge = ids.offsets.to_numpy()
-            flat = ids.flatten().to_numpy()
-            edge, texts = edge - edge[0], c["decoded"].to_pylist()
-            yield {n: c[n] for n in ("doc_id", "rank", "perturbed", "log_prob", "inclusion")} | {
-                "n_pieces": np.diff(edge), "ids_crc32": [zlib.crc32(flat[a:b].astype("<u4").tobytes()) for a, b in zip(edge, edge[1:])],
-                "decoded_chars": [len(t) for t in texts], "decoded_sha256": [_sha(t) for t in texts]}
+            edge, flat = c["ids"].offsets.to_numpy(), c["ids"].flatten().to_numpy()
+            edge = edge - edge[0]
+            yield {n: c[n] for n in own} | {"ids_crc32": [zlib.crc32(flat[a:b].astype("<u4").tobytes()) for a, b in zip(edge, edge[1:])]}
     return arrow_map(out, sums, "doc_id bigint, rank int, perturbed double, log_prob double, inclusion double, n_pieces bigint, "
-                     "ids_crc32 bigint, decoded_chars bigint, decoded_sha256 string")
+                     "decoded_chars bigint, decoded_sha256 string, ids_crc32 bigint").select(*own[:5], "n_pieces", "ids_crc32", *own[6:])
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
