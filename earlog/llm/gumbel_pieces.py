@@ -125,7 +125,7 @@ def appended(buffer: np.ndarray, n: int, new: np.ndarray) -> np.ndarray:
 
 
 class Words(dict):
-    """Numbers of different words and their lattices: per character its arcs with length, weight and cumulative probability.
+    """Numbers of different words (without their first blank) and their lattices: per character its arcs with length, weight and cumulative probability.
 
     Words stay from batch to batch, so common ones are laid out once; a full store is given up between batches.
     """
@@ -144,21 +144,25 @@ class Words(dict):
 
     def lay_out(self):
         """Lattices of the words met since the last call, some at a time."""
+        new, known = self.new, len(self) - len(self.new)
+        upto = np.cumsum([len(w) + 1 for w in new])
         a = 0
-        while a < len(self.new):
-            b, size = a, 0
-            while b < len(self.new) and (b == a or size + len(self.new[b]) <= LAID):
-                size += len(self.new[b])
-                b += 1
-            self._add(self.new[a:b], len(self) - len(self.new) + a)
+        while a < len(new):
+            b = max(a + 1, int(np.searchsorted(upto, LAID + (upto[a - 1] if a else 0), side="right")))
+            self._add(new[a:b], known + a)
             a = b
         self.new = []
 
+    def restart(self):
+        """Gives all words up; the room stays."""
+        self.clear()
+        self.chars = self.arcs_ = 0
+
     def _add(self, words: list[str], known: int):
         lat = self.lat
-        cp = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
+        cp = np.frombuffer(" ".join(["", *words]).encode("utf-32-le"), "<u4").astype(np.int64)
         cp = np.where(cp == BLANK, BLANK | FLAG, np.where(cp == 32, BLANK, cp))
-        size = np.array([len(w) for w in words], np.int64)
+        size = np.array([len(w) + 1 for w in words], np.int64)
         at = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
         left = np.repeat(at + size, size) - np.arange(len(cp))           # characters to the end of the word
         found, alive, node = [], np.arange(len(cp)), np.zeros(len(cp), np.int64)
@@ -225,20 +229,21 @@ class Words(dict):
         end = pos + self.length[word]
         logp, count, steps, t = -self.total[word], np.zeros(n, np.int64), [], 0
         while len(active):
-            u = uniform(t, h=h[active])
-            pick = self.first[pos[active]]
+            u = uniform(t, h=h)
+            pick = self.first[pos]
             more = np.flatnonzero(u > self.cdf[pick])
             while len(more):
                 pick[more] += 1
                 more = more[u[more] > self.cdf[pick[more]]]
             logp[active] += self.weight[pick]
             steps.append((active, self.arc[pick]))
-            count[active] += 1
-            pos[active] += self.size[pick]
-            active = active[pos[active] < end[active]]
+            pos = pos + self.size[pick]
             t += 1
+            go = pos < end
+            count[active[~go]] = t
+            active, pos, end, h = active[go], pos[go], end[go], h[go]
         offset = np.concatenate([[0], np.cumsum(count)])
-        out = np.empty(offset[-1], np.int64)
+        out = np.empty(offset[-1], np.int32)
         for t, (a, ids) in enumerate(steps):
             out[offset[a] + t] = ids
         return out, offset, np.minimum(logp, 0.0)
@@ -294,9 +299,9 @@ def rest_of(logp: np.ndarray) -> np.ndarray:
 
 def final_ids(ids: np.ndarray, lat: Lattice) -> np.ndarray:
     """Characters without a piece become their byte pieces."""
+    if ids.min(initial=0) >= 0:
+        return ids
     odd = np.flatnonzero(ids < 0)
-    if not len(odd):
-        return ids.astype(np.int32)
     parts, last = [], 0
     for k in odd:
         parts += [ids[last:k], lat.byte[list(chr(-3 - ids[k]).encode())]]
@@ -310,10 +315,16 @@ def decode(ids: np.ndarray, lat: Lattice) -> str:
     return b"".join(map(raw.__getitem__, ids.tolist())).decode()[1:]
 
 
+def split_words(text: str) -> list[str]:
+    """The text, with a blank in front, cut before every run of blanks; each word without its first blank."""
+    words = text.split(" ") if text else []
+    return [w[1:] for w in _RUN.findall(" " + text)] if "" in words else words
+
+
 def sample_batch(texts: list[str], seeds: np.ndarray, k: int, lat: Lattice, words: Words | None = None):
     """For every text up to k tuples (rank, perturbed score, log probability, inclusion score, ids), best first."""
     words = Words(lat) if words is None else words
-    docs = [list(map(words.__getitem__, _RUN.findall(" " + t))) if t else [] for t in texts]
+    docs = [list(map(words.__getitem__, split_words(t))) for t in texts]
     words.lay_out()
     sizes = np.array([len(d) for d in docs])
     word = np.concatenate([np.array(d, np.int64) for d in docs]) if len(docs) else np.empty(0, np.int64)
@@ -339,7 +350,7 @@ def sample_batch(texts: list[str], seeds: np.ndarray, k: int, lat: Lattice, word
             own = ids[offset[a]:offset[b]]
             path = (lead[q] + [own], offset[a:b + 1] - offset[a], first[q], lp[a:b])
             paths[d].append(path)
-            full = np.concatenate(path[0]) if path[0] else np.empty(0, np.int64)
+            full = path[0][0] if len(path[0]) == 1 else np.concatenate(path[0])
             results[d].append((float(top[q]), float(run[-1] if b > a else logp0[q]), full))
         left = truncated(prefix + rest_of(lp), np.repeat(top, n), uniform(500, h=h))
         for q, d in enumerate(which):
@@ -363,7 +374,7 @@ def sample_batch(texts: list[str], seeds: np.ndarray, k: int, lat: Lattice, word
             w, key = int(word[base[d] + j]), (seeds[d:d + 1], r, j)
             seg, lp = words.draw_other(w, out, key)
             blocks, cuts, start, _ = paths[d][parent]
-            kept = blocks[:-1] + [blocks[-1][:cuts[j - start]]] + [np.array(seg, np.int64)]
+            kept = blocks[:-1] + [blocks[-1][:cuts[j - start]]] + [np.array(seg, np.int32)]
             out = out | {seg: lp}
             left = 1 - sum(map(math.exp, out.values()))
             if left > 1e-12:
@@ -422,6 +433,6 @@ def sample_segmentations(docs: DataFrame, model_file: str, k: int = K, alpha: fl
                 yield out
                 a = b
                 if words.chars > HELD:
-                    words = Words(lat)
+                    words.restart()
     return arrow_map(docs.select("doc_id", "text"), sample, "doc_id bigint, rank int, perturbed double, log_prob double, "
                      "inclusion double, ids array<int>" + ", decoded string" * with_text)
