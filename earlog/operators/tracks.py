@@ -217,7 +217,7 @@ def track_profile(tracks, listens, features, lyrics, clusters=None, errors=None)
                     F.col("instrument_list").alias("instrument_scores")), "track_id")
     if errors is not None:
         lists = errors.groupBy("track_id").agg(F.sort_array(F.collect_list(
-            F.struct("tried_at", "stage", "error")), False).alias("errors"))
+            F.struct("created_at", "stage", "error")), False).alias("errors"))
         out = out.join(lists, "track_id", "left")
     return out
 

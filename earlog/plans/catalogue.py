@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from earlog import config as C
 from earlog.functions.columns import rounded
 from earlog.functions.labels import GENRES, LANGUAGES, REASONS, map_labels
-from earlog.operators import base, catalog, stats, tracks as T
+from earlog.operators import base, catalog, queues, stats, tracks as T
 from earlog.plans import inputs as I
 from earlog.plans.registry import query
+from earlog.plans.sqltext import CURRENT
 
 _BASE = ("plays", "tracks", "ctracks", "features", "lyrics")
 _PROFILE = """prof AS (SELECT t.track_id, t.title, t.channel, t.artist_canonical, t.artist, t.play_count, t.duration,
@@ -38,14 +39,14 @@ def _all(spark, sf):
     return I.counted_tracks(spark, sf), I.plays(spark, sf), I.features(spark, sf), I.lyrics(spark, sf)
 
 
-@query("tracks_query", f"""WITH {_PROFILE}, err AS (SELECT DISTINCT track_id FROM attempts WHERE status <> 'ok'),
+@query("tracks_query", f"""WITH {_PROFILE}, {CURRENT}, err AS (SELECT DISTINCT track_id FROM cur WHERE status <> 'ok'),
     r AS (SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY play_count DESC NULLS LAST, title, track_id)
         AS position FROM prof WHERE is_music)
     SELECT {_ROW}, total, CAST(position AS INTEGER) AS position, err.track_id IS NOT NULL AS has_error
     FROM r LEFT JOIN err USING (track_id) WHERE position BETWEEN 51 AND 100""", *_BASE, "attempts")
 def tracks_query(spark, sf):
     """Second page of the default view."""
-    errors = I.attempts(spark, sf).filter(F.col("status") != "ok")
+    errors = queues.current_errors(I.attempts(spark, sf))
     return T.tracks_query(*_all(spark, sf), errors=errors, page_no=2, per_page=50).select(*_cols(), "total", "position", "has_error")
 
 
@@ -93,20 +94,20 @@ def tracks_language(spark, sf):
     return T.display(T.select_tracks(*_all(spark, sf), language="fr")).select(*_cols())
 
 
-@query("tracks_with_errors", f"""WITH {_PROFILE} SELECT {_ROW} FROM prof WHERE is_music
-    AND track_id IN (SELECT track_id FROM attempts WHERE status <> 'ok')""", *_BASE, "attempts")
+@query("tracks_with_errors", f"""WITH {_PROFILE}, {CURRENT} SELECT {_ROW} FROM prof WHERE is_music
+    AND track_id IN (SELECT track_id FROM cur WHERE status <> 'ok')""", *_BASE, "attempts")
 def tracks_with_errors(spark, sf):
-    errors = I.attempts(spark, sf).filter(F.col("status") != "ok")
+    errors = queues.current_errors(I.attempts(spark, sf))
     return T.display(T.select_tracks(*_all(spark, sf), errors=errors, only_errors=True)).select(*_cols())
 
 
-@query("track_profile", f"""WITH {_PROFILE} SELECT {_ROW}, COALESCE(text <> '', false) AS has_lyrics, features_source,
+@query("track_profile", f"""WITH {_PROFILE}, {CURRENT} SELECT {_ROW}, COALESCE(text <> '', false) AS has_lyrics, features_source,
     CAST(COALESCE(len(genres), 0) AS INTEGER) AS n_genres, round_even(COALESCE(list_sum(list_transform(instruments,
     lambda g: g.score)), 0), 3) AS instrument_total, COALESCE(errs, '') AS errs
-    FROM prof LEFT JOIN (SELECT track_id, string_agg(stage || ':' || error, '|' ORDER BY tried_at DESC, stage DESC, error DESC)
-        AS errs FROM attempts WHERE status <> 'ok' GROUP BY 1) USING (track_id)""", *_BASE, "attempts")
+    FROM prof LEFT JOIN (SELECT track_id, string_agg(stage || ':' || left(error, 300), '|' ORDER BY created_at DESC, stage DESC, error DESC)
+        AS errs FROM cur WHERE status <> 'ok' GROUP BY 1) USING (track_id)""", *_BASE, "attempts")
 def track_profile(spark, sf):
-    errors = I.attempts(spark, sf).filter(F.col("status") != "ok")
+    errors = queues.current_errors(I.attempts(spark, sf))
     out = T.track_profile(*_all(spark, sf), errors=errors)
     total = F.aggregate("instrument_scores", F.lit(0.0), lambda a, g: a + g["score"])
     return out.select(*_cols(), "has_lyrics", "features_source",

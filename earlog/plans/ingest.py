@@ -10,6 +10,7 @@ from earlog.functions.columns import rounded
 from earlog.operators import base, queues as Q
 from earlog.plans import inputs as I
 from earlog.plans.registry import query
+from earlog.plans.sqltext import CURRENT
 from earlog.sources import features as SF, ingest as N
 from earlog.sources.history import normalize_history
 
@@ -202,17 +203,13 @@ def failure_streaks_network(spark, sf):
     return Q.failure_streaks(I.attempts(spark, sf), "network")
 
 
-_CUR = """cur AS (SELECT track_id, stage, status, error, tried_at AS created_at FROM attempts
-    QUALIFY row_number() OVER (PARTITION BY track_id, stage ORDER BY tried_at DESC, event_id DESC) = 1)"""
-
-
-@query("current_errors", f"WITH {_CUR} SELECT track_id, stage, left(error, 300) AS error, created_at FROM cur WHERE status <> 'ok'",
+@query("current_errors", f"WITH {CURRENT} SELECT track_id, stage, left(error, 300) AS error, created_at FROM cur WHERE status <> 'ok'",
        "attempts")
 def current_errors(spark, sf):
     return Q.current_errors(I.attempts(spark, sf))
 
 
-@query("list_errors", f"""WITH {_CUR} SELECT track_id, stage, error, created_at, title, channel, artist FROM cur
+@query("list_errors", f"""WITH {CURRENT} SELECT track_id, stage, error, created_at, title, channel, artist FROM cur
     JOIN tracks USING (track_id) WHERE status <> 'ok' ORDER BY created_at DESC, track_id, stage LIMIT 200""",
        "attempts", "tracks")
 def list_errors(spark, sf):

@@ -107,3 +107,7 @@ def compose(body: str, *needs: str) -> str:
     if body[:5].upper() == "WITH ":
         return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
     return "WITH " + ",\n".join(ctes) + "\n" + body
+
+#: Latest outcome per item and stage; current errors are those that are not ok.
+CURRENT = """cur AS (SELECT track_id, stage, status, error, tried_at AS created_at FROM attempts
+    QUALIFY row_number() OVER (PARTITION BY track_id, stage ORDER BY tried_at DESC, event_id DESC) = 1)"""
