@@ -219,7 +219,7 @@ def external_seed_meta(spark, sf):
     SELECT CAST(l_orderkey AS VARCHAR) AS mbid, CAST(rn - 1 AS INTEGER) AS pos, p_brand || ' - Topic' AS name,
         CAST(l_partkey AS VARCHAR) AS artist_mbid, CAST(l_quantity AS INTEGER) AS score, COALESCE(plays, 0) AS plays,
         plays IS NOT NULL AS in_history
-    FROM u LEFT JOIN p ON artist = p_brand WHERE rn <= 2""", "tracks", "ctracks")
+    FROM u LEFT JOIN p ON artist = p_brand WHERE rn <= 12""", "tracks", "ctracks")
 def external_artists(spark, sf):
     """Listed artists per order: usable entries, the kept and the shown ones, own plays."""
     line, part = I.table(spark, sf, "lineitem"), I.table(spark, sf, "part").select("p_partkey", "p_brand")
@@ -233,4 +233,4 @@ def external_artists(spark, sf):
              .agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", item.alias("x")))).alias("xs"))
              .select("mbid", F.transform("xs", lambda e: e["x"]).alias("items")))
     totals = catalog.artist_play_totals(I.counted_tracks(spark, sf)).filter(F.col("artist") != "Brand#9")
-    return context.enrich_similar_artists(lists, totals, keep=3, n=2).drop("comment", "type")
+    return context.enrich_similar_artists(lists, totals).drop("comment", "type")
