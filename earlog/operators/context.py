@@ -82,15 +82,16 @@ def flatten_external(external: DataFrame) -> DataFrame:
 def split_seed(rows: DataFrame, titles: DataFrame) -> DataFrame:
     """Marks the entry that is the seed itself: by id, else by the folded title of the seed.
 
-    `titles`: seed_id, seed_title.
+    `titles`: seed_id, seed_title and, where seed_id names a list and not the item itself, seed_track.
     """
     folded = lambda c: F.trim(F.lower(c))                                          # noqa: E731
-    by_id = F.col("track_id") == F.col("seed_id")
+    own = "seed_track" in titles.columns
+    by_id = F.col("track_id") == F.col("seed_track" if own else "seed_id")
     by_title = (folded(F.col("seed_title")) != "") & (folded(F.col("title")) == folded(F.col("seed_title")))
     w = Window.partitionBy("seed_id").orderBy(F.when(by_id, 0).when(F.coalesce(by_title, F.lit(False)), 1).otherwise(2), "pos")
     out = rows.join(titles, "seed_id", "left").withColumn("_rn", F.row_number().over(w))
     hit = (F.col("_rn") == 1) & (by_id | F.coalesce(by_title, F.lit(False)))
-    return out.withColumn("is_seed", hit).drop("_rn", "seed_title")
+    return out.withColumn("is_seed", hit).drop("_rn", "seed_title", "seed_track")
 
 
 def seed_meta(rows: DataFrame) -> DataFrame:

@@ -154,7 +154,7 @@ def context_scores(spark, sf):
 
 
 def _radio(spark, sf):
-    """External lists: the lines of an order play the radio list of the item on its first line."""
+    """External lists: the lines of every order play one radio list, seeded by the item on its first line."""
     line = I.table(spark, sf, "lineitem")
     item = F.struct(
         F.when(F.col("l_quantity") < 4, "").otherwise(F.col("l_partkey").cast("string")).alias("videoId"),
@@ -167,10 +167,9 @@ def _radio(spark, sf):
                 F.struct(F.lit("large").alias("url"), F.col("l_linenumber").alias("width"))).alias("thumbnail"))
     line = line.withColumn("e", F.struct("l_linenumber", "l_partkey", "l_suppkey", item.alias("x")))
     lists = line.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("e")).alias("xs"))
-    lists = lists.withColumn("seed_id", F.col("xs")[0]["l_partkey"])
-    per_seed = lists.groupBy("seed_id").agg(F.min_by("xs", "l_orderkey").alias("xs"))
-    return per_seed.select(
-        F.col("seed_id").cast("string").alias("seed_id"), F.transform("xs", lambda e: e["x"]).alias("items"),
+    return lists.select(
+        F.col("l_orderkey").cast("string").alias("seed_id"), F.col("xs")[0]["l_partkey"].cast("string").alias("seed_track"),
+        F.transform("xs", lambda e: e["x"]).alias("items"),
         F.concat(F.lit("TITLE "), F.array_max(F.transform("xs", lambda e: e["l_suppkey"])).cast("string")).alias("seed_title"))
 
 
@@ -201,14 +200,14 @@ def external_similar(spark, sf):
     radio = _radio(spark, sf)
     text_id = F.col("track_id").cast("string")
     tracks = I.counted_tracks(spark, sf).filter("is_music").withColumn("track_id", text_id)
-    return context.enrich_external_similar(radio, radio.select("seed_id", "seed_title"), tracks,
+    return context.enrich_external_similar(radio, radio.select("seed_id", "seed_track", "seed_title"), tracks,
                                            I.plays(spark, sf).withColumn("track_id", text_id))
 
 
 @query("external_seed_meta", f"WITH {_RADIO} SELECT CAST(seed AS VARCHAR) AS seed_id, {_RADIO_ROW} FROM v WHERE is_seed")
 def external_seed_meta(spark, sf):
     radio = _radio(spark, sf)
-    return context.seed_meta(context.split_seed(context.flatten_external(radio), radio.select("seed_id", "seed_title")))
+    return context.seed_meta(context.split_seed(context.flatten_external(radio), radio.select("seed_id", "seed_track", "seed_title")))
 
 
 @query("external_artists", """WITH o AS (SELECT l_orderkey, p_brand, l_returnflag, l_quantity, l_linenumber, l_partkey, l_suppkey
