@@ -130,11 +130,10 @@ def features(spark, sf) -> DataFrame:
 
 
 def lyrics(spark, sf) -> DataFrame:
-    short = F.col("n_chars") < 60
-    return base.spread(table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")).select(
-        F.col("doc_id").alias("track_id"), F.when(short, "").otherwise(F.col("text")).alias("text"),
-        F.coalesce("lang", F.lit("")).alias("language"),
-        F.when(short, "none").when(F.col("source") == "src0", "whisper").otherwise("lrclib").alias("source"))
+    empty = F.coalesce("text", F.lit("")) == ""
+    return base.spread(table(spark, sf, "documents").select("doc_id", "text", "lang", "source")).select(
+        F.col("doc_id").alias("track_id"), "text", F.coalesce("lang", F.lit("")).alias("language"),
+        F.when(empty, "none").when(F.col("source") == "src0", "whisper").otherwise("lrclib").alias("source"))
 
 
 def attempts(spark, sf) -> DataFrame:

@@ -1,7 +1,9 @@
 """Queries against SQL that reads the whole tables: nothing is narrowed before the operator sees it."""
 import pytest
 from oracle import compare, connect
+from test_queries import MAY_BE_EMPTY
 
+from earlog.plans import inputs
 from earlog.plans.registry import load
 from earlog.plans.sqltext import PARTS, compose
 
@@ -43,3 +45,25 @@ def test_external_similar_every_order(spark, sf, con):
 def test_external_seed_meta_every_order(spark, sf, con):
     same("external_seed_meta", spark, sf, con,
          f"WITH {RADIO} SELECT seed_id, album, year, artist, thumbnail FROM v WHERE is_seed")
+
+# every text as it is stored; only a missing or empty one has no source
+LYRICS = """SELECT doc_id AS track_id, text, COALESCE(lang, '') AS language, CASE WHEN COALESCE(text, '') = '' THEN 'none'
+        WHEN source = 'src0' THEN 'whisper' ELSE 'lrclib' END AS source FROM documents"""
+TEXT_QUERIES = [n for n, (_, sql) in TABLE.items() if sql and PARTS["lyrics"] in sql]
+
+
+@pytest.mark.parametrize("name", TEXT_QUERIES)
+def test_short_texts(name, spark, sf, con):
+    fn, sql = TABLE[name]
+    if name == "vocal_threshold_table":     # every item has a text at the smallest size: no negatives, and a share of none is 0
+        sql = sql.replace("FILTER (NOT positive), 6) AS", "FILTER (NOT positive), 6), 0) AS").replace(
+            "recall,\n        round_even", "recall,\n        COALESCE(round_even")
+    message = compare(fn(spark, sf), sql.replace(PARTS["lyrics"], LYRICS), con)
+    assert message in ("", "both empty" if name in MAY_BE_EMPTY else ""), message
+
+
+def test_texts_unchanged(spark, tmp_path):
+    spark.createDataFrame([(1, "Oh no", "en", "src0", 5), (2, "", "en", "src0", 0), (3, None, None, "src1", None), (4, "hey", "fr", "src1", 3)],
+                          "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.track_id: (r.text, r.language, r.source) for r in inputs.lyrics(spark, str(tmp_path)).collect()}
+    assert got == {1: ("Oh no", "en", "whisper"), 2: ("", "en", "none"), 3: (None, "", "none"), 4: ("hey", "fr", "lrclib")}
