@@ -306,12 +306,13 @@ HEADS = {"style": ["Style---" + g for g in I.GENRES],
 
 
 def _model_scores(spark, sf):
-    """Four frames per head, read off consecutive vector elements."""
+    """Frames of each head, read off consecutive vector elements: as many as the vector has whole ones."""
     heads = F.array(*[F.struct(F.lit(h).alias("head"), F.array(*[F.lit(c) for c in cs]).alias("classes"))
                       for h, cs in HEADS.items()])
-    e = I.table(spark, sf, "embeddings").select(F.col("vec_id").alias("track_id"), F.posexplode("embedding").alias("i", "x"))
+    e = I.table(spark, sf, "embeddings").select(F.col("vec_id").alias("track_id"), F.size("embedding").alias("size"),
+                                                F.posexplode("embedding").alias("i", "x"))
     n = F.size("h.classes")
-    rows = e.select("*", F.explode(heads).alias("h")).filter(F.col("i") < n * 4)
+    rows = e.select("*", F.explode(heads).alias("h")).filter(F.col("i") < F.col("size") - F.col("size") % n)
     return rows.select("track_id", F.floor(F.col("i") / n).cast("int").alias("frame"), F.col("h.head").alias("head"),
                        F.element_at("h.classes", F.col("i") % n + 1).alias("class"), (F.col("i") % n).alias("class_ord"),
                        F.least(F.lit(1.0), F.abs(F.col("x").cast("double")) * 4).alias("score"))

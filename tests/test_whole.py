@@ -3,7 +3,7 @@ import pytest
 from oracle import compare, connect
 from test_queries import MAY_BE_EMPTY
 
-from earlog.plans import inputs
+from earlog.plans import inputs, textual
 from earlog.plans.registry import load
 from earlog.plans.sqltext import PARTS, compose
 
@@ -67,3 +67,22 @@ def test_texts_unchanged(spark, tmp_path):
                           "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.track_id: (r.text, r.language, r.source) for r in inputs.lyrics(spark, str(tmp_path)).collect()}
     assert got == {1: ("Oh no", "en", "whisper"), 2: ("", "en", "none"), 3: (None, "", "none"), 4: ("hey", "fr", "lrclib")}
+
+# all whole frames of the 64 elements: 4 for style, 8 for instrument, 6 for theme, 32 for heads of two classes
+POOL = "pool AS (" + " UNION ALL ".join(
+    f"""SELECT vec_id AS track_id, '{h}' AS head, ['{"', '".join(cs)}'][o + 1] AS class, o AS class_ord,
+        list_sum(list_transform(range({64 // len(cs)}), lambda f: u[f * {len(cs)} + o + 1])) / {64 // len(cs)} AS score
+        FROM emb, range({len(cs)}) r(o)""" for h, cs in textual.HEADS.items()) + ")"
+POOL_QUERIES = [n for n, (_, sql) in TABLE.items() if sql and textual._POOL in sql]
+
+
+@pytest.mark.parametrize("name", POOL_QUERIES)
+def test_pool_all_frames(name, spark, sf, con):
+    same(name, spark, sf, con, TABLE[name][1].replace(textual._POOL, POOL))
+
+
+def test_frames_of_a_head(spark, sf):
+    rows = textual._model_scores(spark, sf).groupBy("track_id", "head").agg({"frame": "max", "score": "count"}).select(
+        "head", "max(frame)", "count(score)").distinct().collect()
+    assert {tuple(r) for r in rows} == {("style", 3, 56), ("instrument", 7, 64), ("theme", 5, 60), ("vocal", 31, 64), ("dance", 31, 64),
+                                        ("tone", 31, 64)}
