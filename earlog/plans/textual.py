@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from earlog import config as C
 from earlog.functions.columns import rounded
 from earlog.functions import text as X
-from earlog.operators import classify as K, scores as P, texts as E, tracks as T
+from earlog.operators import base, classify as K, scores as P, texts as E, tracks as T
 from earlog.plans import inputs as I
 from earlog.plans.registry import query
 from earlog.sources import ingest as N
@@ -223,12 +223,15 @@ def artist_tag_lists(spark, sf):
     p = I.table(spark, sf, "part")
 
     def lists(rows, c):
-        return rows.groupBy(F.col("p_brand").alias("artist"), F.col(c).alias("name")).agg(
-            F.count(F.lit(1)).alias("count")).groupBy("artist").agg(F.sort_array(F.collect_list(F.struct("name", "count"))).alias(c))
-
-    genres = lists(p.filter((F.col("p_size") > 25) & (F.col("p_brand") < "Brand#2")), "p_name")
-    meta = lists(p, "p_type").join(genres, "artist", "left").withColumn(
-        "p_name", F.coalesce("p_name", F.array().cast("array<struct<name:string,count:bigint>>")))
+        counts = rows.filter(F.col(c) != "").groupBy(F.col("p_brand").alias("artist"), F.col(c).alias("name")).agg(
+            F.count(F.lit(1)).alias("count"))
+        few = base.first_k(counts, ["artist"], [F.col("count").desc(), F.col("name")], 5)
+        return few.groupBy("artist").agg(F.sort_array(F.collect_list(F.struct("name", "count"))).alias(c))
+
+    genres = lists(p, "p_name")
+    none = F.array().cast("array<struct<name:string,count:bigint>>")
+    meta = p.select(F.col("p_brand").alias("artist")).distinct().join(lists(p, "p_type"), "artist", "left").join(
+        genres, "artist", "left").withColumns({c: F.coalesce(c, none) for c in ("p_name", "p_type")})
     return meta.select("artist", F.array_join(E.tag_list("p_name", "p_type", 5), "|").alias("top5"),
                        F.get(E.tag_list("p_name", "p_type", 1), F.lit(0)).alias("top1"))
 

@@ -86,3 +86,17 @@ def test_frames_of_a_head(spark, sf):
         "head", "max(frame)", "count(score)").distinct().collect()
     assert {tuple(r) for r in rows} == {("style", 3, 56), ("instrument", 7, 64), ("theme", 5, 60), ("vocal", 31, 64), ("dance", 31, 64),
                                         ("tone", 31, 64)}
+
+
+def test_tag_lists_all_rows(spark, sf, con):
+    same("artist_tag_lists", spark, sf, con, """WITH n AS (SELECT p_brand, p_name, count(*) AS c FROM part GROUP BY 1, 2),
+        r AS (SELECT p_brand, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY c DESC, p_name) AS rn FROM n)
+        SELECT p_brand AS artist, string_agg(p_name, '|' ORDER BY rn) AS top5, min_by(p_name, rn) AS top1 FROM r WHERE rn <= 5 GROUP BY 1""")
+
+
+def test_tag_lists_fallback(spark, tmp_path):
+    rows = [("A", n, "LARGE") for n in "fedcbaf"] + [("B", None, "SMALL"), ("B", "", "PROMO"), ("B", "", "PROMO"), ("C", "x", ""), ("D", None, "")]
+    spark.createDataFrame([(*r, 1) for r in rows], "p_brand string, p_name string, p_type string, p_size long").write.parquet(
+        f"{tmp_path}/part.parquet")
+    got = {r.artist: (r.top5, r.top1) for r in TABLE["artist_tag_lists"][0](spark, str(tmp_path)).collect()}
+    assert got == {"A": ("f|a|b|c|d", "f"), "B": ("PROMO|SMALL", "PROMO"), "C": ("x", "x"), "D": ("", None)}
