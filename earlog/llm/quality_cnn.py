@@ -11,8 +11,8 @@ from earlog.llm.common import arrow_map
 
 #: Bytes of a chunk, width of a filter, filters, size of a byte's vector. Chunks overlap by WIDTH - 1 bytes: no window is lost.
 CHUNK, WIDTH, FILTERS, DIM = 512, 6, 16, 6
-#: Documents of each label, and chunks of each document, that training reads at most.
-TRAIN_DOCS, TRAIN_CHUNKS = 1500, 8
+#: Documents of each label that training reads at most, each with all its chunks.
+TRAIN_DOCS = 1500
 #: Chunks that are convolved at once.
 BLOCK = 64
 
@@ -50,6 +50,16 @@ def convolve(block: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def peaks(pieces: np.ndarray, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Window of the largest response of every filter in every chunk, and that response."""
+    where, top = [], []
+    for k in range(0, len(pieces), BLOCK):
+        raw = convolve(pieces[k:k + BLOCK], tables)
+        where.append(raw.argmax(1))
+        top.append(np.take_along_axis(raw, where[-1][:, None], 1)[:, 0])
+    return np.concatenate(where), np.concatenate(top)
+
+
 def pooled(pieces: np.ndarray, net: Network, tables: list[np.ndarray]) -> np.ndarray:
     """Largest response of every filter in every chunk, after the bias and the rectifier."""
     top = [convolve(pieces[k:k + BLOCK], tables).max(1) for k in range(0, len(pieces), BLOCK)]
@@ -79,9 +89,8 @@ def fit(texts: list[np.ndarray], labels: list[int], epochs: int = 12, rate: floa
             g = {k: np.zeros_like(getattr(net, k)) for k in ("bytes_", "filters", "bias", "weights")} | {"offset": np.zeros(())}
             for d in pick:
                 piece = texts[d]
-                raw = convolve(piece, tables)
-                where = raw.argmax(1)
-                top = np.take_along_axis(raw, where[:, None], 1)[:, 0] + net.bias
+                where, top = peaks(piece, tables)
+                top = top + net.bias
                 f = np.maximum(top, 0)
                 best = f.argmax(0)
                 feats = np.concatenate([f.max(0), f.mean(0)])
@@ -108,11 +117,11 @@ def fit(texts: list[np.ndarray], labels: list[int], epochs: int = 12, rate: floa
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", docs_each: int = TRAIN_DOCS, chunks_each: int = TRAIN_CHUNKS,
-          epochs: int = 12, seed: int = 7) -> Network:
-    """Network from a bounded sample: of each label the `docs_each` documents of smallest hashed id, `chunks_each` chunks evenly
-    over each. Null labels, labels without a document and documents without a label are left out; without any label the
-    untrained network is returned. Of ids labelled twice the smaller label counts.
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", docs_each: int = TRAIN_DOCS, epochs: int = 12,
+          seed: int = 7) -> Network:
+    """Network from a bounded sample: of each label the `docs_each` documents of smallest hashed id, with their whole texts.
+    Null labels, labels without a document and documents without a label are left out; without any label the untrained
+    network is returned. Of ids labelled twice the smaller label counts, of ids with several texts one.
     """
     known = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).alias("y"))
     ids = None
@@ -120,17 +129,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", docs_each:
         some = known.where(F.col("y") == v).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(docs_each)
         ids = some if ids is None else ids.union(some)
     picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")     # at most 2 * docs_each ids
-
-    def take(batches):
-        for c in batches:
-            out = []
-            for t in c["text"].to_pylist():
-                a = chunks((t or "").encode())
-                out.append(a[np.unique(np.linspace(0, len(a) - 1, chunks_each).round().astype(int))].tobytes())
-            yield c | {"x": out}
-    rows = arrow_map(picked, take, "doc_id bigint, y int, x binary").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["x"])))[:4 * docs_each]
-    return fit([np.frombuffer(r["x"], np.uint8).reshape(-1, CHUNK) for r in rows], [r["y"] for r in rows], epochs, seed=seed)
+    one = picked.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.isnull("text"), F.xxhash64("text"), "text")).alias("text"))
+    rows = sorted(one.select("doc_id", "y", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("x")).collect())
+    return fit([chunks(bytes(r["x"])) for r in rows], [r["y"] for r in rows], epochs, seed=seed)
 
 
 def score(docs: DataFrame, net: Network, text: str = "text", out: str = "score") -> DataFrame:
