@@ -94,16 +94,16 @@ def _grams(df: DataFrame, text: str, n: int) -> DataFrame:
     return df.select("*", F.explode_outer(grams).alias("gram")).filter(F.col("gram").isNotNull())
 
 
-def language_profiles(labelled: DataFrame, n: int = 3, per_language: int = 400) -> DataFrame:
-    """language, gram, logp: the most frequent n-grams of each language with smoothed log share.
+def language_profiles(labelled: DataFrame, n: int = 3, per_language: int | None = None) -> DataFrame:
+    """language, gram, logp: n-grams of each language with the log of their share, smoothed by the language's distinct n-grams.
 
-    At most `per_language` rows per language, so the profile stays small however many texts teach it.
+    With `per_language` only that many of the most frequent ones are returned.
     """
     rows = _grams(labelled.filter((F.col("language") != "") & (F.col("text") != "")).select("language", "text"), "text", n)
     counts = rows.groupBy("language", "gram").agg(F.count(F.lit(1)).alias("c"))
-    best = base.first_k(counts, ["language"], [F.col("c").desc(), F.col("gram")], per_language)
-    total = counts.groupBy("language").agg(F.sum("c").alias("total"))
-    return best.join(total, "language").select("language", "gram", F.ln((F.col("c") + 1) / (F.col("total") + per_language)).alias("logp"))
+    total = counts.groupBy("language").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("grams"))
+    best = base.first_k(counts, ["language"], [F.col("c").desc(), F.col("gram")], per_language) if per_language else counts
+    return best.join(total, "language").select("language", "gram", F.ln((F.col("c") + 1) / (F.col("total") + F.col("grams"))).alias("logp"))
 
 
 def detect_language(texts: DataFrame, profiles: DataFrame, n: int = 3, floor: float = -14.0) -> DataFrame:
