@@ -123,3 +123,9 @@ def test_profiles_keep_every_gram(spark):
     grams = [padded[i:i + 3] for i in range(len(padded) - 2)]
     assert len(set(grams)) > 400 and {g for k, g in got if k == "en"} == set(grams)
     assert got["fr", " ab"] == pytest.approx(math.log(2 / 4))
+
+
+def test_second_page_of_the_default_size(spark):
+    sf, sql = "/root/testdata/sf0.01", TABLE["tracks_query"][1]
+    assert "BETWEEN 51 AND 100" in sql
+    same("tracks_query", spark, sf, connect(sf), sql.replace("BETWEEN 51 AND 100", "BETWEEN 201 AND 400"))
