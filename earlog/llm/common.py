@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from earlog.session import ensure_checkpoint_dir
 
@@ -28,22 +29,26 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
-    """mapInArrow where fn gets and gives dictionaries of columns (Arrow arrays in, lists or arrays out)."""
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str | StructType) -> DataFrame:
+    """mapInArrow where fn gets and gives dictionaries of columns (Arrow arrays in, lists or arrays out).
+
+    Columns go to Python by position, so any name will do.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
-    target = to_arrow_schema(_parse_datatype_string(schema))
+    names = df.columns
+    target = to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
     def run(batches):
         def columns():
             for b in batches:
                 if b.num_rows:
-                    yield dict(zip(b.schema.names, b.columns))
+                    yield dict(zip(names, b.columns))
         for out in fn(columns()):
             yield pa.RecordBatch.from_arrays(
                 [v.cast(f.type) if isinstance(v := out[f.name], (pa.Array, pa.ChunkedArray)) else pa.array(v, f.type) for f in target],
                 schema=target)
-    return df.mapInArrow(run, schema)
+    return df.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(run, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earlog.llm import chat_tree, embedding_dedup, fingerprint, gumbel_pieces, hmm_lm, line_dedup, minhash_dedup, packing, quality_cnn, url_filter
+from earlog.llm import (chat_tree, compression_rules, embedding_dedup, fingerprint, gumbel_pieces, hmm_lm, line_dedup, merkle_manifest,
+                        minhash_dedup, packing, quality_cnn, url_filter)
 from earlog.llm.common import arrow_map, read
 
 #: Fixed values of the query on urls: verdict, host, path.
@@ -107,6 +108,28 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", fold(5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = compression_rules.quality_rules(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                      "zstd_ratio", "n_chunks", "n_bad_chunks", "bad_bytes")
+
+
+LEAF = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all rows, checked against rows whose text was lower-cased where 5 divides crc32 of the id."""
+    docs = read(spark, sf_dir, "documents", *LEAF)
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    leaf = merkle_manifest.leaf_hash(*[F.col(c) for c in LEAF])
+    changed = merkle_manifest.leaf_hash(*[F.col(c) for c in LEAF[:-1]], lowered)
+    leaves = docs.select("doc_id", "source", leaf.alias("leaf"), F.when(fold(5, 0), changed).alias("changed"))
+    out = merkle_manifest.merkle_manifest(leaves, "source", "doc_id", "leaf")
+    folded = merkle_manifest.fold(F.coalesce("changed", "leaf"), F.col("proof"))
+    return (out.select("doc_id", "leaf", "subroot", "root", merkle_manifest.proof_digest(F.col("proof")).alias("proof_sha256"),
+                       folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -115,6 +138,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registered() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     """Queries with their SQL, where SQL can express them."""
     own = {f.__name__: (f, None) for f in (op1_chat_tree, op2_fingerprint, op3_minhash, op4_packing, op5_url_filter, op6_segmentations,
-                                           op7_quality, op8_embeddings, op9_lines, op10_hmm, pipeline)}
+                                           op7_quality, op8_embeddings, op9_lines, op10_hmm, op11_compression, op12_merkle, pipeline)}
     own["op5_url_filter"] = (op5_url_filter, url_filter.url_filter_sql(RULES))
+    own["op12_merkle"] = (op12_merkle, merkle_manifest.merkle_sql("documents", "source", "doc_id", list(LEAF), "text"))
     return own
