@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earlog.llm import (chat_tree, compression_rules, embedding_dedup, fingerprint, gumbel_pieces, hmm_lm, line_dedup, merkle_manifest,
+from earlog.llm import (chat_tree, compression_rules, conversation_repair, embedding_dedup, fingerprint, gumbel_pieces, hmm_lm, line_dedup, merkle_manifest,
                         minhash_dedup, packing, quality_cnn, url_filter)
 from earlog.llm.common import arrow_map, read
 
@@ -130,6 +130,28 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
                        folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root")))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults by crc32 of `conv_id:turn` modulo 20; nulls count as one blank."""
+    blank = F.lit(" ")
+    named = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), blank), F.coalesce(F.col("turn").cast("string"), blank))
+    text, role = F.coalesce("text", blank), F.coalesce("role", blank)
+    kind = F.crc32(named.cast("binary")) % 20
+    out = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), kind.alias("kind")).where("kind <> 0")
+    cut = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    copies = F.array_repeat(F.lit(0), F.when(F.col("kind") == 3, 2).otherwise(1))
+    return (out.withColumn("text", cut).withColumn("role", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")))
+            .withColumn("copy", F.explode(copies)).select("conv_id", "turn", "role", "text"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    fixed = conversation_repair.repair(damaged(rows), rows)
+    texts = conversation_repair.text_digests(fixed.turns).withColumnRenamed("sha256", "repaired_sha256")
+    out = fixed.summary.join(texts, "conv", "left")
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+                      F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -138,7 +160,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registered() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     """Queries with their SQL, where SQL can express them."""
     own = {f.__name__: (f, None) for f in (op1_chat_tree, op2_fingerprint, op3_minhash, op4_packing, op5_url_filter, op6_segmentations,
-                                           op7_quality, op8_embeddings, op9_lines, op10_hmm, op11_compression, op12_merkle, pipeline)}
+                                           op7_quality, op8_embeddings, op9_lines, op10_hmm, op11_compression, op12_merkle, op13_repair, pipeline)}
     own["op5_url_filter"] = (op5_url_filter, url_filter.url_filter_sql(RULES))
     own["op12_merkle"] = (op12_merkle, merkle_manifest.merkle_sql("documents", "source", "doc_id", list(LEAF), "text"))
     return own
