@@ -173,24 +173,21 @@ def _radio(spark, sf):
         F.concat(F.lit("TITLE "), F.array_max(F.transform("xs", lambda e: e["l_suppkey"])).cast("string")).alias("seed_title"))
 
 
-_RADIO = """o AS (SELECT l.*, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn
-        FROM lineitem l), f AS (SELECT l_partkey AS seed, min(l_orderkey) AS l_orderkey FROM o WHERE rn = 1 GROUP BY 1),
-    x AS (SELECT seed, rn, CASE WHEN l_quantity < 4 THEN '' ELSE CAST(l_partkey AS VARCHAR) END AS id, o.*
-        FROM o JOIN f USING (l_orderkey)),
-    st AS (SELECT seed, 'TITLE ' || max(l_suppkey) AS seed_title FROM x GROUP BY 1),
-    y AS (SELECT * FROM x WHERE id <> '' QUALIFY row_number() OVER (PARTITION BY seed, id ORDER BY rn) = 1),
-    z AS (SELECT *, CAST(row_number() OVER (PARTITION BY seed ORDER BY rn) - 1 AS INTEGER) AS pos,
-        'Title ' || l_suppkey AS title FROM y),
-    w AS (SELECT z.*, id = CAST(seed AS VARCHAR) AS by_id, lower(title) = lower(seed_title) AS by_title FROM z JOIN st USING (seed)),
-    v AS (SELECT *, (by_id OR by_title) AND row_number() OVER (PARTITION BY seed ORDER BY CASE WHEN by_id THEN 0
-        WHEN by_title THEN 1 ELSE 2 END, pos) = 1 AS is_seed FROM w)"""
+_RADIO = """x AS (SELECT l.*, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn,
+        CASE WHEN l_quantity < 4 THEN '' ELSE CAST(l_partkey AS VARCHAR) END AS id FROM lineitem l),
+    st AS (SELECT l_orderkey, CAST(min_by(l_partkey, rn) AS VARCHAR) AS seed, 'title ' || max(l_suppkey) AS seed_title FROM x GROUP BY 1),
+    y AS (SELECT * FROM x WHERE id <> '' QUALIFY row_number() OVER (PARTITION BY l_orderkey, id ORDER BY rn) = 1),
+    z AS (SELECT y.*, CAST(row_number() OVER (PARTITION BY y.l_orderkey ORDER BY rn) - 1 AS INTEGER) AS pos, 'Title ' || l_suppkey AS title,
+        CASE WHEN id = seed THEN 0 WHEN 'title ' || l_suppkey = seed_title THEN 1 ELSE 2 END AS near FROM y JOIN st USING (l_orderkey)),
+    v AS (SELECT *, CAST(l_orderkey AS VARCHAR) AS seed_id, near < 2 AND row_number() OVER (PARTITION BY l_orderkey ORDER BY near, pos) = 1
+        AS is_seed FROM z)"""
 _RADIO_ROW = """l_returnflag || ', ' || l_linestatus AS artist, l_linestatus AS album,
     strftime(l_shipdate, '%Y') AS year, CASE WHEN l_linenumber > 4 THEN 'large' ELSE 'small' END AS thumbnail"""
 
 
 @query("external_similar", f"""WITH {_RADIO}, r AS (SELECT track_id, strftime(min(listened_at), '%Y-%m-%d') AS first_listen,
         strftime(max(listened_at), '%Y-%m-%d') AS last_listen FROM plays GROUP BY 1)
-    SELECT CAST(seed AS VARCHAR) AS seed_id, pos, id AS track_id, v.title, {_RADIO_ROW},
+    SELECT seed_id, pos, id AS track_id, v.title, {_RADIO_ROW},
         floor(l_quantity / 10) * 60 + l_quantity AS duration, t.track_id IS NOT NULL AS in_history, t.play_count,
         CASE WHEN t.track_id IS NOT NULL THEN first_listen END AS first_listen,
         CASE WHEN t.track_id IS NOT NULL THEN last_listen END AS last_listen
@@ -204,7 +201,7 @@ def external_similar(spark, sf):
                                            I.plays(spark, sf).withColumn("track_id", text_id))
 
 
-@query("external_seed_meta", f"WITH {_RADIO} SELECT CAST(seed AS VARCHAR) AS seed_id, {_RADIO_ROW} FROM v WHERE is_seed")
+@query("external_seed_meta", f"WITH {_RADIO} SELECT seed_id, {_RADIO_ROW} FROM v WHERE is_seed")
 def external_seed_meta(spark, sf):
     radio = _radio(spark, sf)
     return context.seed_meta(context.split_seed(context.flatten_external(radio), radio.select("seed_id", "seed_track", "seed_title")))

@@ -60,9 +60,8 @@ PARTS = {
         {', '.join(f"CASE WHEN tags_ok AND label <> 2 THEN round_even(u[{20 + j}], 3) ELSE 0.125 END AS {c}"
                    for j, c in enumerate(C.MOOD_COLS))} FROM tagged""",
     "features": "SELECT *, CASE WHEN len(styles) > 0 THEN styles ELSE genres END AS genre_vec FROM feat0",
-    "lyrics": """SELECT doc_id AS track_id, CASE WHEN n_chars < 60 THEN '' ELSE text END AS text,
-        COALESCE(lang, '') AS language, CASE WHEN n_chars < 60 THEN 'none' WHEN source = 'src0' THEN 'whisper'
-        ELSE 'lrclib' END AS source FROM documents""",
+    "lyrics": """SELECT doc_id AS track_id, text, COALESCE(lang, '') AS language, CASE WHEN COALESCE(text, '') = '' THEN 'none'
+        WHEN source = 'src0' THEN 'whisper' ELSE 'lrclib' END AS source FROM documents""",
     "attempts": """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS track_id,
         CASE WHEN event_type = 'signup' THEN 'lyrics' ELSE 'audio' END AS stage,
         CASE WHEN event_type IN ('error', 'signup') THEN 'dl-error' ELSE 'ok' END AS status,
