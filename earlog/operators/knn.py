@@ -1,42 +1,46 @@
-"""Exact k nearest neighbours for every row, as Spark jobs over bounded blocks.
+"""Exact k nearest neighbours of many seeds, as one lazy join over a grid of strips.
 
-All-pairs work is cut by the triangle inequality. Rows are assigned to the nearest of at most 256
-pivots; a cell that is too full is split by hash, so identical copies spread too. A first pass
-finds neighbours inside each block, which bounds how far the true ones can be. A second pass sends
-a row only to blocks whose lower bound does not exceed its own bound. Nothing is capped: a row
-that cannot be bounded simply visits every block. Only k rows per (row, block) leave a task.
+Rows are dealt by hash to strips; the task of cell (i, j) compares the seeds of strip i with all rows of strip j. The numbers of
+strips are square roots of the row counts, taken inside the plan: a seed is copied once for each strip of rows, a row once for
+each strip of seeds, so copies grow with n ** 1.5 for n seeds and with n for a few, and a task holds two strips of about
+sqrt(n * SHARE) rows. Hash strips make hot values and copies of one row harmless.
+
+A measure may leave out what is heavy and give bounds instead. A task then returns the pairs that can still be among the k best
+by what it has seen itself; `within_reach` drops the rest, and the caller adds the missing part for what remains.
 """
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from earlog.functions.ship import by_value
 from earlog.operators import base
-from earlog.session import ensure_checkpoint_dir
 
 by_value(__name__)
 
-MAX_PIVOTS = 256
+#: A strip of n rows holds about sqrt(n * SHARE) of them.
+SHARE = 256
+#: Cells of one distance matrix that is held at once.
+CELLS = 1 << 22
 
 
 @dataclass
 class Measure:
     """How rows compare.
 
-    parts:    (start, end, weight) slices of the coordinate column `x`; the pivot metric is the
-              weighted sum of the Euclidean norms of the slice differences.
-    lower:    least possible distance given a lower bound of the pivot metric (vectorised).
-    pairwise: (seeds, others) -> distance matrix (NaN where undefined) and label-index matrix.
+    bounds: (seeds, others) -> least and greatest possible distance of every pair (equal where it is known, NaN where it is
+            undefined), a label index, and the matrices of `extra` by name.
     """
-    parts: list[tuple[int, int, float]]
-    lower: Callable[[np.ndarray], np.ndarray]
-    pairwise: Callable[[pd.DataFrame, pd.DataFrame], tuple[np.ndarray, np.ndarray]]
+    bounds: Callable[[pd.DataFrame, pd.DataFrame], tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]]
+    extra: tuple[str, ...] = ()
+
+
+def exact(distance: np.ndarray, label: np.ndarray | None = None):
+    return distance, distance, np.zeros(distance.shape, int) if label is None else label, {}
 
 
 def euclid(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -45,121 +49,97 @@ def euclid(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(sq, 0.0))
 
 
-def _metric(x: np.ndarray, pivots: np.ndarray, parts) -> np.ndarray:
-    out = np.zeros((len(x), len(pivots)))
-    for s, e, w in parts:
-        # a row against few pivots: plain differences avoid cancellation, the bounds stay safe
-        for j in range(len(pivots)):
-            out[:, j] += w * np.linalg.norm(x[:, s:e] - pivots[j, s:e], axis=1)
-    return out
-
+def in_reach(low: np.ndarray, high: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the pairs that can be among the k best of their row; columns stand in the order that breaks ties.
 
-def best_rows(seeds: pd.DataFrame, others: pd.DataFrame, measure: Measure, k: int) -> pd.DataFrame:
-    """k nearest others of each seed inside one block, ties by id; seeds in slices to bound memory."""
+    The k least upper bounds are reached for sure. Another pair can pass one of them only with a smaller lower bound, or an
+    equal one while its own distance is open.
+    """
+    high = np.where(np.isnan(high), np.inf, high)
+    limit = np.partition(high, k - 1, axis=1)[:, k - 1:k] if high.shape[1] > k else np.full((len(high), 1), np.inf)
+    row, column = np.nonzero(high <= limit)
+    known = np.isfinite(high[row, column])
+    row, column = row[known], column[known]
+    order = np.lexsort((column, high[row, column], row))
+    row, column = row[order], column[order]
+    first = np.searchsorted(row, row)
+    keep = np.zeros(high.shape, bool)
+    sure = np.arange(len(row)) - first < k
+    keep[row[sure], column[sure]] = True
+    with np.errstate(invalid="ignore"):
+        keep |= (low < limit) | ((low == limit) & (high > low))
+    return np.nonzero(keep & np.isfinite(high))
+
+
+def block(seeds: pd.DataFrame, others: pd.DataFrame, measure: Measure, k: int) -> pd.DataFrame:
+    """Pairs of one cell that can be among the k best of their seed."""
+    others = others.sort_values("id", kind="stable")
     ids = others["id"].to_numpy()
-    rank_of_id = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-    out = {"seed": [], "other": [], "distance": [], "label": []}
-    for at in range(0, len(seeds), 512):
-        part = seeds.iloc[at:at + 512]
+    out = {c: [] for c in ("seed", "other", "low", "high", "label", *measure.extra)}
+    step = max(1, CELLS // max(1, len(others)))
+    for at in range(0, len(seeds), step):
+        part = seeds.iloc[at:at + step]
         names = part["id"].to_numpy()
-        d, label = measure.pairwise(part, others)
-        d = np.where(names[:, None] == ids[None, :], np.nan, d)
-        for i in range(len(names)):
-            row = d[i]
-            ok = np.flatnonzero(~np.isnan(row))
-            if len(ok) > k:
-                ok = ok[row[ok] <= np.partition(row[ok], k - 1)[k - 1]]
-            pick = ok[np.lexsort((rank_of_id[ok], row[ok]))][:k]
-            out["seed"].append(np.repeat(names[i:i + 1], len(pick)))
-            out["other"].append(ids[pick])
-            out["distance"].append(row[pick])
-            out["label"].append(label[i, pick])
-    if not out["seed"]:
-        return pd.DataFrame({"seed": ids[:0], "other": ids[:0], "distance": np.zeros(0), "label": np.zeros(0, int)})
-    return pd.DataFrame({c: np.concatenate(v) for c, v in out.items()})
-
-
-def nearest(items: DataFrame, measure: Measure, k: int, seeds: DataFrame | None = None,
-            block_rows: int = 512) -> DataFrame:
-    """seed, other, distance, label, rank: the k nearest rows of each seed, ties by id.
-
-    `items`: id, x array<double>, and whatever `measure.pairwise` reads. `seeds`: ids to rank for
-    (all by default).
-    """
-    spark = items.sparkSession
-    id_type = items.schema["id"].dataType
-    schema = T.StructType([T.StructField("seed", id_type), T.StructField("other", id_type),
-                           T.StructField("distance", T.DoubleType()), T.StructField("label", T.IntegerType())])
-    rows = items.withColumn("_seed", F.lit(True))
+        low, high, label, extra = measure.bounds(part, others)
+        own = names[:, None] == ids[None, :]
+        low, high = np.where(own, np.nan, low), np.where(own, np.nan, high)
+        r, c = in_reach(low, high, k)
+        for name, v in (("seed", names[r]), ("other", ids[c]), ("low", low[r, c]), ("high", high[r, c]), ("label", label[r, c]),
+                        *((n, extra[n][r, c]) for n in measure.extra)):
+            out[name].append(v)
+    return pd.DataFrame({c: np.concatenate(v) if v else np.empty(0, ids.dtype if c in ("seed", "other") else float) for c, v in out.items()})
+
+
+def strips(rows: DataFrame) -> Column:
+    """Number of strips for these rows, read back inside the plan."""
+    return rows.agg(F.greatest(F.lit(1), F.ceil(F.sqrt(F.count(F.lit(1)) / SHARE)).cast("int"))).scalar()
+
+
+def grid(items: DataFrame, seeds: DataFrame | None) -> DataFrame:
+    """Every row once for each cell it takes part in: `i`, `j`, `_a` as a seed, `_b` as another row."""
+    rows = items
+    mark = F.lit(True)
+    high = across = strips(items)
     if seeds is not None:
-        mark = seeds.select("id").distinct().withColumn("_m", F.lit(True))
-        rows = items.join(mark, "id", "left").withColumn("_seed", F.coalesce("_m", F.lit(False))).drop("_m")
-    # several passes read the rows: write them once to the shared checkpoint folder
-    ensure_checkpoint_dir(spark)
-    rows = rows.checkpoint()
-    n = rows.count()
-    n_pivots = 1 if n <= block_rows else min(MAX_PIVOTS, math.ceil(n / block_rows) * 2)
-    # at most MAX_PIVOTS coordinate vectors come to the driver
-    pivots = np.array([r["x"] for r in rows.select("id", "x").orderBy(F.xxhash64("id"), "id").limit(n_pivots).collect()],
-                      dtype=float)
-    if n == 0:
-        return spark.createDataFrame([], schema).withColumn("rank", F.lit(1))
-    parts = measure.parts
-
-    @F.pandas_udf(T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("r", T.DoubleType())]))
-    def assign(x: pd.Series) -> pd.DataFrame:
-        m = _metric(np.vstack(x.to_numpy()), pivots, parts)
-        cell = m.argmin(1)
-        return pd.DataFrame({"cell": cell, "r": m[np.arange(len(m)), cell]})
-
-    rows = rows.withColumn("_c", assign("x")).select("*", "_c.cell", "_c.r").drop("_c")
-    # one row per cell, at most MAX_PIVOTS of them
-    cells = {c["cell"]: c for c in rows.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).collect()}
-    n_sub = {c: math.ceil(v["n"] / block_rows) for c, v in cells.items()}
-    subs = F.create_map(*[F.lit(v) for c in n_sub for v in (int(c), n_sub[c])])
-    rows = rows.withColumn("sub", F.pmod(F.xxhash64("id"), subs[F.col("cell")]).cast("int"))
-
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        return best_rows(pdf[pdf["_seed"]], pdf, measure, k)
-
-    found = rows.groupBy("cell", "sub").applyInPandas(inside, schema)
-    if sum(n_sub.values()) > 1:
-        found = found.checkpoint()          # read twice: as bounds and as results
-        found = found.unionByName(_elsewhere(rows, found, measure, k, pivots, cells, n_sub, schema))
-    return base.first_k(found, ["seed"], [F.col("distance"), F.col("other")], k, rank="rank")
+        chosen = seeds.select("id").distinct()
+        rows = items.join(chosen.withColumn("_m", F.lit(True)), "id", "left")
+        mark, across = F.coalesce("_m", F.lit(False)), strips(chosen)
+    rows = rows.withColumns({"_s": mark, "_r": across, "_n": high, "_h": F.xxhash64("id")})
+    i, j = F.pmod("_h", "_r").cast("int"), F.pmod("_h", "_n").cast("int")
+
+    def line(count: str) -> Column:
+        return F.sequence(F.lit(0), F.col(count) - 1)
+    as_other = F.transform(line("_r"), lambda x: F.struct(x.alias("i"), j.alias("j"), F.lit(False).alias("_a"), F.lit(True).alias("_b")))
+    as_seed = F.transform(line("_n"), lambda x: F.struct(i.alias("i"), x.alias("j"), F.lit(True).alias("_a"), F.lit(False).alias("_b")))
+    cells = F.when(F.col("_s"), F.concat(as_other, as_seed)).otherwise(as_other)
+    return rows.withColumn("_c", F.explode(cells)).select(*items.columns, "_c.*")
 
 
-def _elsewhere(rows, found, measure, k, pivots, cells, n_sub, schema) -> DataFrame:
-    """Neighbours in other blocks, visiting only those that can still hold one."""
-    bound = found.groupBy("seed").agg(F.max("distance").alias("far"), F.count(F.lit(1)).alias("got"))
-    bound = bound.select(F.col("seed").alias("id"), F.when(F.col("got") >= k, F.col("far")).alias("far"))
-    parts, lower = measure.parts, measure.lower
-    known = np.array(sorted(cells))
-    lo = np.array([cells[c]["lo"] for c in known])
-    hi = np.array([cells[c]["hi"] for c in known])
-    at = pivots[known]
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def reachable(x: pd.Series, far: pd.Series) -> pd.Series:
-        m = _metric(np.vstack(x.to_numpy()), at, parts)
-        least = lower(np.maximum(0.0, np.maximum(m - hi, lo - m)) * (1 - 1e-9) - 1e-9)
-        reach = np.where(far.isna().to_numpy(), np.inf, far.to_numpy(dtype=float))
-        return pd.Series([known[row <= f + 1e-9].tolist() for row, f in zip(least, reach)])
-
-    subs = F.create_map(*[F.lit(v) for c in n_sub for v in (int(c), n_sub[c])])
-    src = rows.filter("_seed").join(bound, "id", "left")
-    src = src.withColumn("t_cell", F.explode(reachable("x", "far")))
-    src = src.withColumn("t_sub", F.explode(F.sequence(F.lit(0), (subs[F.col("t_cell")] - 1).cast("int"))))
-    src = src.filter((F.col("t_cell") != F.col("cell")) | (F.col("t_sub") != F.col("sub"))).drop("far", "r", "_seed")
-    pair = ["cell", "sub", "t_cell", "t_sub"]
-    wanted = src.select(*pair).distinct()
-    tgt = rows.withColumnsRenamed({"cell": "t_cell", "sub": "t_sub"}).drop("r", "_seed").join(wanted, ["t_cell", "t_sub"])
-
-    # both sides come from the same rows: fresh column names keep them apart
-    tgt = tgt.toDF(*["o_" + c for c in tgt.columns])
-
-    def across(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return best_rows(a, b.rename(columns=lambda c: c[2:]), measure, k)
-
-    return src.groupBy(*pair).cogroup(tgt.groupBy(*["o_" + c for c in pair])).applyInPandas(across, schema)
+def candidates(items: DataFrame, measure: Measure, k: int, seeds: DataFrame | None = None) -> DataFrame:
+    """seed, other, low, high, label and the measure's extra columns: what the cells of the grid return.
+
+    `items`: id and whatever the measure reads. `seeds`: ids to rank for (all by default).
+    """
+    ident = items.schema["id"].dataType
+    schema = T.StructType([T.StructField("seed", ident), T.StructField("other", ident), T.StructField("low", T.DoubleType()),
+                           T.StructField("high", T.DoubleType()), T.StructField("label", T.IntegerType()),
+                           *(T.StructField(n, T.DoubleType()) for n in measure.extra)])
+
+    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
+        return block(pdf[pdf["_a"]], pdf[pdf["_b"]], measure, k)
+    return grid(items, seeds).groupBy("i", "j").applyInPandas(cell, schema)
+
+
+def within_reach(pairs: DataFrame, k: int) -> DataFrame:
+    """Pairs whose lower bound does not exceed the k-th least upper bound of their seed; one pass over the pairs."""
+    best = Window.partitionBy("seed").orderBy("high", "other")
+    rows = pairs.withColumn("_at", F.row_number().over(best))
+    limit = F.max(F.when(F.col("_at") == k, F.col("high"))).over(Window.partitionBy("seed"))
+    return rows.withColumn("_limit", limit).where((F.col("_at") <= k) | (F.col("low") < F.col("_limit")) |
+                                                  ((F.col("low") == F.col("_limit")) & (F.col("high") > F.col("low")))).drop("_at", "_limit")
+
+
+def nearest(items: DataFrame, measure: Measure, k: int, seeds: DataFrame | None = None) -> DataFrame:
+    """seed, other, distance, label, rank: the k nearest rows of each seed by a measure without open parts, ties by id."""
+    found = candidates(items, measure, k, seeds).withColumnRenamed("low", "distance").drop("high")
+    return base.first_k(found, ["seed"], [F.col("distance"), F.col("other")], k, rank="rank")

@@ -6,17 +6,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from earlog import config as C
-from earlog.functions.columns import artist, rounded
+from earlog.functions.columns import artist, let, rounded
 from earlog.functions.ship import by_value
 from earlog.operators import base, vectors as V
-from earlog.operators.knn import Measure, euclid, nearest
-from earlog.session import ensure_checkpoint_dir
+from earlog.operators.knn import Measure, candidates, euclid, exact, nearest, within_reach
 
 by_value(__name__)
 
 # order in which equal distances name the closest group
 GROUP_ORDER = ["timbre", "harmony", "rhythm", "macro", "embedding", "moods", "instruments", "genre", "topics", "lyrics"]
 
+VECTORS, MAPS = ("x", "mood_v", "embedding"), ("genre_vec", "instrument_vec", "moodtags")
+
 
 # ---- block arithmetic (numpy inside tasks) -----------------------------------------------------------
 def _matrix(series: pd.Series, width: int) -> np.ndarray:
@@ -89,65 +90,56 @@ def group_distances(a: pd.DataFrame, b: pd.DataFrame, bonus: float) -> dict[str,
     out["genre"] = map_cosine(a["genre_vec"], b["genre_vec"])
     if "topics" in a:
         out["topics"] = map_cosine(a["topics"], b["topics"])
-    if "text_vec" in a:
-        # rows are unit length already; only texts of one language compare
-        score, na, nb = sparse_dot(a["text_vec"], b["text_vec"])
-        la, lb = a["text_lang"].fillna("").to_numpy(), b["text_lang"].fillna("").to_numpy()
-        both = (la[:, None] == lb[None, :]) & (na > 0)[:, None] & (nb > 0)[None, :]
-        out["lyrics"] = np.where(both, 1.0 - score, np.nan)
     return out
 
 
 def weighted_measure(weights: dict[str, float], bonus: float) -> Measure:
     """Weighted mean over the groups both sides have.
 
-    The dense groups exist for every row and the weights present never exceed their full sum, so
-    (dense part − bonus share) / full sum is a lower bound of the distance.
+    Text vectors stay at home: where both sides have a text of one language (`text_lang`), the text group adds a distance between
+    0 and 1, which gives the bounds. `part` and `full` are the sums without it, `best` the least group distance, `open` is 1
+    where the text is still missing.
     """
-    parts = [(s, e, weights[g] / float(np.sqrt(e - s))) for g, (s, e) in C.DENSE_SLICES.items()]
-    slack, full = weights["harmony"] * bonus, sum(weights.values())
-
-    def lower(m: np.ndarray) -> np.ndarray:
-        return np.maximum(0.0, (m - slack) / full)
-
-    def pairwise(a: pd.DataFrame, b: pd.DataFrame):
+    def bounds(a: pd.DataFrame, b: pd.DataFrame):
         groups = group_distances(a, b, bonus)
         names = [g for g in GROUP_ORDER if g in groups and g in weights]
-        d = np.stack([groups[g] for g in names])
-        w = np.array([weights[g] for g in names])[:, None, None]
-        there = ~np.isnan(d)
-        total = np.where(there, d * w, 0.0).sum(0) / np.where(there, w, 0.0).sum(0)
-        first = np.where(there, d, np.inf).argmin(0)
-        return total, np.array([GROUP_ORDER.index(g) for g in names])[first]
-
-    return Measure(parts, lower, pairwise)
-
-
-def cosine_measure(width: int) -> Measure:
-    """1 − cosine; on unit vectors it is half the squared Euclidean distance."""
-    def pairwise(a: pd.DataFrame, b: pd.DataFrame):
-        d = dense_cosine(a["x"], b["x"])
-        return d, np.zeros(d.shape, int)
-
-    return Measure([(0, width, 1.0)], lambda m: np.maximum(m, 0.0) ** 2 / 2, pairwise)
+        part = full = 0.0
+        best, label = np.full((len(a), len(b)), np.inf), np.zeros((len(a), len(b)), int)
+        for g in names:
+            d = groups[g]
+            there = ~np.isnan(d)
+            part = part + np.where(there, d * weights[g], 0.0)
+            full = full + np.where(there, weights[g], 0.0)
+            nearer = there & (d < best)
+            best, label = np.where(nearer, d, best), np.where(nearer, GROUP_ORDER.index(g), label)
+        text = np.zeros(part.shape, bool)
+        if "lyrics" in weights and "text_lang" in a:
+            la, lb = a["text_lang"].fillna("").to_numpy(), b["text_lang"].fillna("").to_numpy()
+            text = (la[:, None] == lb[None, :]) & (la != "")[:, None]
+        w = weights.get("lyrics", 0.0)
+        low, high = part / (full + text * w), (part + text * w) / (full + text * w)
+        return low, high, label, {"part": part, "full": full, "best": best, "open": text.astype(float)}
+
+    return Measure(bounds, ("part", "full", "best", "open"))
+
+
+def cosine_measure() -> Measure:
+    return Measure(lambda a, b: exact(dense_cosine(a["x"], b["x"])))
 
 
 def tag_measure() -> Measure:
-    """1 − tag similarity, rounded to three decimals as it is ranked.
-
-    Coordinates are the unit mood vector; the mood part alone bounds the distance.
-    """
+    """1 − tag similarity, rounded to three decimals as it is ranked; `x` is the unit mood vector."""
     w = C.TAG_WEIGHTS
 
-    def pairwise(a: pd.DataFrame, b: pd.DataFrame):
+    def bounds(a: pd.DataFrame, b: pd.DataFrame):
         sim = sum(w[g] * np.nan_to_num(1.0 - map_cosine(a[c], b[c]))
                   for g, c in (("genres", "genre_list_vec"), ("instruments", "instrument_vec")))
         sim = sim + w["moods"] * np.nan_to_num(1.0 - dense_cosine(a["x"], b["x"]))
         gap = np.abs(a["tag_vocal"].to_numpy()[:, None] - b["tag_vocal"].to_numpy()[None, :])
         sim = np.rint((sim + w["vocal"] * (1.0 - gap)) * 1000.0) / 1000.0
-        return 1.0 - sim, np.zeros(sim.shape, int)
+        return exact(1.0 - sim)
 
-    return Measure([(0, len(C.MOODS), 1.0)], lambda m: w["moods"] * np.maximum(m, 0.0) ** 2 / 2 - 0.0005, pairwise)
+    return Measure(bounds)
 
 
 # ---- operators ------------------------------------------------------------------------------------------
@@ -155,36 +147,53 @@ def _label(i: Column) -> Column:
     return F.array(*[F.lit(C.GROUP_LABELS[g]) for g in GROUP_ORDER])[i]
 
 
-def track_space(features: DataFrame, tracks: DataFrame, lyrics: DataFrame | None) -> DataFrame:
-    """One row per usable item with everything the distance reads. A batch job may store it."""
+def track_space(features: DataFrame, tracks: DataFrame, topics: DataFrame | None = None) -> DataFrame:
+    """One row per usable item with everything the distance reads but texts. A batch job may store it."""
     usable = V.raw_vectors(features)
     z = V.standardize(V.shrink_to_artist(usable, tracks))
     rows = z.select(F.col("track_id"), F.col("z").alias("x"), "key", "mode_conf", "tempo",
                     F.transform("embedding", lambda e: e.cast("double")).alias("embedding"),
                     F.array(*[F.col(c) for c in C.MOOD_COLS]).alias("mood_v"), "genre_vec", "instrument_vec", "moodtags")
-    if lyrics is not None:
-        more = V.semantic_features(usable, lyrics).drop("genre_vec", "instrument_vec", "moodtags")
-        rows = rows.join(more, "track_id", "left")
+    if topics is not None:
+        rows = rows.join(topics, "track_id", "left")
     return rows.withColumnRenamed("track_id", "id")
 
 
-def similar_tracks(features, tracks, lyrics, k: int = 6, seeds: DataFrame | None = None, block_rows: int = 512) -> DataFrame:
-    """k most similar items of each seed: distance, the group that is closest, tempo, total compared."""
-    space = track_space(features, tracks, lyrics)
-    best = nearest(space, weighted_measure(C.TRACK_WEIGHTS, C.KEY_BONUS), k, seeds, block_rows)
+def similar_tracks(features, tracks, lyrics, k: int = 6, seeds: DataFrame | None = None) -> DataFrame:
+    """k most similar items of each seed: distance, the group that is closest, tempo, total compared.
+
+    `seeds` (id): items to rank for, all by default. Everything but texts is compared over the grid; text weights then meet only
+    pairs whose bounds leave them a place among the k, by an inverted list on (item, term).
+    """
+    weights = V.text_weights(V.raw_vectors(features), lyrics)
+    has_text = weights.groupBy("track_id").agg(F.first("language").alias("text_lang"))
+    facts = V.text_facts(V.raw_vectors(features), lyrics).join(has_text, "track_id", "left")
+    space = track_space(features, tracks, facts)
+    measure = weighted_measure(C.TRACK_WEIGHTS, C.KEY_BONUS)
+    pairs = within_reach(candidates(space, measure, k, seeds), k)
+    own = weights.select(F.col("track_id").alias("seed"), "term", F.col("weight").alias("_wa"))
+    others = weights.select(F.col("track_id").alias("other"), "term", F.col("weight").alias("_wb"))
+    same = (pairs.where("open = 1").select("seed", "other").join(own, "seed").join(others, ["other", "term"])
+            .groupBy("seed", "other").agg(F.sum(F.col("_wa") * F.col("_wb")).alias("_dot")))
+    w = C.TRACK_WEIGHTS["lyrics"]
+    text = F.when(F.col("open") == 1, 1 - F.coalesce("_dot", F.lit(0.0)))
+    full = pairs.join(same, ["seed", "other"], "left").withColumn("_text", text)
+    done = full.withColumns({
+        "distance": F.coalesce((F.col("part") + w * F.col("_text")) / (F.col("full") + w), F.col("part") / F.col("full")),
+        "label": F.when(F.col("_text") < F.col("best"), GROUP_ORDER.index("lyrics")).otherwise(F.col("label"))})
+    best = base.first_k(done, ["seed"], [F.col("distance"), F.col("other")], k, rank="rank")
     total = V.raw_vectors(features).agg(F.count(F.lit(1)) - 1).scalar()
     tempo = features.select(F.col("track_id").alias("other"), "tempo")
     return best.join(tempo, "other").select("seed", "rank", "other", rounded("distance", 3).alias("distance"),
                                             _label(F.col("label")).alias("match"), "tempo", total.alias("total"))
 
 
-def cosine_topk(items: DataFrame, k: int, vec: str = "embedding", ident: str = "track_id", block_rows: int = 512) -> DataFrame:
-    """k nearest vectors by cosine for every vector; rows without length have no neighbours."""
+def cosine_topk(items: DataFrame, k: int, vec: str = "embedding", ident: str = "track_id", seeds: DataFrame | None = None) -> DataFrame:
+    """k nearest vectors by cosine for every vector (or those of `seeds`); rows without length have no neighbours."""
     v = F.transform(vec, lambda x: x.cast("double"))
     rows = items.select(F.col(ident).alias("id"), v.alias("v")).filter(V.norm(F.col("v")) > 0)
     rows = rows.select("id", F.transform("v", lambda x: x / V.norm(F.col("v"))).alias("x"))
-    width = rows.agg(F.max(F.size("x"))).first()[0] or 1
-    return nearest(rows, cosine_measure(width), k, None, block_rows).drop("label")
+    return nearest(rows, cosine_measure(), k, seeds).drop("label")
 
 
 def _tag_mood(c: str) -> Column:
@@ -207,10 +216,11 @@ def _has_tags(genres: str = "genre_list_vec", instruments: str = "instrument_vec
     return F.coalesce(named(genres), F.lit(False)) | F.coalesce(named(instruments), F.lit(False))
 
 
-def similar_by_tags(features: DataFrame, k: int = 6, block_rows: int = 512) -> DataFrame:
-    """k most similar audio rows by tags for every row that has genres or instruments."""
+def similar_by_tags(features: DataFrame, k: int = 6, seeds: DataFrame | None = None) -> DataFrame:
+    """k most similar audio rows by tags for every row (or those of `seeds`) that has genres or instruments."""
     space = tag_space(features)
-    best = nearest(space, tag_measure(), k, space.filter(_has_tags()).select("id"), block_rows)
+    tagged = space.filter(_has_tags()).select("id")
+    best = nearest(space, tag_measure(), k, tagged if seeds is None else base.semi(tagged, seeds.select("id"), "id"))
     total = space.agg(F.count(F.lit(1)) - 1).scalar()
     return best.select("seed", "rank", "other", rounded("distance", 3).alias("distance"), total.alias("total"))
 
@@ -237,34 +247,40 @@ def pair_match(pairs: DataFrame, features: DataFrame) -> DataFrame:
     return pairs.join(a, "seed_id").join(b, "track_id").select("seed_id", "track_id", tag_similarity("a", "b").alias("similarity"))
 
 
-def _mean_map(rows: DataFrame, c: str) -> DataFrame:
-    """Mean of the maps of an artist over the items that have one; long form, summed before the shuffle."""
-    have = rows.filter(F.size(c) > 0)
-    n = have.groupBy("artist").agg(F.count(F.lit(1)).alias("_n"))
-    sums = have.select("artist", F.explode(c).alias("k", "v")).groupBy("artist", "k").agg(F.sum("v").alias("v"))
-    return sums.join(n, "artist").groupBy("artist").agg(F.map_from_entries(F.collect_list(
-        F.struct("k", F.col("v") / F.col("_n")))).alias(c))
-
-
 def artist_space(features: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Mean of every feature group per canonical artist."""
-    rows = track_space(features, tracks, None).join(
+    """Mean of every feature group per canonical artist: one grouping over (artist, kind, key), vectors and maps alike."""
+    rows = track_space(features, tracks).join(
         tracks.select(F.col("track_id").alias("id"), artist().alias("artist")), "id").filter(F.col("artist") != "")
-    # five aggregates read these rows: write them once
-    ensure_checkpoint_dir(features.sparkSession)
-    rows = rows.checkpoint()
-    out = rows.groupBy("artist").agg(V.mean_vector("x").alias("x"), V.mean_vector("mood_v").alias("mood_v"))
-    emb = rows.filter(F.col("embedding").isNotNull()).groupBy("artist").agg(V.mean_vector("embedding").alias("embedding"))
-    out = out.join(emb, "artist", "left")
-    for c in ("genre_vec", "instrument_vec", "moodtags"):
-        out = out.join(_mean_map(rows, c), "artist", "left")
-    return out.withColumnRenamed("artist", "id")
-
-
-def similar_artists(features, tracks, k: int = 5, block_rows: int = 512) -> DataFrame:
-    """k nearest artists of each artist with counts, plays and most played item."""
+
+    def cells(kind: str, keys: Column, values: Column) -> Column:
+        return F.transform(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda e: F.struct(
+            F.lit(kind).alias("kind"), e["k"].cast("string").alias("k"), e["v"].cast("double").alias("v")))
+
+    def vector(kind: str) -> Column:
+        return F.coalesce(cells(kind, F.sequence(F.lit(1), F.size(kind)), F.col(kind)), none)
+    none = F.array().cast("array<struct<kind:string,k:string,v:double>>")
+    maps = [F.coalesce(F.when(F.size(c) > 0, F.concat(cells(c, F.map_keys(c), F.map_values(c)), F.array(F.struct(
+        F.lit(c).alias("kind"), F.lit(None).cast("string").alias("k"), F.lit(1.0).alias("v"))))), none) for c in MAPS]
+    long = rows.select("artist", F.explode(F.concat(*[vector(c) for c in VECTORS], *maps)).alias("e")).select("artist", "e.*")
+    sums = long.groupBy("artist", "kind", "k").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"))
+    # the entry without a key counts the items whose map has any; a vector element is divided by its own count
+    packed = sums.groupBy("artist").agg(*[F.collect_list(F.when(F.col("kind") == c, F.struct("k", "s", "n"))).alias(c) for c in (*VECTORS, *MAPS)])
+
+    def mean_vector(c: str) -> Column:
+        ordered = F.array_sort(F.transform(c, lambda e: F.struct(e["k"].cast("int").alias("k"), (e["s"] / e["n"]).alias("v"))))
+        return F.when(F.size(c) > 0, F.transform(ordered, lambda e: e["v"])).alias(c)
+
+    def mean_map(c: str) -> Column:
+        items = F.filter(c, lambda e: e["k"].isNull())[0]["s"]
+        return F.when(F.size(c) > 0, let(items, lambda n: F.map_from_entries(F.transform(
+            F.filter(c, lambda e: e["k"].isNotNull()), lambda e: F.struct(e["k"], e["s"] / n))))).alias(c)
+    return packed.select(F.col("artist").alias("id"), *map(mean_vector, VECTORS), *map(mean_map, MAPS))
+
+
+def similar_artists(features, tracks, k: int = 5, seeds: DataFrame | None = None) -> DataFrame:
+    """k nearest artists of each artist (or of `seeds`: id) with counts, plays and most played item."""
     space = artist_space(features, tracks)
-    best = nearest(space, weighted_measure(C.ARTIST_WEIGHTS, 0.0), k, None, block_rows)
+    best = nearest(space, weighted_measure(C.ARTIST_WEIGHTS, 0.0), k, seeds)
     facts = tracks.filter("is_music").groupBy(artist().alias("other")).agg(
         F.count(F.lit(1)).alias("tracks_total"), F.sum("play_count").alias("plays"),
         F.min_by("track_id", F.struct(-F.col("play_count"), F.col("track_id"))).alias("top_track_id"))

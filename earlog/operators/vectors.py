@@ -124,13 +124,23 @@ def text_vectors(weights: DataFrame) -> DataFrame:
         F.collect_list(F.struct("term", "weight"))).alias("text_vec"))
 
 
-def semantic_features(usable: DataFrame, lyrics: DataFrame) -> DataFrame:
-    """genre_vec, instrument_vec, moodtags of each usable row plus topics and text vector.
+def usable_texts(usable: DataFrame, lyrics: DataFrame) -> DataFrame:
+    """Texts of usable rows; transcripts are left out."""
+    return base.semi(lyrics.filter(F.col("source") != "whisper"), usable.select("track_id"))
 
-    Transcripts are left out, and vocabularies are learned from the usable rows' texts only.
-    """
-    texts = base.semi(lyrics.filter(F.col("source") != "whisper"), usable.select("track_id"))
-    topics = texts.select("track_id", F.col("topics") if "topics" in lyrics.columns
-                          else F.create_map().cast("map<string,double>").alias("topics"))
+
+def text_weights(usable: DataFrame, lyrics: DataFrame) -> DataFrame:
+    """TF-IDF rows whose vocabularies are learned from the usable rows' texts only."""
+    return tfidf(usable_texts(usable, lyrics))
+
+
+def text_facts(usable: DataFrame, lyrics: DataFrame) -> DataFrame:
+    """track_id, topics of the usable rows' texts."""
+    topics = F.col("topics") if "topics" in lyrics.columns else F.create_map().cast("map<string,double>").alias("topics")
+    return usable_texts(usable, lyrics).select("track_id", topics)
+
+
+def semantic_features(usable: DataFrame, lyrics: DataFrame) -> DataFrame:
+    """genre_vec, instrument_vec, moodtags of each usable row plus topics and text vector."""
     return (usable.select("track_id", "genre_vec", "instrument_vec", "moodtags")
-            .join(topics, "track_id", "left").join(text_vectors(tfidf(texts)), "track_id", "left"))
+            .join(text_facts(usable, lyrics), "track_id", "left").join(text_vectors(text_weights(usable, lyrics)), "track_id", "left"))

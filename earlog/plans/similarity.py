@@ -189,7 +189,7 @@ def _combine(weights: dict[str, float]) -> str:
 _TRACK_MAPS = ", ".join([_map_sql("g", "genre_vec", "u"), _map_sql("ins", "instruments", "u"), _map_sql("mt", "moodtags", "u")])
 
 
-@query("similar_tracks", f"""WITH {_Z}, {_topic_sql()}, u AS (SELECT f.*, z.z, [{', '.join(C.MOOD_COLS)}] AS mv FROM features f JOIN z USING (track_id)),
+_SIMILAR = f"""WITH {_Z}, {_topic_sql()}, u AS (SELECT f.*, z.z, [{', '.join(C.MOOD_COLS)}] AS mv FROM features f JOIN z USING (track_id)),
     {_TRACK_MAPS}, lx AS (SELECT t.* FROM t JOIN lyrics l USING (track_id) WHERE l.source <> 'whisper'),
     tp_n AS (SELECT track_id, sqrt(sum(weight * weight)) AS n FROM lx GROUP BY 1),
     tp_d AS (SELECT x.track_id AS a, y.track_id AS b, sum(x.weight * y.weight) AS d FROM lx x JOIN lx y USING (topic) GROUP BY 1, 2),
@@ -206,11 +206,22 @@ _TRACK_MAPS = ", ".join([_map_sql("g", "genre_vec", "u"), _map_sql("ins", "instr
         CASE WHEN m1 IS NOT NULL AND m2 IS NOT NULL THEN (m1 + m2) / 2 ELSE COALESCE(m1, m2) END AS moods FROM p),
     r AS (SELECT seed, other, tempo, {_combine(C.TRACK_WEIGHTS)} FROM q)
     SELECT seed, other, CAST(row_number() OVER (PARTITION BY seed ORDER BY d, other) AS INTEGER) AS rank, round_even(d, 3) AS distance,
-        match, tempo, (SELECT count(*) - 1 FROM u) AS total FROM r QUALIFY rank <= 6""", "features", "tracks", "lyrics")
+        match, tempo, (SELECT count(*) - 1 FROM u) AS total FROM r QUALIFY rank <= 6"""
+
+
+@query("similar_tracks", _SIMILAR, "features", "tracks", "lyrics")
 def similar_tracks(spark, sf):
     return M.similar_tracks(I.features(spark, sf), I.tracks(spark, sf), _topics(spark, sf), 6)
 
 
+@query("similar_for_seeds", f"""SELECT s.* FROM ({_SIMILAR}) s JOIN (SELECT track_id FROM ctracks ORDER BY play_count DESC, track_id LIMIT 20)
+    t ON t.track_id = seed""", "features", "tracks", "ctracks", "lyrics")
+def similar_for_seeds(spark, sf):
+    """Items like the twenty most played ones."""
+    top = I.counted_tracks(spark, sf).orderBy(F.col("play_count").desc(), "track_id").limit(20).select(F.col("track_id").alias("id"))
+    return M.similar_tracks(I.features(spark, sf), I.tracks(spark, sf), _topics(spark, sf), 6, top)
+
+
 @query("similar_closeness", """WITH p AS (SELECT a.vec_id AS seed, b.vec_id AS other, 1 - list_dot_product(a.e, b.e)
         / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS d FROM emb a JOIN emb b ON a.vec_id <> b.vec_id),
     q AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY seed ORDER BY d, other) <= 5)
