@@ -3,7 +3,9 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from earlog import config as C
 from earlog.functions.columns import artist, col, ntz
@@ -44,28 +46,87 @@ def error_classes(log: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
+def _runs(by: list[str]):
+    """Per range of the log and key: what decides runs across its ends, and the runs that lie inside."""
+    def run(batches):
+        key, done = None, []
+
+        def batch():
+            names = ["part", *(f"k{i}" for i in range(len(by))), "ended", "head", "tail", "longest", "runs"]
+            out = pa.RecordBatch.from_pylist([dict(zip(names, (p, *k, *v))) for p, k, v in done], pa.schema(
+                [("part", pa.int32()), *((f"k{i}", types[i]) for i in range(len(by))), ("ended", pa.bool_()),
+                 *((n, pa.int64()) for n in ("head", "tail", "longest", "runs"))]))
+            done.clear()
+            return out
+        for b in batches:
+            if not b.num_rows:
+                continue
+            types = [b.schema.field(c).type for c in by]
+            keys = list(zip(*(b[c].to_pylist() for c in by))) if by else [()] * b.num_rows
+            part, ok, hit = b["part"][0].as_py(), np.asarray(b["ok"]), np.asarray(b["hit"])
+            edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)] if by else [0, len(keys)]
+            for i, j in zip(edges, edges[1:]):
+                if done and key == keys[i] and done[-1][1] == key:
+                    state = done.pop()[2]
+                else:
+                    state = (False, 0, 0, 0, 0)
+                key = keys[i]
+                ended, head, tail, longest, runs = state
+                # hits of each stretch; a success opens the next one
+                sums = np.bincount(np.cumsum(ok[i:j]), weights=hit[i:j], minlength=int(ok[i:j].sum()) + 1).astype(int)
+                if len(sums) == 1:
+                    head, tail = (head, tail + int(sums[0])) if ended else (head + int(sums[0]), 0)
+                else:
+                    inner = sums[1:-1] if not ended else np.concatenate([[tail + sums[0]], sums[1:-1]])
+                    head = head if ended else head + int(sums[0])
+                    longest, runs = max(longest, int(inner.max(initial=0))), runs + int((inner > 0).sum())
+                    ended, tail = True, int(sums[-1])
+                done.append((part, key, (ended, head, tail, longest, runs)))
+            if len(done) > 1:
+                last = done.pop()
+                yield batch()
+                done.append(last)
+        if done:
+            yield batch()
+    return run
+
+
 def failure_streaks(log: DataFrame, kind: str = "bot", limit: int | None = None, by: list[str] | None = None) -> DataFrame:
     """Longest run of failures of a kind between two successes, and whether it reaches the limit.
 
-    Only a success ends a run. The log is numbered per hour, with the successes of earlier hours
-    added from an hourly summary, so no window ever spans the whole log.
+    Only a success ends a run. The log is laid out by ranges of (key, time), each task folds its range to one summary a key
+    (failures before the first and after the last success, longest run and runs between them), and summaries are folded in
+    order: at most one for each range meets in a row, however the events lie in time.
     """
     by = by or []
     limit = limit or (C.BOT_STREAK if kind == "bot" else C.NETWORK_STREAK)
     failed = F.col("status") == "dl-error"
     hit = failed & (is_network_error("error") if kind == "network" else error_class("error") == kind)
-    ok = (F.col("status") == "ok").cast("bigint")
-    rows = log.select(*by, "event_id", "tried_at", ok.alias("_ok"), hit.alias("_hit"),
-                      (F.unix_date(F.to_date("tried_at")) * 24 + F.hour("tried_at")).alias("_h"))
-    key = [*by, "_h"]
-    hours = rows.groupBy(*key).agg(F.sum("_ok").alias("_n"))
-    earlier = Window.partitionBy(*by).orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
-    hours = hours.select(*key, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*key).orderBy("tried_at", "event_id")
-    runs = rows.withColumn("_in", F.sum("_ok").over(inside)).join(hours, key)
-    lengths = runs.groupBy(*by, (F.col("_before") + F.col("_in")).alias("run")).agg(F.count_if("_hit").alias("n"))
-    return lengths.groupBy(*by).agg(F.max("n").alias("longest"), F.count_if(F.col("n") > 0).alias("runs")).withColumn(
-        "reached", F.col("longest") >= limit)
+    order = [*by, "tried_at", "event_id"]
+    rows = log.select(*order, F.coalesce(F.col("status") == "ok", F.lit(False)).alias("ok"), F.coalesce(hit, F.lit(False)).alias("hit"))
+    rows = rows.repartitionByRange(*[F.col(c) for c in order]).withColumn("part", F.spark_partition_id()).sortWithinPartitions(*order)
+    schema = T.StructType([T.StructField("part", T.IntegerType()), *(T.StructField(f"k{i}", log.schema[c].dataType) for i, c in enumerate(by)),
+                           T.StructField("ended", T.BooleanType()), *(T.StructField(n, T.LongType()) for n in ("head", "tail", "longest", "runs"))])
+    parts = rows.mapInArrow(_runs(by), schema)
+    listed = parts.groupBy(*(f"k{i}" for i in range(len(by)))).agg(F.sort_array(F.collect_list(F.struct(
+        "part", "ended", "head", "tail", "longest", "runs"))).alias("xs"))
+
+    def state(now, longest, runs):
+        return F.struct(now.alias("now"), longest.alias("longest"), runs.alias("runs"))
+
+    def closed(s, extra):
+        n = s["now"] + extra
+        return F.greatest(s["longest"], n), s["runs"] + F.when(n > 0, 1).otherwise(0)
+
+    def step(s, x):
+        longest, runs = closed(s, x["head"])
+        ended = state(x["tail"], F.greatest(longest, x["longest"]), runs + x["runs"])
+        return F.when(x["ended"], ended).otherwise(state(s["now"] + x["head"], s["longest"], s["runs"]))
+    zero = F.lit(0).cast("bigint")
+    out = listed.withColumn("e", F.aggregate("xs", state(zero, zero, zero), step, lambda s: F.struct(
+        closed(s, zero)[0].alias("longest"), closed(s, zero)[1].cast("bigint").alias("runs"))))
+    return out.where(F.size("xs") > 0).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(by)), "e.longest", "e.runs",
+                                             (F.col("e.longest") >= limit).alias("reached"))
 
 
 def current_errors(log: DataFrame) -> DataFrame:
