@@ -83,12 +83,3 @@ def count_substrings(text: Column, stems: list[str]) -> Column:
         return lambda acc, s: acc + ((F.length(t) - F.length(F.replace(t, s, F.lit("")))) / F.length(s)).cast("int")
     # the text is bound outside the loop over the stems
     return let(text, lambda t: F.aggregate(F.array(*[F.lit(s) for s in stems]), F.lit(0), add(t)))
-
-
-def count_word_starts(text: Column, stems: list[str], letters: str = "a-zа-яё") -> Column:
-    """Words that begin with one of the stems (2 to 8 letters). One regex scan, no exploded words."""
-    import re
-    usable = [re.escape(s) for s in dict.fromkeys(stems) if 2 <= len(s) <= 8]
-    if not usable:
-        return F.lit(0)
-    return F.regexp_count(text, F.lit(f"(?<![{letters}])(?:{'|'.join(usable)})"))

@@ -9,10 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from earlog import config as C
 from earlog.functions.columns import col, let, rounded
 from earlog.functions.ship import by_value
-from earlog.functions.text import (artist_from_channel, clean_title, count_substrings, count_word_starts, plain,
-                                   words_collapsed)
+from earlog.functions.text import artist_from_channel, clean_title, count_substrings, plain, words_collapsed
+from earlog.functions.topics import TOPICS, found_by, prefixes
 from earlog.operators import base
-from earlog.session import ensure_checkpoint_dir
 
 by_value(__name__)
 
@@ -36,36 +35,51 @@ EN_NEGATIVE = (
 LANGUAGE_ALIASES = {"zh-cn": "zh", "zh-tw": "zh"}
 # --- end of fixed values ----------------------------------------------------------------
 
-BROADCAST_ROWS = 200_000
 SENTIMENT = {"ru": (RU_POSITIVE, RU_NEGATIVE), "": (EN_POSITIVE, EN_NEGATIVE)}
 
 
-def topic_weights(text: Column | str, language: Column | str, stems: dict[str, dict[str, list[str]]]) -> Column:
+def topic_weights(text: Column | str, language: Column | str, stems: dict[str, dict[str, list[str]]] = TOPICS,
+                  letters: str = "a-zа-яё") -> Column:
     """Share of each topic among the words that begin with a topic stem, rounded to four decimals.
 
-    `stems`: topic -> language -> stems; the language '' serves every other language. One regex
-    scan per topic: words are not exploded, so long texts need no shuffle.
+    `stems`: topic -> language -> stems; the language '' serves every other language. All topics share one scan of the text: it
+    takes the longest stem that a word begins with, and every topic knows the stems that speak for it. Words are not exploded, so
+    long texts need no shuffle.
     """
     low, lang = F.lower(F.coalesce(col(text), F.lit(""))), col(language)
     languages = sorted({g for t in stems.values() for g in t if g})
+    nothing = F.create_map().cast("map<string,double>")
 
-    def count(topic: str) -> Column:
-        out = F.when(F.lit(False), 0)
-        for g in languages:
-            out = out.when(lang == g, count_word_starts(low, stems[topic].get(g, [])))
-        return out.otherwise(count_word_starts(low, stems[topic].get("", [])))
+    def share(g: str) -> Column:
+        own = {t: by.get(g, []) for t, by in stems.items()}
+        every = [s for ss in own.values() for s in ss]
+        pattern = prefixes(every)
+        if not pattern:
+            return nothing
+        found = F.regexp_extract_all(low, F.lit(f"(?<![{letters}]){pattern}"), F.lit(0))
 
-    counts = F.array(*[F.struct(F.lit(t).alias("topic"), count(t).alias("n")) for t in stems])
+        def weights(hits: Column) -> Column:
+            counts = F.array(*[F.struct(F.lit(t).alias("topic"), F.size(F.filter(hits, _among(found_by(ss, every)))).alias("n"))
+                               for t, ss in own.items()])
 
-    def weights(found: Column) -> Column:
-        total = F.aggregate(found, F.lit(0), lambda a, x: a + x["n"])
-        kept = F.filter(found, lambda x: x["n"] > 0)
-        return F.map_from_entries(F.transform(kept, lambda x: F.struct(x["topic"], rounded(x["n"] / total, 4))))
+            def shares(rows: Column) -> Column:
+                total = F.aggregate(rows, F.lit(0), lambda a, x: a + x["n"])
+                kept = F.filter(rows, lambda x: x["n"] > 0)
+                return F.map_from_entries(F.transform(kept, lambda x: F.struct(x["topic"], rounded(x["n"] / total, 4))))
+            return let(counts, shares)
+        return let(found, weights)
 
-    return let(counts, weights)
+    out = F.when(F.lit(False), nothing)
+    for g in languages:
+        out = out.when(lang == g, share(g))
+    return out.otherwise(share(""))
 
 
-def topics(lyrics: DataFrame, stems: dict[str, dict[str, list[str]]]) -> DataFrame:
+def _among(values: list[str]):
+    return lambda s: s.isin(values) if values else F.lit(False)
+
+
+def topics(lyrics: DataFrame, stems: dict[str, dict[str, list[str]]] = TOPICS) -> DataFrame:
     return lyrics.withColumn("topics", topic_weights("text", "language", stems))
 
 
@@ -109,44 +123,75 @@ def language_profiles(labelled: DataFrame, n: int = 3, per_language: int | None
 def detect_language(texts: DataFrame, profiles: DataFrame, n: int = 3, floor: float = -14.0) -> DataFrame:
     """track_id, detected: the language with the largest summed log share; '' without any letter.
 
-    A language that lacks an n-gram gets `floor` for it. The profiles are a learned model: written
-    once, and broadcast while they are small, so n-grams are summed where their text is read.
+    A language that lacks an n-gram gets `floor` for it. A text's n-grams are counted before they meet the profiles.
     """
-    ensure_checkpoint_dir(texts.sparkSession)
-    profiles = profiles.checkpoint()
-    if profiles.count() <= BROADCAST_ROWS:
-        profiles = F.broadcast(profiles)
     grams = _grams(texts.filter(F.col("text") != "").select("track_id", "text"), "text", n).filter(F.trim("gram") != "")
-    scores = grams.join(profiles, "gram").groupBy("track_id", "language").agg(F.sum(F.col("logp") - floor).alias("s"))
+    counts = grams.groupBy("track_id", "gram").agg(F.count(F.lit(1)).alias("c"))
+    scores = counts.join(profiles, "gram").groupBy("track_id", "language").agg(F.sum(F.col("c") * (F.col("logp") - floor)).alias("s"))
     best = scores.groupBy("track_id").agg(F.min_by("language", F.struct(-rounded("s", 6), F.col("language"))).alias("detected"))
     code = best.withColumn("detected", F.coalesce(*[F.when(F.col("detected") == k, v) for k, v in LANGUAGE_ALIASES.items()],
                                                   F.col("detected")))
     return texts.select("track_id").join(code, "track_id", "left").withColumn("detected", F.coalesce("detected", F.lit("")))
 
 
-def derive(lyrics: DataFrame, stems: dict, profiles: DataFrame | None = None) -> DataFrame:
-    """Language where missing, sentiment and topics of every text."""
-    out = lyrics
-    if profiles is not None:
-        missing = lyrics.filter((F.col("language") == "") & (F.col("text") != ""))
-        found = detect_language(missing, profiles)
-        out = lyrics.join(found, "track_id", "left").withColumn(
-            "language", F.coalesce(F.nullif("language", F.lit("")), "detected", F.lit(""))).drop("detected")
-    return topics(out.withColumn("sentiment", sentiment("text", "language")), stems)
+def with_language(lyrics: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Rows with the language of the text where none is known."""
+    missing = lyrics.filter((F.col("language") == "") & (F.col("text") != ""))
+    return lyrics.join(detect_language(missing, profiles), "track_id", "left").withColumn(
+        "language", F.coalesce(F.nullif("language", F.lit("")), "detected", F.lit(""))).drop("detected")
+
+
+def derive(lyrics: DataFrame, stems: dict = TOPICS, profiles: DataFrame | None = None, feeling: dict = SENTIMENT) -> DataFrame:
+    """Language where missing, then sentiment and topics of every text.
+
+    With `profiles` the sentiment goes by the language of the text itself, whatever the row says; topics by the row's language
+    where it has one.
+    """
+    if profiles is None:
+        return topics(lyrics.withColumn("sentiment", sentiment("text", "language", feeling)), stems)
+    found = detect_language(lyrics.filter(F.col("text") != ""), profiles).withColumnRenamed("detected", "_own")
+    rows = lyrics.join(found, "track_id", "left").withColumn("_own", F.coalesce("_own", F.lit("")))
+    rows = rows.withColumns({"sentiment": sentiment("text", "_own", feeling),
+                             "language": F.coalesce(F.nullif("language", F.lit("")), "_own")}).drop("_own")
+    return topics(rows, stems)
 
 
 # ---- fuzzy matching ----------------------------------------------------------------------------
 @F.pandas_udf(T.DoubleType())
 def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-blocks similarity 0..1 of two short texts.
-
-    Arrow batches over candidate pairs only; no built-in computes this ratio (edit distance ranks
-    differently).
-    """
+    """Matching-blocks similarity 0..1 of two short texts; no built-in computes this ratio (edit distance ranks differently)."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio()
                       for x, y in zip(a, b)])
 
 
+def ratio_bounds(a: Column, b: Column) -> Column:
+    """struct(by_length, by_letters): two upper bounds of the matching-blocks ratio, the second never above the first."""
+    both = F.struct(a.alias("a"), b.alias("b"))
+
+    def bounds(p: Column) -> Column:
+        n, m = F.length(p["a"]), F.length(p["b"])
+        count = lambda t, c: F.length(t) - F.length(F.replace(t, c, F.lit("")))                # noqa: E731
+        shared = F.aggregate(F.array_distinct(F.split(p["a"], "")), F.lit(0), lambda s, c: s + F.least(count(p["a"], c), count(p["b"], c)))
+        part = lambda x: F.when(n + m > 0, 2.0 * x / (n + m)).otherwise(1.0)                   # noqa: E731
+        return F.struct(part(F.least(n, m)).alias("by_length"), part(shared).alias("by_letters"))
+    return let(both, bounds)
+
+
+def possible(rows: DataFrame, a: Column, b: Column, minimum: float, sure: Column | None = None) -> DataFrame:
+    """Adds `_a`, `_b`, `_sure` and drops the pairs that cannot reach the ratio; only what is left and not sure needs the matcher."""
+    rows = rows.withColumns({"_a": a, "_b": b})
+    rows = rows.withColumn("_sure", F.coalesce((F.col("_a") == F.col("_b")) if sure is None else sure, F.lit(False)))
+    n, m = F.length("_a"), F.length("_b")
+    rows = rows.where(F.col("_sure") | (2 * F.least(n, m) >= minimum * (n + m)))
+    return rows.where(F.col("_sure") | (ratio_bounds(F.col("_a"), F.col("_b"))["by_letters"] >= minimum))
+
+
+def with_ratio(rows: DataFrame, out: str) -> DataFrame:
+    """`out`: 1 where the texts are equal, else the ratio of those that are not sure otherwise (NULL for them)."""
+    mine = lambda c: F.when(~F.col("_sure"), F.col(c))                              # noqa: E731
+    return rows.withColumn(out, F.coalesce(F.when(F.col("_a") == F.col("_b"), 1.0), block_ratio(mine("_a"), mine("_b")))).drop("_a", "_b")
+
+
 def search_terms(tracks: DataFrame) -> DataFrame:
     """What to look a text up by: artist (channel first, else from the title) and song."""
     c = clean_title("title")
@@ -154,37 +199,41 @@ def search_terms(tracks: DataFrame) -> DataFrame:
     return tracks.select("track_id", F.coalesce(own, c["artist"]).alias("artist"), c["song"].alias("song"))
 
 
-def best_match(terms: DataFrame, candidates: DataFrame, first: int = 8, minimum: float = C.MATCH_RATIO,
+def match_texts(terms: DataFrame, candidates: DataFrame, first: int | None = 8) -> DataFrame:
+    """Each item's first candidates (None: all) with the cleaned texts that are compared."""
+    few = candidates if first is None else base.first_k(candidates, ["track_id"], [F.col("pos")], first)
+    cand = F.concat_ws(" ", F.coalesce("cand_artist", F.lit("")), F.coalesce("cand_song", F.lit("")))
+    return few.join(terms.filter(F.col("song") != ""), "track_id").select(
+        "track_id", "pos", "cand_id", plain(F.concat_ws(" ", "artist", "song")).alias("wanted"), plain(cand).alias("offered"),
+        plain("song").alias("song"), plain("cand_song").alias("cand_song"))
+
+
+def best_match(terms: DataFrame, candidates: DataFrame, first: int | None = 8, minimum: float = C.MATCH_RATIO,
                confirm: float = C.CONFIRM_RATIO) -> DataFrame:
     """Best candidate of each item among its first ones, and whether it proves the item has words.
 
     `terms`: track_id, artist, song; `candidates`: track_id, pos, cand_artist, cand_song, cand_id.
-    The ratio on 'artist song' decides; below `minimum` the ratio on the song alone may win.
+    The ratio on 'artist song' decides; where none reaches `minimum`, the ratio on the song alone. Lengths and letter counts
+    drop the pairs that cannot reach it, so the matcher sees few.
     """
-    few = base.first_k(candidates, ["track_id"], [F.col("pos")], first)
-    target = F.concat_ws(" ", "artist", "song")
-    cand = F.concat_ws(" ", F.coalesce("cand_artist", F.lit("")), F.coalesce("cand_song", F.lit("")))
-    rows = few.join(terms.filter(F.col("song") != ""), "track_id")
-    rows = rows.withColumn("full", block_ratio(plain(target), plain(cand)))
-    rows = rows.withColumn("alone", block_ratio(plain("song"), plain("cand_song")))
-    entry = F.struct("cand_id", "pos")
-    best = rows.groupBy("track_id").agg(F.max("full").alias("full"), F.max("alone").alias("alone"),
-                                        F.min_by(entry, F.struct(-F.col("full"), F.col("pos"))).alias("a"),
-                                        F.min_by(entry, F.struct(-F.col("alone"), F.col("pos"))).alias("b"))
-    by_song = (F.col("full") < minimum) & (F.col("alone") > F.col("full"))
-    out = best.select("track_id", F.when(by_song, F.col("b.cand_id")).otherwise(F.col("a.cand_id")).alias("cand_id"),
-                      F.when(by_song, F.col("alone")).otherwise(F.col("full")).alias("ratio"))
-    return out.filter(F.col("ratio") >= minimum).withColumn("confirmed", F.col("ratio") >= confirm)
+    rows = match_texts(terms, candidates, first)
+
+    def best(pairs: DataFrame, a: str, b: str) -> DataFrame:
+        found = with_ratio(possible(pairs, F.col(a), F.col(b), minimum), "ratio").where(F.col("ratio") >= minimum)
+        return found.groupBy("track_id").agg(F.min_by("cand_id", F.struct(-F.col("ratio"), F.col("pos"))).alias("cand_id"),
+                                             F.max("ratio").alias("ratio"))
+    full = best(rows, "wanted", "offered")
+    alone = best(base.anti(rows, full.select("track_id")), "song", "cand_song")
+    return full.unionByName(alone).withColumn("confirmed", F.col("ratio") >= confirm)
 
 
-def name_matches(query: Column, name: Column, ratio: Column) -> Column:
-    """Equal, at least 0.8 similar, or contained when the query has four letters."""
-    inside = F.contains(query, name) | F.contains(name, query)
-    return (query != "") & (name != "") & ((query == name) | (ratio >= 0.8) | ((F.length(query) >= 4) & inside))
+def names_alike(query: Column, name: Column) -> Column:
+    """Equal, or contained when the query has four letters."""
+    return (query == name) | ((F.length(query) >= 4) & (F.contains(query, name) | F.contains(name, query)))
 
 
-def match_artists(queries: DataFrame, artists: DataFrame, minimum: int = C.ARTIST_MATCH_SCORE) -> DataFrame:
-    """Best found artist of each query whose name or alias looks like it.
+def match_artists(queries: DataFrame, artists: DataFrame, minimum: int = C.ARTIST_MATCH_SCORE, alike: float = 0.8) -> DataFrame:
+    """Best found artist of each query whose name or alias looks like it: equal, contained, or a ratio of at least `alike`.
 
     `queries`: name; `artists` (search results): name, pos, id, artist_name, aliases, score.
     """
@@ -193,8 +242,9 @@ def match_artists(queries: DataFrame, artists: DataFrame, minimum: int = C.ARTIS
     rows = usable.join(queries.select("name").distinct(), "name").select(
         "name", "pos", "id", "artist_name", "score", F.explode(names).alias("alias"))
     q, c = words_collapsed("name"), words_collapsed("alias")
-    rows = rows.withColumn("_r", block_ratio(q, c)).filter(name_matches(q, c, F.col("_r")))
-    best = rows.groupBy("name").agg(F.min_by(F.struct("id", "artist_name", "score"), F.struct(-F.col("score"), F.col("pos"))).alias("e"))
+    close = possible(rows.where((q != "") & (c != "")), q, c, alike, names_alike(F.col("_a"), F.col("_b")))
+    found = with_ratio(close, "_r").where(F.col("_sure") | (F.col("_r") >= alike))
+    best = found.groupBy("name").agg(F.min_by(F.struct("id", "artist_name", "score"), F.struct(-F.col("score"), F.col("pos"))).alias("e"))
     return best.select("name", "e.id", "e.artist_name", "e.score")
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from earlog import config as C
 from earlog.functions.columns import rounded
 from earlog.functions import text as X
-from earlog.operators import base, classify as K, scores as P, texts as E, tracks as T
+from earlog.functions.topics import TOPICS, usable
+from earlog.operators import base, classify as K, queues, scores as P, texts as E, tracks as T
 from earlog.plans import inputs as I
 from earlog.plans.registry import query
 from earlog.sources import ingest as N
@@ -108,24 +109,50 @@ STEMS = {"first": {"fr": ["ou", "eau", "le"], "": ["th", "in"]}, "second": {"fr"
 FEELING = {"fr": (["ou", "eau"], ["le", "re", "eaux"]), "": (["th", "the", "in"], ["er", "on"])}
 
 
-def _topic_sql() -> str:
+def _topic_sql(src: str = "lyrics", stems: dict = STEMS, out: str = "t") -> str:
+    languages = sorted({g for by in stems.values() for g in by if g})
+
     def n(topic, lang):
-        return f"len(list_filter(w, lambda x: regexp_matches(x, '^(?:{'|'.join(STEMS[topic][lang])})')))"
-    cols = ", ".join(f"CASE WHEN language = 'fr' THEN {n(t, 'fr')} ELSE {n(t, '')} END AS {t}" for t in STEMS)
-    total = " + ".join(STEMS)
-    rows = " UNION ALL ".join(f"SELECT track_id, '{t}' AS topic, {t} AS n, {total} AS total FROM k" for t in STEMS)
-    return f"""w AS (SELECT track_id, language, regexp_extract_all(lower(text), '[a-zа-яё]+') AS w FROM lyrics),
-        k AS (SELECT track_id, {cols} FROM w), t AS (SELECT track_id, topic, round_even(n / total, 4) AS weight FROM ({rows}) WHERE n > 0)"""
+        some = usable(stems[topic].get(lang, []))
+        return f"len(list_filter(w, lambda x: regexp_matches(x, '^(?:{'|'.join(some)})')))"
+
+    def by_language(topic):
+        cases = " ".join(f"WHEN language = '{g}' THEN {n(topic, g)}" for g in languages)
+        return f"CASE {cases} ELSE {n(topic, '')} END" if cases else n(topic, "")
+    cols = ", ".join(f"{by_language(t)} AS n{i}" for i, t in enumerate(stems))
+    total = " + ".join(f"n{i}" for i in range(len(stems)))
+    rows = " UNION ALL ".join(f"SELECT track_id, '{t}' AS topic, n{i} AS n, {total} AS total FROM {out}_k" for i, t in enumerate(stems))
+    return f"""{out}_w AS (SELECT track_id, language, regexp_extract_all(lower(text), '[a-zа-яё]+') AS w FROM {src}),
+        {out}_k AS (SELECT track_id, {cols} FROM {out}_w), {out} AS (SELECT track_id, topic, round_even(n / total, 4) AS weight FROM ({rows}) WHERE n > 0)"""
 
 
 def _topics(spark, sf):
     return E.topics(I.lyrics(spark, sf), STEMS)
 
 
+def _long_topics(rows):
+    return rows.select("track_id", F.explode_outer("topics").alias("topic", "weight")).filter(F.col("topic").isNotNull())
+
+
 @query("topics", f"WITH {_topic_sql()} SELECT * FROM t", "lyrics")
 def topics(spark, sf):
-    rows = _topics(spark, sf).select("track_id", F.explode_outer("topics").alias("topic", "weight"))
-    return rows.filter(F.col("topic").isNotNull())
+    return _long_topics(_topics(spark, sf))
+
+
+@query("topics_default", f"WITH {_topic_sql(stems=TOPICS)} SELECT * FROM t", "lyrics")
+def topics_default(spark, sf):
+    """The bundled stems, which serve every language without its own."""
+    return _long_topics(E.topics(I.lyrics(spark, sf)))
+
+
+@query("backfill_topics", f"""WITH {_topic_sql()}, {_topic_sql(stems=TOPICS, out="d")},
+    s AS (SELECT t.* FROM t JOIN lyrics USING (track_id) WHERE source <> 'whisper')
+    SELECT * FROM s UNION ALL SELECT d.* FROM d WHERE track_id NOT IN (SELECT track_id FROM s)""", "lyrics")
+def backfill_topics(spark, sf):
+    """Texts are stored with topics, transcripts without; what has none is derived with the bundled stems."""
+    none = F.create_map().cast("map<string,double>")
+    stored = _topics(spark, sf).withColumn("topics", F.when(F.col("source") != "whisper", F.col("topics")).otherwise(none))
+    return _long_topics(queues.backfill_topics(stored, E.topic_weights("text", "language")))
 
 
 @query("dominant_topic", f"""WITH {_topic_sql()}, b AS (SELECT track_id, topic FROM t QUALIFY row_number() OVER (PARTITION BY track_id
@@ -135,12 +162,13 @@ def dominant_topic(spark, sf):
     return _topics(spark, sf).select("track_id", T.dominant_topic("topics", list(STEMS)).alias("topic"))
 
 
-def _sentiment_sql() -> str:
+def _sentiment_sql(src: str = "lyrics", language: str = "language") -> str:
     def n(stems):
         return " + ".join(f"(length(x) - length(replace(x, '{s}', ''))) // {len(s)}" for s in stems)
+
     def pick(i):
-        return f"CASE WHEN language = 'fr' THEN {n(FEELING['fr'][i])} ELSE {n(FEELING[''][i])} END"
-    return f"""c AS (SELECT track_id, {pick(0)} AS p, {pick(1)} AS q FROM (SELECT *, lower(text) AS x FROM lyrics))"""
+        return f"CASE WHEN {language} = 'fr' THEN {n(FEELING['fr'][i])} ELSE {n(FEELING[''][i])} END"
+    return f"""c AS (SELECT track_id, {pick(0)} AS p, {pick(1)} AS q FROM (SELECT *, lower(text) AS x FROM {src}))"""
 
 
 @query("sentiment", f"WITH {_sentiment_sql()} SELECT track_id, CASE WHEN p + q > 0 THEN round_even((p - q) / (p + q), 2) ELSE 0 END "
@@ -157,34 +185,45 @@ def sentiment_default(spark, sf):
     return I.lyrics(spark, sf).select("track_id", E.sentiment("text", F.lit("en")).alias("sentiment"))
 
 
-_LANG = r"""g AS (SELECT track_id, language, unnest(list_transform(range(1, greatest(length(s) - 2, 1) + 1), lambda i: substr(s, i, 3)))
-        AS gram FROM (SELECT track_id, language, ' ' || regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g') || ' ' AS s
-        FROM lyrics WHERE text <> '')),
-    n AS (SELECT language, gram, count(*) AS c FROM g WHERE language <> '' GROUP BY 1, 2),
-    p AS (SELECT language, gram, ln((c + 1) / (sum(c) OVER (PARTITION BY language) + 400)) AS logp FROM n
-        QUALIFY row_number() OVER (PARTITION BY language ORDER BY c DESC, gram) <= 400)"""
+def _lang_sql(src: str = "lyrics") -> str:
+    return rf"""g AS (SELECT track_id, language, unnest(list_transform(range(1, greatest(length(s) - 2, 1) + 1), lambda i: substr(s, i, 3)))
+            AS gram FROM (SELECT track_id, language, ' ' || regexp_replace(lower(text), '[^\p{{L}}]+', ' ', 'g') || ' ' AS s
+            FROM {src} WHERE text <> '')),
+        n AS (SELECT language, gram, count(*) AS c FROM g WHERE language <> '' GROUP BY 1, 2),
+        p AS (SELECT language, gram, ln((c + 1) / (sum(c) OVER (PARTITION BY language) + count(*) OVER (PARTITION BY language))) AS logp FROM n)"""
+
 
+def _detect_sql(src: str = "lyrics") -> str:
+    return f"""{_lang_sql(src)}, gk AS (SELECT track_id, gram, count(*) AS c FROM g WHERE trim(gram) <> '' GROUP BY 1, 2),
+        gs AS (SELECT track_id, p.language, round_even(sum(c * (logp + 14)), 6) AS s FROM gk JOIN p USING (gram) GROUP BY 1, 2),
+        gb AS (SELECT track_id, language FROM gs QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY s DESC, language) = 1),
+        det AS (SELECT track_id, COALESCE(gb.language, '') AS detected FROM {src} LEFT JOIN gb USING (track_id))"""
 
-@query("language_profiles", f"WITH {_LANG} SELECT language, gram, round_even(logp, 6) AS logp FROM p", "lyrics")
+
+@query("language_profiles", f"WITH {_lang_sql()} SELECT language, gram, round_even(logp, 6) AS logp FROM p", "lyrics")
 def language_profiles(spark, sf):
     return E.language_profiles(I.lyrics(spark, sf)).withColumn("logp", rounded("logp", 6))
 
 
-@query("detect_language", f"""WITH {_LANG}, k AS (SELECT track_id, gram, count(*) AS c FROM g WHERE trim(gram) <> '' GROUP BY 1, 2),
-    s AS (SELECT track_id, p.language, round_even(sum(c * (logp + 14)), 6) AS s FROM k JOIN p USING (gram) GROUP BY 1, 2),
-    b AS (SELECT track_id, language FROM s QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY s DESC, language) = 1)
-    SELECT track_id, COALESCE(b.language, '') AS detected FROM lyrics LEFT JOIN b USING (track_id)""", "lyrics")
+@query("detect_language", f"WITH {_detect_sql()} SELECT track_id, detected FROM det", "lyrics")
 def detect_language(spark, sf):
     texts = I.lyrics(spark, sf)
     return E.detect_language(texts, E.language_profiles(texts))
 
 
-@query("derive_texts", f"""WITH {_topic_sql()}, {_sentiment_sql()} SELECT track_id, language, CASE WHEN p + q > 0
-        THEN round_even((p - q) / (p + q), 2) ELSE 0 END AS sentiment, CAST(COALESCE(m, 0) AS INTEGER) AS n_topics
-    FROM lyrics JOIN c USING (track_id) LEFT JOIN (SELECT track_id, count(*) AS m FROM t GROUP BY 1) USING (track_id)""", "lyrics")
+_BARE = "ul AS (SELECT * REPLACE (CASE WHEN source = 'whisper' THEN '' ELSE language END AS language) FROM lyrics)"
+
+
+@query("derive_texts", f"""WITH {_BARE}, {_detect_sql("ul")},
+    full_ul AS (SELECT ul.* REPLACE (COALESCE(NULLIF(language, ''), detected) AS language), detected FROM ul JOIN det USING (track_id)),
+    {_topic_sql("full_ul")}, {_sentiment_sql("full_ul", "detected")}
+    SELECT track_id, language, CASE WHEN p + q > 0 THEN round_even((p - q) / (p + q), 2) ELSE 0 END AS sentiment,
+        CAST(COALESCE(m, 0) AS INTEGER) AS n_topics
+    FROM full_ul JOIN c USING (track_id) LEFT JOIN (SELECT track_id, count(*) AS m FROM t GROUP BY 1) USING (track_id)""", "lyrics")
 def derive_texts(spark, sf):
-    low = I.lyrics(spark, sf)
-    out = E.topics(low.withColumn("sentiment", E.sentiment("text", "language", FEELING)), STEMS)
+    """Transcripts come without a language: it is read off their text, then sentiment and topics go by it."""
+    bare = I.lyrics(spark, sf).withColumn("language", F.when(F.col("source") == "whisper", "").otherwise(F.col("language")))
+    out = E.derive(bare, STEMS, E.language_profiles(bare), FEELING)
     return out.select("track_id", "language", "sentiment", F.size("topics").alias("n_topics"))
 
 
@@ -212,13 +251,12 @@ def match_artists(spark, sf):
     return E.match_artists(t.select(F.col("channel").alias("name")), found)
 
 
-@query("artist_tag_lists", """WITH g AS (SELECT p_brand, p_name AS name, count(*) AS c FROM part WHERE p_size > 25 GROUP BY 1, 2),
-    k AS (SELECT p_brand, p_type AS name, count(*) AS c FROM part GROUP BY 1, 2),
-    a AS (SELECT p_brand, name, row_number() OVER (PARTITION BY p_brand ORDER BY c DESC, name) AS rn FROM g WHERE p_brand < 'Brand#2'),
-    b AS (SELECT p_brand, name, row_number() OVER (PARTITION BY p_brand ORDER BY c DESC, name) AS rn FROM k
-        WHERE p_brand >= 'Brand#2')
-    SELECT p_brand AS artist, string_agg(name, '|' ORDER BY rn) AS top5, min_by(name, rn) AS top1
-    FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE rn <= 5 GROUP BY 1""")
+@query("artist_tag_lists", """WITH n AS (SELECT p_brand, name, alt, count(*) AS c FROM (SELECT p_brand, p_name AS name, 0 AS alt FROM part
+        UNION ALL SELECT p_brand, p_type, 1 FROM part) WHERE name <> '' GROUP BY ALL),
+    f AS (SELECT p_brand, min(alt) AS alt FROM n GROUP BY 1),
+    r AS (SELECT p_brand, name, row_number() OVER (PARTITION BY p_brand ORDER BY c DESC, name) AS rn FROM n JOIN f USING (p_brand, alt))
+    SELECT p_brand AS artist, COALESCE(string_agg(name, '|' ORDER BY rn), '') AS top5, min_by(name, rn) AS top1
+    FROM (SELECT DISTINCT p_brand FROM part) LEFT JOIN (SELECT * FROM r WHERE rn <= 5) USING (p_brand) GROUP BY 1""")
 def artist_tag_lists(spark, sf):
     p = I.table(spark, sf, "part")
 
@@ -268,7 +306,7 @@ def calibration_scores(spark, sf):
 
 @query("vocal_threshold_table", f"""WITH {_CAL}, t AS (SELECT i / 100 AS threshold FROM range(5, 100, 5) r(i)),
     r AS (SELECT threshold, round_even(avg((score >= threshold)::DOUBLE) FILTER (positive), 6) AS recall,
-        round_even(avg((score >= threshold)::DOUBLE) FILTER (NOT positive), 6) AS negatives FROM cal, t GROUP BY 1)
+        COALESCE(round_even(avg((score >= threshold)::DOUBLE) FILTER (NOT positive), 6), 0) AS negatives FROM cal, t GROUP BY 1)
     SELECT *, COALESCE(threshold = (SELECT max(threshold) FROM r WHERE recall >= 0.95), false) AS suggested FROM r""",
        "features", "tracks", "lyrics")
 def vocal_threshold_table(spark, sf):
@@ -309,13 +347,12 @@ HEADS = {"style": ["Style---" + g for g in I.GENRES],
 
 
 def _model_scores(spark, sf):
-    """Frames of each head, read off consecutive vector elements: as many as the vector has whole ones."""
+    """Frames of each head, read off consecutive vector elements; the last one holds the classes that are left."""
     heads = F.array(*[F.struct(F.lit(h).alias("head"), F.array(*[F.lit(c) for c in cs]).alias("classes"))
                       for h, cs in HEADS.items()])
-    e = I.table(spark, sf, "embeddings").select(F.col("vec_id").alias("track_id"), F.size("embedding").alias("size"),
-                                                F.posexplode("embedding").alias("i", "x"))
+    e = I.table(spark, sf, "embeddings").select(F.col("vec_id").alias("track_id"), F.posexplode("embedding").alias("i", "x"))
     n = F.size("h.classes")
-    rows = e.select("*", F.explode(heads).alias("h")).filter(F.col("i") < F.col("size") - F.col("size") % n)
+    rows = e.select("*", F.explode(heads).alias("h"))
     return rows.select("track_id", F.floor(F.col("i") / n).cast("int").alias("frame"), F.col("h.head").alias("head"),
                        F.element_at("h.classes", F.col("i") % n + 1).alias("class"), (F.col("i") % n).alias("class_ord"),
                        F.least(F.lit(1.0), F.abs(F.col("x").cast("double")) * 4).alias("score"))
@@ -323,7 +360,7 @@ def _model_scores(spark, sf):
 
 _POOL = "pool AS (" + " UNION ALL ".join(
     f"""SELECT vec_id AS track_id, '{h}' AS head, {"[" + ", ".join("'" + c.replace("'", "''") + "'" for c in cs) + "]"}[o + 1] AS class,
-        o AS class_ord, (u[o + 1] + u[o + 1 + {len(cs)}] + u[o + 1 + 2 * {len(cs)}] + u[o + 1 + 3 * {len(cs)}]) / 4 AS score
+        o AS class_ord, list_avg(list_filter(u, lambda x, i: (i - 1) % {len(cs)} = o)) AS score
         FROM emb, range({len(cs)}) r(o)""" for h, cs in HEADS.items()) + ")"
 
 

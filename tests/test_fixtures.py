@@ -137,71 +137,140 @@ def test_tempo(spark, ratio, want):
     assert got == (None if want is None else pytest.approx(want))
 
 
-def test_mixable_brute_force_with_copies(spark):
-    rng = np.random.default_rng(3)
-    keys = ["C major", "A minor", "G major", "F major", "nonsense"]
-    rows = [(i, str(rng.choice(keys)), float(rng.choice([120.0, 120.0, 120.0, 60.1, 118.4, 125.9, 240.0, 90.0])), float(rng.choice([0.6, 0.9])))
-            for i in range(150)]
-    f = spark.createDataFrame([(i, "audio", k, t, c) for i, k, t, c in rows], "track_id int, source string, key string, tempo double, mode_conf double")
-    wheel = {"C major": (8, "B"), "A minor": (8, "A"), "G major": (9, "B"), "F major": (7, "B")}
-    ok = [r for r in rows if r[3] >= 0.7 and r[1] in wheel]
+WHEEL = {"C major": (8, "B"), "A minor": (8, "A"), "G major": (9, "B"), "F major": (7, "B")}
+
+
+def plain_partners(rows, n, tolerance=0.06):
+    ok = [r for r in rows if r[3] >= 0.7 and r[1] in WHEEL]
 
     def rel(a, b):
-        (x, p), (y, q) = wheel[a], wheel[b]
+        (x, p), (y, q) = WHEEL[a], WHEEL[b]
         return (0 if p == q else 3) if x == y else {1: 1, 11: 2}.get((y - x) % 12) if p == q else None
 
     def delta(a, b):
-        return next((d for d in ((b / a - f) / f for f in (1.0, 2.0, 0.5)) if abs(d) <= 0.06), None)
+        return next((d for d in ((b / a - f) / f for f in (1.0, 2.0, 0.5)) if abs(d) <= tolerance), None)
     want = {}
     for i, k, t, _ in ok:
         m = sorted((rel(k, k2), abs(delta(t, t2)), j) for j, k2, t2, _ in ok if j != i and rel(k, k2) is not None and delta(t, t2) is not None)
         if m:
-            want[i] = ([x[2] for x in m[:5]], len(m))
+            want[i] = ([x[2] for x in m[:n]], len(m))
+    return want
+
+
+def found_partners(spark, rows, n, tolerance=0.06):
+    f = spark.createDataFrame([(i, "audio", k, t, c) for i, k, t, c in rows], "track_id int, source string, key string, tempo double, mode_conf double")
     got = {}
-    for r in mixing.mixable(f, f.select("track_id"), n=5).orderBy("seed", "rank").collect():
+    for r in mixing.mixable(f, f.select("track_id"), n=n, tolerance=tolerance).orderBy("seed", "rank").collect():
         got.setdefault(r.seed, ([], r.total))[0].append(r.track_id)
-    assert got == want
+    return got
+
+
+def test_mixable_brute_force_with_copies(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, str(rng.choice([*WHEEL, "nonsense"])), float(rng.choice([120.0, 120.0, 120.0, 60.1, 118.4, 125.9, 240.0, 90.0, 106.0, 100.0, 94.0, 127.2])),
+             float(rng.choice([0.6, 0.9]))) for i in range(150)]
+    assert found_partners(spark, rows, 5) == plain_partners(rows, 5)
+
+
+@pytest.mark.parametrize("close", [False, True])
+def test_mixable_free_tempi(spark, close):
+    """No two tempi equal; all in one narrow band, so matches of a centre lie in several ranges of the line."""
+    rng = np.random.default_rng(5)
+    tempi = 120 + rng.random(300) * 0.5 if close else np.concatenate([55 + 15 * rng.random(80), 110 + 30 * rng.random(150), 230 + 25 * rng.random(70)])
+    rows = [(i, str(rng.choice(list(WHEEL))), float(t), 0.9) for i, t in enumerate(tempi)]
+    for n, tolerance in ((4, 0.06), (40, 0.2)):
+        assert found_partners(spark, rows, n, tolerance) == plain_partners(rows, n, tolerance)
+
+
+def test_mixing_rows_grow_with_the_nodes(spark):
+    """Every tempo its own node and all of them in one band: pairs per node stay the same when the nodes double."""
+    def pairs(count):
+        nodes = spark.range(count).select(F.lit(8).alias("num"), F.lit("B").alias("letter"), (120 + F.col("id") / 1e6).alias("tempo"),
+                                          F.lit(1).cast("bigint").alias("cnt"))
+        return mixing.nearest_nodes(nodes, 0.06, 3)
+    for count in (2000, 4000):
+        found, totals = pairs(count)
+        assert found.count() <= count * 9 and totals.where(F.col("total") == count - 1).count() == count
 
 
 # ---- nearest neighbours -------------------------------------------------------------------------
+@pytest.mark.parametrize("share", [1, 256])
 @pytest.mark.parametrize("copies", [0, 120])
-def test_nearest_equals_brute_force_over_many_blocks(spark, copies):
+def test_nearest_equals_brute_force(spark, monkeypatch, copies, share):
+    monkeypatch.setattr(knn, "SHARE", share)
     rng = np.random.default_rng(11)
     centres = rng.normal(size=(6, 12))
     x = np.vstack([centres[rng.integers(6, size=300)] + 0.05 * rng.normal(size=(300, 12)), np.tile(centres[0], (copies, 1))])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "track_id int, embedding array<double>")
-    got = {}
-    for r in similarity.cosine_topk(df, 4, block_rows=32).orderBy("seed", "rank").collect():
-        got.setdefault(r.seed, []).append(round(r.distance, 9))
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     d = 1 - u @ u.T
     np.fill_diagonal(d, np.inf)
-    for i in range(len(x)):
-        assert np.allclose(sorted(d[i])[:4], got[i], atol=1e-8)
-
-
-def test_nearest_lower_bound_is_safe():
+    for seeds in (None, spark.createDataFrame([(3,), (299,), (3,), (7777,)], "id int")):
+        got = {}
+        for r in similarity.cosine_topk(df, 4, seeds=seeds).orderBy("seed", "rank").collect():
+            got.setdefault(r.seed, []).append(round(r.distance, 9))
+        assert set(got) == (set(range(len(x))) if seeds is None else {3, 299})
+        for i in got:
+            assert np.allclose(sorted(d[i])[:4], got[i], atol=1e-8)
+
+
+def test_pairs_in_reach():
+    """Whatever the open distances turn out to be, the k best are among the pairs that are kept; known distances leave k."""
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        low = rng.integers(0, 6, (3, 9)) / 4.0
+        high = low + np.where(rng.random((3, 9)) < 0.5, 0, rng.integers(0, 3, (3, 9)) / 4.0)
+        low[rng.random((3, 9)) < 0.1] = np.nan
+        high[np.isnan(low)] = np.nan
+        k = int(rng.integers(1, 6))
+        kept = set(zip(*map(np.ndarray.tolist, knn.in_reach(low, high, k))))
+        for _ in range(10):
+            d = low + (high - low) * rng.choice([0, 0.5, 1], low.shape)
+            for r in range(3):
+                order = [c for c in np.lexsort((np.arange(9), np.where(np.isnan(d[r]), np.inf, d[r]))) if not np.isnan(d[r, c])]
+                assert {(r, int(c)) for c in order[:k]} <= kept
+        same = knn.in_reach(low, low, k)
+        assert all((same[0] == r).sum() == min(k, (~np.isnan(low[r])).sum()) for r in range(3))
+
+
+def test_bounds_hold_the_distance():
     rng = np.random.default_rng(2)
     import pandas as pd
     n = 40
     maps = [{k: float(rng.random()) for k in rng.choice(list("abcdef"), 3, replace=False)} if rng.random() > 0.3 else None for _ in range(n)]
-    unit = [m and {k: w / math.sqrt(sum(x * x for x in m.values())) for k, w in m.items()} for m in maps]
     pdf = pd.DataFrame({"id": range(n), "x": list(rng.normal(size=(n, 53))), "key": rng.choice(["C major", ""], n), "mode_conf": rng.random(n),
                         "embedding": list(rng.normal(size=(n, 8))), "mood_v": list(rng.random((n, 11))), "moodtags": maps,
-                        "genre_vec": maps[::-1], "instrument_vec": maps, "topics": maps, "text_vec": unit, "text_lang": rng.choice(["en", "fr"], n)})
-    m = similarity.weighted_measure(C.TRACK_WEIGHTS, C.KEY_BONUS)
-    d, _ = m.pairwise(pdf, pdf)
-    metric = knn._metric(np.vstack(pdf.x), np.vstack(pdf.x), m.parts)
-    assert (m.lower(metric) <= d + 1e-9).all()
+                        "genre_vec": maps[::-1], "instrument_vec": maps, "topics": maps, "text_lang": rng.choice(["en", "fr", None], n)})
+    w = C.TRACK_WEIGHTS["lyrics"]
+    low, high, _, extra = similarity.weighted_measure(C.TRACK_WEIGHTS, C.KEY_BONUS).bounds(pdf, pdf)
+    for text in (0.0, 0.4, 1.0):
+        d = np.where(extra["open"] > 0, (extra["part"] + w * text) / (extra["full"] + w), extra["part"] / extra["full"])
+        assert (low <= d + 1e-12).all() and (d <= high + 1e-12).all()
+    assert (extra["open"] > 0).any() and (low == high)[extra["open"] == 0].all()
 
 
-def test_similar_tracks_blocks_agree(spark, sf):
-    """The same answer whether everything is one block or many."""
+def test_similar_tracks_on_any_grid(spark, sf, monkeypatch):
+    """The same answer from one strip or many, and for chosen seeds as for all."""
     from earlog.plans import inputs as I
+    from earlog.plans.textual import _topics
     f, t = I.features(spark, sf), I.tracks(spark, sf)
     key = lambda df: [tuple(r) for r in df.orderBy("seed", "rank").collect()]                 # noqa: E731
-    lyr = I.lyrics(spark, sf).withColumn("topics", F.create_map().cast("map<string,double>"))
-    assert key(similarity.similar_tracks(f, t, lyr, 3, block_rows=4096)) == key(similarity.similar_tracks(f, t, lyr, 3, block_rows=64))
+    lyr = _topics(spark, sf)
+    whole = key(similarity.similar_tracks(f, t, lyr, 3))
+    monkeypatch.setattr(knn, "SHARE", 20)
+    assert key(similarity.similar_tracks(f, t, lyr, 3)) == whole
+    seeds = f.select(F.col("track_id").alias("id")).where("track_id % 50 = 1")
+    assert key(similarity.similar_tracks(f, t, lyr, 3, seeds)) == [r for r in whole if r[0] % 50 == 1]
+    by_tags = key(similarity.similar_by_tags(f, 3))
+    assert key(similarity.similar_by_tags(f, 3, seeds)) == [r for r in by_tags if r[0] % 50 == 1]
+
+
+def test_row_copies_of_the_grid(spark, monkeypatch):
+    """All against all: n ** 1.5; a few seeds: n."""
+    monkeypatch.setattr(knn, "SHARE", 4)
+    copies = {n: knn.grid(spark.range(n), None).count() for n in (400, 6400)}
+    few = {n: knn.grid(spark.range(n), spark.range(3)).count() for n in (400, 6400)}
+    assert copies == {400: 2 * 400 * 10, 6400: 2 * 6400 * 40} and few == {400: 400 + 3 * 10, 6400: 6400 + 3 * 40}
 
 
 def test_vectors_edge_cases(spark):
@@ -493,6 +562,35 @@ def test_queues(spark):
     assert [x.track_id for x in queues.unavailable(marks, dt.date(2024, 1, 31)).collect()] == [1]
 
 
+@pytest.mark.parametrize("by", [[], ["stage", "who"]])
+def test_streaks_over_many_ranges(spark, by):
+    """Runs that cross ranges and batches, ranges without a success, keys of one event, nulls."""
+    rng = np.random.default_rng(8)
+    texts_ = ["not a bot", "connection timed out", None, "x"]
+    rows = [(i, str(rng.choice(["a", "b"])), None if i % 17 == 0 else int(rng.integers(4)), at(int(rng.integers(40))),
+             str(rng.choice(["ok", "dl-error"], p=[p, 1 - p])), texts_[rng.integers(4)]) for p in (0.02, 0.3) for i in range(400)]
+    rows += [(9999, "c", 1, at(0), "dl-error", "not a bot")]
+    schema = "event_id int, stage string, who int, tried_at timestamp_ntz, status string, error string"
+    want, open_runs = {}, {}
+    for e, stage, who, ts, status, error in sorted(rows, key=lambda r: (r[3], r[0], r[1], r[2] is not None, r[2] or 0, r[4], r[5] or "")):
+        key = (stage, who) if by else ()
+        if status == "ok":
+            open_runs.setdefault(key, []).append(0)
+        else:
+            open_runs.setdefault(key, [0])
+            open_runs[key] = open_runs[key] or [0]
+            open_runs[key][-1] += error == "not a bot"
+    # a success as the first event of a key leaves an empty run in front of it, which counts for nothing
+    want = {k: (max(v), sum(n > 0 for n in v)) for k, v in open_runs.items()}
+    log = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(sorted(rows, key=lambda r: (r[3], r[0], r[1], r[2] is not None, r[2] or 0, r[4], r[5] or "")))], schema)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {tuple(r[c] for c in by): (r.longest, r.runs) for r in queues.failure_streaks(log.repartition(5), "bot", 3, by).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+
+
 def test_scores(spark):
     v = lambda a, b, x, y: one(spark, scores.tempo_vote(*[F.lit(z).cast("double") for z in (a, b, x, y)]))
     assert v(100, 120, 0, 1) == 100 and v(100, 130, 0.2, 0.9) == 130 and v(100, 130, 0.9, 0.2) == 100 and v(0, 90, 1, 0) == 90 and v(None, 0, 1, 1) is None
