@@ -385,9 +385,9 @@ def repair(df: DataFrame, conversations: DataFrame | None = None, chunk: int = C
     zero = {n: F.coalesce(n, F.lit(0)) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
     summary = ids.join(_summaries(edits), "conv", "left").withColumns(zero | {"audit": F.coalesce("audit", F.lit(""))})
     left = edits.select("conv", "part", "seq", F.explode("edits").alias("e")).select("conv", "part", "seq", "e.*")
-    texts = turns.groupBy("conv", "turn", "digest").agg(F.first("role").alias("own_role"), F.first("text").alias("text"))
-    stay = left.where("edit <> 'I'").withColumnRenamed("turn", "t").withColumnRenamed("digest", "d").withColumnRenamed("conv", "v")
-    met = stay.join(texts, (F.col("v") == F.col("conv")) & F.col("t").eqNullSafe(F.col("turn")) & (F.col("d") == F.col("digest")))
+    # turns as text, so that the grouping and the join share one exchange of the texts
+    texts = turns.groupBy("conv", key(F.col("turn")).alias("at"), "digest").agg(F.first("role").alias("own_role"), F.first("text").alias("text"))
+    met = left.where("edit <> 'I'").withColumn("at", key(F.col("turn"))).join(texts, ["conv", "at", "digest"])
     names = ["conv", "part", "seq", "place", "edit", "turn", "role", "text"]
     rows = met.withColumn("role", F.coalesce("role", "own_role")).select(*names).unionByName(
         left.where("edit = 'I'").withColumn("text", F.lit("")).select(*names))
