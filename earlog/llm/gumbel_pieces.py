@@ -15,6 +15,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from earlog.llm.common import arrow_map
@@ -82,6 +83,9 @@ class Lattice:
                     piece_at.append(-1)
                     weight_at.append(-np.inf)
             piece_at[node], weight_at[node] = i, self.weight[i]
+        self.raw_size = np.array([len(r) for r in self.raw], np.int32)
+        self.raw_at = (np.cumsum(self.raw_size) - self.raw_size).astype(np.int32)
+        self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
         self.piece = np.array(piece_at)
         self.node_weight = np.array(weight_at)
         self.bits = max(10, (8 * len(trie)).bit_length())
@@ -315,6 +319,26 @@ def decode(ids: np.ndarray, lat: Lattice) -> str:
     return b"".join(map(raw.__getitem__, ids.tolist())).decode()[1:]
 
 
+def lists_of(rows: list[np.ndarray]) -> pa.Array:
+    """Piece ids of several rows as one Arrow column."""
+    edge = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate([np.empty(0, np.int32), *rows])))
+
+
+def texts_of(rows: list[np.ndarray], lat: Lattice) -> pa.Array:
+    """What `decode` gives for each row, for all rows at once: bytes are gathered by the places of their pieces."""
+    flat = np.concatenate([np.empty(0, np.int32), *rows])
+    size = lat.raw_size[flat]
+    upto = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    data = lat.raw_bytes[np.repeat(lat.raw_at[flat] - upto[:-1], size) + np.arange(upto[-1], dtype=np.int32)]
+    edge = upto[np.cumsum([0, *map(len, rows)])]
+    filled = np.flatnonzero(np.diff(edge) > 0)
+    data = np.delete(data, edge[filled])                        # the blank in front
+    drop = np.zeros(len(edge), np.int32)
+    drop[filled + 1] = 1
+    return pa.StringArray.from_buffers(len(rows), pa.py_buffer(edge - np.cumsum(drop, dtype=np.int32)), pa.py_buffer(data))
+
+
 def split_words(text: str) -> list[str]:
     """The text, with a blank in front, cut before every run of blanks; each word without its first blank."""
     words = text.split(" ") if text else []
@@ -428,9 +452,8 @@ def sample_segmentations(docs: DataFrame, model_file: str, k: int = K, alpha: fl
                     for row in rows:
                         for n, v in zip(names, (i, *row)):
                             out[n].append(v)
-                        if with_text:
-                            out["decoded"].append(decode(row[-1], lat))
-                yield out
+                rows = out["ids"]
+                yield out | {"ids": lists_of(rows)} | ({"decoded": texts_of(rows, lat)} if with_text else {})
                 a = b
                 if words.chars > HELD:
                     words.restart()
