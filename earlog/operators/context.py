@@ -111,7 +111,7 @@ def enrich_external_similar(external, titles, tracks, listens, matches: DataFram
     own = known.join(ranges, "track_id", "left")
     out = rows.join(own, "track_id", "left").withColumn("in_history", F.coalesce("in_history", F.lit(False)))
     if matches is not None:
-        out = out.join(matches.select("seed_id", "track_id", rounded(F.col("similarity") * 100).cast("int").alias("match")),
+        out = out.join(matches.select("seed_id", "track_id", rounded(F.col("similarity") * 100, 0).cast("int").alias("match")),
                        ["seed_id", "track_id"], "left")
     return out.drop("is_seed")
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from earlog import config as C
 from earlog.functions.columns import decay, ntz, rounded
 from earlog.operators import base
+from earlog.session import ensure_checkpoint_dir
 
 SESSION = ["user_id", "session_start", "session_event"]
 
@@ -22,7 +23,7 @@ def _minutes(n: int) -> Column:
 
 
 def sessionize(listens: DataFrame, gap_min: int = C.SESSION_GAP_MIN) -> DataFrame:
-    """Adds the session (its first play) and the previous play inside the session.
+    """Adds the session (its first play and the time of its last one) and the previous play inside the session.
 
     Input: user_id, event_id, track_id, listened_at. A gap strictly above `gap_min` minutes starts
     a session; equal times are ordered by event_id.
@@ -38,11 +39,14 @@ def sessionize(listens: DataFrame, gap_min: int = C.SESSION_GAP_MIN) -> DataFram
     start = F.when(F.col("_cut"), F.struct("listened_at", "event_id"))
     rows = rows.withColumn("_start", F.last(start, ignorenulls=True).over(
         in_hour.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    closes = F.when(F.lead("_cut").over(in_hour), F.col("listened_at"))
+    rows = rows.withColumn("_closes", closes).withColumn("_end", F.first("_closes", ignorenulls=True).over(
+        in_hour.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
 
     # one row per listener and hour: how the hour begins, ends, and where its last session began
     over_time = Window.partitionBy("user_id").orderBy("_h")
     hours = rows.groupBy(*key).agg(F.min(this).alias("_first"), F.max(this).alias("_last"),
-                                   F.max("_start").alias("_inner"))
+                                   F.max("_start").alias("_inner"), F.min("_closes").alias("_cut_at"))
     hours = hours.withColumn("_before", F.lag("_last").over(over_time))
     opens = F.col("_before").isNull() | (
         F.col("_first.listened_at") - F.col("_before.listened_at") > _minutes(gap_min))
@@ -50,19 +54,25 @@ def sessionize(listens: DataFrame, gap_min: int = C.SESSION_GAP_MIN) -> DataFram
     hours = hours.withColumn("_own", head)
     hours = hours.withColumn("_head", F.coalesce("_own", F.last(F.coalesce("_inner", "_own"), ignorenulls=True).over(
         over_time.rowsBetween(Window.unboundedPreceding, -1))))
-    hours = hours.select(*key, "_head", F.when(F.col("_own").isNull(), F.col("_before")).alias("_before"))
+    # the hour's last session ends here when the next hour opens one, or where the next hour cuts it
+    following = lambda c: F.lead(c).over(over_time)                                 # noqa: E731
+    ends = F.when(following("_h").isNull() | following("_own").isNotNull(), F.col("_last.listened_at")).otherwise(following("_cut_at"))
+    hours = hours.withColumn("_ends", ends).withColumn("_tail", F.first("_ends", ignorenulls=True).over(
+        over_time.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    hours = hours.select(*key, "_head", "_tail", F.when(F.col("_own").isNull(), F.col("_before")).alias("_before"))
 
     out = rows.join(hours, key)
     session = F.coalesce("_start", "_head")
     prev = F.when(~F.col("_cut"), F.coalesce("_prev", "_before"))
     return out.select("user_id", "event_id", "track_id", "listened_at",
                       session["listened_at"].alias("session_start"), session["event_id"].alias("session_event"),
+                      F.coalesce("_end", "_tail").alias("session_end"),
                       prev["track_id"].alias("prev_track"), prev["listened_at"].alias("prev_at"))
 
 
 def with_last_at(sessions: DataFrame) -> DataFrame:
     """Session facts: last play, plays and distinct items."""
-    per_item = sessions.groupBy(*SESSION, "track_id").agg(F.max("listened_at").alias("m"),
+    per_item = sessions.groupBy(*SESSION, "track_id").agg(F.max("session_end").alias("m"),
                                                           F.count(F.lit(1)).alias("n"))
     return per_item.groupBy(*SESSION).agg(F.max("m").alias("last_at"), F.sum("n").alias("listens"),
                                           F.count(F.lit(1)).alias("tracks"))
@@ -74,7 +84,7 @@ def guarded(sessions: DataFrame, max_tracks: int = C.SESSION_MAX_TRACKS) -> Data
     One row more than the limit is kept per session and then told apart by size, so an endless
     session is cut to `max_tracks + 1` items per map task before it is shuffled.
     """
-    items = sessions.groupBy(*SESSION, "track_id").agg(F.max("listened_at").alias("at"))
+    items = sessions.groupBy(*SESSION, "track_id").agg(F.max("session_end").alias("at"))
     few = base.first_k(items, SESSION, [F.col("track_id")], max_tracks + 1)
     return (few.groupBy(*SESSION).agg(F.sort_array(F.collect_list("track_id")).alias("ids"),
                                       F.max("at").alias("last_at"))
@@ -100,20 +110,15 @@ def transitions(sessions: DataFrame, gap_min: int = C.TRANSITION_GAP_MIN) -> Dat
     """Consecutive plays of different items with a gap of at most `gap_min` minutes."""
     step = F.col("listened_at") - F.col("prev_at") <= _minutes(gap_min)
     return sessions.filter(step & (F.col("prev_track") != F.col("track_id"))).select(
-        *SESSION, F.col("prev_track").alias("cur"), F.col("track_id").alias("nxt"))
+        *SESSION, "session_end", F.col("prev_track").alias("cur"), F.col("track_id").alias("nxt"))
 
 
 def build_next(listens, tracks=None, gap_min=C.SESSION_GAP_MIN, markov_gap_min=C.TRANSITION_GAP_MIN,
                sessions: DataFrame | None = None) -> DataFrame:
-    """Per directed pair: transitions and the end of the latest session.
-
-    Counted per session before the session end is joined, so repeats do not travel.
-    """
+    """Per directed pair: transitions and the end of the latest session, in one grouping."""
     s = sessions if sessions is not None else _music_sessions(listens, tracks, gap_min)
-    counted = transitions(s, markov_gap_min).groupBy(*SESSION, "cur", "nxt").agg(F.count(F.lit(1)).alias("n"))
-    ends = s.groupBy(*SESSION).agg(F.max("listened_at").alias("last_at"))
-    return counted.join(ends, SESSION).groupBy("cur", "nxt").agg(
-        F.sum("n").alias("cnt"), F.max("last_at").alias("last_at"))
+    return transitions(s, markov_gap_min).groupBy("cur", "nxt").agg(
+        F.count(F.lit(1)).alias("cnt"), F.max("session_end").alias("last_at"))
 
 
 def _music_sessions(listens, tracks, gap_min) -> DataFrame:
@@ -124,7 +129,8 @@ def _music_sessions(listens, tracks, gap_min) -> DataFrame:
 def session_stats(listens, tracks=None, gap_min=C.SESSION_GAP_MIN, markov_gap_min=C.TRANSITION_GAP_MIN,
                   max_tracks=C.SESSION_MAX_TRACKS) -> DataFrame:
     """Numbers of a build: sessions, distinct pairs, distinct transitions, oversized sessions."""
-    s = _music_sessions(listens, tracks, gap_min)
+    ensure_checkpoint_dir(listens.sparkSession)
+    s = _music_sessions(listens, tracks, gap_min).checkpoint()       # three numbers read them
     facts = with_last_at(s).agg(F.count(F.lit(1)).alias("sessions"),
                                 F.count_if(F.col("tracks") > max_tracks).alias("oversized"))
     n_pairs = build_cooccur(None, sessions=s, max_tracks=max_tracks).agg(F.count(F.lit(1))).scalar()
@@ -146,19 +152,20 @@ def co_listened(cooccur: DataFrame, as_of: dt.datetime, n: int = 10, tracks: Dat
 
 
 def next_tracks(edges: DataFrame, as_of: dt.datetime, n: int = 10, tracks: DataFrame | None = None) -> DataFrame:
-    """Best successors of every item: smoothed probability times recency weight."""
-    sums = edges.groupBy("cur").agg((F.sum("cnt") + F.count(F.lit(1))).alias("mass"))
+    """Best successors of every item: smoothed probability times recency weight. `edges` is read twice: store it first."""
+    sums = edges.groupBy("cur").agg((F.sum("cnt") + F.count(F.lit(1))).alias("mass"), F.count(F.lit(1)).alias("total"))
     rows = (edges.join(sums, "cur").withColumn("p", (F.col("cnt") + 1) / F.col("mass"))
             .withColumn("score", F.col("p") * decay("last_at", ntz(as_of)))
-            .select(F.col("cur").alias("seed"), F.col("nxt").alias("other"), "cnt", "last_at", "p", "score"))
+            .select(F.col("cur").alias("seed"), F.col("nxt").alias("other"), "cnt", "last_at", "p", "score", "total"))
     return _ranked(rows, "seed", "other", n, tracks)
 
 
 def _ranked(rows: DataFrame, seed: str, other: str, n: int, tracks: DataFrame | None) -> DataFrame:
     """Top n per seed. The total is a separate partial aggregate, so the rank filter can be pushed
     below the shuffle and a hot seed never lands whole in one task."""
-    totals = rows.groupBy(seed).agg(F.count(F.lit(1)).alias("total"))
-    best = base.first_k(rows, [seed], [F.col("score").desc(), F.col(other)], n, rank="rank").join(totals, seed)
+    best = base.first_k(rows, [seed], [F.col("score").desc(), F.col(other)], n, rank="rank")
+    if "total" not in rows.columns:
+        best = best.join(rows.groupBy(seed).agg(F.count(F.lit(1)).alias("total")), seed)
     if tracks is not None:
         best = best.join(tracks.select(F.col("track_id").alias(other), "title", "channel"), other)
     p = [rounded("p", 3).alias("p")] if "p" in best.columns else []

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from earlog import config as C
 from earlog.functions.columns import artist, bucket, hour_label, in_period, percent_change, ratio, rounded
@@ -138,13 +138,21 @@ def timeline(listens, tracks, granularity="month", d_from=None, d_to=None) -> Da
 
 
 def genre_distribution(listens, tracks, features, d_from=None, d_to=None, limit: int = 10) -> DataFrame:
-    """Best genres weighted by plays, each row with the coverage of the whole period."""
-    counts = base.feature_counts(listens, tracks, features, d_from, d_to).filter(F.col("tags") != "")
-    covered = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
-    return (counts.select("n", F.explode("genres").alias("g")).filter(F.col("g.name") != "")
-            .groupBy(F.col("g.name").alias("name")).agg(F.sum("n").alias("listens"))
-            .orderBy(F.col("listens").desc(), "name").limit(limit)
-            .withColumn("coverage", ratio(covered, _total_plays(listens, tracks, d_from, d_to))))
+    """Best genres weighted by plays, each row with the coverage of the whole period.
+
+    All plays, the plays of tagged items and the plays of each genre are sums of one grouping: every table is read once.
+    """
+    counts = base.music_counts(listens, tracks, d_from, d_to).join(features.select("track_id", "tags", "genres"), "track_id", "left")
+    tagged = F.coalesce(F.col("tags") != "", F.lit(False))
+    cell = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.cast("string").alias("name"))       # noqa: E731
+    none = F.array().cast("array<struct<kind:int,name:string>>")
+    own = F.transform(F.filter("genres", lambda g: g["name"] != ""), lambda g: cell(2, g["name"]))
+    cells = F.concat(F.array(cell(0, F.lit(None))), F.when(tagged, F.concat(F.array(cell(1, F.lit(None))), F.coalesce(own, none))).otherwise(none))
+    sums = counts.select("n", F.explode(cells).alias("c")).groupBy("c.kind", "c.name").agg(F.sum("n").alias("listens"))
+    every = Window.partitionBy()                                  # over the genres, not over plays
+    plays = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("listens"))).over(every), F.lit(0))      # noqa: E731
+    return (sums.withColumn("coverage", ratio(plays(1), plays(0))).filter(F.col("kind") == 2).select("name", "listens", "coverage")
+            .orderBy(F.col("listens").desc(), "name").limit(limit))
 
 
 def _weighted_mean(c: str, digits: int) -> Column:
@@ -199,17 +207,18 @@ def mood_trend(listens, tracks, features, granularity="month", d_from=None, d_to
 
 
 def first_in_period(listens, tracks, keys: list[str], d_from, d_to) -> DataFrame:
-    """Groups whose first play ever lies in the period, with their plays inside it.
+    """Groups whose first play ever lies in the period, with their plays inside it; an artist with the most played item ever.
 
     One pass: the count inside the period and the first play overall are aggregates of one group.
     """
     inside = in_period("listened_at", d_from, d_to)
     per_track = (listens.groupBy("track_id")
-                 .agg(F.count_if(inside).alias("n"), F.min("listened_at").alias("first_at"))
+                 .agg(F.count_if(inside).alias("n"), F.count(F.lit(1)).alias("n_all"), F.min("listened_at").alias("first_at"))
                  .join(tracks.filter("is_music").select(
                      "track_id", "title", "channel", "duration", artist().alias("artist")), "track_id"))
     grouped = per_track if keys == ["track_id"] else per_track.groupBy(*keys).agg(
-        F.sum("n").alias("n"), F.min("first_at").alias("first_at"))
+        F.sum("n").alias("n"), F.min("first_at").alias("first_at"),
+        F.min_by("track_id", F.struct(-F.col("n_all"), F.col("track_id"))).alias("top_track_id"))
     return grouped.filter(in_period("first_at", d_from, d_to) & (F.col("n") > 0))
 
 
@@ -218,10 +227,8 @@ def new_artists(listens, tracks, d_from=None, d_to=None, n: int = 5, as_of: dt.d
     d_from, d_to = base.period_bounds(d_from, d_to, as_of)
     found = first_in_period(listens, tracks, ["artist"], d_from, d_to).filter(F.col("artist") != "")
     best = found.orderBy(F.col("n").desc(), "artist").limit(max(1, n))
-    tops = artist_top_item(listens, tracks).join(best.select("artist"), "artist", "left_semi")
-    return (best.join(tops, "artist", "left")
-            .select(F.col("artist").alias("name"), F.col("n").alias("plays"), "top_track_id",
-                    found.agg(F.count(F.lit(1))).scalar().alias("total")))
+    return best.select(F.col("artist").alias("name"), F.col("n").alias("plays"), "top_track_id",
+                       found.agg(F.count(F.lit(1))).scalar().alias("total"))
 
 
 def new_tracks(listens, tracks, features, d_from=None, d_to=None, n: int = 5, as_of=None) -> DataFrame:

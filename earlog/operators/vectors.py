@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from earlog import config as C
 from earlog.functions.columns import let
@@ -46,9 +46,10 @@ def standardize(vectors: DataFrame, c: str = "vec") -> DataFrame:
     factor = (F.col("n") - 1) / F.col("n")
     stats = summary.select(F.struct("mean", F.transform("var", lambda x: F.when(x > 0, F.sqrt(x * factor)).otherwise(1.0))
                                     .alias("std")).alias("s")).scalar()
-    out = vectors.withColumn("_s", stats)
-    centred = F.zip_with(c, "_s.mean", lambda a, m: a - m)
-    return out.withColumn("z", F.zip_with(centred, "_s.std", lambda a, s: a / s)).drop("_s")
+    def scaled(s: Column) -> Column:
+        return F.zip_with(F.zip_with(c, s["mean"], lambda a, m: a - m), s["std"], lambda a, d: a / d)
+    # bound to a name: the optimizer would otherwise write the subquery out once for every use
+    return vectors.withColumn("_s", stats).withColumn("z", let(F.col("_s"), scaled)).drop("_s")
 
 
 def split_groups(df: DataFrame) -> DataFrame:
@@ -59,12 +60,13 @@ def cluster_space_features(features: DataFrame) -> DataFrame:
     """Standardised groups times the square root of their weight, without shrinkage."""
     z = standardize(raw_vectors(features))
 
-    def block(group: str) -> Column:
+    def block(v: Column, group: str) -> Column:
         (s, e), scale = C.DENSE_SLICES[group], C.CLUSTER_WEIGHTS[group] ** 0.5
-        return F.transform(F.slice("z", s + 1, e - s), lambda x: x * scale)
+        return F.transform(F.slice(v, s + 1, e - s), lambda x: x * scale)
 
-    blocks = [block(g) for g in C.CLUSTER_WEIGHTS]
-    return z.select("track_id", F.concat(*blocks).alias("point"))
+    def point(v: Column) -> Column:
+        return F.concat(*[block(v, g) for g in C.CLUSTER_WEIGHTS])
+    return z.select("track_id", let(F.col("z"), point).alias("point"))
 
 
 def cluster_space_embedding(features: DataFrame) -> DataFrame:
@@ -97,25 +99,42 @@ def sparse_cosine(a: Column, b: Column) -> Column:
 
 
 # ---- text vectors -----------------------------------------------------------------------------------
-def tfidf(lyrics: DataFrame, vocabulary: int = C.VOCABULARY_SIZE) -> DataFrame:
+#: Ways in which the texts of one term meet its weight.
+SALTS = 16
+_FIRST = 1 << 40
+
+
+def tfidf(lyrics: DataFrame, vocabulary: int | None = C.VOCABULARY_SIZE) -> DataFrame:
     """track_id, language, term, weight: unit-length TF-IDF rows, one vocabulary per language.
 
-    Terms are runs of two or more word characters; the vocabulary is the most frequent terms (ties
-    by term); idf = ln((1 + n) / (1 + df)) + 1. Languages with a single text are left out.
+    Terms are runs of two or more word characters; the vocabulary is the most frequent terms (ties by term; None: all); idf =
+    ln((1 + n) / (1 + df)) + 1. Languages with a single text are left out.
+
+    Texts are cut into terms once: counts of (text, term) are the one exchange that everything else reads. They carry one number,
+    the term's count plus a mark on one row of each text, so that texts per language come from the same rows. A term that every
+    text has is salted when it meets its idf.
     """
     texts = lyrics.filter((F.col("text") != "") & (F.col("source") != "whisper")).select(
         "track_id", F.coalesce(F.nullif("language", F.lit("")), F.lit("en")).alias("language"), "text")
-    sizes = texts.groupBy("language").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 2)
     tokens = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    # the outer form: plain explode would repeat the tokenizer in an inferred size filter
-    tf = (texts.select("track_id", "language", F.explode_outer(tokens).alias("term")).filter(F.col("term").isNotNull())
-          .groupBy("track_id", "language", "term").agg(F.count(F.lit(1)).alias("tf")))
-    terms = tf.groupBy("language", "term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-    kept = base.first_k_salted(terms, ["language"], [F.col("total").desc(), F.col("term")], vocabulary, "term")
-    idf = kept.join(sizes, "language").select("language", "term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = tf.join(idf, ["language", "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    length = weighted.groupBy("track_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    return weighted.join(length, "track_id").select("track_id", "language", "term", (F.col("w") / F.col("len")).alias("weight"))
+    # the outer form keeps texts without a term, which count as texts
+    rows = texts.select("track_id", "language", F.posexplode_outer(tokens).alias("pos", "term"))
+    mark = F.when(F.coalesce("pos", F.lit(0)) == 0, _FIRST).otherwise(0) + F.when(F.col("term").isNotNull(), 1).otherwise(0)
+    # '' stands for no term: a key without NULLs, and tests of counts instead of keys, keep filters above the shared exchange
+    tf = rows.groupBy("track_id", "language", F.coalesce("term", F.lit("")).alias("term")).agg(F.sum(mark.cast("bigint")).alias("m"))
+    count = F.col("m").bitwiseAND(F.lit(_FIRST - 1))
+    terms = tf.groupBy("language", "term").agg(F.sum(count).alias("total"), F.count(F.lit(1)).alias("df"),
+                                               F.sum(F.shiftright("m", 40)).alias("firsts"))
+    sizes = terms.groupBy("language").agg(F.sum("firsts").alias("n")).filter(F.col("n") >= 2)
+    real = terms.filter(F.col("total") > 0)
+    kept = real if vocabulary is None else base.first_k_salted(
+        real, ["language"], [F.col("total").desc(), F.col("term")], vocabulary, "term")
+    idf = kept.join(sizes, "language").select("language", "term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"),
+                                              F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salted = tf.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("track_id"), F.lit(SALTS)).cast("int"), F.lit(0)))
+    weighted = salted.join(idf, ["language", "term", "_salt"]).withColumn("w", count * F.col("idf"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("track_id")))      # a text has at most the vocabulary
+    return weighted.select("track_id", "language", "term", (F.col("w") / length).alias("weight"))
 
 
 def text_vectors(weights: DataFrame) -> DataFrame:

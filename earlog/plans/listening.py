@@ -2,14 +2,18 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
 from earlog.functions.columns import rounded
 
-from earlog.operators import catalog, context, sessions as S
+from earlog.operators import base, catalog, context, sessions as S, similarity
 from earlog.plans import inputs as I
 from earlog.plans.registry import query
+from earlog.plans.similarity import _TAG_SIM, _TAGS, _map_join
+from earlog.session import ensure_checkpoint_dir
+from earlog.sources import ingest
 
 NOW = dt.datetime(2024, 1, 31)
 GAP, STEP, LIMIT = 720, 240, 200
@@ -46,8 +50,16 @@ def _music(spark, sf):
     return I.listens(spark, sf), I.tracks(spark, sf)
 
 
+def _stored(edges):
+    """Edges as a build leaves them: written once, read by whoever asks."""
+    spark = edges.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/edges-{uuid.uuid4().hex}"
+    ingest.write_edges(path, edges=edges)
+    return ingest.published(spark, path, "edges")
+
+
 @query("sessions", f"""WITH {_S} SELECT user_id, event_id, track_id, listened_at, session_start, session_event,
-    prev_track, prev_at FROM s""", "listens", "tracks")
+    prev_track, prev_at, last_at AS session_end FROM s""", "listens", "tracks")
 def sessions(spark, sf):
     return S._music_sessions(*_music(spark, sf), GAP)
 
@@ -72,6 +84,19 @@ def cooccur(spark, sf):
     return S.build_cooccur(*_music(spark, sf), gap_min=GAP, max_tracks=LIMIT)
 
 
+@query("stored_edges", f"""WITH {_S}, {_PAIRS}, {_NEXT} SELECT 'together' AS kind, track_a AS a, track_b AS b, cnt, last_at FROM co
+    UNION ALL SELECT 'next', cur, nxt, cnt, last_at FROM nx""", "listens", "tracks")
+def stored_edges(spark, sf):
+    """Both edge tables of a build, replaced together and read back."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/edges-{uuid.uuid4().hex}"
+    rows = S.sessionize(base.music_listens(*_music(spark, sf)), GAP)
+    ingest.write_edges(path, cooccur=S.build_cooccur(None, sessions=rows, max_tracks=LIMIT),
+                       following=S.build_next(None, sessions=rows, markov_gap_min=STEP))
+    named = lambda name, kind, a, b: ingest.published(spark, path, name).select(                # noqa: E731
+        F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b"), F.col("cnt").cast("bigint").alias("cnt"), "last_at")
+    return named("cooccur", "together", "track_a", "track_b").unionByName(named("following", "next", "cur", "nxt"))
+
+
 @query("next_track", f"WITH {_S}, {_NEXT} SELECT cur, nxt, cnt, last_at FROM nx", "listens", "tracks")
 def next_track(spark, sf):
     return S.build_next(*_music(spark, sf), gap_min=GAP, markov_gap_min=STEP).withColumn("cnt", F.col("cnt").cast("bigint"))
@@ -82,7 +107,7 @@ def next_track(spark, sf):
     SELECT seed, CAST(row_number() OVER (PARTITION BY seed ORDER BY sc DESC, other) AS INTEGER) AS rank, other, cnt, last_at,
         round_even(sc, 3) AS score, count(*) OVER (PARTITION BY seed) AS total FROM z QUALIFY rank <= 10""", "listens", "tracks")
 def co_listened(spark, sf):
-    return S.co_listened(S.build_cooccur(*_music(spark, sf), gap_min=GAP, max_tracks=LIMIT), NOW)
+    return S.co_listened(_stored(S.build_cooccur(*_music(spark, sf), gap_min=GAP, max_tracks=LIMIT)), NOW)
 
 
 @query("next_tracks", f"""WITH {_S}, {_NEXT}, z AS (SELECT cur AS seed, nxt AS other, cnt, last_at,
@@ -92,7 +117,7 @@ def co_listened(spark, sf):
         round_even(p, 3) AS p, round_even(sc, 3) AS score, count(*) OVER (PARTITION BY seed) AS total FROM y QUALIFY rank <= 10""",
        "listens", "tracks")
 def next_tracks(spark, sf):
-    return S.next_tracks(S.build_next(*_music(spark, sf), gap_min=GAP, markov_gap_min=STEP), NOW)
+    return S.next_tracks(_stored(S.build_next(*_music(spark, sf), gap_min=GAP, markov_gap_min=STEP)), NOW)
 
 
 @query("session_stats", f"""WITH {_S}, {_PAIRS}, {_NEXT} SELECT (SELECT count(DISTINCT (user_id, no)) FROM s) AS sessions,
@@ -121,7 +146,7 @@ def turn_transitions(spark, sf):
     turns = I.table(spark, sf, "conversations").select(
         F.col("conv_id").alias("user_id"), F.col("turn").alias("event_id"), F.col("role").alias("track_id"),
         F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(turn AS INT))").alias("listened_at"))
-    edges = S.build_next(turns, gap_min=100000, markov_gap_min=1)
+    edges = _stored(S.build_next(turns, gap_min=100000, markov_gap_min=1))
     return S.next_tracks(edges, NOW, 100).select(F.col("seed").alias("cur"), F.col("other").alias("nxt"),
                                                  F.col("cnt").cast("bigint").alias("cnt"), "p")
 
@@ -201,6 +226,24 @@ def external_similar(spark, sf):
                                            I.plays(spark, sf).withColumn("track_id", text_id))
 
 
+@query("external_match", f"""WITH {_RADIO}, {_TAGS}, cm AS (SELECT CAST(track_id AS VARCHAR) AS id FROM ctracks WHERE is_music)
+    SELECT seed_id, pos, v.id AS track_id, CAST(round_even(100 * {_TAG_SIM}, 0) AS INTEGER) AS match FROM v JOIN st USING (l_orderkey)
+    JOIN cm ON cm.id = v.id JOIN u a ON CAST(a.track_id AS VARCHAR) = st.seed JOIN u b ON CAST(b.track_id AS VARCHAR) = v.id
+    {_map_join('g')} {_map_join('ins')} WHERE NOT is_seed AND a.tagged AND b.tagged""", "plays", "tracks", "ctracks", "features")
+def external_match(spark, sf):
+    """Listed items of the own history with the tag match to the item that the list is about, in per cent."""
+    radio = _radio(spark, sf)
+    text_id = F.col("track_id").cast("string")
+    tracks = I.counted_tracks(spark, sf).filter("is_music").withColumn("track_id", text_id)
+    listed = context.flatten_external(radio).select("seed_id", "track_id").join(radio.select("seed_id", "seed_track"), "seed_id")
+    pairs = listed.select(F.col("seed_track").alias("seed_id"), "track_id").distinct()
+    match = similarity.pair_match(pairs, I.features(spark, sf).withColumn("track_id", text_id)).withColumnRenamed("seed_id", "seed_track")
+    matches = listed.join(match, ["seed_track", "track_id"])
+    out = context.enrich_external_similar(radio, radio.select("seed_id", "seed_track", "seed_title"), tracks,
+                                          I.plays(spark, sf).withColumn("track_id", text_id), matches)
+    return out.filter(F.col("in_history") & F.col("match").isNotNull()).select("seed_id", "pos", "track_id", "match")
+
+
 @query("external_seed_meta", f"WITH {_RADIO} SELECT seed_id, {_RADIO_ROW} FROM v WHERE is_seed")
 def external_seed_meta(spark, sf):
     radio = _radio(spark, sf)
