@@ -53,8 +53,7 @@ GROUP_LABELS = {"embedding": "by neural timbre", "timbre": "by timbre", "rhythm"
                 "harmony": "by harmony", "macro": "by character", "moods": "by mood",
                 "instruments": "by instruments", "genre": "by genre", "lyrics": "by lyrics",
                 "topics": "by topics"}
-CLUSTER_NAMES = {"happy": "Happy", "sad": "Melancholic", "relaxed": "Calm",
-                 "aggressive": "Energetic", "electronic": "Electronic", "acoustic": "Acoustic",
-                 "party": "Party", "epic": "Epic", "dark": "Dark", "romantic": "Romantic",
-                 "atmospheric": "Atmospheric"}
+# by the position of the mood in MOODS, not by its name: a mostly sad group is "Energetic", a mostly aggressive one "Melancholic"
+CLUSTER_NAMES = ["Happy", "Energetic", "Calm", "Melancholic", "Electronic", "Acoustic", "Party", "Epic", "Dark", "Romantic",
+                 "Atmospheric"]
 # --- end of fixed values ----------------------------------------------------------------

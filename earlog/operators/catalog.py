@@ -10,12 +10,12 @@ from earlog.operators import base
 from earlog.operators.tracks import dominant_moods
 
 
-def genres(features: DataFrame, top: int = 40, minimum: int = 3) -> DataFrame:
-    """Items per genre: the most frequent ones, then only those with enough items."""
-    return (features.filter(F.col("tags") != "").select(F.explode("genres.name").alias("name"))
-            .groupBy("name").agg(F.count(F.lit(1)).alias("count"))
-            .orderBy(F.col("count").desc(), "name").limit(top).filter(F.col("count") >= minimum)
-            .withColumn("label", genre_label("name")))
+def genres(features: DataFrame, top: int | None = 40, minimum: int = 3) -> DataFrame:
+    """Items per genre: the most frequent ones (None: all), then only those with enough items."""
+    counts = (features.filter(F.col("tags") != "").select(F.explode("genres.name").alias("name"))
+              .groupBy("name").agg(F.count(F.lit(1)).alias("count")).orderBy(F.col("count").desc(), "name"))
+    best = counts if top is None else counts.limit(top)
+    return best.filter(F.col("count") >= minimum).withColumn("label", genre_label("name"))
 
 
 def languages(lyrics: DataFrame) -> DataFrame:

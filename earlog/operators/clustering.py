@@ -2,9 +2,8 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from earlog import config as C
 from earlog.functions.columns import rounded
@@ -42,9 +41,29 @@ def cluster_tracks(space: DataFrame, k: int = MAX_CLUSTERS, restarts: int = REST
     return best.transform(points)
 
 
-def silhouette(clustered: DataFrame) -> float:
-    """Mean silhouette (squared Euclidean) over all rows, not a sample."""
-    return ClusteringEvaluator(featuresCol="features", predictionCol="cluster_id").evaluate(clustered)
+def silhouette(clustered: DataFrame, point: str = "point") -> DataFrame:
+    """cluster_id, size, silhouette: mean silhouette of each group in squared Euclidean distance, and `overall` of all rows.
+
+    The mean squared distance of a row to a group follows from the group's size, mean and mean square, so one aggregate over the
+    rows and one pass with its few results are enough: every row counts, none is sampled. A group of one row has 0; with a single
+    group the value is NULL.
+    """
+    rows = clustered.filter(F.col("cluster_id").isNotNull()).select("cluster_id", F.col(point).alias("_x"))
+    rows = rows.withColumn("_q", V.dot(F.col("_x"), F.col("_x")))
+    groups = rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.avg("_q").alias("q"), V.mean_vector("_x").alias("m"))
+    table = groups.agg(F.collect_list(F.struct("cluster_id", "n", "q", "m"))).scalar()          # one entry a group
+
+    def far(g):
+        return F.greatest(F.lit(0.0), F.col("_q") + g["q"] - 2 * V.dot(F.col("_x"), g["m"]))
+    own = F.col("cluster_id")
+    inner = F.transform(F.filter("_g", lambda g: (g["cluster_id"] == own) & (g["n"] > 1)), lambda g: far(g) * g["n"] / (g["n"] - 1))
+    outer = F.array_min(F.transform(F.filter("_g", lambda g: g["cluster_id"] != own), far))
+    rows = rows.withColumn("_g", table).select("cluster_id", F.get(inner, F.lit(0)).alias("a"), outer.alias("b"))
+    s = F.when(F.col("a").isNull(), F.when(F.col("b").isNotNull(), 0.0)).otherwise(
+        F.when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(F.when(F.col("b").isNotNull(), 0.0)))
+    means = rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.avg(s).alias("silhouette"))
+    every = Window.partitionBy()                                                               # over the few groups
+    return means.withColumn("overall", F.sum(F.col("silhouette") * F.col("size")).over(every) / F.sum("size").over(every))
 
 
 def cluster_profile(labels: DataFrame, features: DataFrame) -> DataFrame:
@@ -55,21 +74,24 @@ def cluster_profile(labels: DataFrame, features: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("size"), tempo.alias("tempo"), *[F.avg(c).alias(c) for c in C.MOOD_COLS]))
 
 
-def name_clusters(spark: SparkSession, profile: DataFrame) -> DataFrame:
-    """cluster_id, name, size, mean moods. Names depend on each other, so the few rows are named in order."""
-    used: set[str] = set()
-    named = []
-    for row in profile.orderBy("cluster_id").collect():
-        ranked = sorted(C.MOODS, key=lambda m: -row["mood_" + m])
-        name = C.CLUSTER_NAMES[ranked[0]]
-        if name in used:
-            tempo = row["tempo"]
-            name += " · " + ("part" if tempo is None else "fast" if tempo >= FAST_TEMPO else "slow")
-            if name in used:
-                free = (f"{name} · {C.CLUSTER_NAMES[m]}" for m in ranked[1:])
-                name = next((c for c in free if c not in used), f"{name} · mix")
-        used.add(name)
-        named.append((row["cluster_id"], name))
-    names = spark.createDataFrame(named, "cluster_id int, name string")
-    return profile.join(names, "cluster_id").select(
-        "cluster_id", "name", "size", *[rounded(c, 3).alias(c) for c in C.MOOD_COLS])
+def cluster_names(profile: DataFrame) -> DataFrame:
+    """cluster_id, name, size, mean moods.
+
+    The name of the largest mean mood; where an earlier group has it, the tempo is added, then the next moods in turn. Names
+    depend on each other, so the groups (few: the k of the run) are folded in order in one row.
+    """
+    moods = F.array(*[F.struct((-F.col(c)).alias("mean"), F.lit(i).alias("i"), F.lit(n).alias("name"))
+                      for i, (n, c) in enumerate(zip(C.CLUSTER_NAMES, C.MOOD_COLS))])
+    ranked = F.transform(F.array_sort(moods), lambda e: e["name"])
+    word = F.when(F.col("tempo").isNull(), "part").when(F.col("tempo") >= FAST_TEMPO, "fast").otherwise("slow")
+    first = profile.withColumn("_r", ranked).withColumn("_long", F.concat(F.col("_r")[0], F.lit(" · "), word))
+    choices = F.concat(F.array(F.col("_r")[0], F.col("_long")), F.transform(F.slice("_r", 2, len(C.MOODS) - 1), lambda n: F.concat(F.col("_long"), F.lit(" · "), n)))
+    first = first.withColumn("_c", choices).withColumn("_mix", F.concat(F.col("_long"), F.lit(" · mix")))
+    rows = first.groupBy().agg(F.sort_array(F.collect_list(F.struct("cluster_id", "_c", "_mix", "size", *C.MOOD_COLS))).alias("xs"))
+
+    def step(used, x):
+        free = F.filter(x["_c"], lambda c: ~F.array_contains(used, c))
+        return F.concat(used, F.array(F.coalesce(F.get(free, F.lit(0)), x["_mix"])))
+    names = F.aggregate("xs", F.array().cast("array<string>"), step)
+    out = rows.select(F.explode(F.arrays_zip("xs", names.alias("name"))).alias("e")).select("e.xs.*", "e.name")
+    return out.select("cluster_id", "name", "size", *[rounded(c, 3).alias(c) for c in C.MOOD_COLS])

@@ -129,14 +129,15 @@ def failure_streaks(log: DataFrame, kind: str = "bot", limit: int | None = None,
                                              (F.col("e.longest") >= limit).alias("reached"))
 
 
-def current_errors(log: DataFrame) -> DataFrame:
-    """Latest outcome per (item, stage), kept while it is a failure; skips change nothing."""
+def current_errors(log: DataFrame, longest: int | None = C.ERROR_TEXT_MAX) -> DataFrame:
+    """Latest outcome per (item, stage), kept while it is a failure; skips change nothing. `longest` None: whole error texts."""
     outcome = F.struct("status", "error", "tried_at")
     last = (log.filter(F.col("status") != "skipped").groupBy("track_id", "stage")
             .agg(F.max_by(outcome, F.struct("tried_at", "event_id")).alias("o")))
     text = F.coalesce(F.nullif(F.col("o.error"), F.lit("")), F.lit("unknown error"))
+    shown = text if longest is None else F.left(text, F.lit(longest))
     return last.filter(F.col("o.status") != "ok").select(
-        "track_id", "stage", F.left(text, F.lit(C.ERROR_TEXT_MAX)).alias("error"), F.col("o.tried_at").alias("created_at"))
+        "track_id", "stage", shown.alias("error"), F.col("o.tried_at").alias("created_at"))
 
 
 def list_errors(errors: DataFrame, tracks: DataFrame, n: int = 200) -> DataFrame:

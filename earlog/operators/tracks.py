@@ -161,6 +161,32 @@ def page(df: DataFrame, sort="play_count", order="desc", page_no: int = 1, per_p
                              "position": F.row_number().over(Window.orderBy(*order_cols(sort, order))) + first})
 
 
+def after(sort: str, order: str, value, title, track_id) -> Column:
+    """Rows behind a row in the list's order: its sort value, title and id as plain comparisons, which filters can push down."""
+    sort = sort if sort in SORTS else "play_count"
+    this = F.col(sort)
+
+    def past(c: Column, v) -> Column:
+        return c.isNotNull() if v is None else c > F.lit(v)
+    if order == "asc":                     # NULLs first
+        beyond = past(this, value)
+    else:                                  # NULLs last
+        beyond = F.lit(False) if value is None else (this < F.lit(value)) | this.isNull()
+    same = this.isNull() if value is None else this == F.lit(value)
+    same_title = F.col("title").isNull() if title is None else F.col("title") == F.lit(title)
+    return beyond | (same & (past(F.col("title"), title) | (same_title & (F.col("track_id") > F.lit(track_id)))))
+
+
+def page_after(df: DataFrame, last: tuple | None, sort="play_count", order="desc", per_page: int = 200) -> DataFrame:
+    """The page that follows the row `last` (sort value, title, id; None: the first page), with the total of all rows.
+
+    Nothing is skipped over: rows before the page are filtered out where they are read, however deep the page lies.
+    """
+    total = df.agg(F.count(F.lit(1))).scalar()
+    rows = df if last is None else df.filter(after(sort, order, *last))
+    return rows.orderBy(*order_cols(sort, order)).limit(max(1, per_page)).withColumn("total", total)
+
+
 def display(df: DataFrame, clusters: DataFrame | None = None, errors: DataFrame | None = None) -> DataFrame:
     """Rounded display columns; run on a page, after the limit."""
     out = df
@@ -194,6 +220,12 @@ def tracks_query(tracks, listens, features, lyrics, clusters=None, errors=None,
     return display(page(rows, sort, order, page_no, per_page), clusters, errors).orderBy("position")
 
 
+def tracks_page_after(tracks, listens, features, lyrics, last: tuple | None, clusters=None, errors=None, sort="play_count",
+                      order="desc", per_page=200, **filters) -> DataFrame:
+    rows = select_tracks(tracks, listens, features, lyrics, errors, **filters)
+    return display(page_after(rows, last, sort, order, per_page), clusters, errors).orderBy(*order_cols(sort, order))
+
+
 def dominant_topic(topics: Column | str = "topics", order: list[str] | None = None) -> Column:
     """Topic with the largest weight, the earlier one on a tie; '' without topics."""
     topics = F.col(topics) if isinstance(topics, str) else topics

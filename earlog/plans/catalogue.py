@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 from earlog import config as C
 from earlog.functions.columns import rounded
 from earlog.functions.labels import GENRES, LANGUAGES, REASONS, map_labels
-from earlog.operators import base, catalog, queues, stats, tracks as T
+from earlog.operators import base, catalog, queues, stats, texts, tracks as T
 from earlog.plans import inputs as I
 from earlog.plans.registry import query
 from earlog.plans.sqltext import CURRENT
+from earlog.plans.textual import FEELING, STEMS, _sentiment_sql, _topic_sql
 
 _BASE = ("plays", "tracks", "ctracks", "features", "lyrics")
 _PROFILE = """prof AS (SELECT t.track_id, t.title, t.channel, t.artist_canonical, t.artist, t.play_count, t.duration,
@@ -50,6 +51,30 @@ def tracks_query(spark, sf):
     return T.tracks_query(*_all(spark, sf), errors=errors, page_no=2).select(*_cols(), "total", "position", "has_error")
 
 
+@query("tracks_page_after", f"""WITH {_PROFILE}, p AS (SELECT *, count(*) OVER () AS total FROM prof WHERE is_music)
+    SELECT {_ROW}, total FROM p WHERE play_count < 29 OR (play_count = 29 AND (title > 'hot' OR (title = 'hot' AND track_id > 0)))
+    ORDER BY play_count DESC, title, track_id LIMIT 200""", *_BASE)
+def tracks_page_after(spark, sf):
+    """The rows that follow a given row of the default list: no row is skipped over, the place is a filter."""
+    return T.tracks_page_after(*_all(spark, sf), last=(29, "hot", 0)).select(*_cols(), "total")
+
+
+_GROUPS = """gp AS (SELECT label AS cluster_id, count(*) AS size, 'group ' || label AS name FROM embeddings GROUP BY 1),
+    lab AS (SELECT vec_id AS track_id, label AS cluster_id FROM embeddings)"""
+
+
+@query("tracks_cluster", f"""WITH {_PROFILE}, {_GROUPS}, r AS (SELECT prof.*, cluster_id, name AS cluster_name, count(*) OVER () AS total,
+        row_number() OVER (ORDER BY energy DESC NULLS LAST, title, prof.track_id) AS position
+        FROM prof JOIN lab USING (track_id) JOIN gp USING (cluster_id) WHERE is_music AND cluster_id = 3)
+    SELECT {_ROW}, cluster_id, cluster_name, total, CAST(position AS INTEGER) AS position FROM r WHERE position <= 200""", *_BASE)
+def tracks_cluster(spark, sf):
+    """Items of one cluster, the liveliest first, with the cluster's name."""
+    tracks, groups = _labelled(spark, sf)
+    _, plays, features, lyrics = _all(spark, sf)
+    return T.tracks_query(tracks, plays, features, lyrics, clusters=groups, sort="energy", cluster_id=3).select(
+        *_cols(), "cluster_id", "cluster_name", "total", "position")
+
+
 @query("tracks_by_tempo", f"""WITH {_PROFILE}, r AS (SELECT *, count(*) OVER () AS total, row_number() OVER
         (ORDER BY tempo ASC NULLS FIRST, title, track_id) AS position FROM prof WHERE is_music AND artist = 'Brand#7')
     SELECT {_ROW}, total, CAST(position AS INTEGER) AS position FROM r WHERE position <= 500""", *_BASE)
@@ -101,16 +126,22 @@ def tracks_with_errors(spark, sf):
     return T.display(T.select_tracks(*_all(spark, sf), errors=errors, only_errors=True)).select(*_cols())
 
 
-@query("track_profile", f"""WITH {_PROFILE}, {CURRENT} SELECT {_ROW}, COALESCE(text <> '', false) AS has_lyrics, features_source,
+@query("track_profile", f"""WITH {_PROFILE}, {CURRENT}, {_GROUPS}, {_topic_sql()}, {_sentiment_sql()},
+    best AS (SELECT track_id, topic FROM t QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY weight DESC, topic) = 1)
+    SELECT {_ROW}, COALESCE(text <> '', false) AS has_lyrics, features_source, COALESCE(topic, '') AS topic, cluster_id,
+    COALESCE(name, '') AS cluster_name, CASE WHEN p + q > 0 THEN round_even((p - q) / (p + q), 2) WHEN c.track_id IS NOT NULL THEN 0 END AS sentiment,
     CAST(COALESCE(len(genres), 0) AS INTEGER) AS n_genres, round_even(COALESCE(list_sum(list_transform(instruments,
     lambda g: g.score)), 0), 3) AS instrument_total, COALESCE(errs, '') AS errs
     FROM prof LEFT JOIN (SELECT track_id, string_agg(stage || ':' || left(error, 300), '|' ORDER BY created_at DESC, stage DESC, error DESC)
-        AS errs FROM cur WHERE status <> 'ok' GROUP BY 1) USING (track_id)""", *_BASE, "attempts")
+        AS errs FROM cur WHERE status <> 'ok' GROUP BY 1) USING (track_id) LEFT JOIN best USING (track_id) LEFT JOIN lab USING (track_id)
+    LEFT JOIN gp USING (cluster_id) LEFT JOIN c USING (track_id)""", *_BASE, "attempts")
 def track_profile(spark, sf):
     errors = queues.current_errors(I.attempts(spark, sf))
-    out = T.track_profile(*_all(spark, sf), errors=errors)
+    tracks, groups = _labelled(spark, sf)
+    _, plays, features, lyrics = _all(spark, sf)
+    out = T.track_profile(tracks, plays, features, texts.derive(lyrics, STEMS, None, FEELING), groups, errors)
     total = F.aggregate("instrument_scores", F.lit(0.0), lambda a, g: a + g["score"])
-    return out.select(*_cols(), "has_lyrics", "features_source",
+    return out.select(*_cols(), "has_lyrics", "features_source", "topic", "cluster_id", "cluster_name", "sentiment",
                       F.when(F.col("genre_scores").isNull(), 0).otherwise(F.size("genre_scores")).alias("n_genres"),
                       rounded(F.coalesce(total, F.lit(0.0)), 3).alias("instrument_total"),
                       F.coalesce(F.array_join(F.transform("errors", lambda e: F.concat_ws(":", e["stage"], e["error"])),

@@ -34,19 +34,14 @@ def wheel_codes(spark, sf):
 
 @query("tempo_key_relations", f"""WITH {_WHEEL}, {_CAND} SELECT e.seed, e.other, round_even({_DELTA}, 6) AS delta,
     ['same', 'energy-up', 'energy-down', 'relative'][{_REL} + 1] AS relation
-    FROM (SELECT DISTINCT prev AS seed, vec_id AS other FROM (SELECT vec_id, lag(vec_id) OVER (PARTITION BY label
-        ORDER BY vec_id) AS prev FROM embeddings)) e JOIN c a ON a.track_id = e.seed JOIN c b ON b.track_id = e.other""",
+    FROM (SELECT vec_id - 1 AS seed, vec_id AS other FROM embeddings) e JOIN c a ON a.track_id = e.seed JOIN c b ON b.track_id = e.other""",
        "features", "tracks")
 def tempo_key_relations(spark, sf):
-    """Relation of neighbours inside a label, pair by pair."""
-    from pyspark.sql import Window
-    rows = I.features(spark, sf)
-    cand = mixing.candidates(rows, I.tracks(spark, sf))
-    near = rows.select(F.lag("track_id").over(Window.partitionBy("label").orderBy("track_id")).alias("seed"),
-                       F.col("track_id").alias("other"))
+    """Relation of given pairs: every item with the one before it."""
+    cand = mixing.candidates(I.features(spark, sf), I.tracks(spark, sf))
     a, b = cand.alias("a"), cand.alias("b")
-    both = near.join(a, F.col("a.track_id") == F.col("seed")).join(b, F.col("b.track_id") == F.col("other"))
-    return both.select("seed", "other", rounded(K.tempo_delta(F.col("a.tempo"), F.col("b.tempo"), 0.06), 6).alias("delta"),
+    both = a.join(b, F.col("a.track_id") == F.col("b.track_id") - 1)
+    return both.select(F.col("a.track_id").alias("seed"), F.col("b.track_id").alias("other"), rounded(K.tempo_delta(F.col("a.tempo"), F.col("b.tempo"), 0.06), 6).alias("delta"),
                        K.key_relation(F.struct("a.num", "a.letter"), F.struct("b.num", "b.letter")).alias("relation"))
 
 

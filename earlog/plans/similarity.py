@@ -1,6 +1,8 @@
 """Vectors, text weights, similar items and artists, clusters."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from earlog import config as C
@@ -9,6 +11,7 @@ from earlog.operators import sessions as S, similarity as M, vectors as V
 from earlog.plans import inputs as I
 from earlog.plans.registry import query
 from earlog.plans.textual import STEMS, _topic_sql, _topics
+from earlog.session import ensure_checkpoint_dir
 
 _RAW = """raw AS (SELECT track_id, list_concat(e[1:45], [ln(1 + tempo), danceability, COALESCE(percussive, 0.5), energy, acousticness,
         brightness, COALESCE(dynamics, 0), COALESCE(loudness, -20) / 45]) AS vec FROM features
@@ -70,21 +73,19 @@ def mood_columns(spark, sf):
     return I.features(spark, sf).select("track_id", *C.MOOD_COLS)
 
 
-_NEAR = """near AS (SELECT vec_id AS track_id, lag(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS seed_id FROM emb)"""
+_NEAR = """near AS (SELECT vec_id AS track_id, vec_id - 1 AS seed_id FROM emb)"""
 
 
 def _pairs(spark, sf):
-    from pyspark.sql import Window
-    e = I.table(spark, sf, "embeddings")
-    return e.select(F.lag("vec_id").over(Window.partitionBy("label").orderBy("vec_id")).alias("seed_id"),
-                    F.col("vec_id").alias("track_id")).filter(F.col("seed_id").isNotNull())
+    """Given pairs: every item with the one before it."""
+    return I.table(spark, sf, "embeddings").select((F.col("vec_id") - 1).alias("seed_id"), F.col("vec_id").alias("track_id"))
 
 
 @query("cosine_dist", f"""WITH {_NEAR} SELECT seed_id, track_id, round_even(1 - list_dot_product(a.e, b.e)
     / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) AS distance
     FROM near JOIN emb a ON a.vec_id = seed_id JOIN emb b ON b.vec_id = track_id""", "emb")
 def cosine_dist(spark, sf):
-    """Dense distance of given pairs: each vector with the previous one of its label."""
+    """Dense distance of given pairs: each vector with the previous one."""
     e = I.table(spark, sf, "embeddings").select("vec_id", "embedding")
     a, b = e.alias("a"), e.alias("b")
     both = _pairs(spark, sf).join(a, F.col("a.vec_id") == F.col("seed_id")).join(b, F.col("b.vec_id") == F.col("track_id"))
@@ -295,7 +296,7 @@ def clusters_kmeans(spark, sf):
     """Named k-means groups. Labels differ between libraries, so there is no SQL form."""
     from earlog.operators import clustering
     labels, feats = _clustered(spark, sf)
-    return clustering.name_clusters(spark, clustering.cluster_profile(labels, feats))
+    return clustering.cluster_names(clustering.cluster_profile(labels, feats))
 
 
 @query("cluster_labels")
@@ -313,3 +314,69 @@ def cluster_profile(spark, sf):
     rows = clustering.eligible_rows(I.features(spark, sf))
     out = clustering.cluster_profile(rows.select("track_id", F.col("label").alias("cluster_id")), rows)
     return out.select("cluster_id", "size", *[rounded(c, 4).alias(c) for c in ("tempo", *C.MOOD_COLS)])
+
+
+def _given(spark, sf):
+    """Rows with given groups: the label column stands in for the labels of a run."""
+    from earlog.operators import clustering
+    rows = clustering.eligible_rows(I.features(spark, sf))
+    return rows.select("track_id", F.col("label").alias("cluster_id")), rows
+
+
+@query("cluster_names", f"""WITH RECURSIVE p AS (SELECT label AS cluster_id, count(*) AS size, avg(CASE WHEN tempo > 0 THEN tempo END) AS tempo,
+        {', '.join(f'avg({c}) AS {c}' for c in C.MOOD_COLS)} FROM features WHERE source = 'audio' GROUP BY 1),
+    m AS ({' UNION ALL '.join(f"SELECT cluster_id, tempo, {i} AS i, '{n}' AS mood, {c} AS v FROM p" for i, (n, c) in enumerate(zip(C.CLUSTER_NAMES, C.MOOD_COLS)))}),
+    r AS (SELECT cluster_id, list(mood ORDER BY v DESC, i) AS r, CASE WHEN any_value(tempo) IS NULL THEN 'part' WHEN any_value(tempo) >= 120
+        THEN 'fast' ELSE 'slow' END AS w FROM m GROUP BY 1),
+    c AS (SELECT cluster_id, row_number() OVER (ORDER BY cluster_id) AS k, r[1] || ' · ' || w || ' · mix' AS mix,
+        list_concat([r[1], r[1] || ' · ' || w], list_transform(r[2:], lambda x: r[1] || ' · ' || w || ' · ' || x)) AS c FROM r),
+    f AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS used, '' AS name UNION ALL
+        SELECT k, list_append(used, n), n FROM (SELECT c.k, used, COALESCE(list_filter(c.c, lambda x: NOT list_contains(used, x))[1], mix) AS n
+            FROM f JOIN c ON c.k = f.k + 1))
+    SELECT cluster_id, f.name, size, {', '.join(f'round_even({c}, 3) AS {c}' for c in C.MOOD_COLS)} FROM p JOIN c USING (cluster_id) JOIN f USING (k)""",
+       "features")
+def cluster_names(spark, sf):
+    """Names of given groups."""
+    from earlog.operators import clustering
+    return clustering.cluster_names(clustering.cluster_profile(*_given(spark, sf)))
+
+
+@query("silhouette", """WITH x AS (SELECT track_id, label, list_transform(e, lambda v: v / greatest(sqrt(list_dot_product(e, e)), 1e-9)) AS x
+        FROM features WHERE source = 'audio'),
+    g AS (SELECT c, n, q, m FROM (SELECT label AS c, count(*) AS n, avg(list_dot_product(x, x)) AS q FROM x GROUP BY 1) JOIN (SELECT c, list(v ORDER BY i) AS m
+        FROM (SELECT label AS c, i, avg(x[i]) AS v FROM x, range(1, 65) r(i) GROUP BY 1, 2) GROUP BY 1) USING (c)),
+    d AS (SELECT track_id, label, c, n, greatest(0, list_dot_product(x, x) + q - 2 * list_dot_product(x, m)) AS d FROM x, g),
+    s AS (SELECT track_id, label, max(CASE WHEN c = label AND n > 1 THEN d * n / (n - 1) END) AS a, min(CASE WHEN c <> label THEN d END) AS b FROM d GROUP BY 1, 2),
+    v AS (SELECT label, CASE WHEN a IS NULL THEN 0 WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END AS s FROM s)
+    SELECT label AS cluster_id, count(*) AS size, round_even(avg(s), 6) AS silhouette, round_even((SELECT avg(s) FROM v), 6) AS overall FROM v GROUP BY 1""",
+       "features")
+def silhouette(spark, sf):
+    """How well given groups separate the unit embeddings."""
+    from earlog.operators import clustering
+    labels, rows = _given(spark, sf)
+    out = clustering.silhouette(V.cluster_space_embedding(rows).join(labels, "track_id"))
+    return out.withColumns({c: rounded(c, 6) for c in ("silhouette", "overall")})
+
+
+@query("cluster_membership", """SELECT track_id, f.track_id IS NOT NULL AS has_cluster FROM tracks LEFT JOIN
+    (SELECT track_id FROM features WHERE source = 'audio' AND feat_version >= 2) f USING (track_id)""", "tracks", "features")
+def cluster_membership(spark, sf):
+    """Who has a group after a run and who has none; the groups themselves differ between libraries."""
+    from earlog.sources.ingest import assign_clusters
+    labels, _ = _clustered(spark, sf)
+    return assign_clusters(I.tracks(spark, sf), labels).select("track_id", F.col("cluster_id").isNotNull().alias("has_cluster"))
+
+
+@query("stored_clusters", """SELECT label AS cluster_id, 'group ' || label AS name, count(*) AS size, count(*) FILTER (t.track_id IS NOT NULL) AS tracks
+    FROM features f LEFT JOIN tracks t USING (track_id) WHERE f.source = 'audio' GROUP BY 1""", "features", "tracks")
+def stored_clusters(spark, sf):
+    """Cluster table and labels, replaced together and read back; the catalogue takes its labels from there."""
+    from earlog.sources import ingest
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/clusters-{uuid.uuid4().hex}"
+    labels, _ = _given(spark, sf)
+    sizes = labels.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
+    ingest.write_clusters(sizes.withColumn("name", F.concat(F.lit("group "), F.col("cluster_id").cast("string"))), labels, path)
+    tracks = ingest.assign_clusters(I.tracks(spark, sf), ingest.published(spark, path, "labels"))
+    members = tracks.where(F.col("cluster_id").isNotNull()).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("tracks"))
+    stored = ingest.published(spark, path, "clusters").select("cluster_id", "name", "size")
+    return stored.join(members, "cluster_id", "left").withColumn("tracks", F.coalesce("tracks", F.lit(0)))

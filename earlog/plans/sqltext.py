@@ -103,8 +103,9 @@ def compose(body: str, *needs: str) -> str:
     body = body.strip()
     if not ctes:
         return body
-    if body[:5].upper() == "WITH ":
-        return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(head):
+            return head + ",\n".join(ctes) + ",\n" + body[len(head):]
     return "WITH " + ",\n".join(ctes) + "\n" + body
 
 #: Latest outcome per item and stage; current errors are those that are not ok.
