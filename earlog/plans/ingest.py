@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,8 +12,9 @@ from earlog.operators import base, queues as Q
 from earlog.plans import inputs as I
 from earlog.plans.registry import query
 from earlog.plans.sqltext import CURRENT
+from earlog.session import ensure_checkpoint_dir
 from earlog.sources import features as SF, ingest as N
-from earlog.sources.history import normalize_history
+from earlog.sources.history import normalize_history, read_history
 
 NOW = dt.datetime(2024, 1, 31)
 
@@ -58,6 +60,14 @@ def history(spark, sf):
     return _normal(spark, sf)
 
 
+@query("history_scan", f"WITH {_HIST} SELECT track_id, title, channel, header, listened_at FROM n")
+def history_scan(spark, sf):
+    """The export written out, one record a line, and scanned as files."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/export-{uuid.uuid4().hex}"
+    _history(spark, sf).drop("pos").write.json(path)
+    return normalize_history(read_history(spark, path, lines=True), "Europe/Berlin").drop("file", "pos")
+
+
 @query("ingest_listens", f"WITH {_HIST} SELECT * FROM b")
 def ingest_listens(spark, sf):
     rows = _normal(spark, sf)
@@ -155,6 +165,16 @@ def unavailable(spark, sf):
     return Q.unavailable(_marks(spark, sf), dt.date(2024, 2, 20))
 
 
+@query("unavailable_reset", f"""WITH {_MARKS} SELECT count(*) FILTER (track_id IN (SELECT track_id FROM un)) AS cleared,
+    count(*) FILTER (track_id NOT IN (SELECT track_id FROM un)) AS marks FROM m""", "attempts")
+def unavailable_reset(spark, sf):
+    """Marks that still hold are forgotten; their number is observed while they are written."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/marks-{uuid.uuid4().hex}"
+    marks = _marks(spark, sf)
+    cleared = N.reset_marks(marks, path, Q.unavailable(marks, dt.date(2024, 2, 20)))
+    return N.published(spark, path, "marks").agg(F.lit(cleared).cast("bigint").alias("cleared"), F.count(F.lit(1)).alias("marks"))
+
+
 @query("analysis_queue", f"""WITH {_MARKS}, q AS (SELECT track_id, title, play_count FROM ctracks WHERE is_music AND play_count >= 2
         AND track_id NOT IN (SELECT track_id FROM features WHERE source = 'audio' AND feat_version >= 6)
         ORDER BY play_count DESC, track_id LIMIT 700)
@@ -260,13 +280,14 @@ def parse_tags(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("decode_embedding")
+@query("decode_embedding", """WITH v AS (SELECT vec_id AS track_id, CAST(i AS INTEGER) AS dim, CAST(embedding[i + 1] AS DOUBLE) AS x
+        FROM embeddings, range(0, 64) r(i)),
+    q AS (SELECT *, CASE WHEN x = 0 THEN 1 ELSE pow(2.0, greatest(floor(log2(abs(x))), -14) - 10) END AS step FROM v)
+    SELECT track_id, dim, round_even(x / step, 0) * step AS value FROM q""")
 def decode_embedding(spark, sf):
-    """Half-float round trip of every embedding; a 16-bit float has no SQL form."""
-    e = I.half_embeddings(spark, sf).withColumn("text", SF.encode_half("embedding"))
-    worst = F.array_max(F.zip_with("embedding", "back", lambda a, b: F.abs(a - b)))
-    return e.withColumn("back", SF.decode_half("text")).select("track_id", F.size("back").alias("dims"),
-                                                               (worst < 0.001).alias("close"))
+    """Vectors stored as half floats in base64: eleven significant bits are left, rounded half to even."""
+    stored = I.half_embeddings(spark, sf).select("track_id", SF.encode_half("embedding").alias("text"))
+    return stored.select("track_id", F.posexplode(SF.decode_half("text")).alias("dim", "value")).withColumn("value", F.col("value").cast("double"))
 
 
 @query("align_schema", """SELECT track_id, tempo, 0.0::DOUBLE AS energy, 0.5::DOUBLE AS mode_conf, 0.125::DOUBLE AS mood_dark,

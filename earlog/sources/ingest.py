@@ -1,7 +1,10 @@
 """Batch ingest into the play log and the catalogue, keyed merges and sinks."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from earlog.functions.columns import col
 from earlog.functions.text import canonical_artist
@@ -74,9 +77,58 @@ def merge_latest(stored: DataFrame, fetched: DataFrame, keys: list[str], ts: str
     return both.groupBy(*keys).agg(F.max_by(value, F.struct(ts, "_new")).alias("_v")).select(*keys, "_v.*")
 
 
-def write_edges(edges: DataFrame, path: str) -> None:
-    """Replace an edge table. Also written when empty, so 'never built' stays distinguishable."""
-    edges.write.mode("overwrite").parquet(path)
+def publish(tables: dict[str, DataFrame], path: str) -> None:
+    """Replace the tables under `path` together; a reader sees all the old ones or all the new ones.
+
+    They are written to a folder of their own, and a line in the log makes that folder the current one. A job that fails before
+    leaves the log as it was. Earlier versions stay for readers that are at work; dropping them is left to the storage's rules.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    version = uuid.uuid4().hex
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{version}/{name}")
+    seq = 1 + max((r["seq"] for r in _log(spark, path)), default=0)
+    spark.createDataFrame([(seq, version)], _LOG).coalesce(1).write.mode("append").json(f"{path}/log")
+
+
+_LOG = "seq bigint, version string"
+
+
+def _log(spark: SparkSession, path: str) -> list:
+    """Current version, or nothing when none was ever published."""
+    try:
+        log = spark.read.schema(_LOG).json(f"{path}/log")
+    except AnalysisException:
+        return []
+    return log.orderBy(F.desc("seq"), F.desc("version")).limit(1).collect()
+
+
+def published(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+    """A table of the current version; None when none was ever published."""
+    current = _log(spark, path)
+    return spark.read.parquet(f"{path}/{current[0]['version']}/{name}") if current else None
+
+
+def write_edges(path: str, **edges: DataFrame) -> None:
+    """Replace the edge tables of a build. Also written when empty, so 'never built' stays distinguishable."""
+    publish(edges, path)
+
+
+def write_clusters(clusters: DataFrame, labels: DataFrame, path: str) -> None:
+    """Replace the cluster table (cluster_id, name, size and others) and who is in which (track_id, cluster_id)."""
+    publish({"clusters": clusters, "labels": labels.select("track_id", "cluster_id").where(F.col("cluster_id").isNotNull())}, path)
+
+
+def reset_marks(marks: DataFrame, path: str, items: DataFrame | None = None) -> int:
+    """Forget marks (all, or those of `items`) and say how many; what is forgotten stays readable as `cleared`.
+
+    The number is observed while the rows are written: the marks are not read again to count them.
+    """
+    seen = Observation()
+    gone = marks if items is None else base.semi(marks, items.select("track_id").distinct())
+    left = marks.limit(0) if items is None else base.anti(marks, items.select("track_id"))
+    publish({"cleared": gone.observe(seen, F.count(F.lit(1)).alias("n")), "marks": left}, path)
+    return seen.get.get("n", 0)
 
 
 def write_listens(batch: DataFrame, path: str) -> None:
