@@ -21,6 +21,8 @@ EN_TOPICS = {
 #: topic -> language -> stems; '' serves every language without its own. Other languages are added by the caller.
 TOPICS = {topic: {"": stems.split()} for topic, stems in EN_TOPICS.items()}
 SHORTEST, LONGEST = 2, 8
+#: Characters of a word, as a character class.
+LETTERS = "a-zа-яё"
 
 
 def with_language(language: str, stems: dict[str, list[str]], topics: dict[str, dict[str, list[str]]] = TOPICS) -> dict[str, dict[str, list[str]]]:
@@ -29,8 +31,9 @@ def with_language(language: str, stems: dict[str, list[str]], topics: dict[str,
     return {t: {**topics.get(t, {}), language: list(stems.get(t, ()))} for t in names}
 
 
-def usable(stems: list[str]) -> list[str]:
-    return [s for s in dict.fromkeys(stems) if SHORTEST <= len(s) <= LONGEST]
+def usable(stems: list[str], letters: str = LETTERS) -> list[str]:
+    """Stems that a word can begin with: of deciding length, all letters."""
+    return [s for s in dict.fromkeys(stems) if SHORTEST <= len(s) <= LONGEST and re.fullmatch(f"[{letters}]+", s)]
 
 
 def prefixes(stems: list[str]) -> str:

@@ -10,7 +10,7 @@ from earlog import config as C
 from earlog.functions.columns import col, let, rounded
 from earlog.functions.ship import by_value
 from earlog.functions.text import artist_from_channel, clean_title, count_substrings, plain, words_collapsed
-from earlog.functions.topics import TOPICS, found_by, prefixes
+from earlog.functions.topics import LETTERS, TOPICS, found_by, prefixes
 from earlog.operators import base
 
 by_value(__name__)
@@ -39,7 +39,7 @@ SENTIMENT = {"ru": (RU_POSITIVE, RU_NEGATIVE), "": (EN_POSITIVE, EN_NEGATIVE)}
 
 
 def topic_weights(text: Column | str, language: Column | str, stems: dict[str, dict[str, list[str]]] = TOPICS,
-                  letters: str = "a-zа-яё") -> Column:
+                  letters: str = LETTERS) -> Column:
     """Share of each topic among the words that begin with a topic stem, rounded to four decimals.
 
     `stems`: topic -> language -> stems; the language '' serves every other language. All topics share one scan of the text: it

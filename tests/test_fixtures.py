@@ -12,6 +12,7 @@ from earlog import config as C
 from earlog.functions import keys as K, text as X
 from earlog.functions.columns import decay, ntz, rounded
 from earlog.functions.labels import genre_label, language_label, reason_label
+from earlog.functions.topics import TOPICS, with_language
 from earlog.operators import (base, classify, clustering, context, knn, mixing, queues, scores, sessions, similarity, stats,
                               texts, tracks as T, vectors as V)
 from earlog.sources import features as SF, history, ingest
@@ -315,15 +316,77 @@ def test_clustering_names_and_empty_space(spark):
     prof = spark.createDataFrame([(c, 5, t) + tuple(0.9 if m == "sad" else 0.8 if m == "dark" else 0.1 for m in C.MOODS)
                                   for c, t in ((0, 100.0), (1, 130.0), (2, 130.0), (3, None))],
                                  "cluster_id int, size long, tempo double, " + ", ".join(f"{c} double" for c in C.MOOD_COLS))
-    names = [r.name for r in clustering.name_clusters(spark, prof).orderBy("cluster_id").collect()]
-    assert names == ["Melancholic", "Melancholic · fast", "Melancholic · fast · Dark", "Melancholic · part"]
+    names = [r.name for r in clustering.cluster_names(prof).orderBy("cluster_id").collect()]
+    assert names == ["Energetic", "Energetic · fast", "Energetic · fast · Dark", "Energetic · part"]      # by position in the table
+    many = spark.createDataFrame([(c, 5, None) + tuple(0.9 if m == "sad" else 0.1 for m in C.MOODS) for c in range(14)], prof.schema)
+    names = [r.name for r in clustering.cluster_names(many).orderBy("cluster_id").collect()]
+    assert names[:3] == ["Energetic", "Energetic · part", "Energetic · part · Happy"] and names[-2:] == ["Energetic · part · mix"] * 2
+    assert len(set(names)) == 13
     single = spark.createDataFrame([(1, [0.0, 1.0])], "track_id int, point array<double>")
     assert clustering.cluster_tracks(single).first().cluster_id is None
     pts = spark.createDataFrame([(i, [float(i // 10 * 100 + i % 10), 0.0]) for i in range(30)], "track_id int, point array<double>")
     out = clustering.cluster_tracks(pts, k=3, restarts=3)
     assert {tuple(sorted(r.ids)) for r in out.groupBy("cluster_id").agg(F.collect_list("track_id").alias("ids")).collect()} == {
         tuple(range(10)), tuple(range(10, 20)), tuple(range(20, 30))}
-    assert clustering.silhouette(out) > 0.9
+    assert clustering.silhouette(out).first().overall > 0.9
+
+
+def test_silhouette_equals_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 4))
+    c = np.array([0] * 30 + [1] * 20 + [2] * 9 + [3])
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    s = []
+    for i in range(60):
+        b = min(d[i, c == k].mean() for k in range(4) if k != c[i])
+        n = (c == c[i]).sum()
+        a = d[i, c == c[i]].sum() / (n - 1) if n > 1 else None
+        s.append(0.0 if a is None else (b - a) / max(a, b))
+    df = spark.createDataFrame([(int(k), v.tolist()) for k, v in zip(c, x)] + [(None, [0.0] * 4)], "cluster_id int, point array<double>")
+    got = clustering.silhouette(df).collect()
+    assert {r.cluster_id: r.size for r in got} == {0: 30, 1: 20, 2: 9, 3: 1}
+    for r in got:
+        assert r.silhouette == pytest.approx(np.mean([v for v, k in zip(s, c) if k == r.cluster_id])) and r.overall == pytest.approx(np.mean(s))
+    one_group = clustering.silhouette(df.where("cluster_id = 0")).first()
+    assert one_group.silhouette is None and one_group.overall is None
+    assert clustering.silhouette(df.limit(0)).count() == 0
+
+
+def test_tfidf_hot_terms(spark):
+    """A term of every text is spread over all salts; texts without a term still count as texts."""
+    n = 400
+    rows = [(i, "en", f"hot common word{i}", "lrclib") for i in range(n)] + [(n + i, "en", "!", "lrclib") for i in range(7)]
+    df = spark.createDataFrame(rows, "track_id int, language string, text string, source string")
+    got = {(r.track_id, r.term): r.weight for r in V.tfidf(df, None).collect()}
+    assert len(got) == 3 * n
+    a, b = math.log((n + 8) / (n + 1)) + 1, math.log((n + 8) / 2) + 1
+    assert got[5, "hot"] == pytest.approx(a / math.sqrt(2 * a * a + b * b)) and got[5, "word5"] == pytest.approx(b / math.sqrt(2 * a * a + b * b))
+    plan = V.tfidf(df, None)
+    plan.collect()
+    final = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("regexp_extract_all") == 1, final                      # texts are cut into terms once
+
+
+@pytest.mark.parametrize("sort,order", [("duration", "asc"), ("duration", "desc"), ("play_count", "desc"), ("tempo", "asc")])
+def test_page_after_equals_offset(spark, sort, order):
+    rng = np.random.default_rng(1)
+    rows = [(i, None if i % 11 == 0 else str(rng.choice(["x", "y", "z"])), *(None if rng.random() < 0.2 else float(rng.integers(4)) for _ in range(3)))
+            for i in range(90)]
+    df = spark.createDataFrame(rows, "track_id int, title string, duration double, play_count double, tempo double")
+    last, walked = None, []
+    for page_no in range(1, 12):
+        want = [r.track_id for r in T.page(df, sort, order, page_no, 9).orderBy("position").collect()]
+        rows_ = T.page_after(df, last, sort, order, 9).orderBy(*T.order_cols(sort, order)).collect()
+        assert [r.track_id for r in rows_] == want and all(r.total == 90 for r in rows_)
+        walked += want
+        last = (rows_[-1][sort], rows_[-1].title, rows_[-1].track_id) if rows_ else last
+    assert sorted(walked) == list(range(90))
+
+
+def test_page_after_filters_at_the_scan(spark, tmp_path):
+    spark.range(50).select(F.col("id").alias("track_id"), F.lit("t").alias("title"), F.col("id").cast("double").alias("duration")).write.parquet(f"{tmp_path}/t")
+    plan = T.page_after(spark.read.parquet(f"{tmp_path}/t"), (9.0, "t", 9), "duration", "asc", 5)._jdf.queryExecution().toString()
+    assert "GreaterThan(duration,9.0)" in plan and "Offset" not in plan
 
 
 # ---- moods, tags, decode ---------------------------------------------------------------------------
@@ -444,6 +507,75 @@ def test_match_artists(spark):
     assert {r.name: r.id for r in texts.match_artists(q, found).collect()} == {"Beatles": "2", "Кино": "5"}
 
 
+def test_bounds_leave_the_matcher_few_pairs(spark):
+    """Results as if the matcher saw every pair; it sees those that lengths and letters leave open."""
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrst"), int(rng.integers(3, 9))))     # noqa: E731
+    bands, songs = [word() for _ in range(40)], [f"{word()} {word()}" for _ in range(40)]
+    terms = [(i, str(rng.choice(bands)), str(rng.choice(songs))) for i in range(60)]
+    cands = [(i, p, str(rng.choice(bands)) if rng.random() < 0.8 else a, (s if rng.random() < 0.3 else str(rng.choice(songs))) + str(rng.choice(["", "!", " x", " remix"])), f"{i}-{p}")
+             for i, a, s in terms for p in range(10)]
+    a = spark.createDataFrame(terms, "track_id int, artist string, song string")
+    b = spark.createDataFrame(cands, "track_id int, pos int, cand_artist string, cand_song string, cand_id string")
+    ratio = lambda x, y: difflib.SequenceMatcher(None, x, y).ratio()                              # noqa: E731
+    clean = lambda t: "".join(ch for ch in t.lower() if ch.isalnum() or ch in "_ ").strip()       # noqa: E731
+    want = {}
+    for i, artist_, song in terms:
+        for x, part in ((f"{artist_} {song}", lambda c: f"{c[2]} {c[3]}"), (song, lambda c: c[3])):
+            scored = [(ratio(clean(x), clean(part(c))), -c[1], c[4]) for c in cands if c[0] == i and c[1] < 8]
+            best = max(scored)
+            if best[0] >= C.MATCH_RATIO:
+                want[i] = (best[2], best[0])
+                break
+    got = {r.track_id: (r.cand_id, r.ratio) for r in texts.best_match(a, b).collect()}
+    assert got == want and want
+    pairs = texts.match_texts(a, b)
+    left = texts.possible(pairs, F.col("wanted"), F.col("offered"), C.MATCH_RATIO)
+    assert left.where("NOT _sure").count() < pairs.count() / 2      # names of random letters; real ones differ more
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_letters_bound_the_ratio(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = [tuple("".join(rng.choice(list("abc d"), int(rng.integers(0, 9)))) for _ in range(2)) for _ in range(200)]
+    for r in spark.createDataFrame(rows, "a string, b string").withColumn("x", texts.ratio_bounds(F.col("a"), F.col("b"))).collect():
+        m = difflib.SequenceMatcher(None, r.a, r.b)
+        assert m.ratio() <= r.x.by_letters + 1e-12 and r.x.by_letters <= r.x.by_length + 1e-12
+        assert r.x.by_letters == pytest.approx(m.quick_ratio()) and r.x.by_length == pytest.approx(m.real_quick_ratio())
+
+
+def test_topic_prefix_tree(spark):
+    """One scan with the longest stem gives each topic the words that begin with any of its stems."""
+    stems = {"a": {"": ["run", "runn", "st"], "ru": ["люб", "я"]}, "b": {"": ["running", "s", "starlight", "sun.", "neighborhood"], "ru": ["любов", "ноч"]},
+             "c": {"": ["r", "stars"]}, "d": {}}
+    texts_ = [("en", "Run runs running runner, starlight star stars; sun.x sun neighborhood r st"), ("ru", "Любовь люблю я ночью нОчь run"),
+              ("en", "xrun 1run run1 ёrun"), ("en", ""), ("de", None), ("ru", "running")]
+    words = lambda t: __import__("re").findall("[a-zа-яё]+", (t or "").lower())                   # noqa: E731
+    df = spark.createDataFrame([(i, g, t) for i, (g, t) in enumerate(texts_)], "i int, language string, text string")
+    for r in texts.topics(df, stems).collect():
+        g = "ru" if r.language == "ru" else ""
+        n = {t: sum(any(w.startswith(x) for x in by.get(g, []) if 2 <= len(x) <= 8) for w in words(r.text)) for t, by in stems.items()}
+        total = sum(n.values())
+        assert r.topics == {t: round(k / total, 4) for t, k in n.items() if k}
+    more = with_language("ru", {"love": ["люб"], "new": ["ноч"]})
+    assert more["love"]["ru"] == ["люб"] and more["love"][""] == TOPICS["love"][""] and more["nature"]["ru"] == [] and more["new"] == {"ru": ["ноч"]}
+    got = texts.topics(df, more).where("i = 1").first().topics
+    assert got == {"love": 0.5, "new": 0.5}
+
+
+def test_derive_reads_the_language_first(spark):
+    known = [(i, g, t) for i, (g, t) in enumerate([("en", "the night and the heart of the city"), ("ru", "ночь и любовь моя в городе ночи")] * 3)]
+    rows = [(10, "", "the heart and the night"), (11, "", "любовь и ночь"), (12, "ru", "the heart is lovely"), (13, "", ""), (14, "", None)]
+    schema = "track_id int, language string, text string"
+    profiles = texts.language_profiles(spark.createDataFrame(known, schema))
+    stems = with_language("ru", {"love": ["любов"], "night and sleep": ["ноч"]})
+    got = {r.track_id: r for r in texts.derive(spark.createDataFrame(rows, schema), stems, profiles).collect()}
+    assert {i: r.language for i, r in got.items()} == {10: "en", 11: "ru", 12: "ru", 13: "", 14: ""}
+    assert got[10].topics == {"love": 0.5, "night and sleep": 0.5} == got[11].topics
+    assert got[12].sentiment == 1.0 and got[12].topics == {}      # words felt as English, topics by the stored language
+    assert got[13].topics == {} == got[14].topics and got[13].sentiment == 0.0
+
+
 def test_search_folding(spark):
     t = spark.createDataFrame([(1, "Straße nach Süden", "c", ""), (2, "Café (live)", "c", ""), (3, "БУДДА", "c", ""), (4, "x", "cafe", ""), (5, "a.b", "", "")],
                               "track_id int, title string, channel string, artist_canonical string")
@@ -503,13 +635,40 @@ def test_upsert(spark):
 
 def test_sinks(spark, tmp_path):
     edges = spark.createDataFrame([], "track_a string, track_b string, cnt long")
-    ingest.write_edges(edges, str(tmp_path / "e"))
-    assert spark.read.parquet(str(tmp_path / "e")).count() == 0
+    assert ingest.published(spark, str(tmp_path / "e"), "edges") is None            # never built
+    ingest.write_edges(str(tmp_path / "e"), edges=edges)
+    assert ingest.published(spark, str(tmp_path / "e"), "edges").count() == 0      # built and empty
     plays = spark.createDataFrame([("a", at(0)), ("b", at(60 * 24 * 40))], "track_id string, listened_at timestamp_ntz")
     ingest.write_listens(plays, str(tmp_path / "l"))
     assert sorted(d for d in os.listdir(tmp_path / "l") if d.startswith("month")) == ["month=2024-05", "month=2024-06"]
 
 
+def test_a_failed_replacement_leaves_the_old_tables(spark, tmp_path):
+    path = str(tmp_path / "c")
+    clusters = spark.createDataFrame([(0, "a", 2), (1, "b", 1)], "cluster_id int, name string, size long")
+    labels = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, None)], "track_id int, cluster_id int")
+    ingest.write_clusters(clusters, labels, path)
+    old = ingest.published(spark, path, "clusters")
+    bad = labels.withColumn("cluster_id", F.when(F.col("track_id") == 3, F.raise_error(F.lit("disk gone")).cast("int")).otherwise(7))
+    with pytest.raises(Exception, match="disk gone"):
+        ingest.write_clusters(clusters.withColumn("name", F.lit("new")), bad, path)       # the first table is already written
+    names = {r.name for r in ingest.published(spark, path, "clusters").collect()}
+    assert names == {"a", "b"} and ingest.published(spark, path, "labels").count() == 3
+    ingest.write_clusters(clusters.withColumn("name", F.lit("new")), labels, path)
+    assert {r.name for r in ingest.published(spark, path, "clusters").collect()} == {"new"} and old.count() == 2
+
+
+def test_reset_counts_what_it_clears(spark, tmp_path):
+    marks = spark.createDataFrame([(i, "2024-01-01") for i in range(7)], "track_id int, stamp string")
+    some = spark.createDataFrame([(1,), (1,), (5,), (99,)], "track_id int")
+    path = str(tmp_path / "m")
+    assert ingest.reset_marks(marks, path, some) == 2 and ingest.published(spark, path, "marks").count() == 5
+    left = ingest.published(spark, path, "marks")
+    assert ingest.reset_marks(left, path) == 5 and ingest.published(spark, path, "marks").count() == 0
+    assert ingest.published(spark, path, "cleared").count() == 5
+    assert ingest.reset_marks(ingest.published(spark, path, "marks"), path) == 0
+
+
 @pytest.mark.parametrize("text,want", [("PT3M7S", 187.0), ("P1DT2H", 93600.0), ("PT", 0.0), ("3:07", None), (None, None)])
 def test_iso_duration(spark, text, want):
     assert one(spark, ingest.iso_seconds(F.lit(text).cast("string"))) == want
@@ -630,3 +789,45 @@ def test_stream_equals_batch(spark, tmp_path):
         "user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"),
         F.col("last_at").cast("timestamp_ntz").alias("last_at"), "listens").collect()}
     assert got == want
+
+
+def test_streamed_steps_equal_batch(spark, tmp_path):
+    """Plays of many files in shuffled order, some late; one after the watermark is dropped. Steps and sessions as in batch."""
+    from earlog.streaming.sessions import stream_steps
+    rng = np.random.default_rng(21)
+    rows = [(int(rng.integers(4)), f"t{rng.integers(6)}", T0 + dt.timedelta(minutes=int(m), seconds=int(rng.integers(2)) * 30))
+            for m in np.sort(rng.integers(0, 4000, 400))]
+    rows += [(9, "a", at(0)), (9, "b", at(45)), (9, "b", at(45)), (9, "c", at(91)), (9, "d", at(106)), (9, "a", at(121, 1))]
+    plays = listens(spark, rows)
+    s = sessions.sessionize(plays)
+    want_sessions = {(r.user_id, r.session_start, r.session_event, r.last_at, r.listens) for r in sessions.with_last_at(s).collect()}
+    want_steps = sorted((r.user_id, r.session_start, r.cur, r.nxt) for r in sessions.transitions(s).collect())
+    schema = "user_id int, event_id int, track_id string, listened_at timestamp"
+    # files hold about six hours each, with plays up to half a day out of place
+    order = sorted(range(len(rows)), key=lambda i: rows[i][2] + dt.timedelta(minutes=float(rng.uniform(0, 700))))
+    for n in range(0, len(order) + 40, 40):
+        part = [(rows[i][0], i, rows[i][1], rows[i][2]) for i in order[n:n + 40]] or [(99, 10 ** 6, "end", T0 + dt.timedelta(days=60))]
+        df = spark.createDataFrame(part, "user_id int, event_id int, track_id string, listened_at timestamp_ntz").select(
+            "user_id", "event_id", "track_id", F.col("listened_at").cast("timestamp").alias("listened_at"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = stream_steps(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), watermark="13 hours").writeStream.format("parquet").option(
+            "checkpointLocation", str(tmp_path / "cp")).option("path", str(tmp_path / "out")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    late = spark.createDataFrame([(0, 10 ** 6 + 1, "late", at(1))], "user_id int, event_id int, track_id string, listened_at timestamp_ntz")
+    late.select("user_id", "event_id", "track_id", F.col("listened_at").cast("timestamp").alias("listened_at")).write.mode("append").parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        q = stream_steps(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), watermark="13 hours").writeStream.format("parquet").option(
+            "checkpointLocation", str(tmp_path / "cp")).option("path", str(tmp_path / "out")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out")).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "at")}).collect()
+    assert {(r.user_id, r.session_start, r.session_event, r["at"], r.listens) for r in out if r.kind == "session"} == want_sessions
+    assert sorted((r.user_id, r.session_start, r.cur, r.nxt) for r in out if r.kind == "next") == want_steps
+
+
+def test_session_end_is_the_last_play(spark):
+    rng = np.random.default_rng(17)
+    rows = [(int(rng.integers(3)), "t", T0 + dt.timedelta(minutes=float(m))) for m in np.cumsum(rng.choice([5, 30, 44, 46, 70, 400], 300))]
+    s = sessions.sessionize(listens(spark, rows))
+    got = {(r.user_id, r.session_start, r.session_event): (r.a, r.b, r.n) for r in s.groupBy("user_id", "session_start", "session_event").agg(
+        F.max("listened_at").alias("a"), F.max("session_end").alias("b"), F.count_distinct("session_end").alias("n")).collect()}
+    assert len(got) > 20 and all(a == b and n == 1 for a, b, n in got.values())
