@@ -19,6 +19,8 @@ from earlog.llm.common import arrow_map
 #: control string gets a backslash before it.
 OPEN, CLOSE, END = "### ", ": ", " </turn>\n"
 _CONTROL = re.compile(r"\\|### |</turn>|: ")
+# Stretches are taken whole and never given back, so a long text costs no memory for each of its characters.
+_TURN = re.compile(r"### ((?:[^\\:]++|\\(?:\\|### |</turn>|: )|:(?! ))*+): ((?:[^\\ ]++|(?! </turn>\n) |\\(?:\\|### |</turn>))*+) </turn>\n")
 #: Tokens after which the next conversation starts a new piece.
 PIECE_TOKENS = 1 << 20
 PLAIN, LOSS = 0, 1
@@ -121,14 +123,17 @@ def chat_tree(conversations: DataFrame, piece_tokens: int = PIECE_TOKENS) -> Dat
 def parse(formatted: str, loss: np.ndarray) -> tuple[list[tuple[str, str]], str]:
     """Turns (role, text) of a formatted conversation, and the unescaped text under the loss mask."""
     turns, at, lost = [], 0, []
-    for m in re.finditer(r"### ((?:[^\\:]|\\(?:\\|### |</turn>|: )|:(?! ))*): ((?:(?!\\| </turn>\n).|\\(?:\\|### |</turn>))*) </turn>\n", formatted, re.S):
+    for m in _TURN.finditer(formatted):
         if m.start() != at:
             raise ValueError("the stream is not a sequence of turns")
         at = m.end()
         turns.append((unescape(m[1]), unescape(m[2])))
         mask = loss[m.start(2):m.end(2)]
-        if len(mask) and mask.any():
-            lost.append(unescape("".join(np.array(list(m[2]))[mask == LOSS])))
+        if len(mask) and mask.all():
+            lost.append(turns[-1][1])
+        elif mask.any():
+            points = np.frombuffer(m[2].encode("utf-32-le", "surrogatepass"), "<u4")
+            lost.append(unescape(points[mask == LOSS].tobytes().decode("utf-32-le", "surrogatepass")))
     if at != len(formatted):
         raise ValueError("the stream is not a sequence of turns")
     return turns, "".join(lost)

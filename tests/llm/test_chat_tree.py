@@ -102,3 +102,25 @@ def test_query(spark, sf):
         assert r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{x}\n" for a, x in ts).encode()).hexdigest()
         assert r["loss_sha256"] == hashlib.sha256(lost.encode()).hexdigest()
         assert r["formatted_chars"] == sum(len(c.turn_tokens(*t)[0]) for t in ts)
+
+
+def test_long_texts_in_bounded_memory():
+    import tracemalloc
+    text = "word \\ and </turn> more: " * 100_000 + "x" * 3_000_000
+    toks, loss = c.turn_tokens("assistant", text)
+    whole = toks.astype("<i4").tobytes().decode("utf-32-le")
+    tracemalloc.start()
+    turns, lost = c.parse(whole, loss)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert turns == [("assistant", text)] and lost == text and peak < 12 * len(whole)
+    part = loss.copy()
+    head = len(c.OPEN + "assistant" + c.CLOSE)
+    part[head + 4:] = 0                                                 # a mask that covers the first word only
+    assert c.parse(whole, part)[1] == "word"
+
+
+@pytest.mark.parametrize("bad", ["x", "### user: a", "### user: a </turn>", "### user: a </turn>\n?", "### us\\er: a </turn>\n"])
+def test_other_streams_are_refused(bad):
+    with pytest.raises(ValueError):
+        c.parse(bad, np.zeros(len(bad), np.int8))
