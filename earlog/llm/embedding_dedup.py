@@ -22,6 +22,11 @@ def plan(threshold: float, rows: int, miss: float = MISS) -> tuple[int, int]:
     return bits, math.ceil(math.log(miss) / math.log1p(-agree ** bits))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Every row times a power of two, so that its largest magnitude lies in 0.5 to 1: squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
 def codes(x: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
     """Bucket of every row in every table: rows x tables."""
     planes = np.random.default_rng([seed, x.shape[1]]).normal(size=(x.shape[1], bits * tables))
@@ -81,7 +86,7 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, miss: float = M
         out = np.empty((len(xs), tables), np.int64)
         for d in {len(x) for x in xs}:
             at = [k for k, x in enumerate(xs) if len(x) == d]
-            out[at] = codes(np.stack([xs[k] for k in at]), bits, tables, seed + d)
+            out[at] = codes(scaled(np.stack([xs[k] for k in at])), bits, tables, seed + d)
         return out, np.array([len(x) for x in xs])
 
     # Bucket sizes from ids alone; only buckets above a block matter afterwards.
@@ -121,7 +126,7 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, miss: float = M
 
     def compare(rows):
         same = rows[0][3] == rows[0][4]
-        x = np.stack([np.frombuffer(r[7], float) for r in rows])
+        x = scaled(np.stack([np.frombuffer(r[7], float) for r in rows]))
         x = x / np.sqrt((x * x).sum(1))[:, None]
         near = x @ x.T >= threshold
         np.fill_diagonal(near, False)

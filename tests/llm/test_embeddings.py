@@ -42,3 +42,11 @@ def test_odd_and_blocks(spark):
         got = e.embedding_links(df, block=block).collect()
         assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
     assert e.embedding_links(df.limit(0)).count() == 0
+
+
+def test_huge_and_tiny_vectors(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=8)
+    rows = [(i, (base * s).tolist()) for i, s in enumerate([1.0, 1e200, 1e-200, 1e300, 5e-324 / 1e-10, -1e200])] + [(10, (rng.normal(size=8) * 1e250).tolist())]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in e.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {**{i: (4, 0) for i in range(5)}, 5: (0, 5), 10: (0, 10)}
