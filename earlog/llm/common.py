@@ -21,6 +21,17 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spare(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as make it no column of the input, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write to the shared checkpoint folder and read back: the lineage ends there, lost executors cost nothing."""
     spark = df.sparkSession

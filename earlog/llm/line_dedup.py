@@ -13,8 +13,9 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
-from earlog.llm.common import arrow_map, stash
+from earlog.llm.common import arrow_map, spare, stash
 
 #: Words that a repeated run must have before its later copies go.
 MIN_WORDS = 30
@@ -103,27 +104,29 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     Documents are ordered by doc_id (null last), then by the hash of the text. Texts without deletions stay byte for byte; a
     document that loses all its lines has the text '' and deleted_lines equal to its lines. Null and empty texts have no run
-    and stay. Rows that agree in id and text are one document and share its deletions. n_chars, where present, follows.
+    and stay. Rows that agree in id and text are one document and share its deletions. n_chars, where present, follows; other
+    columns, whatever their names, are carried as they are.
     """
-    gone = (repeated_lines(docs, min_words).groupBy(F.col("d").alias("_d"), F.col("h").alias("_h"))
-            .agg(F.array_sort(F.collect_list("pos")).alias("_gone")))            # positions of one document only
-    keyed = docs.drop("deleted_lines").withColumns({"_k": F.coalesce("doc_id", F.lit(LAST)), "_t": F.xxhash64(F.coalesce("text", F.lit("")))})
-    joined = keyed.join(gone, (F.col("_k") == F.col("_d")) & (F.col("_t") == F.col("_h")), "left").drop("_d", "_h", "_k", "_t")
-    names = [c for c in joined.columns if c not in ("_gone", "text")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "_gone") + ", deleted_lines int"
+    d, h, g, k, t = spare(docs.columns, "_d", "_h", "_gone", "_k", "_t")
+    gone = (repeated_lines(docs.select("doc_id", "text"), min_words).groupBy(F.col("d").alias(d), F.col("h").alias(h))
+            .agg(F.array_sort(F.collect_list("pos")).alias(g)))                  # positions of one document only
+    keyed = docs.drop("deleted_lines").withColumns({k: F.coalesce("doc_id", F.lit(LAST)), t: F.xxhash64(F.coalesce("text", F.lit("")))})
+    joined = keyed.join(gone, (F.col(k) == F.col(d)) & (F.col(t) == F.col(h)), "left").drop(d, h, k, t)
+    names = [c for c in joined.columns if c not in (g, "text")]
+    schema = StructType([f for f in joined.schema if f.name != g]).add("deleted_lines", IntegerType())
 
     def cut(batches):
         for c in batches:
             texts, n = [], []
-            for t, g in zip(c["text"].to_pylist(), c["_gone"].to_pylist()):
-                if g:
-                    g_ = set(g)
-                    t = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in g_)
-                texts.append(t)
-                n.append(len(g or ()))
-            yield {k: c[k] for k in names} | {"text": texts, "deleted_lines": n}
+            for text, lines in zip(c["text"].to_pylist(), c[g].to_pylist()):
+                if lines:
+                    lost = set(lines)
+                    text = "\n".join(x for j, x in enumerate(text.split("\n")) if j not in lost)
+                texts.append(text)
+                n.append(len(lines or ()))
+            yield {x: c[x] for x in names} | {"text": texts, "deleted_lines": n}
     out = arrow_map(joined, cut, schema)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("deleted_lines") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*[c for c in docs.columns if c != "deleted_lines"], "deleted_lines")
+    return out

@@ -7,8 +7,9 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from earlog.llm.common import arrow_map, stash
+from earlog.llm.common import arrow_map, spare, stash
 
 LENGTH, END_ID = 2048, 1
 #: Expected pieces of a group: one task packs a group at a time and holds only lengths and short keys of it.
@@ -136,10 +137,11 @@ def pack(pieces: DataFrame, capacity: int = LENGTH, group_pieces: int = GROUP_PI
     groups = max(1, -(-pieces.count() // group_pieces))
     parts = min(groups, 4 * int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     h = F.xxhash64("doc_id", "start", *(["salt"] if "salt" in pieces.columns else []), F.lit(seed))
-    dealt = pieces.drop("sequence_id", "offset").withColumn("_h", h).withColumn("_group", F.pmod("_h", F.lit(groups)))
-    dealt = dealt.repartition(parts, "_group").sortWithinPartitions("_group", F.desc("length"), "_h")
-    keep = [f for f in dealt.schema if f.name not in ("_h", "_group")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + ", sequence_id bigint, offset bigint"
+    hash_, deal = spare(pieces.columns, "_h", "_group")
+    dealt = pieces.drop("sequence_id", "offset").withColumn(hash_, h).withColumn(deal, F.pmod(hash_, F.lit(groups)))
+    dealt = dealt.repartition(parts, deal).sortWithinPartitions(deal, F.desc("length"), hash_)
+    keep = [f for f in dealt.schema if f.name not in (hash_, deal)]
+    schema = StructType([*keep, StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
     def place(batches):
         import pyarrow as pa
@@ -151,7 +153,7 @@ def pack(pieces: DataFrame, capacity: int = LENGTH, group_pieces: int = GROUP_PI
             cols = {f.name: pa.concat_arrays([x[f.name] for x in held]) for f in keep}
             return cols | {"sequence_id": (group << 32) + bins, "offset": offsets}
         for c in batches:
-            g = c["_group"].to_numpy(zero_copy_only=False)
+            g = c[deal].to_numpy(zero_copy_only=False)
             cuts = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
             for a, b in zip(cuts, cuts[1:]):
                 if held and int(g[a]) != group:

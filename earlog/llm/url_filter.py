@@ -7,8 +7,9 @@ from collections.abc import Iterable
 import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from earlog.llm.common import arrow_map
+from earlog.llm.common import arrow_map, spare
 
 #: Terms that reject alone, and terms of which several different ones are needed.
 STRICT = ("casino", "pills", "bets", "porn", "xxx", "viagra", "escort", "warez", "jackpot")
@@ -57,8 +58,8 @@ def url_filter(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = (), str
         return ((F.col("_host") == h) | F.col("_host").endswith("." + h)) & F.col("_path").startswith(p)
     which = F.coalesce(*[F.when(fit(i), F.lit(i)) for i in range(len(rules))], F.lit(-1))
     names = named.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema)
-    schema += ", _strict array<string>, _soft array<string>"
+    schema = StructType([*named.schema, StructField("_strict", ArrayType(StringType())), StructField("_soft", ArrayType(StringType()))])
+    number = spare(pages.columns, "_which")[0]
 
     def scan(batches):
         a = automaton(strict, soft)
@@ -66,11 +67,11 @@ def url_filter(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = (), str
             found = [hits(u or "", a) for u in c[url].to_pylist()]
             yield {n: c[n] for n in names} | {"_strict": [sorted(x) for x, _ in found], "_soft": [sorted(y) for _, y in found]}
     own = F.when((F.size("_strict") > 0) | (F.size("_soft") >= soft_needed), "block").otherwise("allow")
-    return (arrow_map(named, scan, schema).withColumn("_which", which)
-            .withColumn("_rule", F.coalesce(*[F.when(F.col("_which") == i, F.lit(h + p)) for i, (h, p, _) in enumerate(rules)],
+    return (arrow_map(named, scan, schema).withColumn(number, which)
+            .withColumn("_rule", F.coalesce(*[F.when(F.col(number) == i, F.lit(h + p)) for i, (h, p, _) in enumerate(rules)],
                                             F.lit(None).cast("string")))
-            .withColumn("_verdict", F.coalesce(*[F.when(F.col("_which") == i, F.lit(v)) for i, (*_, v) in enumerate(rules)], own))
-            .drop("_which"))
+            .withColumn("_verdict", F.coalesce(*[F.when(F.col(number) == i, F.lit(v)) for i, (*_, v) in enumerate(rules)], own))
+            .drop(number))
 
 
 def url_filter_sql(rules: Iterable[tuple[str, str, str]], strict: Iterable[str] = STRICT, soft: Iterable[str] = SOFT,

@@ -69,3 +69,13 @@ def test_odd(spark, odd_docs):
     assert by[0] == [(0, None)] and by[1] == [(0, "")] and by[3][0][0] == 0 and by[4] == [(3000, "")] * 2
     assert by[5] == [(0, by[5][0][1])] * 2 and (1, "") in by[6] and len(by[None]) == 2
     assert ld.line_dedup(odd_docs.limit(0)).count() == 0
+
+
+def test_clashing_names(spark):
+    same = "\n".join(f"line {k} with some words in it" for k in range(9))
+    df = spark.createDataFrame([(1, same, 7, 8, "x", "y", "z", "b"), (2, same, 1, 2, "p", "q", "r", "s")],
+                               "doc_id long, text string, _k int, _t int, _d string, _H string, _gone string, `a``b` string")
+    out = ld.line_dedup(df, 10)
+    got = {r["doc_id"]: tuple(r) for r in out.collect()}
+    assert out.columns == df.columns + ["deleted_lines"]
+    assert got == {1: (1, same, 7, 8, "x", "y", "z", "b", 0), 2: (2, "", 1, 2, "p", "q", "r", "s", 9)}

@@ -69,3 +69,11 @@ def test_odd(spark, odd_docs):
     check(rows.collect(), [tuple(r) for r in odd_docs.select("doc_id", "text").collect()])
     assert rows.where("doc_id = 8").first()["ids"] == ids("x")
     assert p.pack(p.token_pieces(odd_docs.limit(0), FILE)).count() == 0
+
+
+def test_clashing_names(spark):
+    pieces = spark.createDataFrame([(i, 0, 5 + i, "h", "g", "b", -1) for i in range(20)],
+                                   "doc_id long, start long, length long, _h string, _group string, `a``b` string, offset long")
+    out = p.pack(pieces, capacity=64, group_pieces=8)
+    assert set(out.columns) == set(pieces.columns) | {"sequence_id"}
+    assert {(r["_h"], r["_group"], r["a`b"]) for r in out.collect()} == {("h", "g", "b")} and out.where("offset < 0").count() == 0

@@ -36,3 +36,9 @@ def test_odd(spark):
         assert (r["_host"], r["_path"], r["_rule"], r["_verdict"]) == brute(r["url"]), r
     assert u.url_filter(df.limit(0), RULES).count() == 0
     assert {r["_verdict"] for r in u.url_filter(df).collect()} == {"allow", "block"}
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "http://x.org/", "mine", "b")], "page_id long, url string, _which string, `a``b` string")
+    r = u.url_filter(df, RULES).first()
+    assert (r["_which"], r["a`b"], r["_verdict"]) == ("mine", "b", "allow")
