@@ -2,6 +2,10 @@
 
 Every operator takes these as keyword arguments; the values here are only the defaults.
 """
+from earlog.functions.ship import by_value
+
+by_value(__name__)          # functions that run in tasks read some of them
+del by_value                # nothing but values is shipped
 
 # --- fixed values: limits and weights that decide results -------------------------------
 UNKNOWN_DURATION_S = 210.0

@@ -227,9 +227,37 @@ def derive_texts(spark, sf):
     return out.select("track_id", "language", "sentiment", F.size("topics").alias("n_topics"))
 
 
-@query("best_match")
+# Longest common block, leftmost in the first and then in the second text, then the same to its left and right.
+_RATIO = """seg AS (SELECT x, y, x AS a, y AS b, CAST(0 AS BIGINT) AS m FROM pr UNION ALL
+    SELECT x, y, p.a, p.b, CASE WHEN p.left THEN k ELSE 0 END FROM (SELECT x, y, best.k AS k, unnest([
+            {'a': a[:-best.i - 1], 'b': b[:-best.j - 1], 'left': true}, {'a': a[best.k - best.i:], 'b': b[best.k - best.j:], 'left': false}]) AS p
+        FROM (SELECT x, y, a, b, list_max(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(list_filter(range(1, length(b) + 1),
+                lambda j: a[i] = b[j]), lambda j: {'k': len(list_filter(range(1, least(length(a) - i, length(b) - j) + 2),
+                lambda n: a[i:i + n - 1] = b[j:j + n - 1])), 'i': -i, 'j': -j})))) AS best FROM seg WHERE a <> '' AND b <> '') WHERE best.k > 0)),
+    ra AS (SELECT x, y, CASE WHEN length(x) + length(y) = 0 THEN 1 ELSE 2 * sum(m) / (length(x) + length(y)) END AS ratio FROM seg GROUP BY 1, 2)"""
+_CLEAN = r"""s AS (SELECT track_id, channel, regexp_replace(regexp_replace(title, '[(\[](official|audio)[^)\]]*[)\]]', '', 'gi'), '\s+', ' ', 'g') AS t FROM utracks),
+    p AS (SELECT track_id, channel, trim(t) AS t FROM s),
+    cl AS (SELECT track_id, channel, trim(regexp_replace(CASE WHEN strpos(t, ' - ') > 0 THEN split_part(t, ' - ', 2) ELSE t END, '\s*ft\.\s.*$', '')) AS song,
+        CASE channel WHEN 'Brand#3 - Topic' THEN 'Brand#3' WHEN 'Brand#4VEVO' THEN 'Brand#4' ELSE channel END AS artist FROM p)"""
+
+
+def _plain(x: str) -> str:
+    return f"trim(regexp_replace(lower({x}), '[^\\w\\s]+', '', 'g'))"
+
+
+@query("best_match", f"""WITH RECURSIVE {_CLEAN}, ca AS (SELECT l_partkey AS track_id, l_orderkey * 10 + l_linenumber AS pos, l_suppkey AS cand_id,
+        c.channel AS cand_artist, c.song AS cand_song FROM lineitem JOIN cl c ON c.track_id = l_suppkey
+        QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY pos) <= 8),
+    mt AS (SELECT ca.track_id, pos, cand_id, {_plain("artist || ' ' || song")} AS wanted, {_plain("cand_artist || ' ' || cand_song")} AS offered,
+        {_plain("song")} AS song, {_plain("cand_song")} AS cand_song FROM ca JOIN cl USING (track_id) WHERE song <> ''),
+    pr AS (SELECT wanted AS x, offered AS y FROM mt UNION SELECT song, cand_song FROM mt), {_RATIO},
+    fu AS (SELECT track_id, cand_id, ratio FROM mt JOIN ra ON x = wanted AND y = offered WHERE ratio >= 0.6
+        QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY ratio DESC, pos) = 1),
+    al AS (SELECT track_id, cand_id, ratio FROM mt JOIN ra ON x = song AND y = mt.cand_song WHERE ratio >= 0.6
+        AND track_id NOT IN (SELECT track_id FROM fu) QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY ratio DESC, pos) = 1)
+    SELECT *, ratio >= 0.8 AS confirmed FROM (SELECT * FROM fu UNION ALL SELECT * FROM al)""", "utracks")
 def best_match(spark, sf):
-    """Candidates of a title are the titles met next to it in the order lines; ratio has no SQL form."""
+    """Candidates of a title are the titles met next to it in the order lines."""
     line = I.table(spark, sf, "lineitem")
     names = I.undecided_tracks(spark, sf).select(F.col("track_id").alias("cand_id"), F.col("channel").alias("cand_artist"),
                                                  X.clean_title("title")["song"].alias("cand_song"))
