@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = ["artists", "kpi", "totals", "by_week", "genre_distribution", "mood_trend", "new_tracks", "tracks_query",
             "track_profile", "sessions", "cooccur", "next_tracks", "for_now", "mixable", "ingest_listens", "classify",
-            "topics", "tfidf", "detect_language", "similar_tracks", "similar_by_tags", "similar_artists"]
+            "topics", "tfidf", "detect_language", "similar_tracks", "similar_for_seeds", "similar_by_tags", "similar_artists"]
 
 
 def main() -> None:

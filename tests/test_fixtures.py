@@ -831,3 +831,11 @@ def test_session_end_is_the_last_play(spark):
     got = {(r.user_id, r.session_start, r.session_event): (r.a, r.b, r.n) for r in s.groupBy("user_id", "session_start", "session_event").agg(
         F.max("listened_at").alias("a"), F.max("session_end").alias("b"), F.count_distinct("session_end").alias("n")).collect()}
     assert len(got) > 20 and all(a == b and n == 1 for a, b, n in got.values())
+
+
+@pytest.mark.parametrize("name,most", [("genre_distribution", 3), ("next_tracks", 2), ("co_listened", 2), ("turn_transitions", 2), ("new_artists", 4)])
+def test_planned_scans(spark, sf, name, most):
+    """Each table is read once (twice where a total stands beside the rows); edges are stored before they are ranked."""
+    from earlog.plans.registry import load
+    plan = load()[name][0](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.count("FileScan") <= most
