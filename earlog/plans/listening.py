@@ -180,20 +180,25 @@ def context_scores(spark, sf):
 
 def _radio(spark, sf):
     """External lists: the lines of every order play one radio list, seeded by the item on its first line."""
-    line = I.table(spark, sf, "lineitem")
-    item = F.struct(
-        F.when(F.col("l_quantity") < 4, "").otherwise(F.col("l_partkey").cast("string")).alias("videoId"),
-        F.concat(F.lit("Title "), F.col("l_suppkey").cast("string")).alias("title"),
-        F.array(F.struct(F.col("l_returnflag").alias("name")), F.struct(F.col("l_linestatus").alias("name"))).alias("artists"),
-        F.struct(F.col("l_linestatus").alias("name")).alias("album"), F.year("l_shipdate").alias("year"),
-        F.concat(F.floor(F.col("l_quantity") / 10).cast("string"), F.lit(":"),
-                 F.lpad(F.col("l_quantity").cast("int").cast("string"), 2, "0")).alias("length"),
-        F.array(F.struct(F.lit("small").alias("url"), F.lit(4).alias("width")),
-                F.struct(F.lit("large").alias("url"), F.col("l_linenumber").alias("width"))).alias("thumbnail"))
-    line = line.withColumn("e", F.struct("l_linenumber", "l_partkey", "l_suppkey", item.alias("x")))
-    lists = line.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("e")).alias("xs"))
-    return lists.select(
-        F.col("l_orderkey").cast("string").alias("seed_id"), F.col("xs")[0]["l_partkey"].cast("string").alias("seed_track"),
+    line = I.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("seed_id"),
+        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", F.year("l_shipdate").alias("year")).alias("e"))
+
+    def item(e):
+        return F.struct(
+            F.when(e["l_quantity"] < 4, "").otherwise(e["l_partkey"].cast("string")).alias("videoId"),
+            F.concat(F.lit("Title "), e["l_suppkey"].cast("string")).alias("title"),
+            F.array(F.struct(e["l_returnflag"].alias("name")), F.struct(e["l_linestatus"].alias("name"))).alias("artists"),
+            F.struct(e["l_linestatus"].alias("name")).alias("album"), e["year"].alias("year"),
+            F.concat(F.floor(e["l_quantity"] / 10).cast("string"), F.lit(":"),
+                     F.lpad(e["l_quantity"].cast("int").cast("string"), 2, "0")).alias("length"),
+            F.array(F.struct(F.lit("small").alias("url"), F.lit(4).alias("width")),
+                    F.struct(F.lit("large").alias("url"), e["l_linenumber"].alias("width"))).alias("thumbnail"))
+    # plain columns travel, grouped by the id that lists are joined by; the items are built where a list is whole
+    entries = line.groupBy("seed_id").agg(F.collect_list("e").alias("es")).select("seed_id", F.sort_array(F.transform("es", lambda e: F.struct(
+        e["l_linenumber"].alias("l_linenumber"), e["l_partkey"].alias("l_partkey"), e["l_suppkey"].alias("l_suppkey"), item(e).alias("x")))).alias("xs"))
+    return entries.select(
+        "seed_id", F.col("xs")[0]["l_partkey"].cast("string").alias("seed_track"),
         F.transform("xs", lambda e: e["x"]).alias("items"),
         F.concat(F.lit("TITLE "), F.array_max(F.transform("xs", lambda e: e["l_suppkey"])).cast("string")).alias("seed_title"))
 
