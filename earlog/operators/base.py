@@ -7,11 +7,13 @@ to the catalogue runs on counts.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from earlog import config as C
 from earlog.functions.columns import artist, in_period
+from earlog.session import ensure_checkpoint_dir
 
 
 def music_listens(listens: DataFrame, tracks: DataFrame, d_from=None, d_to=None) -> DataFrame:
@@ -126,3 +128,10 @@ def spread(df: DataFrame) -> DataFrame:
     """More tasks for a scan with fewer splits than cores; a scan that has enough stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written to the checkpoint folder and read back: joins with them are planned by their size."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
