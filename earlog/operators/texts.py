@@ -123,11 +123,14 @@ def language_profiles(labelled: DataFrame, n: int = 3, per_language: int | None
 def detect_language(texts: DataFrame, profiles: DataFrame, n: int = 3, floor: float = -14.0) -> DataFrame:
     """track_id, detected: the language with the largest summed log share; '' without any letter.
 
-    A language that lacks an n-gram gets `floor` for it. A text's n-grams are counted before they meet the profiles.
+    A language that lacks an n-gram gets `floor` for it. Texts move once, by item; an item's n-grams are counted where its texts lie.
+    The profiles are stored, so that their size is known when the join is planned: n-grams stay where they are counted while Spark
+    finds the profiles small enough to send, and are shuffled otherwise.
     """
-    grams = _grams(texts.filter(F.col("text") != "").select("track_id", "text"), "text", n).filter(F.trim("gram") != "")
+    rows = texts.filter(F.col("text") != "").select("track_id", "text").repartition("track_id")
+    grams = _grams(rows, "text", n).filter(F.trim("gram") != "")
     counts = grams.groupBy("track_id", "gram").agg(F.count(F.lit(1)).alias("c"))
-    scores = counts.join(profiles, "gram").groupBy("track_id", "language").agg(F.sum(F.col("c") * (F.col("logp") - floor)).alias("s"))
+    scores = counts.join(base.stored(profiles), "gram").groupBy("track_id", "language").agg(F.sum(F.col("c") * (F.col("logp") - floor)).alias("s"))
     best = scores.groupBy("track_id").agg(F.min_by("language", F.struct(-rounded("s", 6), F.col("language"))).alias("detected"))
     code = best.withColumn("detected", F.coalesce(*[F.when(F.col("detected") == k, v) for k, v in LANGUAGE_ALIASES.items()],
                                                   F.col("detected")))
