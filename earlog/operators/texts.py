@@ -4,7 +4,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from earlog import config as C
 from earlog.functions.columns import col, let, rounded
@@ -206,9 +206,9 @@ def match_texts(terms: DataFrame, candidates: DataFrame, first: int | None = 8)
     """Each item's first candidates (None: all) with the cleaned texts that are compared."""
     few = candidates if first is None else base.first_k(candidates, ["track_id"], [F.col("pos")], first)
     cand = F.concat_ws(" ", F.coalesce("cand_artist", F.lit("")), F.coalesce("cand_song", F.lit("")))
-    return few.join(terms.filter(F.col("song") != ""), "track_id").select(
-        "track_id", "pos", "cand_id", plain(F.concat_ws(" ", "artist", "song")).alias("wanted"), plain(cand).alias("offered"),
-        plain("song").alias("song"), plain("cand_song").alias("cand_song"))
+    wanted = terms.filter(F.col("song") != "").select("track_id", plain(F.concat_ws(" ", "artist", "song")).alias("wanted"), plain("song").alias("song"))
+    return few.join(wanted, "track_id").select("track_id", "pos", "cand_id", "wanted", plain(cand).alias("offered"), "song",
+                                               plain("cand_song").alias("cand_song"))
 
 
 def best_match(terms: DataFrame, candidates: DataFrame, first: int | None = 8, minimum: float = C.MATCH_RATIO,
@@ -221,13 +221,25 @@ def best_match(terms: DataFrame, candidates: DataFrame, first: int | None = 8, m
     """
     rows = match_texts(terms, candidates, first)
 
-    def best(pairs: DataFrame, a: str, b: str) -> DataFrame:
-        found = with_ratio(possible(pairs, F.col(a), F.col(b), minimum), "ratio").where(F.col("ratio") >= minimum)
-        return found.groupBy("track_id").agg(F.min_by("cand_id", F.struct(-F.col("ratio"), F.col("pos"))).alias("cand_id"),
-                                             F.max("ratio").alias("ratio"))
-    full = best(rows, "wanted", "offered")
-    alone = best(base.anti(rows, full.select("track_id")), "song", "cand_song")
-    return full.unionByName(alone).withColumn("confirmed", F.col("ratio") >= confirm)
+    def within(a: str, b: str) -> Column:
+        n, m = F.length(a), F.length(b)
+        return (F.col(a) == F.col(b)) | ((2 * F.least(n, m) >= minimum * (n + m))
+                                         & (ratio_bounds(F.col(a), F.col(b))["by_letters"] >= minimum))
+
+    def reached(open_: Column, a: str, b: str) -> Column:
+        mine = lambda c: F.when(open_ & (F.col(a) != F.col(b)), F.col(c))            # noqa: E731
+        ratio = F.when(open_ & (F.col(a) == F.col(b)), 1.0).otherwise(block_ratio(mine(a), mine(b)))
+        return F.when(ratio >= minimum, ratio)
+    # one pass over the pairs of an item: the song alone is compared where no pair of the item has reached the ratio
+    pairs = rows.withColumns({"_f": within("wanted", "offered"), "_s": within("song", "cand_song")}).where(F.col("_f") | F.col("_s"))
+    full = pairs.withColumn("_full", reached(F.col("_f"), "wanted", "offered")).withColumn(
+        "_none", F.max("_full").over(Window.partitionBy("track_id")).isNull())
+    found = full.withColumn("_alone", reached(F.col("_none") & F.col("_s"), "song", "cand_song")).withColumn(
+        "ratio", F.when(F.col("_none"), F.col("_alone")).otherwise(F.col("_full")))
+    # pairs below the ratio have none and are passed over; a filter here would run the matcher again
+    order = F.when(F.col("ratio").isNotNull(), F.struct(-F.col("ratio"), F.col("pos")))
+    best = found.groupBy("track_id").agg(F.min_by("cand_id", order).alias("cand_id"), F.max("ratio").alias("ratio"))
+    return best.where(F.col("ratio").isNotNull()).withColumn("confirmed", F.col("ratio") >= confirm)
 
 
 def names_alike(query: Column, name: Column) -> Column:
