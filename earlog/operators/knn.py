@@ -34,9 +34,11 @@ class Measure:
 
     bounds: (seeds, others) -> least and greatest possible distance of every pair (equal where it is known, NaN where it is
             undefined), a label index, and the matrices of `extra` by name.
+    cells: cells of one distance matrix that is held at once; fewer where a side costs little to read again.
     """
     bounds: Callable[[pd.DataFrame, pd.DataFrame], tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]]
     extra: tuple[str, ...] = ()
+    cells: int = CELLS
 
 
 def exact(distance: np.ndarray, label: np.ndarray | None = None):
@@ -76,7 +78,7 @@ def block(seeds: pd.DataFrame, others: pd.DataFrame, measure: Measure, k: int) -
     others = others.sort_values("id", kind="stable")
     ids = others["id"].to_numpy()
     out = {c: [] for c in ("seed", "other", "low", "high", "label", *measure.extra)}
-    step = max(1, CELLS // max(1, len(others)))
+    step = max(1, measure.cells // max(1, len(others)))
     for at in range(0, len(seeds), step):
         part = seeds.iloc[at:at + step]
         names = part["id"].to_numpy()
