@@ -5,6 +5,9 @@ strips are square roots of the row counts, taken inside the plan: a seed is copi
 each strip of seeds, so copies grow with n ** 1.5 for n seeds and with n for a few, and a task holds two strips of about
 sqrt(n * SHARE) rows. Hash strips make hot values and copies of one row harmless.
 
+A task may look at its cell twice: a quick look at all pairs leaves those that can be among the k best, and only these are compared
+number by number. Blocks of the quick look are small enough for a core's cache, and a side is read once for all of them.
+
 A measure may leave out what is heavy and give bounds instead. A task then returns the pairs that can still be among the k best
 by what it has seen itself; `within_reach` drops the rest, and the caller adds the missing part for what remains.
 """
@@ -23,9 +26,11 @@ from earlog.operators import base
 by_value(__name__)
 
 #: A strip of n rows holds about sqrt(n * SHARE) of them.
-SHARE = 256
+SHARE = 1024
 #: Cells of one distance matrix that is held at once.
 CELLS = 1 << 22
+#: Cells of one matrix of the quick look, and pairs compared number by number at once.
+QUICK, PAIRS = 1 << 17, 1 << 13
 
 
 @dataclass
@@ -35,10 +40,16 @@ class Measure:
     bounds: (seeds, others) -> least and greatest possible distance of every pair (equal where it is known, NaN where it is
             undefined), a label index, and the matrices of `extra` by name.
     cells: cells of one distance matrix that is held at once; fewer where a side costs little to read again.
+    sides: (seeds, others) -> both as arrays by row; None where they would be too wide, then `bounds` compares the cell.
+    screen: two sides -> matrices of bounds that may be wrong by the third value, the slack.
+    pairs: (seeds, rows, others, rows) -> what `bounds` gives, for these pairs.
     """
     bounds: Callable[[pd.DataFrame, pd.DataFrame], tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]]
     extra: tuple[str, ...] = ()
     cells: int = CELLS
+    sides: Callable[[pd.DataFrame, pd.DataFrame], tuple[dict[str, np.ndarray], dict[str, np.ndarray]] | None] | None = None
+    screen: Callable[[dict, dict], tuple[np.ndarray, np.ndarray, float]] | None = None
+    pairs: Callable[[dict, np.ndarray, dict, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]] | None = None
 
 
 def exact(distance: np.ndarray, label: np.ndarray | None = None):
@@ -73,9 +84,65 @@ def in_reach(low: np.ndarray, high: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return np.nonzero(keep & np.isfinite(high))
 
 
+def least_reach(high: np.ndarray, k: int) -> np.ndarray:
+    """For every row a limit that at least k of its bounds do not exceed: the k-th least of the minima of groups of columns."""
+    rows, n = high.shape
+    groups = max(64, 8 * k)
+    if n <= k:
+        return np.full(rows, np.inf)
+    if n > groups:
+        slabs = n // groups
+        least = np.fmin.reduce(high[:, :slabs * groups].reshape(rows, slabs, groups), axis=1)
+        rest = n - slabs * groups
+        least[:, :rest] = np.fmin(least[:, :rest], high[:, slabs * groups:])
+        high = least
+    return np.partition(np.where(np.isnan(high), np.inf, high), k - 1, axis=1)[:, k - 1]
+
+
+def still_in_reach(row: np.ndarray, column: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
+    """`in_reach` of listed pairs with known bounds: the numbers of those kept."""
+    order = np.lexsort((column, high, row))
+    at = np.arange(len(row)) - np.searchsorted(row[order], row[order])
+    limit = np.full(row.max(initial=-1) + 1, np.inf)
+    last = order[at == k - 1]
+    limit[row[last]] = high[last]
+    keep = (low < limit[row]) | ((low == limit[row]) & (high > low))
+    keep[order[at < k]] = True
+    return np.flatnonzero(keep)
+
+
+def screened(seeds: pd.DataFrame, others: pd.DataFrame, a: dict, b: dict, measure: Measure, k: int) -> pd.DataFrame:
+    """`block` by a quick look at all pairs; `others` stand by id, `a` and `b` are the sides of both."""
+    names, ids = seeds["id"].to_numpy(), others["id"].to_numpy()
+    code = pd.factorize(np.concatenate([names, ids]))[0]
+    own_a, own_b = np.where(code < 0, -2, code)[:len(names)], code[len(names):]         # a missing id equals none
+    out = {c: [] for c in ("seed", "other", "low", "high", "label", *measure.extra)}
+    step = max(1, QUICK // max(1, len(ids)))
+    for at in range(0, len(names), step):
+        part = {n: v[at:at + step] for n, v in a.items()}
+        low, high, slack = measure.screen(part, b)
+        own = own_a[at:at + step, None] == own_b[None, :]
+        low[own] = high[own] = np.nan
+        row, column = np.nonzero(low <= (least_reach(high, k) + 2 * slack)[:, None])
+        cuts = [measure.pairs(part, row[i:i + PAIRS], b, column[i:i + PAIRS]) for i in range(0, len(row), PAIRS)]
+        if not cuts:
+            continue
+        low, high, label = (np.concatenate([c[i] for c in cuts]) for i in range(3))
+        extra = {n: np.concatenate([c[3][n] for c in cuts]) for n in measure.extra}
+        known = np.flatnonzero(np.isfinite(high))
+        kept = known[still_in_reach(row[known], column[known], low[known], high[known], k)]
+        for name, v in (("seed", names[at + row[kept]]), ("other", ids[column[kept]]), ("low", low[kept]), ("high", high[kept]),
+                        ("label", label[kept]), *((n, extra[n][kept]) for n in measure.extra)):
+            out[name].append(v)
+    return pd.DataFrame({c: np.concatenate(v) if v else np.empty(0, ids.dtype if c in ("seed", "other") else float) for c, v in out.items()})
+
+
 def block(seeds: pd.DataFrame, others: pd.DataFrame, measure: Measure, k: int) -> pd.DataFrame:
     """Pairs of one cell that can be among the k best of their seed."""
     others = others.sort_values("id", kind="stable")
+    sides = measure.sides(seeds, others) if measure.sides and len(seeds) and len(others) else None
+    if sides:
+        return screened(seeds, others, *sides, measure, k)
     ids = others["id"].to_numpy()
     out = {c: [] for c in ("seed", "other", "low", "high", "label", *measure.extra)}
     step = max(1, measure.cells // max(1, len(others)))
