@@ -31,7 +31,7 @@ def items(n, rng, copies=0):
 
 
 MEASURES = {"tracks": lambda: similarity.weighted_measure(C.TRACK_WEIGHTS, C.KEY_BONUS),
-            "artists": lambda: similarity.weighted_measure(C.ARTIST_WEIGHTS, 0.0)}
+            "artists": lambda: similarity.weighted_measure(C.ARTIST_WEIGHTS, 0.0), "tags": similarity.tag_measure}
 
 
 def by_pair(measure, a, b, k):
