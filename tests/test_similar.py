@@ -102,3 +102,13 @@ def test_text_weights_meet_few_pairs(spark, sf, monkeypatch):
     similarity.similar_tracks(I.features(spark, sf), I.tracks(spark, sf), _topics(spark, sf), 3)
     rows = left[0].agg(F.count(F.lit(1)), F.countDistinct("seed")).first()
     assert rows[1] > 100 and rows[0] < 4 * rows[1]
+
+
+def test_texts_of_repeated_ids_keep_the_wide_bounds():
+    """Without places of its terms a row's text can be anything between 0 and 1."""
+    pdf = items(4, np.random.default_rng(9))[:4].assign(text_lang="en", text_at=[None, np.array([0]), np.array([0]), None],
+                                                        text_w=[None, np.array([1.0]), np.array([1.0]), None])
+    a, b = (measure := MEASURES["tracks"]()).sides(pdf, pdf)
+    low, high, _, extra = measure.pairs(a, np.array([0, 1, 0]), b, np.array([1, 2, 3]))
+    gap = (high - low) * (extra["full"] + C.TRACK_WEIGHTS["lyrics"]) / C.TRACK_WEIGHTS["lyrics"]
+    assert gap == pytest.approx([1, 0, 1], abs=1e-4)
