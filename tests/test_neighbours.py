@@ -4,6 +4,7 @@ import dataclasses
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from earlog.operators import knn, similarity
 
@@ -80,3 +81,23 @@ def test_row_copies_of_the_half_grid(spark, monkeypatch):
     met = [(a, b) for _, cell in rows.groupby(["i", "j"]) for a in cell[cell["_a"]]["id"] for b in cell[cell["_b"]]["id"]]
     pairs = {(min(p), max(p)) for p in met}
     assert len(pairs) == 100 * 101 // 2 and len(met) == sum(len(c[c["_a"]]) * len(c[c["_b"]]) for _, c in rows.groupby(["i", "j"]))
+
+
+def test_vectors_travel_as_they_are(spark, monkeypatch):
+    """Single precision stays, and the closeness of copies and of rows without length is what it was."""
+    monkeypatch.setattr(knn, "SHARE", 1)
+    rows = [(i, [float(i % 3), 1.0, 0.5 * (i % 7)]) for i in range(40)] + [(40, [0.0, 0.0, 0.0]), (41, [float("nan"), 1.0, 1.0]), (42, None)]
+    df = spark.createDataFrame(rows, "track_id long, embedding array<float>")
+    shipped, half = [], knn.half_grid
+    monkeypatch.setattr(knn, "half_grid", lambda items, share=1: (shipped.append(dict(items.dtypes)), half(items, share))[1])
+    got = similarity.closeness(similarity.cosine_topk(df, 3)).toPandas()
+    assert shipped == [{"id": "bigint", "x": "array<float>"}]
+    x = np.array([v for _, v in rows[:40]])
+    d = 1 - (x @ x.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1))
+    np.fill_diagonal(d, np.inf)
+    assert set(got["seed"]) == set(range(40)) and (got.groupby("seed").size() == 3).all()
+    for seed, part in got.groupby("seed"):
+        assert np.allclose(np.sort(part["distance"]), np.sort(d[seed])[:3], atol=1e-7)
+    same = similarity.cosine_topk(df, 3, seeds=df.select(F.col("track_id").alias("id")).where("id % 5 = 0")).toPandas()
+    key = lambda p: sorted(zip(p["seed"], p["rank"], p["other"]))                                   # noqa: E731
+    assert key(same) == [v for v in key(got) if v[0] % 5 == 0]
