@@ -16,6 +16,7 @@ by what it has seen itself; `within_reach` drops the rest, and the caller adds t
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -30,12 +31,14 @@ by_value(__name__)
 
 #: A strip of n rows holds about sqrt(n * SHARE) of them.
 SHARE = 1024
+#: Strips that a row meets in one wave of cells.
+WAVE = 8
 #: Cells of one distance matrix that is held at once.
 CELLS = 1 << 22
 #: Cells of one tile of the quick look, and pairs compared number by number at once.
 QUICK, PAIRS = 1 << 18, 1 << 13
 #: Pairs of a cell that are held before those out of reach are dropped.
-HELD = 1 << 21
+HELD = 1 << 20
 
 
 @dataclass
@@ -50,6 +53,7 @@ class Measure:
     pairs: (seeds, rows, others, rows) -> what `bounds` gives, for these pairs.
     mutual: whether a pair compares the same from both sides.
     share: strips hold so many times SHARE, for rows that take little memory.
+    together: a column; the quick look goes by tiles of rows with the same value, where there is less to compare in most.
     """
     bounds: Callable[[pd.DataFrame, pd.DataFrame], tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]]
     extra: tuple[str, ...] = ()
@@ -59,6 +63,7 @@ class Measure:
     pairs: Callable[[dict, np.ndarray, dict, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]] | None = None
     mutual: bool = False
     share: int = 1
+    together: str | None = None
 
 
 def exact(distance: np.ndarray, label: np.ndarray | None = None):
@@ -166,8 +171,8 @@ def no_pairs(ids: np.ndarray, measure: Measure) -> pd.DataFrame:
 class Side:
     """One direction of a cell: the pairs of each row of `a` with rows of `b` that are in reach, and what is known of them."""
 
-    def __init__(self, a: dict, names: np.ndarray, b: dict, ids: np.ndarray, measure: Measure, k: int):
-        self.a, self.names, self.b, self.ids, self.measure, self.k = a, names, b, ids, measure, k
+    def __init__(self, a: dict, names: np.ndarray, b: dict, ids: np.ndarray, place: np.ndarray, measure: Measure, k: int):
+        self.a, self.names, self.b, self.ids, self.place, self.measure, self.k = a, names, b, ids, place, measure, k
         self.found = Found(len(names), k)
         self.known = None
 
@@ -191,7 +196,7 @@ class Side:
         new = {c: v[known] for c, v in new.items()}
         if self.known:
             new = {c: np.concatenate([self.known[c], v]) for c, v in new.items()}
-        kept = still_in_reach(new["row"], new["column"], new["low"], new["high"], self.k)
+        kept = still_in_reach(new["row"], self.place[new["column"]], new["low"], new["high"], self.k)
         self.known = {c: v[kept] for c, v in new.items()}
 
     def result(self) -> pd.DataFrame:
@@ -203,16 +208,16 @@ class Side:
 
 
 def screened(seeds: pd.DataFrame, others: pd.DataFrame, a: dict, b: dict, measure: Measure, k: int, both: bool = False) -> pd.DataFrame:
-    """`block` by a quick look at all pairs; both stand by id, `a` and `b` are their sides.
+    """`block` by a quick look at all pairs; `_place` is a row's place by id, `a` and `b` are the sides of both.
 
     `both`: pairs of `others` with `seeds` as well, by the same look; where these are the same rows, every pair is looked at once.
     """
     names, ids = seeds["id"].to_numpy(), others["id"].to_numpy()
     code = pd.factorize(np.concatenate([names, ids]))[0]
     own_a, own_b = np.where(code < 0, -2, code)[:len(names)], code[len(names):]         # a missing id equals none
-    ahead = Side(a, names, b, ids, measure, k)
+    ahead = Side(a, names, b, ids, others["_place"].to_numpy(), measure, k)
     same = both and seeds is others
-    back = None if not both else ahead if same else Side(b, ids, a, names, measure, k)
+    back = None if not both else ahead if same else Side(b, ids, a, names, seeds["_place"].to_numpy(), measure, k)
     step = max(1, int(QUICK ** 0.5))
     # few rows on one side leave room for more on the other
     down, across = (min(max(step, QUICK // max(1, n)), 8 * step) for n in (min(step, len(ids)), min(step, len(names))))
@@ -236,14 +241,24 @@ def screened(seeds: pd.DataFrame, others: pd.DataFrame, a: dict, b: dict, measur
     return pd.concat([ahead.result(), back.result()], ignore_index=True) if both and not same else ahead.result()
 
 
+def placed(rows: pd.DataFrame, measure: Measure) -> pd.DataFrame:
+    """Rows with their place, in the order in which the quick look takes them."""
+    rows = rows.assign(_place=np.arange(len(rows)))
+    by = measure.together
+    return rows.sort_values(by, kind="stable") if by and by in rows else rows
+
+
 def block(seeds: pd.DataFrame, others: pd.DataFrame, measure: Measure, k: int, both: bool = False) -> pd.DataFrame:
     """Pairs of one cell that can be among the k best of their seed; `both`: of their other row as well, taken as a seed."""
     same = both and seeds is others
     others = others.sort_values("id", kind="stable")
     seeds = others if same else seeds.sort_values("id", kind="stable") if both else seeds
-    sides = measure.sides(seeds, others) if measure.sides and len(seeds) and len(others) else None
-    if sides:
-        return screened(seeds, others, *sides, measure, k, both)
+    if measure.sides and len(seeds) and len(others):
+        rows = placed(others, measure)
+        across = rows if same else placed(seeds, measure)
+        sides = measure.sides(across, rows)
+        if sides:
+            return screened(across, rows, *sides, measure, k, both)
     if both and not same:
         if not len(seeds) or not len(others):
             return no_pairs(others["id"].to_numpy(), measure)
@@ -298,10 +313,15 @@ def grid(items: DataFrame, seeds: DataFrame | None, share: int = 1) -> DataFrame
     return rows.withColumn("_c", F.explode(cells)).select(*items.columns, "_c.*")
 
 
-def candidates(items: DataFrame, measure: Measure, k: int, seeds: DataFrame | None = None) -> DataFrame:
+def waves(items: DataFrame, measure: Measure) -> int:
+    """In how many waves cells run where copies of the rows shall not all lie on disk at once."""
+    return max(1, math.ceil(math.sqrt(items.count() / (measure.share * SHARE)) / WAVE))
+
+
+def candidates(items: DataFrame, measure: Measure, k: int, seeds: DataFrame | None = None, wave: int = 0, of: int = 1) -> DataFrame:
     """seed, other, low, high, label and the measure's extra columns: what the cells of the grid return.
 
-    `items`: id and whatever the measure reads. `seeds`: ids to rank for (all by default).
+    `items`: id and whatever the measure reads. `seeds`: ids to rank for (all by default). `wave`, `of`: one of so many parts of the cells.
     """
     ident = items.schema["id"].dataType
     schema = T.StructType([T.StructField("seed", ident), T.StructField("other", ident), T.StructField("low", T.DoubleType()),
@@ -314,9 +334,11 @@ def candidates(items: DataFrame, measure: Measure, k: int, seeds: DataFrame | No
     def half(pdf: pd.DataFrame) -> pd.DataFrame:
         a = pdf[pdf["_a"]]
         return block(a, a if (pdf["i"] == pdf["j"]).all() else pdf[pdf["_b"]], measure, k, both=True)
-    if seeds is None and measure.mutual:
-        return half_grid(items, measure.share).groupBy("i", "j").applyInPandas(half, schema)
-    return grid(items, seeds, measure.share).groupBy("i", "j").applyInPandas(cell, schema)
+    whole = seeds is None and measure.mutual
+    cells = half_grid(items, measure.share) if whole else grid(items, seeds, measure.share)
+    if of > 1:
+        cells = cells.where((F.col("i") + F.col("j")) % of == wave)
+    return cells.groupBy("i", "j").applyInPandas(half if whole else cell, schema)
 
 
 def within_reach(pairs: DataFrame, k: int) -> DataFrame:
